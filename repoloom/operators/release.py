@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import rules
-from ..functions.sqltext import text_array
+from ..functions.sqltext import text_array, text_list
 from ..functions.text import BLANKS, char_class, strip
 from .ranking import ranked
 
@@ -13,15 +13,22 @@ _BLANK = char_class(BLANKS)
 _SUBJECT = f"^(\\w+)(?:\\(([^)]*)\\))?(!)?{_BLANK}*:{_BLANK}*([^\\n\\r\\x{{2028}}\\x{{2029}}]+)$"
 
 
+def _formed() -> Column:
+    return F.rlike("subject", F.lit(_SUBJECT))
+
+
+def _parsed(group: int) -> Column:
+    return F.regexp_extract("subject", _SUBJECT, group)
+
+
 def parse_commits(commits: DataFrame) -> DataFrame:
     """Adds type, scope, breaking and description; other subjects drop out."""
-    subject = F.col("subject")
-    return commits.filter(F.rlike(subject, F.lit(_SUBJECT))).select(
+    return commits.filter(_formed()).select(
         "*",
-        F.lower(F.regexp_extract(subject, _SUBJECT, 1)).alias("type"),
-        F.nullif(F.regexp_extract(subject, _SUBJECT, 2), F.lit("")).alias("scope"),
-        (F.regexp_extract(subject, _SUBJECT, 3) == "!").alias("breaking"),
-        strip(F.regexp_extract(subject, _SUBJECT, 4)).alias("description"),
+        F.lower(_parsed(1)).alias("type"),
+        F.nullif(_parsed(2), F.lit("")).alias("scope"),
+        (_parsed(3) == "!").alias("breaking"),
+        strip(_parsed(4)).alias("description"),
     )
 
 
@@ -55,85 +62,74 @@ def last_commits(commits: DataFrame, n: int = 1) -> DataFrame:
     )
 
 
-def _checked_description(subject) -> Column:
-    """Text after the first colon that has any."""
-    return strip(
-        F.regexp_extract(subject, f":{_BLANK}*([^\\n\\r\\x{{2028}}\\x{{2029}}]+)$", 1)
+def _with_checks(commits: DataFrame) -> DataFrame:
+    """Adds what validation looks at: formed, kind, and the text after the first
+    colon that has any."""
+    after_colon = f":{_BLANK}*([^\\n\\r\\x{{2028}}\\x{{2029}}]+)$"
+    return commits.select(
+        "*",
+        _formed().alias("_formed"),
+        F.lower(F.regexp_extract("subject", "^(\\w+)", 1)).alias("_kind"),
+        strip(F.regexp_extract("subject", after_colon, 1)).alias("_text"),
     )
 
 
+_UNKNOWN = f"_formed AND _kind NOT IN ({text_list(fv.COMMIT_TYPES)})"
+_SHORT = f"_formed AND length(_text) < {fv.MIN_DESCRIPTION_CHARS}"
+_UPPER = "_formed AND left(_text, 1) = upper(left(_text, 1)) AND left(_text, 1) <> lower(left(_text, 1))"
+
+
 def validate_commits(commits: DataFrame) -> DataFrame:
     """One row per problem: (…, error, detail)."""
-    subject = F.col("subject")
-    formed = F.rlike(subject, F.lit(_SUBJECT))
-    kind = F.lower(F.regexp_extract(subject, "^(\\w+)", 1))
-    text = _checked_description(subject)
-    first = F.left(text, F.lit(1))
-    upper = (first == F.upper(first)) & (first != F.lower(first))
-
-    def problem(when, error: str, detail) -> Column:
-        return F.when(when, F.struct(F.lit(error).alias("error"), detail.alias("detail")))
-
-    problems = F.array(
-        problem(~formed, "format", F.lit("expected type(scope): description")),
-        problem(formed & ~kind.isin(fv.COMMIT_TYPES), "unknown_type", kind),
-        problem(
-            formed & (F.length(text) < fv.MIN_DESCRIPTION_CHARS),
-            "too_short",
-            F.length(text).cast("string"),
-        ),
-        problem(formed & upper, "upper_case", first),
-    )
-    return commits.select(
-        *[c for c in commits.columns if c != "body"],
-        F.explode(F.array_compact(problems)).alias("problem"),
-    ).select(
-        *[c for c in commits.columns if c != "body"], "problem.error", "problem.detail"
+    def problem(when: str, error: str, detail: str) -> str:
+        return f"IF({when}, named_struct('error', '{error}', 'detail', {detail}), NULL)"
+
+    problems = ", ".join(
+        [
+            problem("NOT _formed", "format", "'expected type(scope): description'"),
+            problem(_UNKNOWN, "unknown_type", "_kind"),
+            problem(_SHORT, "too_short", "CAST(length(_text) AS STRING)"),
+            problem(_UPPER, "upper_case", "left(_text, 1)"),
+        ]
+    )
+    kept = [c for c in commits.columns if c != "body"]
+    return (
+        _with_checks(commits)
+        .select(*kept, F.expr(f"inline(array_compact(array({problems})))"))
     )
 
 
 def commit_verdicts(commits: DataFrame) -> DataFrame:
     """Per repo: commits checked, problems, and whether all are fine."""
-    subject = F.col("subject")
-    formed = F.rlike(subject, F.lit(_SUBJECT))
-    kind = F.lower(F.regexp_extract(subject, "^(\\w+)", 1))
-    text = _checked_description(subject)
-    first = F.left(text, F.lit(1))
-    upper = (first == F.upper(first)) & (first != F.lower(first))
-    problems = F.when(~formed, 1).otherwise(
-        (~kind.isin(fv.COMMIT_TYPES)).cast("int")
-        + (F.length(text) < fv.MIN_DESCRIPTION_CHARS).cast("int")
-        + upper.cast("int")
+    problems = F.expr(
+        f"IF(NOT _formed, 1, int({_UNKNOWN}) + int({_SHORT}) + int({_UPPER}))"
     )
-    return commits.groupBy("repo").agg(
+    checked = _with_checks(commits).select("repo", problems.alias("_problems"))
+    return checked.groupBy("repo").agg(
         F.count(F.lit(1)).alias("commits"),
-        F.sum(problems).alias("problems"),
-        F.bool_and(problems == 0).alias("valid"),
+        F.sum("_problems").alias("problems"),
+        F.bool_and(F.col("_problems") == 0).alias("valid"),
     )
 
 
 def bump_type(commits: DataFrame) -> DataFrame:
-    """Per repo the largest bump its commits ask for; NULL when none does."""
-    parsed = parse_commits(commits)
-    body = F.coalesce("body", F.lit(""))
+    """Per repo the largest bump its commits ask for; NULL when none does.
+
+    Other subjects are not filtered out but count as no bump, so repos without
+    any conventional commit stay in the result after one pass.
+    """
+    kind = F.lower(_parsed(1))
     breaking = (
-        F.col("breaking")
-        | F.contains(body, F.lit("BREAKING CHANGE"))
-        | F.contains(body, F.lit("BREAKING-CHANGE"))
-    )
-    level = (
-        F.when(breaking, 3)
-        .when(F.col("type").isin(fv.MINOR_TYPES), 2)
-        .when(F.col("type").isin(fv.PATCH_TYPES), 1)
-    )
-    # Repos without any conventional commit stay in the result.
-    levels = parsed.select("repo", level.alias("level")).unionByName(
-        commits.select("repo", F.lit(None).cast("int").alias("level"))
+        (_parsed(3) == "!")
+        | F.contains("body", F.lit("BREAKING CHANGE"))
+        | F.contains("body", F.lit("BREAKING-CHANGE"))
     )
-    names = F.when(F.col("level") == 3, "major").when(F.col("level") == 2, "minor").when(
-        F.col("level") == 1, "patch"
+    level = F.when(
+        _formed(),
+        F.when(breaking, 3).when(kind.isin(fv.MINOR_TYPES), 2).when(kind.isin(fv.PATCH_TYPES), 1),
     )
-    return levels.groupBy("repo").agg(F.max("level").alias("level")).select(
+    names = F.expr("CASE level WHEN 3 THEN 'major' WHEN 2 THEN 'minor' WHEN 1 THEN 'patch' END")
+    return commits.groupBy("repo").agg(F.max(level).alias("level")).select(
         "repo", names.alias("bump")
     )
 

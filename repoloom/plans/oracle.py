@@ -368,7 +368,7 @@ FROM nodes, range(1, len(string_split(path, '/')) + 1) r(k)""",
     "t2_flatten_items": f"""WITH {PATH_NODES} SELECT name, description, tags, path, parent_path,
   CASE WHEN kind = 'dir' THEN 'folder' ELSE 'file' END AS type FROM nodes WHERE depth > 0""",
     "t3_node_at": f"""WITH {SCAN} SELECT path, name, description FROM nodes
-WHERE path = 'web/src/components' AND kind = 'dir'""",
+WHERE path = 'src3/src/components' AND kind = 'dir'""",
     "t4_subtree_counts": f"""WITH {PATH_NODES} SELECT d.path,
   count(*) FILTER (WHERE n.kind = 'file') AS files, count(*) FILTER (WHERE n.kind = 'dir') AS dirs
 FROM nodes d LEFT JOIN nodes n ON starts_with(n.path, d.path || '/') WHERE d.kind = 'dir' GROUP BY d.path""",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..operators.readme import readme_context
+from .corpus import by_repo
 
 LEVELS = 16
 
@@ -53,7 +54,6 @@ def import_catalogue(
     root = "coalesce(try_variant_get(document, '$.tree', 'variant'), document)"
     frames = parsed_catalogues(df, repo, body).select(
         "repo",
-        F.expr("try_variant_get(document, '$.snippets', 'map<string,string>')").alias("snippets"),
         F.expr(
             f"named_struct('done', false, 'path', try_variant_get({root}, '$.name', 'string'),"
             "'parent_path', cast(null as string),"
@@ -83,7 +83,7 @@ def import_catalogue(
             'tags', cast(array() as array<string>), 'subtree', c) as {_FRAME})))
       END"""
     for _ in range(levels):
-        frames = frames.select("repo", "snippets", F.explode(F.expr(step)).alias("node"))
+        frames = frames.select("repo", F.explode(F.expr(step)).alias("node"))
     finished = F.when(F.col("node.done"), F.col("node.path")).otherwise(
         F.raise_error(F.lit(f"catalogue is nested deeper than {levels} levels"))
     )
@@ -98,10 +98,25 @@ def import_catalogue(
         description.alias("description"),
         F.when(description.isNotNull(), F.lit("imported")).alias("description_source"),
         F.col("node.tags").alias("tags"),
-        F.try_element_at("snippets", F.col("node.path")).alias("snippet"),
+        F.lit(None).cast("string").alias("snippet"),
     )
 
 
+def import_snippets(df: DataFrame, repo: str = "repo_id", body: str = "body") -> DataFrame:
+    """(repo, path, snippet) rows of the snippets part of catalogue documents."""
+    return parsed_catalogues(df, repo, body).select(
+        "repo",
+        F.explode(
+            F.expr("try_variant_get(document, '$.snippets', 'map<string,string>')")
+        ).alias("path", "snippet"),
+    )
+
+
+def attach_snippets(nodes: DataFrame, snippets: DataFrame) -> DataFrame:
+    """Nodes with the imported snippet of each path."""
+    return nodes.drop("snippet").join(snippets, ["repo", "path"], "left").select(*nodes.columns)
+
+
 def manifest(
     nodes: DataFrame,
     files: DataFrame,
@@ -139,7 +154,7 @@ def export_catalogue(nodes: DataFrame, manifest_rows: DataFrame, target: str) ->
     ).otherwise(F.col("description"))
     manifest_rows.write.mode("overwrite").json(f"{target}/manifest")
     tree = nodes.drop("snippet").withColumn("description", purpose)
-    tree.write.mode("overwrite").partitionBy("repo").json(f"{target}/tree")
+    by_repo(tree).write.mode("overwrite").partitionBy("repo").json(f"{target}/tree")
     snippets = nodes.filter(F.col("snippet").isNotNull()).select("repo", "path", "snippet")
     if not snippets.isEmpty():
-        snippets.write.mode("overwrite").partitionBy("repo").json(f"{target}/snippets")
+        by_repo(snippets).write.mode("overwrite").partitionBy("repo").json(f"{target}/snippets")

@@ -110,6 +110,15 @@ def rewritten_path(in_place: bool = False) -> Column:
     )
 
 
+def by_repo(rows: DataFrame) -> DataFrame:
+    """Rows clustered for a write partitioned by repo.
+
+    Without it every task would leave a file in every repo.  The rebalance lets
+    AQE merge small repos into one task and split a large one over several.
+    """
+    return rows.hint("rebalance", "repo")
+
+
 def with_target(files: DataFrame, in_place: bool = False) -> DataFrame:
     return files.withColumn("target", rewritten_path(in_place))
 
@@ -117,12 +126,9 @@ def with_target(files: DataFrame, in_place: bool = False) -> DataFrame:
 def write_rewritten(files: DataFrame, location: str, in_place: bool = False) -> None:
     """files(repo, path, content) -> parquet by repo with the target path of each text.
 
-    Rows stay where they are: a large repo is written by all tasks that hold
-    parts of it.
     """
     (
-        with_target(files, in_place)
-        .select("repo", "path", "target", "content")
+        by_repo(with_target(files, in_place).select("repo", "path", "target", "content"))
         .write.mode("overwrite")
         .partitionBy("repo")
         .parquet(location)
