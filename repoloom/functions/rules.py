@@ -15,12 +15,11 @@ from .sqltext import text, text_array, text_list, text_map
 from .text import HEADER_BLANKS, char_class
 
 _BLANK = char_class(HEADER_BLANKS)
-# Case-insensitive over all scripts; '.' stops at line feeds only.
-_FLAGS = "(?iud)"
-# Everything one import rule can look at, for every keyword in the text.  The
-# look-ahead lets the pieces overlap: a keyword inside a matched line still
-# gives its own piece.
-_IMPORT_PIECES = f"{_FLAGS}(?=((?:from|import){_BLANK}+.*|require\\(.*))"
+# '.' stops at line feeds only.
+_FLAGS = "(?d)"
+# Letters that equal an ASCII letter when case is ignored but do not become it
+# in lower case.
+_FOLDED = ("İıſ", "iis")
 
 
 def is_one_of(key: str, values: Sequence[str]) -> Column:
@@ -74,34 +73,61 @@ def name_tags(
     return F.expr(f"array_compact(array({hits}))")
 
 
-def import_pieces(snippet: str = "snippet") -> Column:
-    """The parts of a header that import rules can match, or NULL.
+def _reach(rules: Mapping[str, Mapping]) -> str:
+    """How far a rule can look after `from` or `require(`.
 
-    The separator cannot be crossed by any rule, so matching the joined pieces
-    equals matching the whole header.
+    Without repetition in the rules no match is longer than its pattern.
     """
+    rests = [
+        rest
+        for forms in rules.values()
+        for form in ("quoted", "module", "required")
+        for rest in forms.get(form, ())
+    ]
+    if any(c in rest for rest in rests for c in "*+{"):
+        return ".*"
+    return f".{{0,{max(map(len, rests), default=0) + 2}}}"
+
+
+def import_pieces(
+    snippet: str = "snippet", rules: Mapping[str, Mapping] = fv.IMPORT_TAG_RULES
+) -> Column:
+    """The parts of a header that import rules can match, in lower case.
+
+    Every keyword gives its own piece (the look-ahead lets them overlap), and the
+    separator cannot be crossed by any rule, so matching the joined pieces equals
+    matching the whole header while most of a text is looked at only once.
+    """
+    reach = _reach(rules)
+    piece = f"{_FLAGS}(?=(from{_BLANK}+{reach}|import{_BLANK}+.*|require\\({reach}))[fir]"
+    odd = " OR ".join(f"contains({snippet}, {text(c)})" for c in _FOLDED[0])
+    folded = f"lower(translate({snippet}, {text(_FOLDED[0])}, {text(_FOLDED[1])}))"
+    low = f"IF({odd}, {folded}, lower({snippet}))"
     return F.expr(
-        f"nullif(array_join(regexp_extract_all({snippet}, {text(_IMPORT_PIECES)}, 1),"
-        f" {text(chr(10) + ';' + chr(10))}), '')"
+        f"array_join(regexp_extract_all({low}, {text(piece)}, 1), {text(chr(10) + ';' + chr(10))})"
     )
 
 
 def import_tag_pattern(forms: Mapping[str, Sequence[str]]) -> str:
-    """One pattern for all rules of a tag."""
+    """One pattern for all rules of a tag, for lower-cased text."""
+    anywhere = [n.removeprefix(".*") for n in forms.get("named", ()) if n.startswith(".*")]
+    direct = [n for n in forms.get("named", ()) if not n.startswith(".*")]
     branches = []
     if "quoted" in forms:
         branches.append(f"from{_BLANK}+['\"](?:{'|'.join(forms['quoted'])})")
     if "module" in forms:
         branches.append(f"from{_BLANK}+(?:{'|'.join(forms['module'])})")
-    if "named" in forms:
-        branches.append(f"import{_BLANK}+(?:{'|'.join(forms['named'])})")
+    if direct:
+        branches.append(f"import{_BLANK}+(?:{'|'.join(direct)})")
+    if anywhere:
+        branches.append(f"import{_BLANK}+.*(?:{'|'.join(anywhere)})")
     if "required" in forms:
         branches.append(f"require\\(['\"](?:{'|'.join(forms['required'])})")
     return _FLAGS + "(?:" + "|".join(branches) + ")"
 
 
 def import_tags(
-    pieces: str = "import_pieces", rules: Mapping[str, Mapping] = fv.IMPORT_TAG_RULES
+    pieces: str, rules: Mapping[str, Mapping] = fv.IMPORT_TAG_RULES
 ) -> Column:
     """Sorted tags of the import rules that match; empty without pieces."""
     hits = ", ".join(
@@ -109,7 +135,7 @@ def import_tags(
         for tag in sorted(rules)
     )
     return F.expr(
-        f"IF({pieces} IS NULL, {text_array([])}, array_compact(array({hits})))"
+        f"IF({pieces} <> '', array_compact(array({hits})), {text_array([])})"
     )
 
 

@@ -20,8 +20,16 @@ HEADER_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85" + WIDE_SPACES
 
 
 def char_class(chars: str) -> str:
-    """Regular-expression class of the given characters, spelled as code points."""
-    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
+    """Regular-expression class of the given characters, as code point ranges."""
+    ranges: list[list[int]] = []
+    for point in sorted(map(ord, chars)):
+        if ranges and point == ranges[-1][1] + 1:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    return "[" + "".join(
+        f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges
+    ) + "]"
 
 
 def quoted(literal: str) -> str:
@@ -38,15 +46,15 @@ def first_lines(text, n: int) -> Column:
 
 
 def unix_lines(text) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
-def header_snippet(content, chars: int, lines: int) -> Column:
+def header(content, chars: int, lines: int) -> Column:
     """First `chars` characters after line-end normalisation, first `lines`
-    lines of those, stripped; NULL when nothing is left.
+    lines of those, stripped.
 
     Twice as many raw characters always contain `chars` normalised ones, so the
     rest of a large text is never touched.
     """
     head = F.substring(unix_lines(F.substring(content, 1, 2 * chars)), 1, chars)
-    return F.nullif(strip(first_lines(head, lines), HEADER_BLANKS), F.lit(""))
+    return strip(first_lines(head, lines), HEADER_BLANKS)

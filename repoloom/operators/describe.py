@@ -35,21 +35,17 @@ def name_tags(files: DataFrame) -> DataFrame:
 
 def header_snippet(files: DataFrame) -> DataFrame:
     """Adds `snippet`: the stripped head of scannable files, else NULL."""
-    return files.withColumn(
-        "snippet",
-        F.when(
-            scannable_expr(),
-            text.header_snippet("content", fv.HEADER_CHARS, fv.HEADER_LINES),
-        ),
-    )
+    head = F.when(scannable_expr(), text.header("content", fv.HEADER_CHARS, fv.HEADER_LINES))
+    # In two projections: the test for emptiness must not repeat the work.
+    return files.withColumn("snippet", head).withColumn("snippet", F.expr("nullif(snippet, '')"))
 
 
 def import_tags(files: DataFrame, table: Mapping = fv.IMPORT_TAG_RULES) -> DataFrame:
     """Adds `import_tags` found in `snippet`."""
     return (
-        files.withColumn("import_pieces", rules.import_pieces("snippet"))
-        .withColumn("import_tags", rules.import_tags("import_pieces", table))
-        .drop("import_pieces")
+        files.withColumn("_import_pieces", rules.import_pieces("snippet", table))
+        .withColumn("import_tags", rules.import_tags("_import_pieces", table))
+        .drop("_import_pieces")
     )
 
 

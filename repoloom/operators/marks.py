@@ -29,6 +29,16 @@ def _line_pattern(mode_pattern: str, marker: str) -> str:
     )
 
 
+def _fed_line(mode: str | None, marker: str) -> str:
+    """A marked line with the line feed before it."""
+    return "\\n" + _line_pattern(_MODE if mode is None else quoted(mode), marker)
+
+
+def _fed(content) -> Column:
+    """The text with a line feed in front, so that every line has one."""
+    return F.concat(F.lit("\n"), content)
+
+
 def _detect_pattern(marker: str) -> str:
     modes = "|".join(quoted(m) for m in fv.MODES)
     return f"{quoted(marker)}{_ANY_BLANK}*\\[({modes})\\]"
@@ -38,26 +48,21 @@ def has_marks_expr(content, marker: str = fv.MARKER) -> Column:
     return (
         F.contains(content, F.lit(marker))
         & F.rlike(content, F.lit(_detect_pattern(marker)))
-        & F.rlike(content, F.lit("(?:\\A|\\n)" + _line_pattern(_MODE, marker)))
+        & F.rlike(_fed(content), F.lit(_fed_line(None, marker)))
     )
 
 
 def count_marks_expr(content, mode: str | None = None, marker: str = fv.MARKER) -> Column:
-    wanted = _MODE if mode is None else quoted(mode)
-    found = F.regexp_count(content, F.lit("(?:\\A|\\n)" + _line_pattern(wanted, marker)))
+    found = F.regexp_count(_fed(content), F.lit(_fed_line(mode, marker)))
     return F.when(F.contains(content, F.lit(marker)), found).otherwise(0).cast("bigint")
 
 
 def strip_marks_expr(content, mode: str | None = None, marker: str = fv.MARKER) -> Column:
-    """The text without its marked lines; every other byte stays.
-
-    A marked line goes together with the line feed before it, or, in a run of
-    marked lines at the very start, with the one after it.
-    """
-    line = _line_pattern(_MODE if mode is None else quoted(mode), marker)
-    pattern = f"\\A(?:{line}(?:\\n|\\z))+|\\n{line}"
-    stripped = F.regexp_replace(content, pattern, "")
-    return F.when(F.contains(content, F.lit(marker)), stripped).otherwise(content)
+    """The text without its marked lines; every other byte stays."""
+    left = F.regexp_replace(_fed(content), _fed_line(mode, marker), "")
+    return F.when(
+        F.contains(content, F.lit(marker)), F.substr(left, F.lit(2))
+    ).otherwise(content)
 
 
 def detect_modes_expr(content, marker: str = fv.MARKER) -> Column:
