@@ -76,7 +76,8 @@ def name_tags(
 def _reach(rules: Mapping[str, Mapping]) -> str:
     """How far a rule can look after `from` or `require(`.
 
-    Without repetition in the rules no match is longer than its pattern.
+    Without repetition in the rules no match is longer than its pattern.  The word
+    at the cut is completed, so that no word boundary appears there.
     """
     rests = [
         rest
@@ -86,7 +87,7 @@ def _reach(rules: Mapping[str, Mapping]) -> str:
     ]
     if any(c in rest for rest in rests for c in "*+{"):
         return ".*"
-    return f".{{0,{max(map(len, rests), default=0) + 2}}}"
+    return f".{{0,{max(map(len, rests), default=0)}}}[\\p{{L}}\\p{{N}}\\p{{M}}_]*"
 
 
 def import_pieces(
