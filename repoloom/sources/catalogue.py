@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.evaluation import evaluated_once
 from ..operators.readme import readme_context
 from .corpus import by_repo
 
@@ -15,14 +16,19 @@ _FRAME = (
 )
 
 
+_ROOT = "coalesce(try_variant_get(document, '$.tree', 'variant'), document)"
+
+
 def parsed_catalogues(df: DataFrame, repo: str = "repo_id", body: str = "body") -> DataFrame:
-    """(repo, document) with the JSON parsed; unparsable bodies are left out."""
-    return (
-        df.select(
-            F.col(repo).cast("string").alias("repo"),
-            F.try_parse_json(F.col(body)).alias("document"),
-        )
-        .filter(F.expr("schema_of_variant(document) LIKE 'OBJECT%'"))
+    """(repo, document) with the JSON parsed once.
+
+    Bodies that do not parse, or hold no tree with a name, are left out.
+    """
+    parsed = df.select(
+        F.col(repo).cast("string").alias("repo"), F.try_parse_json(F.col(body)).alias("document")
+    )
+    return evaluated_once(parsed, "document").filter(
+        f"try_variant_get({_ROOT}, '$.name', 'string') IS NOT NULL"
     )
 
 
@@ -51,15 +57,14 @@ def import_catalogue(
     its files and its child directories, and passes finished rows on.  A
     document nested deeper than `levels` fails loudly instead of losing rows.
     """
-    root = "coalesce(try_variant_get(document, '$.tree', 'variant'), document)"
     frames = parsed_catalogues(df, repo, body).select(
         "repo",
         F.expr(
-            f"named_struct('done', false, 'path', try_variant_get({root}, '$.name', 'string'),"
+            f"named_struct('done', false, 'path', try_variant_get({_ROOT}, '$.name', 'string'),"
             "'parent_path', cast(null as string),"
-            f"'name', try_variant_get({root}, '$.name', 'string'), 'kind', 'dir',"
-            f"'description', try_variant_get({root}, '$.description', 'string'),"
-            f"'tags', cast(array() as array<string>), 'subtree', {root})"
+            f"'name', try_variant_get({_ROOT}, '$.name', 'string'), 'kind', 'dir',"
+            f"'description', try_variant_get({_ROOT}, '$.description', 'string'),"
+            f"'tags', cast(array() as array<string>), 'subtree', {_ROOT})"
         ).alias("node"),
     )
     step = f"""
