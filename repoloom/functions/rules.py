@@ -17,6 +17,9 @@ from .text import HEADER_BLANKS, char_class
 _BLANK = char_class(HEADER_BLANKS)
 # '.' stops at line feeds only.
 _FLAGS = "(?d)"
+# All rules begin with from, import or require: one class test rules out most
+# positions of a text before any alternative is tried.
+_STARTS = "(?=[fir])"
 # Letters that equal an ASCII letter when case is ignored but do not become it
 # in lower case.
 _FOLDED = ("İıſ", "iis")
@@ -100,7 +103,7 @@ def import_pieces(
     matching the whole header while most of a text is looked at only once.
     """
     reach = _reach(rules)
-    piece = f"{_FLAGS}(?=(from{_BLANK}+{reach}|import{_BLANK}+.*|require\\({reach}))[fir]"
+    piece = f"{_FLAGS}{_STARTS}(?=(from{_BLANK}+{reach}|import{_BLANK}+.*|require\\({reach}))."
     odd = " OR ".join(f"contains({snippet}, {text(c)})" for c in _FOLDED[0])
     folded = f"lower(translate({snippet}, {text(_FOLDED[0])}, {text(_FOLDED[1])}))"
     low = f"IF({odd}, {folded}, lower({snippet}))"
@@ -124,7 +127,7 @@ def import_tag_pattern(forms: Mapping[str, Sequence[str]]) -> str:
         branches.append(f"import{_BLANK}+.*(?:{'|'.join(anywhere)})")
     if "required" in forms:
         branches.append(f"require\\(['\"](?:{'|'.join(forms['required'])})")
-    return _FLAGS + "(?:" + "|".join(branches) + ")"
+    return _FLAGS + _STARTS + "(?:" + "|".join(branches) + ")"
 
 
 def import_tags(
