@@ -17,18 +17,26 @@ def _formed() -> Column:
     return F.rlike("subject", F.lit(_SUBJECT))
 
 
-def _parsed(group: int) -> Column:
-    return F.regexp_extract("subject", _SUBJECT, group)
+def _with_fields(commits: DataFrame) -> DataFrame:
+    """Adds `_fields`: type, scope, '!' and text of a conventional subject.
+
+    One match gives all groups; NUL cannot occur in a subject.  Other subjects
+    stay whole, as an array of one.
+    """
+    groups = "$1\x00$2\x00$3\x00$4"
+    return commits.select(
+        "*", F.split(F.regexp_replace("subject", _SUBJECT, groups), "\x00").alias("_fields")
+    )
 
 
 def parse_commits(commits: DataFrame) -> DataFrame:
     """Adds type, scope, breaking and description; other subjects drop out."""
-    return commits.filter(_formed()).select(
-        "*",
-        F.lower(_parsed(1)).alias("type"),
-        F.nullif(_parsed(2), F.lit("")).alias("scope"),
-        (_parsed(3) == "!").alias("breaking"),
-        strip(_parsed(4)).alias("description"),
+    return _with_fields(commits.filter(_formed())).select(
+        *commits.columns,
+        F.expr("lower(_fields[0])").alias("type"),
+        F.expr("nullif(_fields[1], '')").alias("scope"),
+        F.expr("_fields[2] = '!'").alias("breaking"),
+        strip(F.col("_fields")[3]).alias("description"),
     )
 
 
@@ -118,18 +126,19 @@ def bump_type(commits: DataFrame) -> DataFrame:
     Other subjects are not filtered out but count as no bump, so repos without
     any conventional commit stay in the result after one pass.
     """
-    kind = F.lower(_parsed(1))
     breaking = (
-        (_parsed(3) == "!")
+        (F.get("_fields", F.lit(2)) == "!")
         | F.contains("body", F.lit("BREAKING CHANGE"))
         | F.contains("body", F.lit("BREAKING-CHANGE"))
     )
+    kind = F.lower(F.get("_fields", F.lit(0)))
     level = F.when(
-        _formed(),
+        F.size("_fields") == 4,
         F.when(breaking, 3).when(kind.isin(fv.MINOR_TYPES), 2).when(kind.isin(fv.PATCH_TYPES), 1),
     )
     names = F.expr("CASE level WHEN 3 THEN 'major' WHEN 2 THEN 'minor' WHEN 1 THEN 'patch' END")
-    return commits.groupBy("repo").agg(F.max(level).alias("level")).select(
+    levels = _with_fields(commits).select("repo", level.alias("level"))
+    return levels.groupBy("repo").agg(F.max("level").alias("level")).select(
         "repo", names.alias("bump")
     )
 

@@ -110,25 +110,34 @@ def build_requests(batches: DataFrame, readmes: DataFrame, style: str = "plain")
     )
 
 
-def _parsed_map(body) -> Column:
-    """JSON object of the response, fences removed; NULL when it is anything else.
+def _with_parsed(responses: DataFrame) -> DataFrame:
+    """`body` replaced by `_parsed`: the response as an array of JSON objects.
 
-    Parsed inside brackets so that text after the object makes it invalid.
+    Only a single object is a valid response.  Parsing inside brackets makes text
+    after the object invalid instead of ignored.
     """
-    clean = text.strip(F.regexp_replace(body, "```json|```", ""))
-    wrapped = F.from_json(
-        F.concat(F.lit("["), clean, F.lit("]")), "array<map<string,string>>"
-    )
-    return F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0)))
+    others = [c for c in responses.columns if c != "body"]
+    clean = text.strip(F.regexp_replace("body", "```json|```", ""))
+    wrapped = F.from_json(F.concat(F.lit("["), clean, F.lit("]")), "array<map<string,string>>")
+    return responses.select(*others, wrapped.alias("_parsed"))
+
+
+_OBJECT = "IF(size(_parsed) = 1, get(_parsed, 0), NULL)"
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
     """(…, path, description, entry_no) rows; unparsable responses give none."""
     others = [c for c in responses.columns if c != "body"]
-    parsed = responses.select(*others, F.map_entries(_parsed_map(F.col("body"))).alias("entries"))
-    return parsed.select(
-        *others, F.posexplode("entries").alias("entry_no", "entry")
-    ).select(*others, "entry_no", F.col("entry.key").alias("path"), F.col("entry.value").alias("description"))
+    return (
+        _with_parsed(responses)
+        .select(*others, F.expr(f"posexplode(map_entries({_OBJECT})) AS (entry_no, entry)"))
+        .select(
+            *others,
+            "entry_no",
+            F.col("entry.key").alias("path"),
+            F.col("entry.value").alias("description"),
+        )
+    )
 
 
 def merge_descriptions(
@@ -166,10 +175,10 @@ def apply_descriptions(
 def batch_outcomes(responses: DataFrame) -> DataFrame:
     """Per response: parsed or failed, and the number of descriptions."""
     others = [c for c in responses.columns if c != "body"]
-    return responses.select(*others, _parsed_map(F.col("body")).alias("parsed")).select(
+    return _with_parsed(responses).select(
         *others,
-        F.when(F.col("parsed").isNull(), "failed").otherwise("parsed").alias("status"),
-        F.coalesce(F.size("parsed"), F.lit(0)).cast("bigint").alias("descriptions"),
+        F.expr(f"IF({_OBJECT} IS NULL, 'failed', 'parsed')").alias("status"),
+        F.expr(f"CAST(coalesce(size({_OBJECT}), 0) AS BIGINT)").alias("descriptions"),
     )
 
 
