@@ -1,0 +1,30 @@
+"""Joins of a large table with one that is usually small."""
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows of short values that every executor may hold.
+BROADCAST_ROWS = 100_000
+
+
+def join_small(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    rows: int | None = None,
+    counted: DataFrame | None = None,
+) -> DataFrame:
+    """Equi-join that keeps the left side in place while the right side is small.
+
+    A planner that cannot foresee the size of an aggregate would shuffle the left
+    side by key, and with it any key that holds a large part of the rows.  So the
+    right side is counted first (or `counted`, something cheaper with as many
+    rows): up to `rows` it is broadcast, beyond that Spark joins as it sees fit,
+    with AQE splitting skewed keys.
+    """
+    limit = BROADCAST_ROWS if rows is None else rows
+    measured = (right if counted is None else counted).limit(limit + 1).count()
+    return left.join(F.broadcast(right) if measured <= limit else right, list(keys), how)

@@ -42,10 +42,12 @@ def _ranked_by_range(
     spark = rows.sparkSession
     ensure_checkpoint_dir(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Written out once: both uses below must see the same ranges, and a lost
-    # executor must not move the borders.
+    # Stored twice on purpose.  First so that finding the borders and sorting into
+    # ranges do not compute the rows again; then so that both uses below see the
+    # same ranges and a lost executor cannot move the borders.
     ranged = (
-        rows.repartitionByRange(tasks, *[F.col(k) for k in keys], *order)
+        rows.checkpoint()
+        .repartitionByRange(tasks, *[F.col(k) for k in keys], *order)
         .withColumn("_range", F.spark_partition_id())
         .checkpoint()
     )

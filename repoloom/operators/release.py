@@ -7,6 +7,7 @@ from ..functions import fixed_values as fv
 from ..functions import rules
 from ..functions.sqltext import text_array, text_list
 from ..functions.text import BLANKS, char_class, strip
+from .joins import join_small
 from .ranking import ranked
 
 _BLANK = char_class(BLANKS)
@@ -56,7 +57,7 @@ def commits_since_release(commits: DataFrame, tags: DataFrame) -> DataFrame:
 
     Ancestry is approximated by time.
     """
-    joined = commits.join(latest_tags(tags).select("repo", "tag_ts"), "repo", "left")
+    joined = join_small(commits, latest_tags(tags).select("repo", "tag_ts"), ["repo"])
     return joined.filter(F.col("tag_ts").isNull() | (F.col("ts") > F.col("tag_ts"))).drop("tag_ts")
 
 

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import paths, rules, text
 from . import filters, marks
+from .joins import join_small
 from .ranking import ranked
 
+# READMEs of 1500 characters: at most some 60 MB.
+README_BROADCAST_ROWS = 10_000
+
 # Wording of the requests.
 DESCRIBE_STYLES = {
     "plain": (
@@ -96,13 +100,16 @@ def build_requests(batches: DataFrame, readmes: DataFrame, style: str = "plain")
     )
     readme = F.substring(F.coalesce("readme", F.lit("")), 1, fv.README_STORED_CHARS)
     context = F.when(readme != "", F.concat(F.lit(" Project context: "), readme)).otherwise("")
-    return grouped.join(readmes, "repo", "left").select(
+    # As many rows as repos, each with a context of limited length.
+    repos = readmes.select("repo")
+    contexts = readmes.select("repo", context.alias("_context"))
+    return join_small(grouped, contexts, ["repo"], rows=README_BROADCAST_ROWS, counted=repos).select(
         "repo",
         "batch_id",
         F.size("entries").cast("bigint").alias("paths"),
         F.concat(
             F.lit(DESCRIBE_STYLES[style]),
-            context,
+            F.coalesce("_context", F.lit("")),
             F.lit("\n\nPaths:\n"),
             F.array_join(F.transform("entries", lambda e: e["entry"]), "\n"),
             F.lit(f"\n\n{ANSWER_FORMAT}\nExample: {DESCRIBE_EXAMPLES[style]}"),
