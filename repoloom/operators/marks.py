@@ -20,12 +20,13 @@ _MODE = "\\w[\\w-]*"
 def _line_pattern(mode_pattern: str, marker: str) -> str:
     """A marked comment line up to, not including, its line feed.
 
-    The tail is ordinary characters followed by blanks only; possessive, so long
-    lines never backtrack.
+    After the mode come blanks, ordinary characters, and then only blanks around
+    at most one closing token; possessive, so long lines never backtrack.
     """
     return (
         f"[ \\t]*{_OPENER}{_INLINE}*{quoted(marker)}{_INLINE}*\\[{mode_pattern}\\]"
-        f"[^\\n\\r\\x{{2028}}\\x{{2029}}]*+{_INLINE}*+(?=\\n|\\z)"
+        f"{_INLINE}*+[^\\n\\r\\x{{2028}}\\x{{2029}}]*+"
+        f"(?:{_INLINE}*+(?:\\*/|-->))?+{_INLINE}*+(?=\\n|\\z)"
     )
 
 

@@ -216,7 +216,7 @@ LINE = re.compile(
 PIECES = ["//", "#", "--", "/*", "*/", "<!--", "-->", "ᚲ", "[tutor]", "[x-y]", "[-]", " ", "\t", "\n", "\r", "a", "b c"]
 
 
-@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(seed=st.integers(0, 10**9))
 def test_random_texts_follow_the_line_definition(spark, seed):
     rng = random.Random(seed)
@@ -224,7 +224,7 @@ def test_random_texts_follow_the_line_definition(spark, seed):
     texts += [
         "\n".join(
             rng.choice(["", " ", "\t"]) + rng.choice(PIECES[:7]) + rng.choice(["", " "]) + "ᚲ"
-            + rng.choice(["", " "]) + rng.choice(["[tutor]", "[q]", "[]"]) + rng.choice(["", " hi", " hi */", "-->", "\r", " a\rb"])
+            + rng.choice(["", " "]) + rng.choice(["[tutor]", "[q]", "[]"]) + rng.choice(["", " hi", " hi */", "-->", "\r", " a\rb", "\rb", " a\r*/", "a */\r-->", "a\r*/ -->"])
             for _ in range(rng.randrange(4))
         )
         for _ in range(400)
