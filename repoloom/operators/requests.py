@@ -76,7 +76,8 @@ def batch_paths(nodes: DataFrame, size: int = fv.BATCH_SIZE, hot_rows: int | Non
     per_batch = F.when(
         F.col("has_snippets"), F.lit(batch_size_for(True, size))
     ).otherwise(F.lit(size))
-    return numbered.join(repos, "repo").select(
+    counted = nodes.select("repo").distinct()
+    return join_small(numbered, repos, ["repo"], "inner", counted=counted).select(
         *wanted,
         "position",
         F.floor((F.col("position") - 1) / per_batch).cast("bigint").alias("batch_id"),

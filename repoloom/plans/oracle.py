@@ -323,7 +323,7 @@ SELECT repo, concat_ws('/', up, json_extract_string(node, '$.name')) AS path, up
   CASE WHEN up IS NULL THEN 0 ELSE len(string_split(up, '/')) END AS depth,
   nullif(coalesce(json_extract_string(node, '$.description'), json_extract_string(node, '$.purpose')), '—') AS description,
   coalesce(array_to_string(cast(json_extract(node, '$.tags') AS VARCHAR[]), ','), '') AS tags FROM every""",
-    "s4_import_manifest": f"""SELECT cast(repo_id AS VARCHAR) AS repo, true AS parsed,
+    "s4_import_manifest": f"""SELECT cast(repo_id AS VARCHAR) AS repo,
   json_extract_string(body, '$.basePath') AS base_path, json_extract_string(body, '$.readme') AS readme,
   cast(json_extract_string(body, '$.hasSnippets') AS BOOLEAN) AS has_snippets
 FROM ({_base(fixtures.CATALOGUES)}) c WHERE json_valid(body)""",

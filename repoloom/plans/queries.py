@@ -82,7 +82,7 @@ def s4_import_catalogue(spark, sf_dir):
 
 def s4_import_manifest(spark, sf_dir):
     return catalogue_source.import_manifest(fixtures.catalogues(spark, sf_dir)).select(
-        "repo", "parsed", F.col("basePath").alias("base_path"), "readme",
+        "repo", F.col("basePath").alias("base_path"), "readme",
         F.col("hasSnippets").alias("has_snippets"),
     )
 

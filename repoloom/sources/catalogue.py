@@ -39,7 +39,6 @@ def import_manifest(df: DataFrame, repo: str = "repo_id", body: str = "body") ->
 
     return parsed_catalogues(df, repo, body).select(
         "repo",
-        F.col("document").isNotNull().alias("parsed"),
         text("basePath"),
         text("readme"),
         text("generatedAt"),

@@ -20,8 +20,17 @@ def read_files(spark: SparkSession, location: str) -> DataFrame:
     return spark.read.parquet(location)
 
 
+# Text gathered before a task hands it on.
+_READ_BATCH_CHARS = 16 << 20
+
+
 def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Direct entries of each given directory; unreadable ones have none."""
+    """Direct entries of each given directory; unreadable ones have none.
+
+    Symbolic links are not followed.
+    """
+    import os
+
     from pyarrow import fs
 
     for batch in batches:
@@ -31,6 +40,8 @@ def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
                 entries = system.get_file_info(fs.FileSelector(inner))
             except OSError:
                 continue
+            if isinstance(system, fs.LocalFileSystem):
+                entries = [e for e in entries if not os.path.islink(e.path)]
             scheme = row.location[: len(row.location) - len(inner)]
             yield pd.DataFrame(
                 [
@@ -43,8 +54,11 @@ def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 
 
 def _read_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole texts of the given files, invalid UTF-8 replaced; NULL when unreadable."""
     from pyarrow import fs
 
+    columns = ["repo", "path", "size", "content"]
+    rows, held = [], 0
     for batch in batches:
         for row in batch.itertuples():
             system, inner = fs.FileSystem.from_uri(row.location)
@@ -53,10 +67,13 @@ def _read_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     content = stream.read().decode("utf-8", errors="replace")
             except OSError:
                 content = None
-            yield pd.DataFrame(
-                [(row.repo, row.path, row.size, content)],
-                columns=["repo", "path", "size", "content"],
-            )
+            rows.append((row.repo, row.path, row.size, content))
+            held += len(content or "")
+            if held > _READ_BATCH_CHARS:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def scan_corpus(

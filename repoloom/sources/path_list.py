@@ -11,7 +11,7 @@ from ..functions.text import BLANKS, strip
 _FILE_NAME = "\\.\\w{1,10}$"
 
 
-def _listed_nodes(nodes: DataFrame, keys: list[str]) -> DataFrame:
+def listed_nodes(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, path, kind) -> node columns, described by the listing tables."""
     is_file = F.col("kind") == "file"
     placed = nodes.select(
@@ -100,4 +100,4 @@ def import_path_list(df: DataFrame, order: str, list_id: str | None = None) -> D
         )
         .distinct()
     )
-    return _listed_nodes(nodes, ["repo"])
+    return listed_nodes(nodes, ["repo"])

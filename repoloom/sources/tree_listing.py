@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANKS, char_class, strip
-from .path_list import _listed_nodes
+from .path_list import listed_nodes
 
 _BOX = "├└│─"
 _BLANK = char_class(BLANKS)
@@ -78,4 +78,4 @@ def import_tree_listing(df: DataFrame, listing_id: str = "listing_id", text: str
         F.array_join(chain, "/").alias("path"),
         F.when(F.col("is_dir"), "dir").otherwise("file").alias("kind"),
     )
-    return _listed_nodes(nodes, ["repo"])
+    return listed_nodes(nodes, ["repo"])

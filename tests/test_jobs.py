@@ -229,6 +229,8 @@ def test_scan_of_a_directory(spark, tmp_path):
         ".github/ci.yml": "on: push", ".env": "SECRET=1", "node_modules/m/index.js": "no", "src/logo.png": b"\x89PNG\xff",
         "bad.py": b"# caf\xe9\n", "a/b/c/d/deep.go": "package d", "tmp/x.py": "y", "empty/.keep": "",
     })
+    (root / "src" / "loop").symlink_to(root, target_is_directory=True)
+    (root / "link.py").symlink_to(root / "bad.py")
     files = corpus.scan_corpus(spark, [f"file://{root}"], ["tmp"])
     got = {r["path"]: r["content"] for r in files.collect()}
     assert got == {
