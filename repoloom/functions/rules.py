@@ -14,6 +14,10 @@ from . import fixed_values as fv
 from .sqltext import text, text_array, text_list, text_map
 from .text import HEADER_BLANKS, char_class
 
+# Name and lower-cased extension of the column `path`.
+PATH_NAME = "substring_index(path, '/', -1)"
+PATH_EXTENSION = rf"lower(regexp_extract({PATH_NAME}, '(?s)^.+(\\.[^.]+)$', 1))"
+
 _BLANK = char_class(HEADER_BLANKS)
 # '.' stops at line feeds only.
 _FLAGS = "(?d)"
@@ -160,3 +164,15 @@ def excluded(path: str, names: Sequence[str], kept_dot_names: Sequence[str]) ->
     if names:
         pattern += f"|(?:{'|'.join(literal(n) for n in names)})(?:/|\\z)"
     return F.expr(f"{path} RLIKE {text(pattern + ')')}")
+
+
+def annotatable_path(extra: Sequence[str] = ()) -> Column:
+    """Source files that annotation may touch, by `path` alone."""
+    names = fv.ANNOTATION_EXCLUDED_DIRS + list(extra)
+    # Names are excluded as directories only; dot names also as files.
+    above = "regexp_replace(path, '/[^/]*$', '/')"
+    return (
+        is_one_of(PATH_EXTENSION, fv.ANNOTATABLE_EXTENSIONS)
+        & ~excluded("path", [], fv.ANNOTATION_KEPT_DOT_NAMES)
+        & ~excluded(above, names, fv.ANNOTATION_KEPT_DOT_NAMES)
+    )

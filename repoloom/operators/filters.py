@@ -11,9 +11,6 @@ from ..functions.evaluation import evaluated_once
 from ..functions.sqltext import text_list
 from .marks import has_marks_expr
 
-_NAME = "substring_index(path, '/', -1)"
-_EXTENSION = rf"lower(regexp_extract({_NAME}, '(?s)^.+(\\.[^.]+)$', 1))"
-
 
 def parse_name_list(text: str | None) -> list[str]:
     """'logs, tmp,data' -> ['logs', 'tmp', 'data']."""
@@ -29,9 +26,9 @@ def exclude_paths(files: DataFrame, extra: Iterable[str] = ()) -> DataFrame:
 def scannable_expr() -> Column:
     """Decided on the path alone, before any content is touched."""
     return F.expr(
-        f"{_EXTENSION} NOT IN ({text_list(fv.BINARY_EXTENSIONS)})"
-        f" AND ({_EXTENSION} IN ({text_list(fv.SCANNABLE_EXTENSIONS)})"
-        f" OR {_NAME} IN ({text_list(fv.FILE_DESCRIPTIONS)}))"
+        f"{rules.PATH_EXTENSION} NOT IN ({text_list(fv.BINARY_EXTENSIONS)})"
+        f" AND ({rules.PATH_EXTENSION} IN ({text_list(fv.SCANNABLE_EXTENSIONS)})"
+        f" OR {rules.PATH_NAME} IN ({text_list(fv.FILE_DESCRIPTIONS)}))"
     )
 
 
@@ -40,20 +37,9 @@ def scannable(files: DataFrame) -> DataFrame:
     return files.filter(scannable_expr())
 
 
-def annotatable_path(extra: Iterable[str] = ()) -> Column:
-    names = fv.ANNOTATION_EXCLUDED_DIRS + list(extra)
-    # Names are excluded as directories only; dot names also as files.
-    above = "regexp_replace(path, '/[^/]*$', '/')"
-    return (
-        rules.is_one_of(_EXTENSION, fv.ANNOTATABLE_EXTENSIONS)
-        & ~rules.excluded("path", [], fv.ANNOTATION_KEPT_DOT_NAMES)
-        & ~rules.excluded(above, names, fv.ANNOTATION_KEPT_DOT_NAMES)
-    )
-
-
 def annotatable(files: DataFrame, extra: Iterable[str] = ()) -> DataFrame:
     """Source files of a size that can be annotated as a whole."""
-    return files.filter(annotatable_path(extra)).filter(
+    return files.filter(rules.annotatable_path(extra)).filter(
         f"octet_length(content) > {fv.ANNOTATABLE_MIN_BYTES}"
         f" AND octet_length(content) < {fv.ANNOTATABLE_MAX_BYTES}"
     )

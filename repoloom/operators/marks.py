@@ -5,10 +5,13 @@ cheap substring test, so files without the marker cost next to nothing.  Only
 `extract_marks` multiplies rows, and it filters lines as they are produced.
 """
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..functions import rules
 from ..functions.text import BLANKS, INLINE_BLANKS, char_class, quoted
 
 _INLINE = char_class(INLINE_BLANKS)
@@ -157,11 +160,17 @@ def apply_strategy(
     )
 
 
-def erase_report(files: DataFrame, marker: str = fv.MARKER) -> DataFrame:
-    """Per repo: files that would be cleaned and marked lines removed."""
+def erase_report(
+    files: DataFrame, extra_excludes: Iterable[str] = (), marker: str = fv.MARKER
+) -> DataFrame:
+    """Per repo: files that would be cleaned and marked lines removed.
+
+    Looks at the same paths as annotation does, whatever the size of the files.
+    """
     content = F.col("content")
     return (
-        files.filter(has_marks_expr(content, marker))
+        files.filter(rules.annotatable_path(list(extra_excludes)))
+        .filter(has_marks_expr(content, marker))
         .select("repo", count_marks_expr(content, None, marker).alias("removed"))
         .groupBy("repo")
         .agg(

@@ -239,11 +239,11 @@ SECTION_ROWS = _values(fv.CHANGELOG_SECTIONS.items())
 ORDER_ROWS = _values([(s, i + 1) for i, s in enumerate(fv.CHANGELOG_ORDER)])
 LANGUAGE_ROWS = _values(fv.LANGUAGES.items())
 LANGUAGE = "coalesce(l.language, nullif(ltrim(ext, '.'), ''), 'text')"
-ANNOTATABLE = (
-    f"ext IN {_in(fv.ANNOTATABLE_EXTENSIONS)} AND strlen(content) > 10 AND strlen(content) < 100000 "
-    "AND len(list_filter(string_split(path, '/')[2:], lambda s: s[1] = '.' AND s <> '.env.example')) = 0 "
+ANNOTATABLE_PATH = (
+    f"ext IN {_in(fv.ANNOTATABLE_EXTENSIONS)} AND len(list_filter(string_split(path, '/')[2:], lambda s: s[1] = '.' AND s <> '.env.example')) = 0 "
     f"AND len(list_filter(string_split(path, '/')[2:-2], lambda s: s IN {_in(fv.ANNOTATION_EXCLUDED_DIRS)})) = 0"
 )
+ANNOTATABLE = f"{ANNOTATABLE_PATH} AND strlen(content) > 10 AND strlen(content) < 100000"
 
 
 def _annotation_prompt(mode: str) -> str:
@@ -450,8 +450,9 @@ SELECT doc_id, coalesce(array_to_string(list_filter(m, lambda x, i: list_positio
 FROM named LEFT JOIN {LANGUAGE_ROWS} l(ext, language) USING (ext) WHERE {ANNOTATABLE}""",
     "m8_clean_responses": f"""WITH {RESPONSES} SELECT batch_id, turn,
   regexp_replace(regexp_replace(body, '^```\\w*\\n?', ''), '\\n?```\\s*$', '') AS body FROM responses""",
-    "m9_erase_report": f"""WITH {FILES} SELECT repo, count(*) AS files_cleaned,
-  cast(sum({_counted()}) AS BIGINT) AS marks_removed FROM files WHERE {HAS_MARKS} GROUP BY repo""",
+    "m9_erase_report": f"""WITH {NAMED} SELECT repo, count(*) AS files_cleaned,
+  cast(sum({_counted()}) AS BIGINT) AS marks_removed FROM named
+WHERE {ANNOTATABLE_PATH} AND {HAS_MARKS} GROUP BY repo""",
     "m10_run_summary": f"""WITH {ENTRIES} SELECT CASE WHEN doc IS NULL THEN 'failed' ELSE 'succeeded' END AS status,
   count(*) AS files FROM good GROUP BY 1""",
     "m10_failures": f"""WITH {ENTRIES} SELECT 'conversation' || batch_id AS repo, 'turn' || turn AS path,

@@ -187,7 +187,10 @@ def test_other_marker(spark):
 
 
 def test_erase_report(files):
-    assert values(marks.erase_report(files)) == [
+    assert marks.erase_report(files).count() == 0
+    placed = files.withColumn("path", F.concat(F.lit("r/src/"), "path", F.lit(".js")))
+    elsewhere = files.withColumn("path", F.concat(F.lit("r/vendor/"), "path", F.lit(".js")))
+    assert values(marks.erase_report(placed.unionByName(elsewhere))) == [
         ("r", sum(1 for _, _, n, m in CASES if n and m), sum(n for _, _, n, m in CASES if n and m))
     ]
 
