@@ -8,8 +8,12 @@ before theirs.  Both give the same numbers.
 """
 
 import tempfile
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,3 +101,55 @@ def ranked(
     cold = rows.join(hot, condition, "left_anti").withColumn(out, plain)
     large = _ranked_by_range(rows.join(hot, condition, "left_semi"), keys, order, out)
     return cold.unionByName(large)
+
+
+def positions(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """Adds the 1-based position of each row among those with equal keys, as a bigint.
+
+    One way for groups of any size, and each row moves once: the rows are sorted into
+    ranges of (keys, order), numbered inside their range, and written to the shared
+    folder, which fixes the ranges.  A group that runs over several ranges is continued by
+    an offset; only the first group of a range can have one, so there are at most as
+    many offsets as ranges.  Rows that are equal in keys and order get any of their positions.
+    """
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = rows.columns
+    flagged = [c for key in keys for c in (F.isnull(key), F.col(key))]
+    by = [*[F.col(k) for k in keys], *order]
+    keyed = rows.withColumn("_group", F.xxhash64(F.lit(0), *flagged))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
+    folder = f"{shared_directory(spark)}/repoloom-ranks/{uuid.uuid4().hex}"
+    (
+        keyed.repartitionByRange(tasks, *by)
+        .sortWithinPartitions(*by)
+        .mapInArrow(_numbered, f"{kinds}, _range int, _place bigint")
+        .write.parquet(folder)
+    )
+    numbered = spark.read.parquet(folder)
+    spans = numbered.groupBy("_group", "_range").agg(F.max("_place").alias("_rows"))
+    before = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spans.select("_group", "_range", F.sum("_rows").over(before).alias("_offset"))
+    # A row per range at most.
+    offsets = F.broadcast(offsets.filter("_offset > 0"))
+    place = F.col("_place") + F.coalesce(F.col("_offset"), F.lit(0))
+    return numbered.join(offsets, ["_group", "_range"], "left").select(*columns, place.alias(out))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts on through the runs of equal groups of one sorted range."""
+    at = TaskContext.get().partitionId()
+    last, carried = None, 0
+    for batch in batches:
+        group = batch.column("_group").to_numpy()
+        if not len(group):
+            continue
+        starts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1])
+        lengths = np.diff(np.concatenate([starts, [len(group)]]))
+        place = np.arange(1, len(group) + 1) - np.repeat(starts, lengths)
+        if group[0] == last:
+            place[: lengths[0]] += carried
+        last, carried = group[-1], int(place[-1])
+        yield batch.append_column("_range", pa.array(np.full(len(group), at, np.int32))).append_column(
+            "_place", pa.array(place)
+        )
