@@ -153,3 +153,15 @@ def groups_of(keys: Sequence[np.ndarray]) -> Iterator[tuple[int, int]]:
         change |= key[1:] != key[:-1]
     starts = np.concatenate([[0], np.flatnonzero(change) + 1, [n]])
     yield from zip(starts[:-1], starts[1:], strict=True)
+
+
+# -- files that tasks write and read themselves ------------------------------------
+
+
+def file_system(folder: str):
+    """pyarrow's file system and the bare path of a folder given as URI or local path."""
+    from pyarrow import fs
+
+    if "://" in folder or folder.startswith("file:"):
+        return fs.FileSystem.from_uri(folder)
+    return fs.LocalFileSystem(), os.path.abspath(folder)

@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from repoloom.llm import common, suffix_dedup
+from repoloom.llm import (
+    common,
+    decontaminate,
+    language,
+    minhash,
+    nearest,
+    secrets,
+    sharding,
+    suffix_dedup,
+    token_files,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+def tokenizer_path(name: str) -> str:
+    """A vocabulary file: in the folder that REPOLOOM_TOKENIZERS names, else the public ones."""
+    folder = os.environ.get("REPOLOOM_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _query(function: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         common.ship(spark)
@@ -27,5 +49,62 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs).drop("spans", "kept")
 
 
+@_query
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(common.read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents")
+    folder = common.new_folder(spark, "tokens")
+    manifest = token_files.write_tokens(docs, folder, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_tokens(manifest, folder)
+
+
+@_query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan(docs).drop("text", "redacted")
+
+
+@_query
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.read_table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+@_query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents")
+    items = common.read_table(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(docs, items).drop("item_ids")
+
+
+@_query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language.held_out(F.col("doc_id"))
+    model = language.fit(docs, ~held_out)
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@_query
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents")
+    dealt = sharding.interleaved_shards(docs, shards=8)
+    return dealt.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "source",
+    )
+
+
 #: By query; the others can't be said in SQL and are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
