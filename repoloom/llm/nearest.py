@@ -260,7 +260,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     items = placed.join(splits, ["width", "cell"]).select(
         "vec_id", "vector", "width", "cell", F.pmod(F.xxhash64("vec_id"), "splits").alias("split")
     )
-    queries = placed.filter("_query").select("vec_id", "vector", "width", "cell")
+    queries = common.stored(
+        placed.filter("_query").select("vec_id", "vector", "width", "cell"), "queries"
+    )
 
     def searched(which: DataFrame) -> DataFrame:
         asked = which.join(splits, ["width", "cell"]).select(
