@@ -12,9 +12,9 @@ all tables with probability 3e-4, one of 0.8 with 2e-5, of 0.9 below 1e-8.
     rows as there are batches and gives as many links as it has members.
 3.  Pairs whose 96 minhashes agree in fewer than half are no links (five and more
     deviations away from 0.75); the others are verified on full sets made from texts.
-4.  Keys that still hold sets of different components give the rest: all pairs of one
-    key across components, again estimated and verified.  So a link between two sets
-    that meet in any table is found, or their component is already one.
+4.  A set may be linked to another member of its key than the smallest.  Classes joined by pairs
+    that agree in a third of the minhashes or more form clusters, and inside a cluster all
+    pairs of different classes are estimated, and verified where they agree enough.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ PIECE = 3
 HASHES = 2 * PIECES * PIECE
 #: Agreeing minhashes below which a pair is not verified.
 LEAST_AGREEING = HASHES // 2
+#: Agreeing minhashes from which sets belong to one cluster, where all pairs across classes are looked at.
+LEAST_RELATED = HASHES // 3
+#: Sets per block of a cluster.
+BLOCK_SETS = 512
 
 #: Bytes per block of the word pass, shingles per block of the minhash pass.
 BLOCK = 1 << 20
@@ -277,58 +281,17 @@ def _links_of(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
 
 
-def _component_keys(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Each (key, component) of a batch once."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, rows = _keyed(batch)
-        own = batch.column("component").to_numpy(zero_copy_only=False)[rows]
-        order = np.lexsort((own, keys))
-        keys, own = keys[order], own[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
-        yield _bucket_batch(_bucket_rows(keys[new], own[new], buckets))
-
-
-def _mixed_keys(table: pa.Table) -> pa.Table:
-    """Keys that hold several components, as (low 64 bits, bucket)."""
-    keys, own = _unbucket(table)
-    mixed = np.unique(keys[1:][(keys[1:] == keys[:-1]) & (own[1:] != own[:-1])])
-    bucket = np.full(len(mixed), table.column("bucket")[0].as_py(), np.int64)
-    return pa.table({"key": pa.array(mixed.view(np.int64)), "bucket": pa.array(bucket)})
-
-
-def _members(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, rows = _keyed(batch)
-        names = keys.astype(np.uint32).astype(U64)
-        names |= ((keys >> U64(32)).astype(np.uint32)).astype(U64) << U64(32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(names.view(np.int64)),
-                pa.array(((keys >> U64(48)) % U64(buckets)).astype(np.int64)),
-                batch.column("id").take(pa.array(rows)),
-                batch.column("component").take(pa.array(rows)),
-            ],
-            ["key", "bucket", "id", "component"],
-        )
-
-
-def _promising(links: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links whose sketches agree in half of their values or more, with the sets' names."""
+def _agreements(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links whose sketches agree in LEAST_RELATED values or more, with that number."""
 
     def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                left, right = (
-                    np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES)
-                    for c in ("sketch_a", "sketch_b")
-                )
-                fit = pa.array((left == right).sum(1) >= LEAST_AGREEING)
-                yield batch.filter(fit).select(["a", "b", "name_a", "name_b"])
+                left, right = (_sketch_rows(batch.column(c)) for c in ("sketch_a", "sketch_b"))
+                same = (left == right).sum(1)
+                found = batch.select(["a", "b", "name_a", "name_b"])
+                found = found.append_column("agreeing", pa.array(same.astype(np.int32)))
+                yield found.filter(pa.array(same >= LEAST_RELATED))
 
     side = lambda s: sets.select(
         F.col("id").alias(s),
@@ -339,8 +302,72 @@ def _promising(links: DataFrame, sets: DataFrame) -> DataFrame:
     return (
         links.join(side("a"), "a")
         .join(side("b"), "b")
-        .mapInArrow(agreeing, f"a long, b long, name_a {kind}, name_b {kind}")
+        .select("a", "b", "name_a", "name_b", "sketch_a", "sketch_b")
+        .mapInArrow(agreeing, f"a long, b long, name_a {kind}, name_b {kind}, agreeing int")
+    )
+
+
+def _sketch_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+
+
+def _across(own: pa.Table, minority: pa.Table) -> pa.Table:
+    """Pairs of a block and the smaller classes of its cluster, of different classes, that agree."""
+    pairs = []
+    if own.num_rows and minority.num_rows:
+        left, right = (_sketch_rows(t.column("sketch").combine_chunks()) for t in (own, minority))
+        ids, other = (t.column("id").to_numpy() for t in (own, minority))
+        classes, others = (t.column("class").to_numpy() for t in (own, minority))
+        for lo in range(0, len(other), 256):
+            part = right[lo : lo + 256]
+            same = np.zeros((len(left), len(part)), np.int16)
+            for k in range(HASHES):
+                same += left[:, k, None] == part[None, :, k]
+            fit = (same >= LEAST_AGREEING) & (classes[:, None] != others[None, lo : lo + 256])
+            i, j = np.nonzero(fit)
+            pairs.append(np.sort(np.stack([ids[i], other[lo + j]], 1), axis=1))
+    found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+    return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+
+def _rest(related: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of different classes that agree, inside clusters of classes that are related.
+
+    Each block of a cluster meets the members of all classes but the cluster's largest, so the
+    work is its size times what lies outside its largest class.
+    """
+    named = lambda s: classes.select(F.col("id").alias(s), F.col("component").alias(f"class_{s}"))
+    cross = (
+        related.select("a", "b")
+        .join(named("a"), "a", "left")
+        .join(named("b"), "b", "left")
+        .select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b"))
+        .filter("a <> b")
+    )
+    clusters = components(cross).select(F.col("id").alias("class"), F.col("component").alias("cluster"))
+    members = common.stored(
+        sets.select("id", "sketch")
+        .join(classes, "id", "left")
+        .select("id", "sketch", F.coalesce("component", "id").alias("class"))
+        .join(clusters, "class")
+        .select("id", "class", "cluster", "sketch"),
+        "members",
+    )
+    sizes = members.groupBy("cluster", "class").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("cluster").agg(
+        F.max(F.struct("n", "class"))["class"].alias("largest"),
+        F.ceil(F.sum("n") / BLOCK_SETS).cast("long").alias("blocks"),
+    )
+    placed = common.stored(members.join(sizes, "cluster"), "placed")
+    columns = ["id", "class", "cluster", "block", "sketch"]
+    own = placed.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).select(*columns)
+    minority = (
+        common.stored(placed.filter("class <> largest"), "minority")
+        .withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+        .select(*columns)
     )
+    pairs = own.groupBy("cluster", "block").cogroup(minority.groupBy("cluster", "block"))
+    return pairs.applyInArrow(_across, "a long, b long").distinct()
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,12 +390,12 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _verified(links: DataFrame, sets: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+def _verified(links: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """The links that hold on the full sets."""
     texts = docs.select("doc_id", "text")
-    links = common.stored(_promising(links, sets), f"{name}-promising")
     with_texts = (
-        links.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        links.filter(F.col("agreeing") >= LEAST_AGREEING)
+        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         .select("a", "b", "name_a", "name_b", "text_b", "text_a")
     )
@@ -408,38 +435,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .distinct(),
         "links",
     )
-    sure = _verified(links, sets, rows, "sure")
+    related = common.stored(_agreements(links, sets), "related")
+    sure = _verified(related, rows, "sure")
     classes = common.stored(components(sure), "classes")
-    # The rest: keys whose sets are still in different components.
-    touched = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
-    open_sets = common.stored(
-        sets.select("id", "sketch")
-        .join(touched, "id")
-        .join(classes, "id", "left")
-        .select("id", F.coalesce("component", "id").alias("component"), "sketch"),
-        "open",
-    )
-    mixed = common.stored(
-        open_sets.mapInArrow(lambda x: _component_keys(x, buckets), _BUCKETS)
-        .groupBy("bucket")
-        .applyInArrow(_mixed_keys, "key long, bucket long"),
-        "mixed",
-    )
-    members = open_sets.mapInArrow(
-        lambda x: _members(x, buckets), "key long, bucket long, id long, component long"
-    ).join(mixed, ["key", "bucket"], "left_semi")
-    members = common.stored(members, "members")
-    other = members.select(
-        "key", "bucket", F.col("id").alias("other"), F.col("component").alias("other_component")
-    )
-    rest = (
-        members.join(other, ["key", "bucket"])
-        .filter("component < other_component")
-        .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-        .distinct()
-        .join(links, ["a", "b"], "left_anti")
-    )
-    more = _verified(rest, sets, rows, "more")
+    rest = common.stored(_agreements(_rest(related, sets, classes), sets), "rest")
+    more = _verified(rest, rows, "more")
     stars = classes.select(F.col("component").alias("a"), F.col("id").alias("b"))
     classes = common.stored(components(stars.union(more)), "classes")
     named = sets.select("set_a", "set_b", "id").join(classes, "id", "left")

@@ -161,7 +161,9 @@ def _search(ids, vectors, query_ids, queries, k):
                 other = ids[own] != query_id
                 all_ids = np.concatenate([best_ids, ids[own][other]])
                 scores = np.concatenate([best, scores[other]])
-                first = np.lexsort((all_ids, -scores))[:k]
+                first = np.lexsort((all_ids, -scores))
+                _, once = np.unique(all_ids[first], return_index=True)
+                first = first[np.sort(once)[:k]]
                 best_ids, best = all_ids[first], scores[first]
             found += [(int(query_id), int(i), float(s)) for i, s in zip(best_ids, best, strict=True)]
     return found
@@ -195,7 +197,8 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(order))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = found.withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= k)
 
 

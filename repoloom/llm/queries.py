@@ -14,10 +14,12 @@ from repoloom.llm import (
     language,
     minhash,
     nearest,
+    pieces,
     secrets,
     sharding,
     suffix_dedup,
     token_files,
+    url_lists,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +64,32 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(manifest, folder)
 
 
+# The tables have no fetch times and no lists.  Both are derived from all pages: a page is
+# fetched on a day of two years that its id names, and 11 days later its host, its
+# domain and its section each get an entry that lists or unlists them.
+@_query
+def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.read_table(spark, sf_dir, "pages").select("page_id", "url")
+    days = F.col("page_id") * 37 % 730
+    captures = pages.withColumn(
+        "fetched", F.timestamp_seconds(F.lit(1_704_067_200) + days * 86_400)
+    )
+    host = url_lists.host(F.col("url"))
+    section = F.concat_ws("/", host, F.slice(url_lists.segments(F.col("url")), 1, 1))
+    domain = F.regexp_extract(host, r"[^.]+\.[^.]+$", 0)
+    n = F.length("url")
+    row = lambda name, pattern, active: F.struct(
+        F.lit(name).alias("list"), pattern.alias("pattern"), active.alias("active")
+    )
+    listed = F.array(
+        row("hosts", host, n % 3 == 0), row("sections", section, n % 2 == 0), row("domains", domain, n % 5 == 0)
+    )
+    entries = captures.select(
+        F.timestamp_add("DAY", F.lit(11), "fetched").alias("at"), F.explode(listed).alias("e")
+    ).select("at", "e.*")
+    return url_lists.judge(captures, entries)
+
+
 @_query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -74,6 +102,13 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
+@_query
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents")
+    model = tokenizer_path("piece_bpe_32k.model")
+    return pieces.summary(pieces.encode(docs, model), model)
+
+
 @_query
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
@@ -106,5 +141,54 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_OP4 = r"""
+with captures as (
+  select page_id, url,
+    make_timestamp((1704067200 + page_id * 37 % 730 * 86400) * 1000000) as fetched,
+    regexp_replace(lower(regexp_extract(url,
+      '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.$', '') as host,
+    list_filter(string_split(regexp_extract(url,
+      '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), x -> x <> '') as path
+  from pages
+),
+entries as (
+  select 'hosts' as list, host as pattern, fetched + interval 11 day as at,
+    length(url) % 3 = 0 as active from captures
+  union all
+  select 'sections', lower(case when len(path) > 0 then host || '/' || path[1] else host end),
+    fetched + interval 11 day, length(url) % 2 = 0 from captures
+  union all
+  select 'domains', regexp_extract(host, '[^.]+\.[^.]+$', 0), fetched + interval 11 day,
+    length(url) % 5 = 0 from captures
+),
+states as (
+  select list, pattern, at, max(active) as active from entries
+  where pattern is not null and at is not null and active is not null group by all
+),
+valid as (
+  select *, lead(at) over (partition by list, pattern order by at) as until from states
+),
+keys as (
+  select distinct page_id, url, fetched, unnest(list_concat(
+    [array_to_string(string_split(host, '.')[i:], '.')
+      for i in range(1, len(string_split(host, '.')) + 1)],
+    [lower(host || '/' || array_to_string(path[:i], '/')) for i in range(1, len(path) + 1)]
+  )) as key
+  from captures where host <> ''
+),
+found as (
+  select page_id, url, fetched, count(*) as n_matches,
+    string_agg(distinct list, ',' order by list) as lists,
+    arg_min(pattern, (-length(pattern), pattern)) as pattern
+  from keys join valid on key = pattern and active and fetched >= at
+    and (until is null or fetched < until)
+  group by all
+)
+select c.page_id, c.url, c.fetched, coalesce(n_matches, 0) as n_matches,
+  coalesce(lists, '') as lists, pattern, coalesce(n_matches, 0) > 0 as blocked
+from captures c left join found f
+  on c.page_id = f.page_id and c.url = f.url and c.fetched = f.fetched
+"""
+
 #: By query; the others can't be said in SQL and are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_url_lists": _OP4}

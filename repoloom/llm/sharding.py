@@ -34,13 +34,13 @@ def interleaved_shards(docs: DataFrame, shards: int, seed: int = 0) -> DataFrame
     )
     ties = [F.col(c) for c in ("_random", "doc_id", "text_crc32", "size")]
     totals = rows.groupBy("source").agg(F.count("*").alias("_of"))
-    ranked = ranking.positions(rows, ["source"], ties, "_rank")
+    ranked = ranking.ranked(rows, ["source"], ties, "_rank")
     ranked = ranked.join(totals, ranked["source"].eqNullSafe(totals["source"])).select(
         *[ranked[c] for c in ranked.columns],
         ((ranked["_rank"] - 0.5) / totals["_of"]).alias("_fraction"),
     )
     order = [F.col("_fraction"), F.col("source"), *ties, F.col("_rank")]
-    placed = ranking.positions(ranked, [], order, "_at")
+    placed = ranking.ranked(ranked, [], order, "_at")
     n = placed.count()
     # Whole numbers: position p of n goes to shard floor(p * shards / n).
     shard = f"((_at - 1) * {shards}) div {max(n, 1)}"
