@@ -1,15 +1,80 @@
-"""A training corpus from raw documents: stages that keep, drop and rewrite rows."""
+"""A training corpus from raw documents: stages that keep, drop and rewrite rows.
+
+Each stage takes (spark, docs, sf_dir), works on all rows it gets and returns a DataFrame.
+All but the last return the columns doc_id, text, lang, source and n_chars.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from repoloom.llm import common
+from repoloom.llm import common, decontaminate, language, minhash, pieces, secrets
+from repoloom.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is accepted, and sets lang to it.
+
+    The dictionaries are learned from the rows that the classifier's test split leaves.
+    Rejected documents (no letters, or no language ahead of the others) go.
+    """
+    common.ship(spark)
+    rows = docs.select(*COLUMNS)
+    model = language.fit(rows, ~language.held_out(F.col("doc_id")))
+    found = language.identify(rows, model).filter("accepted")
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each near-duplicate class.
+
+    Of rows that repeat that id, those with other texts stay, too.  Rows without doc_id, and
+    documents without words, are kept.
+    """
+    common.ship(spark)
+    rows = docs.select(*COLUMNS)
+    found = minhash.near_duplicates(rows).filter("not kept").select("doc_id").distinct()
+    return rows.join(found, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark window."""
+    common.ship(spark)
+    rows = docs.select(*COLUMNS)
+    items = common.read_table(spark, sf_dir, "benchmark")
+    found = decontaminate.contamination(rows, items).filter("contaminated").select("doc_id").distinct()
+    return rows.join(found, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret in a text by its kind in brackets; no document goes."""
+    common.ship(spark)
+    found = secrets.scan(docs.select(*COLUMNS))
+    text = F.col("redacted")
+    return found.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(*COLUMNS)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document: doc_id, n_tokens and ids (packed 32-bit integers)."""
+    common.ship(spark)
+    encoded = pieces.encode(docs.select(*COLUMNS), tokenizer_path("piece_bpe_32k.model"))
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return encoded.select("doc_id", n_tokens, "ids")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("pieces", encode_pieces),
+]
 
 #: SQL can't state the stages; tests compare them with brute force.
 ORACLE_SQL: str | None = None
