@@ -1,13 +1,5 @@
-"""Row numbers inside groups of any size.
+"""Row numbers inside groups of any size, and the folder that intermediate tables go to."""
 
-A window sorts each group in one task.  That is right for ordinary groups and
-wrong for one that holds a large part of the table, so groups are counted first:
-ordinary ones take the window; the rows of the few large ones are spread by range
-over many tasks, numbered there, and shifted by the row counts of the ranges
-before theirs.  Both give the same numbers.
-"""
-
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -17,14 +9,23 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Rows of one group that one task may sort.
-HOT_GROUP_ROWS = 2_000_000
+# Up to here Spark limits a rank before the shuffle as well.
+LIMITED_RANK = 1000
 
 
 def shared_directory(spark: SparkSession) -> str:
-    """Folder all executors see; a local one only when the session names none."""
+    """The folder all executors see, as the session or its context names it.
+
+    Where neither does, a local one takes its place only if everything runs in one process.
+    """
     directory = spark.conf.get("spark.checkpoint.dir", None)
-    return directory or tempfile.mkdtemp(prefix="repoloom-")
+    context = spark.sparkContext
+    directory = directory or context.getCheckpointDir()
+    if directory:
+        return directory.rstrip("/")
+    if not context.master.startswith("local") or "cluster" in context.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -33,77 +34,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(shared_directory(spark))
 
 
-def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
-def _ranked_by_range(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str
-) -> DataFrame:
-    spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Stored twice on purpose.  First so that finding the borders and sorting into
-    # ranges do not compute the rows again; then so that both uses below see the
-    # same ranges and a lost executor cannot move the borders.
-    ranged = (
-        rows.checkpoint()
-        .repartitionByRange(tasks, *[F.col(k) for k in keys], *order)
-        .withColumn("_range", F.spark_partition_id())
-        .checkpoint()
-    )
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy(*keys, "_range")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .select(*keys, "_range", "_offset")
-    )
-    local = Window.partitionBy("_range", *keys).orderBy(*order)
-    numbered = ranged.withColumn("_local", F.row_number().over(local))
-    condition = _same_keys(numbered, offsets, [*keys, "_range"])
-    return numbered.join(offsets, condition).select(
-        *[numbered[c] for c in rows.columns],
-        (F.col("_local") + F.col("_offset")).cast("bigint").alias(out),
-    )
-
-
-def ranked(
-    rows: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    out: str,
-    hot_rows: int | None = None,
-) -> DataFrame:
-    """Adds the 1-based position of each row in its group as a bigint.
-
-    `order` must be total inside a group.  Counting the groups is one cheap job
-    over the key columns.
-    """
-    limit = HOT_GROUP_ROWS if hot_rows is None else hot_rows
-    window = Window.partitionBy(*keys).orderBy(*order)
-    plain = F.row_number().over(window).cast("bigint")
-    # At most (rows / limit) keys can come back.
-    hot = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > limit)
-        .select(*keys)
-    )
-    hot_keys = hot.collect()
-    if not hot_keys:
-        return rows.withColumn(out, plain)
-    hot = F.broadcast(rows.sparkSession.createDataFrame(hot_keys, hot.schema))
-    condition = _same_keys(rows, hot, keys)
-    cold = rows.join(hot, condition, "left_anti").withColumn(out, plain)
-    large = _ranked_by_range(rows.join(hot, condition, "left_semi"), keys, order, out)
-    return cold.unionByName(large)
-
-
-def positions(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
     """Adds the 1-based position of each row among those with equal keys, as a bigint.
 
     One way for groups of any size, and each row moves once: the rows are sorted into
@@ -153,3 +84,17 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("_range", pa.array(np.full(len(group), at, np.int32))).append_column(
             "_place", pa.array(place)
         )
+
+
+def first_ranks(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, out: str
+) -> DataFrame:
+    """The first n rows of each group with their position.
+
+    A small n is limited inside every task, so that at most n rows per group and task
+    travel; beyond what Spark limits that way, whole groups are ranked by ranges.
+    """
+    if n > LIMITED_RANK:
+        return ranked(rows, keys, order, out).filter(F.col(out) <= n)
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn(out, F.row_number().over(window).cast("bigint")).filter(F.col(out) <= n)

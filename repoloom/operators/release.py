@@ -8,7 +8,7 @@ from ..functions import rules
 from ..functions.sqltext import text_array, text_list
 from ..functions.text import BLANKS, char_class, strip
 from .joins import join_small
-from .ranking import ranked
+from .ranking import first_ranks, ranked
 
 _BLANK = char_class(BLANKS)
 _SUBJECT = f"^(\\w+)(?:\\(([^)]*)\\))?(!)?{_BLANK}*:{_BLANK}*([^\\n\\r\\x{{2028}}\\x{{2029}}]+)$"
@@ -63,12 +63,7 @@ def commits_since_release(commits: DataFrame, tags: DataFrame) -> DataFrame:
 
 def last_commits(commits: DataFrame, n: int = 1) -> DataFrame:
     """The n newest commits of each repo; only n per repo and task are exchanged."""
-    newest = Window.partitionBy("repo").orderBy(F.desc("ts"), F.desc("hash"))
-    return (
-        commits.withColumn("_rank", F.row_number().over(newest))
-        .filter(F.col("_rank") <= n)
-        .drop("_rank")
-    )
+    return first_ranks(commits, ["repo"], [F.desc("ts"), F.desc("hash")], n, "_rank").drop("_rank")
 
 
 def _with_checks(commits: DataFrame) -> DataFrame:
@@ -183,14 +178,14 @@ def _entries(commits: DataFrame) -> DataFrame:
     )
 
 
-def changelog_entries(commits: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def changelog_entries(commits: DataFrame) -> DataFrame:
     """Changelog lines by section, newest first.
 
     A repo's changelog stays rows in order and is never gathered into one value.
     """
     entries = _entries(commits).select("repo", "section", "section_rank", "ts", "hash", "line")
     order = [F.desc("ts"), F.desc("hash")]
-    numbered = ranked(entries, ["repo", "section"], order, "entry_rank", hot_rows)
+    numbered = ranked(entries, ["repo", "section"], order, "entry_rank")
     return numbered.select("repo", "section", "section_rank", "entry_rank", "line")
 
 
@@ -222,7 +217,7 @@ def whats_new(commits: DataFrame) -> DataFrame:
 
 
 def changelog_text(
-    commits: DataFrame, versions: DataFrame, date: str, hot_rows: int | None = None
+    commits: DataFrame, versions: DataFrame, date: str
 ) -> DataFrame:
     """Rows (repo, part, section_rank, line_no, line) that, sorted, are the changelog.
 
@@ -241,9 +236,9 @@ def changelog_text(
             number.alias("line_no"), line.alias("line"),
         )
 
-    entries = changelog_entries(commits, hot_rows)
+    entries = changelog_entries(commits)
     notes = ranked(
-        breaking_notes(commits), ["repo"], [F.desc("ts"), F.desc("hash")], "line_no", hot_rows
+        breaking_notes(commits), ["repo"], [F.desc("ts"), F.desc("hash")], "line_no"
     )
     zero = F.lit(0)
     return (

@@ -64,7 +64,7 @@ def batch_size_for(has_snippets: bool, size: int = fv.BATCH_SIZE) -> int:
     return min(size, fv.BATCH_SIZE_WITH_SNIPPETS) if has_snippets else size
 
 
-def batch_paths(nodes: DataFrame, size: int = fv.BATCH_SIZE, hot_rows: int | None = None) -> DataFrame:
+def batch_paths(nodes: DataFrame, size: int = fv.BATCH_SIZE) -> DataFrame:
     """Consecutive batches per repo in path order, at most `size` paths each.
 
     A repo with any snippet gets smaller batches.
@@ -72,7 +72,7 @@ def batch_paths(nodes: DataFrame, size: int = fv.BATCH_SIZE, hot_rows: int | Non
     repos = nodes.groupBy("repo").agg(F.max(F.col("snippet").isNotNull()).alias("has_snippets"))
     wanted = ["repo", "path", "snippet"] + (["doc_id"] if "doc_id" in nodes.columns else [])
     order = [F.col(c) for c in ("path", "doc_id") if c in wanted]
-    numbered = ranked(nodes.select(*wanted), ["repo"], order, "position", hot_rows)
+    numbered = ranked(nodes.select(*wanted), ["repo"], order, "position")
     per_batch = F.when(
         F.col("has_snippets"), F.lit(batch_size_for(True, size))
     ).otherwise(F.lit(size))
@@ -119,18 +119,30 @@ def build_requests(batches: DataFrame, readmes: DataFrame, style: str = "plain")
 
 
 def _with_parsed(responses: DataFrame) -> DataFrame:
-    """`body` replaced by `_parsed`: the response as an array of JSON objects.
+    """`body` replaced by `_entries`: key and value of each description, or null.
 
-    Only a single object is a valid response.  Parsing inside brackets makes text
-    after the object invalid instead of ignored.
+    Only a single object of strict JSON is a valid response.  Parsing inside brackets
+    makes text after the object invalid instead of ignored.  Of a repeated key the last
+    value counts, at the place of the first.
     """
     others = [c for c in responses.columns if c != "body"]
     clean = text.strip(F.regexp_replace("body", "```json|```", ""))
-    wrapped = F.from_json(F.concat(F.lit("["), clean, F.lit("]")), "array<map<string,string>>")
-    return responses.select(*others, wrapped.alias("_parsed"))
-
-
-_OBJECT = "IF(size(_parsed) = 1, get(_parsed, 0), NULL)"
+    wrapped = F.from_json(
+        F.concat(F.lit("["), clean, F.lit("]")),
+        "array<map<string,string>>",
+        {"allowSingleQuotes": "false"},
+    )
+    parsed = responses.select(*others, wrapped.alias("_parsed"))
+    single = F.expr("IF(size(_parsed) = 1, map_entries(get(_parsed, 0)), NULL)")
+    keys = F.array_distinct(F.transform("_all", lambda e: e["key"]))
+    last = lambda k: F.element_at(F.filter("_all", lambda e: e["key"] == k), -1)
+    entries = F.transform(keys, last)
+    repeated = F.size(keys) < F.size("_all")
+    return (
+        parsed.select(*others, single.alias("_all"))
+        .withColumn("_entries", F.when(repeated, entries).otherwise(F.col("_all")))
+        .select(*others, "_entries")
+    )
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
@@ -138,7 +150,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     others = [c for c in responses.columns if c != "body"]
     return (
         _with_parsed(responses)
-        .select(*others, F.expr(f"posexplode(map_entries({_OBJECT})) AS (entry_no, entry)"))
+        .select(*others, F.posexplode("_entries").alias("entry_no", "entry"))
         .select(
             *others,
             "entry_no",
@@ -185,8 +197,8 @@ def batch_outcomes(responses: DataFrame) -> DataFrame:
     others = [c for c in responses.columns if c != "body"]
     return _with_parsed(responses).select(
         *others,
-        F.expr(f"IF({_OBJECT} IS NULL, 'failed', 'parsed')").alias("status"),
-        F.expr(f"CAST(coalesce(size({_OBJECT}), 0) AS BIGINT)").alias("descriptions"),
+        F.expr("IF(_entries IS NULL, 'failed', 'parsed')").alias("status"),
+        F.expr("CAST(IF(_entries IS NULL, 0, size(_entries)) AS BIGINT)").alias("descriptions"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import paths
-from .ranking import ranked
+from .ranking import first_ranks, ranked
 
 
 def distinct_directories(files: DataFrame) -> DataFrame:
@@ -133,13 +133,13 @@ def directory_listing(nodes: DataFrame, parent: str, repo: str | None = None) ->
     return children.orderBy(_listing_kind(), F.lower("name"), "name")
 
 
-def listing_ranks(nodes: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def listing_ranks(nodes: DataFrame) -> DataFrame:
     """`directory_listing` of every directory at once, with the position."""
     children = nodes.filter(F.col("parent_path").isNotNull()).select(
         "repo", "parent_path", "name", "kind", "path"
     )
     order = [_listing_kind(), F.lower("name"), F.col("name")]
-    return ranked(children, ["repo", "parent_path"], order, "listing_rank", hot_rows)
+    return ranked(children, ["repo", "parent_path"], order, "listing_rank")
 
 
 def child_preview(
@@ -150,15 +150,13 @@ def child_preview(
     The rank limit is applied before the shuffle as well, so at most that many
     rows per directory and task travel.
     """
-    window = Window.partitionBy("repo", "parent_path", "kind").orderBy(F.lower("name"), "name")
-    most = max(dirs, files)
-    first = (
-        nodes.filter(F.col("parent_path").isNotNull())
-        .select("repo", "parent_path", "kind", "name")
-        .withColumn("rank", F.row_number().over(window))
-        .filter(F.col("rank") <= most)
-        .filter(F.col("rank") <= F.when(F.col("kind") == "dir", dirs).otherwise(files))
+    children = nodes.filter(F.col("parent_path").isNotNull()).select(
+        "repo", "parent_path", "kind", "name"
     )
+    order = [F.lower("name"), F.col("name")]
+    first = first_ranks(
+        children, ["repo", "parent_path", "kind"], order, max(dirs, files), "rank"
+    ).filter(F.col("rank") <= F.when(F.col("kind") == "dir", dirs).otherwise(files))
 
     def names(kind: str) -> Column:
         entry = F.when(F.col("kind") == kind, F.struct("rank", "name"))

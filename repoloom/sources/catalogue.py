@@ -1,6 +1,6 @@
 """Catalogue documents (JSON with a nested tree) from and to node tables."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -8,8 +8,6 @@ from ..functions.evaluation import evaluated_once
 from ..operators.readme import readme_context
 from .corpus import by_repo
 
-LEVELS = 16
-
 _FRAME = (
     "struct<done:boolean,path:string,parent_path:string,name:string,kind:string,"
     "description:string,tags:array<string>,subtree:variant>"
@@ -47,54 +45,68 @@ def import_manifest(df: DataFrame, repo: str = "repo_id", body: str = "body") ->
     )
 
 
-def import_catalogue(
-    df: DataFrame, repo: str = "repo_id", body: str = "body", levels: int = LEVELS
-) -> DataFrame:
-    """df(repo_id, body) -> nodes.  The tree may be wrapped in `tree` or bare.
-
-    One scan without shuffles: every step turns an open directory into itself,
-    its files and its child directories, and passes finished rows on.  A
-    document nested deeper than `levels` fails loudly instead of losing rows.
+def _nesting(body: Column) -> Column:
+    """How deep the objects of a JSON text are nested at most."""
+    # Escapes and strings first, so that only braces of the structure are left.
+    plain = F.regexp_replace(body, r"(?s)\\.", "")
+    braces = F.regexp_replace(F.regexp_replace(plain, '"[^"]*"', ""), "[^{}]", "")
+    return F.aggregate(
+        F.split(braces, ""),
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda acc, c: F.struct(
+            (acc["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("now"),
+            F.greatest(acc["most"], acc["now"] + F.when(c == "{", 1).otherwise(0)).alias("most"),
+        ),
+    )["most"]
+
+
+def import_catalogue(df: DataFrame, repo: str = "repo_id", body: str = "body") -> DataFrame:
+    """df(repo_id, body) -> nodes.  The tree may be wrapped in `tree` or bare, and of any depth.
+
+    Every document is unfolded in its own row, without shuffles: each round turns the open
+    directories into themselves, their files and their child directories, and there
+    are as many rounds as the document has levels.  Entries without a name are left
+    out, with all below them.
     """
-    frames = parsed_catalogues(df, repo, body).select(
-        "repo",
-        F.expr(
-            f"named_struct('done', false, 'path', try_variant_get({_ROOT}, '$.name', 'string'),"
-            "'parent_path', cast(null as string),"
-            f"'name', try_variant_get({_ROOT}, '$.name', 'string'), 'kind', 'dir',"
-            f"'description', try_variant_get({_ROOT}, '$.description', 'string'),"
-            f"'tags', cast(array() as array<string>), 'subtree', {_ROOT})"
-        ).alias("node"),
+    parsed = df.select(
+        F.col(repo).cast("string").alias("repo"),
+        F.try_parse_json(F.col(body)).alias("document"),
+        _nesting(F.col(body)).alias("levels"),
     )
-    step = f"""
-      CASE WHEN node.done THEN array(node)
-      ELSE concat(
-        array(cast(named_struct('done', true, 'path', node.path, 'parent_path', node.parent_path,
-          'name', node.name, 'kind', node.kind, 'description', node.description,
-          'tags', node.tags, 'subtree', cast(null as variant)) as {_FRAME})),
-        transform(coalesce(try_variant_get(node.subtree, '$.files', 'array<variant>'), array()),
-          f -> cast(named_struct('done', true,
-            'path', concat(node.path, '/', try_variant_get(f, '$.name', 'string')),
-            'parent_path', node.path, 'name', try_variant_get(f, '$.name', 'string'),
-            'kind', 'file', 'description', try_variant_get(f, '$.purpose', 'string'),
-            'tags', coalesce(try_variant_get(f, '$.tags', 'array<string>'), array()),
-            'subtree', cast(null as variant)) as {_FRAME})),
-        transform(coalesce(try_variant_get(node.subtree, '$.children', 'array<variant>'), array()),
-          c -> cast(named_struct('done', false,
-            'path', concat(node.path, '/', try_variant_get(c, '$.name', 'string')),
-            'parent_path', node.path, 'name', try_variant_get(c, '$.name', 'string'),
-            'kind', 'dir', 'description', try_variant_get(c, '$.description', 'string'),
-            'tags', cast(array() as array<string>), 'subtree', c) as {_FRAME})))
-      END"""
-    for _ in range(levels):
-        frames = frames.select("repo", F.explode(F.expr(step)).alias("node"))
-    finished = F.when(F.col("node.done"), F.col("node.path")).otherwise(
-        F.raise_error(F.lit(f"catalogue is nested deeper than {levels} levels"))
+    parsed = evaluated_once(parsed, "document").filter(
+        f"try_variant_get({_ROOT}, '$.name', 'string') IS NOT NULL"
     )
+
+    def child(of: str, kind: str, description: str, tags: str, done: str, subtree: str) -> str:
+        name = "try_variant_get(e, '$.name', 'string')"
+        entries = f"coalesce(try_variant_get(node.subtree, '$.{of}', 'array<variant>'), array())"
+        return f"""
+        transform(filter({entries}, e -> {name} IS NOT NULL),
+          e -> cast(named_struct('done', {done}, 'path', concat(node.path, '/', {name}),
+            'parent_path', node.path, 'name', {name}, 'kind', '{kind}',
+            'description', try_variant_get(e, '$.{description}', 'string'),
+            'tags', {tags}, 'subtree', {subtree}) as {_FRAME}))"""
+
+    no_tags = "cast(array() as array<string>)"
+    file_tags = f"coalesce(try_variant_get(e, '$.tags', 'array<string>'), {no_tags})"
+    nothing = "cast(null as variant)"
+    root = f"""cast(named_struct('done', false, 'path', try_variant_get({_ROOT}, '$.name', 'string'),
+      'parent_path', cast(null as string), 'name', try_variant_get({_ROOT}, '$.name', 'string'),
+      'kind', 'dir', 'description', try_variant_get({_ROOT}, '$.description', 'string'),
+      'tags', {no_tags}, 'subtree', {_ROOT}) as {_FRAME})"""
+    unfolded = f"""
+      aggregate(sequence(1, greatest(levels, 1)), array({root}), (nodes, level) -> flatten(
+        transform(nodes, node -> CASE WHEN node.done THEN array(node) ELSE concat(
+          array(cast(named_struct('done', true, 'path', node.path, 'parent_path', node.parent_path,
+            'name', node.name, 'kind', node.kind, 'description', node.description,
+            'tags', node.tags, 'subtree', {nothing}) as {_FRAME})),
+          {child('files', 'file', 'purpose', file_tags, 'true', nothing)},
+          {child('children', 'dir', 'description', no_tags, 'false', 'e')}) END)))"""
+    frames = parsed.select("repo", F.explode(F.expr(unfolded)).alias("node"))
     description = F.nullif(F.col("node.description"), F.lit(fv.UNKNOWN_PURPOSE))
     return frames.select(
         "repo",
-        finished.alias("path"),
+        F.col("node.path").alias("path"),
         F.col("node.parent_path").alias("parent_path"),
         F.col("node.name").alias("name"),
         F.col("node.kind").alias("kind"),
@@ -139,19 +151,20 @@ def manifest(
     readmes = readme_context(files)
     return facts.join(readmes, "repo", "left").select(
         "repo",
-        F.concat(F.lit(base_path.removesuffix("/") + "/"), F.col("repo")).alias("base_path"),
+        F.concat(F.lit(base_path.removesuffix("/") + "/"), F.col("repo")).alias("basePath"),
         F.substring(F.coalesce("readme", F.lit("")), 1, fv.README_STORED_CHARS).alias("readme"),
-        F.lit(generated_at).alias("generated_at"),
+        F.lit(generated_at).alias("generatedAt"),
         F.when(F.col("_model"), F.lit(model)).otherwise(F.lit("heuristics-only")).alias("model"),
-        "has_snippets",
+        F.col("has_snippets").alias("hasSnippets"),
     )
 
 
 def export_catalogue(nodes: DataFrame, manifest_rows: DataFrame, target: str) -> None:
     """Writes manifest, tree without snippets, and the snippets on their own.
 
-    Unknown purposes leave as the dash; the snippets part exists only when
-    there are any.
+    Unknown purposes leave as the dash.  All three parts are replaced, so a snippets part
+    without rows takes the place of an older one.  The manifest has the keys that
+    `import_manifest` reads.
     """
     purpose = F.when(
         F.col("kind") == "file", F.coalesce("description", F.lit(fv.UNKNOWN_PURPOSE))
@@ -160,5 +173,4 @@ def export_catalogue(nodes: DataFrame, manifest_rows: DataFrame, target: str) ->
     tree = nodes.drop("snippet").withColumn("description", purpose)
     by_repo(tree).write.mode("overwrite").partitionBy("repo").json(f"{target}/tree")
     snippets = nodes.filter(F.col("snippet").isNotNull()).select("repo", "path", "snippet")
-    if not snippets.isEmpty():
-        by_repo(snippets).write.mode("overwrite").partitionBy("repo").json(f"{target}/snippets")
+    by_repo(snippets).write.mode("overwrite").partitionBy("repo").json(f"{target}/snippets")

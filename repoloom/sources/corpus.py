@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import rules
-from ..operators.filters import exclude_paths, scannable_expr
+from ..operators.filters import scannable_expr
 from ..operators.ranking import ensure_checkpoint_dir
 
-_ENTRY = "repo string, path string, location string, is_dir boolean, size bigint"
+_ENTRY = "repo string, path string, root string, location string, is_dir boolean, size bigint"
 _FILE = "repo string, path string, size bigint, content string"
 
 
@@ -20,52 +20,70 @@ def read_files(spark: SparkSession, location: str) -> DataFrame:
     return spark.read.parquet(location)
 
 
-# Text gathered before a task hands it on.
+# Text gathered, and entries listed, before a task hands them on.
 _READ_BATCH_CHARS = 16 << 20
+_LIST_BATCH = 10_000
+
+
+class _Systems:
+    """The file system of each root, made once per task."""
+
+    def __init__(self) -> None:
+        self.known: dict = {}
+
+    def of(self, root: str):
+        from pyarrow import fs
+
+        if root not in self.known:
+            plain = "://" not in root and not root.startswith("file:")
+            self.known[root] = (fs.LocalFileSystem(), root) if plain else fs.FileSystem.from_uri(root)
+        return self.known[root]
 
 
 def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Direct entries of each given directory; unreadable ones have none.
+    """Direct entries of each given directory; those that may not be read have none.
 
-    Symbolic links are not followed.
+    Symbolic links are not followed.  Only roots are URIs; below them bare paths are passed on,
+    so any name a file system allows is taken as it is.
     """
     import os
 
     from pyarrow import fs
 
+    systems = _Systems()
+    columns = [x.split()[0] for x in _ENTRY.split(", ")]
     for batch in batches:
         for row in batch.itertuples():
-            system, inner = fs.FileSystem.from_uri(row.location)
+            system, inner = systems.of(row.root)
             try:
-                entries = system.get_file_info(fs.FileSelector(inner))
-            except OSError:
+                entries = system.get_file_info(fs.FileSelector(row.location or inner))
+            except PermissionError:
                 continue
             if isinstance(system, fs.LocalFileSystem):
                 entries = [e for e in entries if not os.path.islink(e.path)]
-            scheme = row.location[: len(row.location) - len(inner)]
-            yield pd.DataFrame(
-                [
-                    (row.repo, f"{row.path}/{e.base_name}", scheme + e.path,
-                     e.type == fs.FileType.Directory, e.size or 0)
-                    for e in entries
-                ],
-                columns=["repo", "path", "location", "is_dir", "size"],
-            )
+            for at in range(0, len(entries), _LIST_BATCH):
+                yield pd.DataFrame(
+                    [
+                        (row.repo, f"{row.path}/{e.base_name}", row.root, e.path,
+                         e.type == fs.FileType.Directory, e.size or 0)
+                        for e in entries[at : at + _LIST_BATCH]
+                    ],
+                    columns=columns,
+                )
 
 
 def _read_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole texts of the given files, invalid UTF-8 replaced; NULL when unreadable."""
-    from pyarrow import fs
-
+    """Whole texts of the given files, invalid UTF-8 replaced; NULL where reading isn't permitted."""
+    systems = _Systems()
     columns = ["repo", "path", "size", "content"]
     rows, held = [], 0
     for batch in batches:
         for row in batch.itertuples():
-            system, inner = fs.FileSystem.from_uri(row.location)
+            system, _ = systems.of(row.root)
             try:
-                with system.open_input_stream(inner) as stream:
+                with system.open_input_stream(row.location, compression=None) as stream:
                     content = stream.read().decode("utf-8", errors="replace")
-            except OSError:
+            except PermissionError:
                 content = None
             rows.append((row.repo, row.path, row.size, content))
             held += len(content or "")
@@ -76,31 +94,48 @@ def _read_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=columns)
 
 
+def _named_roots(roots: Iterable[str]) -> list[tuple[str, str]]:
+    """(repo, root): the last segment, and for later roots of the same one a number behind it."""
+    named: dict[str, str] = {}
+    for root in (r.rstrip("/") for r in roots):
+        name = wanted = root.rsplit("/", 1)[-1]
+        number = 1
+        while name in named:
+            number += 1
+            name = f"{wanted}-{number}"
+        named[name] = root
+    return list(named.items())
+
+
 def scan_corpus(
     spark: SparkSession,
     roots: Iterable[str],
     extra_excludes: Iterable[str] = (),
     scan_headers: bool = True,
     tasks: int | None = None,
+    excludes: Iterable[str] = fv.EXCLUDED_NAMES,
+    kept_dot_names: Iterable[str] = fv.KEPT_DOT_NAMES,
 ) -> DataFrame:
-    """Directories given as URIs -> files(repo, path, size, content).
+    """Directories given as URIs or local paths -> files(repo, path, size, content).
 
     Spark's own file listing hides names that start with '_' or '.', which are
     ordinary source files here, so directories are listed by tasks, one level of
-    all trees at a time.  Excluded directories are never entered, and contents
-    are read only where a header scan can use them.
+    all trees at a time.  Excluded directories are never entered; annotation, which leaves
+    out others than description does, gives its own lists.  Contents are read where
+    a header scan or annotation can use them.  What may not be read is passed over; any other
+    failure of the file system fails the scan.
     """
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ensure_checkpoint_dir(spark)
-    rows = [(r.rstrip("/").rsplit("/", 1)[-1], r.rstrip("/")) for r in roots]
-    frontier = spark.createDataFrame(
-        [(name, name, location, True, 0) for name, location in rows], _ENTRY
-    )
+    names = [*excludes, *extra_excludes]
+    kept = ~rules.excluded("path", names, list(kept_dot_names))
+    rows = [(name, name, root, None, True, 0) for name, root in _named_roots(roots)]
+    frontier = spark.createDataFrame(rows, _ENTRY)
     files = None
     while True:
-        entries = exclude_paths(
-            frontier.repartition(tasks).mapInPandas(_list_directories, _ENTRY), extra_excludes
-        ).checkpoint()
+        entries = (
+            frontier.repartition(tasks).mapInPandas(_list_directories, _ENTRY).filter(kept).checkpoint()
+        )
         found = entries.filter(~F.col("is_dir"))
         files = found if files is None else files.unionByName(found)
         frontier = entries.filter("is_dir")
@@ -109,8 +144,10 @@ def scan_corpus(
     unread = files.select("repo", "path", "size", F.lit(None).cast("string").alias("content"))
     if not scan_headers:
         return unread
-    wanted = scannable_expr() | rules.is_one_of(
-        "substring_index(path, '/', -1)", fv.README_NAMES
+    wanted = (
+        scannable_expr()
+        | rules.is_one_of("substring_index(path, '/', -1)", fv.README_NAMES)
+        | rules.is_one_of(rules.PATH_EXTENSION, fv.ANNOTATABLE_EXTENSIONS)
     )
     read = files.filter(wanted).repartition(tasks).mapInPandas(_read_contents, _FILE)
     return unread.filter(~wanted).unionByName(read)

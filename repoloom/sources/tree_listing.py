@@ -1,8 +1,9 @@
 """Text of a directory tree drawn with box characters, as node tables."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.evaluation import evaluated_once
 from ..functions.text import BLANKS, char_class, strip
 from .path_list import listed_nodes
 
@@ -16,66 +17,78 @@ def is_tree_listing(text):
     return F.rlike(text, F.lit(f"[{_BOX}]"))
 
 
-def listing_items(df: DataFrame, listing_id: str, text: str = "text") -> DataFrame:
-    """One row per line: root name on the first, name and indentation depth on items."""
+def _items(text: Column) -> Column:
+    """Items of a listing in order: name, indentation depth (-1 for the root), drawn_dir."""
     lines = F.filter(
-        F.split(F.regexp_replace(F.col(text), "\r\n?", "\n"), "\n"),
+        F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"),
         lambda l: (strip(l) != "") & ~F.rlike(strip(l), F.lit("^\\d+ director")),
     )
-    rows = df.select(F.col(listing_id).alias("listing_id"), F.posexplode(lines).alias("line_no", "line"))
-    is_item = F.rlike("line", F.lit(_ITEM))
-    prefix = F.regexp_extract("line", _ITEM, 1)
-    label = strip(F.regexp_extract("line", _ITEM, 2))
-    marks = F.length(F.regexp_replace(prefix, f"(?:(?!{_BLANK}|│).)", ""))
-    by_marks = F.floor(marks / 3 + F.lit(0.5))
-    indent = F.when(by_marks > 0, by_marks).otherwise(F.floor(F.length(prefix) / 4 + F.lit(0.5)))
-    root = F.regexp_replace(F.regexp_replace("line", f"{_BLANK}|[{_BOX}]", ""), "/$", "")
-    return rows.filter((F.col("line_no") == 0) | is_item).select(
-        "listing_id",
-        "line_no",
-        F.when(F.col("line_no") == 0, F.coalesce(F.nullif(root, F.lit("")), F.lit("project")))
-        .otherwise(F.regexp_replace(label, "/$", ""))
-        .alias("name"),
-        F.when(F.col("line_no") == 0, F.lit(-1)).otherwise(indent).cast("int").alias("indent"),
-        ((F.col("line_no") == 0) | F.endswith(label, F.lit("/"))).alias("drawn_dir"),
+
+    def item(line: Column, at: Column) -> Column:
+        first = at == 0
+        prefix = F.regexp_extract(line, _ITEM, 1)
+        label = strip(F.regexp_extract(line, _ITEM, 2))
+        marks = F.length(F.regexp_replace(prefix, f"(?:(?!{_BLANK}|│).)", ""))
+        by_marks = F.floor(marks / 3 + F.lit(0.5))
+        indent = F.when(by_marks > 0, by_marks).otherwise(
+            F.floor(F.length(prefix) / 4 + F.lit(0.5))
+        )
+        root = F.regexp_replace(F.regexp_replace(line, f"{_BLANK}|[{_BOX}]", ""), "/$", "")
+        return F.struct(
+            F.when(first, F.coalesce(F.nullif(root, F.lit("")), F.lit("project")))
+            .otherwise(F.regexp_replace(label, "/$", ""))
+            .alias("name"),
+            F.when(first, F.lit(-1)).otherwise(indent).cast("int").alias("indent"),
+            (first | F.endswith(label, F.lit("/"))).alias("drawn_dir"),
+            (first | F.rlike(line, F.lit(_ITEM))).alias("is_item"),
+        )
+
+    return F.filter(F.transform(lines, item), lambda x: x["is_item"])
+
+
+def _paths(items: Column) -> Column:
+    """Path of each item: the items still open above it, and its own name.
+
+    One fold over the items with a stack; an item closes all that stand as deep or deeper.
+    """
+
+    def step(state: Column, item: Column) -> Column:
+        above = F.filter(state["open"], lambda s: s["indent"] < item["indent"])
+        own = F.struct(item["indent"].alias("indent"), item["name"].alias("name"))
+        names = F.concat(F.transform(above, lambda s: s["name"]), F.array(item["name"]))
+        return F.struct(
+            F.concat(above, F.array(own)).alias("open"),
+            F.concat(state["paths"], F.array(F.array_join(names, "/"))).alias("paths"),
+        )
+
+    start = F.struct(
+        F.array().cast("array<struct<indent:int,name:string>>").alias("open"),
+        F.array().cast("array<string>").alias("paths"),
     )
+    return F.aggregate(items, start, step)["paths"]
 
 
 def import_tree_listing(df: DataFrame, listing_id: str = "listing_id", text: str = "text") -> DataFrame:
     """df(listing_id, text) -> nodes with `repo` = listing id.
 
-    A listing is one cell of the input, so its lines fit one window partition.
-    The open item of every indentation depth is tracked with one running `last`
-    per depth; the number of depths is measured first, so none is cut off.
+    A listing is one cell of the input and is folded in its own row, whatever its depth:
+    no shuffle before the nodes are described, and a plan that doesn't depend on the data.
     """
-    items = listing_items(df, listing_id, text)
-    deepest = items.agg(F.max("indent")).first()[0]
-    depths = list(range(-1, (deepest if deepest is not None else -1)))
-    lines = Window.partitionBy("listing_id").orderBy("line_no")
-    earlier = lines.rowsBetween(Window.unboundedPreceding, -1)
-    opened = [
-        F.last(
-            F.when(F.col("indent") == d, F.struct("line_no", "name")), ignorenulls=True
-        ).over(earlier).alias(f"open_{d + 1}")
-        for d in depths
-    ]
-    tracked = items.select(
-        "*",
-        (F.col("drawn_dir") | F.coalesce(F.lead("indent").over(lines) > F.col("indent"), F.lit(False)))
-        .alias("is_dir"),
-        *opened,
+    parsed = evaluated_once(
+        df.select(
+            F.col(listing_id).cast("string").alias("repo"), _items(F.col(text)).alias("items")
+        ),
+        "items",
+    )
+    deeper = F.transform(
+        "items",
+        lambda x, i: x["drawn_dir"]
+        | F.coalesce(F.get("items", i + 1)["indent"] > x["indent"], F.lit(False)),
+    )
+    placed = parsed.select(
+        "repo", F.explode(F.arrays_zip(_paths(F.col("items")).alias("path"), deeper.alias("is_dir"))).alias("n")
     )
-    # An item is still open when nothing at or above its depth came after it.
-    parts, newest = [], F.lit(-1)
-    for d in depths:
-        item = F.col(f"open_{d + 1}")
-        shallower = F.lit(d) < F.col("indent")
-        parts.append(F.when(shallower & (item["line_no"] > newest), item["name"]))
-        newest = F.greatest(newest, item["line_no"])
-    chain = F.array_compact(F.array(*parts, F.col("name")))
-    nodes = tracked.select(
-        F.col("listing_id").cast("string").alias("repo"),
-        F.array_join(chain, "/").alias("path"),
-        F.when(F.col("is_dir"), "dir").otherwise("file").alias("kind"),
+    nodes = placed.select(
+        "repo", F.col("n.path").alias("path"), F.when(F.col("n.is_dir"), "dir").otherwise("file").alias("kind")
     )
     return listed_nodes(nodes, ["repo"])

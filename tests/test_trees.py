@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SMALL, values
@@ -133,17 +134,6 @@ def test_catalogue_import(spark):
     assert values(with_code.filter("snippet is not null"), "repo", "path", "snippet") == [("1", "x/a.py", "import os")]
 
 
-def test_deep_catalogue_is_never_cut_silently(spark):
-    node = {"name": "leaf"}
-    for i in range(20):
-        node = {"name": f"d{i}", "children": [node]}
-    df = spark.createDataFrame([(1, json.dumps(node))], "repo_id int, body string")
-    with pytest.raises(Exception, match="nested deeper"):
-        catalogue_source.import_catalogue(df).collect()
-    nodes = catalogue_source.import_catalogue(df, levels=24)
-    assert nodes.count() == 21 and nodes.agg(F.max("depth")).first()[0] == 20
-
-
 def nested(rng, depth=0):
     return {
         f"d{i}": nested(rng, depth + 1) if depth < 4 and rng.random() < 0.7 else {}
@@ -221,9 +211,12 @@ def test_rank_of_large_groups_equals_plain_rank(spark):
     rows += [(None, i, "z") for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, v int, w string").repartition(6)
     order = [F.desc("v"), F.col("w")]
-    plain = values(ranking.ranked(df, ["k"], order, "rn"))
-    spread = values(ranking.ranked(df, ["k"], order, "rn", hot_rows=500))
+    window = Window.partitionBy("k").orderBy(*order)
+    plain = values(df.withColumn("rn", F.row_number().over(window)))
+    spread = values(ranking.ranked(df, ["k"], order, "rn"))
     assert spread == plain and len(plain) == 9000
+    for n in (3, 1500):
+        assert values(ranking.first_ranks(df, ["k"], order, n, "rn")) == [r for r in plain if r[3] <= n]
     by_key = {}
     for k, v, _, rn in spread:
         by_key.setdefault(k, []).append((rn, v))
@@ -232,11 +225,6 @@ def test_rank_of_large_groups_equals_plain_rank(spark):
         assert [v for _, v in sorted(pairs)] == sorted((v for _, v in pairs), reverse=True)
 
 
-def test_hot_directory_listing_and_no_large_window(spark):
-    nodes = path_nodes(spark, *[f"p/big/f{i}.py" for i in range(400)], "p/small/a.py")
-    assert values(tree.listing_ranks(nodes, hot_rows=50)) == values(tree.listing_ranks(nodes))
-
-
 @pytest.fixture(scope="module")
 def items(spark):
     rows = [
