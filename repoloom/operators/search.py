@@ -2,13 +2,14 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from .ranking import first_ranks
 
-# Queries answered in one pass over the items.
-QUERIES_PER_PASS = 64
+# Characters by which items and terms meet.
+GRAM = 3
 
 
 def search_terms(query: str) -> list[str]:
@@ -47,31 +48,46 @@ def search(items: DataFrame, query: str, k: int = fv.SEARCH_LIMIT) -> DataFrame:
     return best.filter(F.col("score") > 0).drop("haystack")
 
 
-def search_many(
-    items: DataFrame, queries: Sequence[tuple[int, str]], k: int = fv.SEARCH_LIMIT
-) -> DataFrame:
-    """`search` for a list of (query_id, query), ranked per query.
+def search_many(items: DataFrame, queries: DataFrame, k: int = fv.SEARCH_LIMIT) -> DataFrame:
+    """`search` for a table queries(query_id, query), ranked per query.
 
-    Queries become constants of the scan: an item yields a row only for the
-    queries it matches, and each task passes on at most k rows per query.
+    The items are read once, however many queries there are.  Each distinct term is found
+    by its first characters (three, or all of a shorter term): items and terms meet on
+    equal beginnings, and `contains` decides.  Only items that hold a term go on to the
+    queries that ask for it.
     """
-    asked = [(qid, search_terms(q)) for qid, q in queries]
-    asked = [(qid, terms) for qid, terms in asked if terms]
-    passes = [asked[i:i + QUERIES_PER_PASS] for i in range(0, len(asked), QUERIES_PER_PASS)]
-    ties = [c for c in ("path", "repo", "doc_id") if c in items.columns]
-    window = Window.partitionBy("query_id").orderBy(F.desc("score"), *ties)
-    result = None
-    for some in passes or [[]]:
-        hits = F.array(
-            *[F.struct(F.lit(qid).alias("query_id"), _score(t).alias("score")) for qid, t in some]
-        ) if some else F.array().cast("array<struct<query_id:int,score:int>>")
-        found = (
-            items.withColumn("haystack", _haystack())
-            .withColumn("hit", F.explode(F.filter(hits, lambda h: h["score"] > 0)))
-            .drop("haystack")
-            .select("hit.query_id", "hit.score", *items.columns)
-            .withColumn("rank", F.row_number().over(window))
-            .filter(F.col("rank") <= k)
+    asked = (
+        queries.select("query_id", F.explode(F.split(F.lower("query"), "(?U)\\s+")).alias("_term"))
+        .filter(F.col("_term") != "")
+        .groupBy("query_id", "_term")
+        .agg(F.count(F.lit(1)).alias("_times"))
+    )
+    terms = asked.select("_term").distinct().withColumn("_start", F.left("_term", F.lit(GRAM)))
+    columns = items.columns
+    places = F.sequence(F.lit(1), F.length("_hay"))
+    starts = F.array_distinct(
+        F.flatten(
+            F.transform(
+                places,
+                lambda i: F.transform(
+                    F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substr(F.col("_hay"), i, n)
+                ),
+            )
         )
-        result = found if result is None else result.unionByName(found)
-    return result
+    )
+    # A number for each item, so that equal items stay apart.
+    numbered = items.select(
+        F.struct(*columns).alias("_item"), _haystack().alias("_hay"), F.monotonically_increasing_id().alias("_row")
+    )
+    found = (
+        numbered.withColumn("_start", F.explode(starts))
+        .join(terms, "_start")
+        .filter(F.contains("_hay", F.col("_term")))
+        .join(asked, "_term")
+        .groupBy("query_id", "_row")
+        .agg(F.sum("_times").cast("int").alias("score"), F.first("_item").alias("_item"))
+        .select("query_id", "score", "_item.*")
+    )
+    ties = [F.col(c) for c in ("path", "repo", "doc_id") if c in columns]
+    ranks = first_ranks(found, ["query_id"], [F.desc("score"), *ties], k, "rank")
+    return ranks.select("query_id", "score", *columns, "rank")

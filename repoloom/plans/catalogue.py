@@ -63,16 +63,21 @@ def directory_nodes(files: DataFrame) -> DataFrame:
 
 
 def scan(
-    files: DataFrame, extra_excludes: Iterable[str] = (), scan_headers: bool = True
+    files: DataFrame,
+    extra_excludes: Iterable[str] = (),
+    scan_headers: bool = True,
+    extra_columns: Iterable[str] = (),
 ) -> DataFrame:
     """files(repo, path, content) -> nodes.  Directories hold at least one file.
 
+    Extra columns of files are null for directories.
+
     Multi-branch operators read the nodes several times, so write them to a
     table once and work from that.
     """
-    nodes = file_nodes(tagged_files(files, extra_excludes, scan_headers))
+    nodes = file_nodes(tagged_files(files, extra_excludes, scan_headers), extra_columns)
     # Directories come from paths alone, so this branch never reads contents.
     above = filters.exclude_paths(files, extra_excludes).select(
         "repo", paths.parent_path().alias("parent_path")
     )
-    return nodes.unionByName(directory_nodes(above))
+    return nodes.unionByName(directory_nodes(above), allowMissingColumns=True)

@@ -37,28 +37,48 @@ SELECT doc_id, source AS repo,
   text) AS content
 FROM {documents}"""
 
+# Listings and catalogues hold every segment of an address, and a page in four or three
+# goes further down, so depths differ.
 LISTINGS = """
 SELECT page_id AS listing_id, concat('site', chr(10), '├── ', split_part(p,'/',1), chr(10),
  '│   ├── ', split_part(p,'/',2), chr(10), '│   │   └── ', split_part(p,'/',3),
  CASE WHEN split_part(p,'/',3) LIKE '%.html' THEN '' ELSE '/' END, chr(10),
+ CASE page_id % 4 WHEN 1 THEN concat('│   │       └── deep', chr(10), '│   │           ├── er', chr(10),
+   '│   │           │   └── est.py', chr(10), '│   │           └── index.ts', chr(10))
+  WHEN 2 THEN concat('│   └── config.yaml', chr(10)) ELSE '' END,
  '└── README.md', chr(10), chr(10), '4 directories, 1 file') AS text
 FROM (SELECT page_id, regexp_replace(regexp_replace(url,'^https?://',''),'[?#].*$','') AS p
       FROM {pages}) t"""
 
 CATALOGUES = """
-SELECT page_id AS repo_id, concat('{{"basePath":"/x","tree":{{"name":"site","children":[{{"name":"',
+SELECT page_id AS repo_id, concat('{{"basePath":"/x",',
+ CASE page_id % 5 WHEN 0 THEN '"readme":"# Site","hasSnippets":true,"generatedAt":"2024-01-01T00:00:00Z",'
+  WHEN 1 THEN '"model":"m","hasSnippets":false,' ELSE '' END,
+ CASE page_id % 5 WHEN 0 THEN concat('"snippets":{{"site/a.md":"line ', page_id, '"}},') ELSE '' END,
+ '"tree":{{"name":"site","children":[{{"name":"',
  split_part(p,'/',1), '","description":"host","children":[{{"name":"', split_part(p,'/',2),
- '","files":[{{"name":"f', page_id, '.md","purpose":"—","tags":["docs"]}}]}}]}}]}}}}') AS body
+ '","files":[{{"name":"f', page_id, '.md","purpose":"—","tags":["docs"]}}],"children":[{{"name":"',
+ split_part(p,'/',3), '","files":[{{"name":"g.py","purpose":"code"}}]',
+ CASE page_id % 3 WHEN 0 THEN ',"children":[{{"name":"a","children":[{{"name":"b","files":[{{"name":"c.ts"}}]}}]}}]'
+  ELSE '' END,
+ '}}]}}]}}],"files":[{{"name":"a.md"}}]}}}}') AS body
 FROM (SELECT page_id, regexp_replace(regexp_replace(url,'^https?://',''),'[?#].*$','') AS p
       FROM {pages}) t"""
 
-# The flag makes DuckDB replace all matches, as Spark does anyway.
-RESPONSES = """
-SELECT conv_id AS batch_id, turn, concat('```json', chr(10), '{{"',
- cast(conv_id * 8 + turn AS varchar(20)), '": "',
- substr(regexp_replace(text,'[^A-Za-z ]','G'{all}),1,40),
- CASE WHEN conv_id % 10 = 0 THEN '' ELSE '"}}' END, chr(10), '```') AS body
-FROM {conversations} WHERE role = 'assistant'"""
+_ESCAPED = (
+    "replace(replace(replace(replace(replace(text, chr(92), concat(chr(92), chr(92))), "
+    "chr(34), concat(chr(92), chr(34))), chr(10), concat(chr(92), 'n')), "
+    "chr(13), concat(chr(92), 'r')), chr(9), concat(chr(92), 't'))"
+)
+# Whole texts.  Some answers are cut off, some use single quotes, some repeat their key.
+RESPONSES = f"""
+SELECT conv_id AS batch_id, turn, CASE conv_id % 10
+  WHEN 1 THEN concat('{{{{', chr(39), cast(conv_id * 8 + turn AS varchar(20)), chr(39), ': 1}}}}')
+  ELSE concat('```json', chr(10), '{{{{', CASE conv_id % 10 WHEN 2
+    THEN concat('"', cast(conv_id * 8 + turn AS varchar(20)), '": "before", ') ELSE '' END, '"',
+   cast(conv_id * 8 + turn AS varchar(20)), '": "', {_ESCAPED},
+   CASE WHEN conv_id % 10 = 0 THEN '' ELSE '"}}}}' END, chr(10), '```') END AS body
+FROM {{conversations}} WHERE role = 'assistant'"""
 
 COMMITS = """
 SELECT concat('repo',user_id % 20) AS repo, ts, event_id, md5(cast(event_id AS varchar(20))) AS hash,
@@ -89,12 +109,12 @@ _NAMES = ("pages", "documents", "conversations", "events")
 
 
 def for_duckdb(template: str) -> str:
-    return template.format(all=",'g'", **{n: n for n in _NAMES})
+    return template.format(**{n: n for n in _NAMES})
 
 
 def _derived(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
     tables = {n: f"parquet.`{sf_dir}/{n}.parquet`" for n in _NAMES}
-    return spark.sql(template.format(all="", **tables))
+    return spark.sql(template.format(**tables))
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,4 +154,4 @@ def stream(spark: SparkSession, sf_dir: str, template: str, table: str) -> DataF
     )
     view = f"{table}_stream"
     source.createOrReplaceTempView(view)
-    return spark.sql(template.format(all="", **{table: view}))
+    return spark.sql(template.format(**{table: view}))

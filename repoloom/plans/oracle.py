@@ -116,11 +116,11 @@ def _dirs_of(table: str) -> str:
 
 SCAN = f"""{TAGGED},
 nodes AS (
-  SELECT repo, path, array_to_string(string_split(path, '/')[:-2], '/') AS parent_path, name, 'file' AS kind,
+  SELECT doc_id, repo, path, array_to_string(string_split(path, '/')[:-2], '/') AS parent_path, name, 'file' AS kind,
     len(string_split(path, '/')) - 1 AS depth, purpose AS description, array_to_string(tags, ',') AS tags, snippet
   FROM tagged
   UNION ALL
-  SELECT d.repo, d.path, CASE WHEN d.depth > 0 THEN array_to_string(string_split(d.path, '/')[:-2], '/') END,
+  SELECT NULL, d.repo, d.path, CASE WHEN d.depth > 0 THEN array_to_string(string_split(d.path, '/')[:-2], '/') END,
     d.name, 'dir', d.depth,
     coalesce(w.description, CASE WHEN d.depth = 0 THEN 'Project root' ELSE 'Directory' END), '', NULL
   FROM {_dirs_of('tagged')} d LEFT JOIN {DIR_WORDING} w(name, description) USING (name))"""
@@ -214,15 +214,16 @@ CLEAN = "trim(replace(replace(body, '```json', ''), '```', ''), ' ' || chr(9) ||
 ENTRIES = f"""{RESPONSES},
 good AS (SELECT *, CASE WHEN json_valid({CLEAN}) AND json_type(CASE WHEN json_valid({CLEAN}) THEN {CLEAN} END) = 'OBJECT'
   THEN {CLEAN} END AS doc FROM responses),
-entries AS (SELECT batch_id, turn, k AS path, json_extract_string(doc, '$."' || k || '"') AS description
-  FROM good, unnest(json_keys(doc)) u(k) WHERE doc IS NOT NULL)"""
+entries AS (SELECT batch_id, turn, e.key AS path, arg_max(json_extract_string(e.value, '$'), e.id) AS description
+  FROM good, json_each(doc) e WHERE doc IS NOT NULL GROUP BY ALL)"""
 MERGED = f"""{ENTRIES},
-merged AS (SELECT cast(cast(path AS BIGINT) % 997 AS VARCHAR) AS path,
+merged AS (SELECT cast(cast(path AS BIGINT) // 16 AS VARCHAR) AS path,
   arg_max(description, (batch_id, turn)) AS description FROM entries GROUP BY 1)"""
 
-BATCHES = f"""{TAGGED},
-numbered AS (SELECT repo, doc_id, path, snippet, row_number() OVER (PARTITION BY repo ORDER BY path, doc_id) AS position,
-  bool_or(snippet IS NOT NULL) OVER (PARTITION BY repo) AS any_snippet FROM tagged),
+BATCHES = f"""{SCAN},
+numbered AS (SELECT repo, doc_id, path, snippet,
+  row_number() OVER (PARTITION BY repo ORDER BY path, doc_id NULLS FIRST) AS position,
+  bool_or(snippet IS NOT NULL) OVER (PARTITION BY repo) AS any_snippet FROM nodes),
 batches AS (SELECT repo, doc_id, path, snippet, position,
   cast(floor((position - 1) / CASE WHEN any_snippet THEN 20 ELSE 30 END) AS BIGINT) AS batch_id FROM numbered)"""
 READMES = """
@@ -234,7 +235,7 @@ readmes AS (SELECT f.repo, coalesce(any_value(b.readme), '') AS readme
       AND string_split(path, '/')[2] IN ('README.md', 'readme.md', 'Readme.md') GROUP BY repo) b USING (repo)
   GROUP BY f.repo)"""
 
-HAYSTACK = "lower(concat_ws(' ', name, coalesce(purpose, ''), array_to_string(tags, ' '), path))"
+HAYSTACK = "lower(concat_ws(' ', name, coalesce(description, ''), replace(tags, ',', ' '), path))"
 SECTION_ROWS = _values(fv.CHANGELOG_SECTIONS.items())
 ORDER_ROWS = _values([(s, i + 1) for i, s in enumerate(fv.CHANGELOG_ORDER)])
 LANGUAGE_ROWS = _values(fv.LANGUAGES.items())
@@ -269,10 +270,11 @@ FROM numbered WHERE regexp_matches(line, '{part}')"""
 
 def _search_rows(terms: list[str]) -> str:
     score = " + ".join(f"CASE WHEN contains(hay, {_q(t)}) THEN 1 ELSE 0 END" for t in terms)
-    return f"SELECT doc_id, repo, path, {score} AS score FROM hays"
+    return f"SELECT repo, path, type, {score} AS score FROM hays"
 
 
-HAYS = f"{TAGGED}, hays AS (SELECT doc_id, repo, path, {HAYSTACK} AS hay FROM tagged)"
+HAYS = f"""{SCAN}, hays AS (SELECT repo, path, CASE kind WHEN 'dir' THEN 'folder' ELSE 'file' END AS type,
+  {HAYSTACK} AS hay FROM nodes WHERE depth > 0)"""
 ASKED = [(i, q.lower().split()) for i, q in fixtures.QUERY_TEXTS]
 
 NEWEST = f"""WITH versions AS ({_base(VERSIONED_CATALOGUES)})
@@ -284,7 +286,7 @@ WHERE json_valid(body) AND json_extract(CASE WHEN json_valid(body) THEN body END
 ORACLE_SQL: dict[str, str] = {
     "s1_scan_corpus": f"WITH {SCAN} SELECT snippet, {NODE_COLUMNS} FROM nodes",
     "s2_import_path_list": f"WITH {PATH_NODES} SELECT {NODE_COLUMNS} FROM nodes",
-    "s3_import_tree_listing": f"""WITH source AS ({_base(fixtures.LISTINGS)}),
+    "s3_import_tree_listing": f"""WITH RECURSIVE source AS ({_base(fixtures.LISTINGS)}),
 rows AS (SELECT listing_id, k, string_split(text, chr(10))[k] AS line
   FROM source, range(1, len(string_split(text, chr(10))) + 1) r(k)),
 items AS (SELECT listing_id, k, regexp_extract(line, '^(.*?)[├└]\\s*─+\\s*(.+)$', 1) AS prefix,
@@ -300,24 +302,27 @@ kinds AS (SELECT *, ends_with(label, '/') OR coalesce(lead(lvl) OVER (PARTITION
 parents AS (SELECT c.listing_id, c.k, c.name, c.is_dir,
   (SELECT max(p.k) FROM kinds p WHERE p.listing_id = c.listing_id AND p.k < c.k AND p.lvl < c.lvl) AS parent_k
   FROM kinds c),
-placed AS (SELECT cast(a.listing_id AS VARCHAR) AS repo, concat_ws('/', 'site', d.name, c.name, b.name, a.name) AS path,
-    CASE WHEN a.is_dir THEN 'dir' ELSE 'file' END AS kind
-  FROM parents a
-  LEFT JOIN parents b ON b.listing_id = a.listing_id AND b.k = a.parent_k
-  LEFT JOIN parents c ON c.listing_id = a.listing_id AND c.k = b.parent_k
-  LEFT JOIN parents d ON d.listing_id = a.listing_id AND d.k = c.parent_k
+chains AS (
+  SELECT listing_id, k, is_dir, name AS path, parent_k FROM parents
+  UNION ALL
+  SELECT c.listing_id, c.k, c.is_dir, p.name || '/' || c.path, p.parent_k
+  FROM chains c JOIN parents p ON p.listing_id = c.listing_id AND p.k = c.parent_k),
+placed AS (SELECT cast(listing_id AS VARCHAR) AS repo, 'site/' || path AS path,
+    CASE WHEN is_dir THEN 'dir' ELSE 'file' END AS kind
+  FROM chains WHERE parent_k IS NULL
   UNION ALL SELECT cast(listing_id AS VARCHAR), 'site', 'dir' FROM source),
 {_described_listing('placed')} SELECT {NODE_COLUMNS} FROM nodes""",
-    "s4_import_catalogue": f"""WITH source AS ({_base(fixtures.CATALOGUES)}),
-l0 AS (SELECT cast(repo_id AS VARCHAR) AS repo, json_extract(body, '$.tree') AS node FROM source),
-l1 AS (SELECT repo, json_extract_string(node, '$.name') AS up, unnest(cast(json_extract(node, '$.children') AS JSON[])) AS node FROM l0),
-l2 AS (SELECT repo, up || '/' || json_extract_string(node, '$.name') AS up,
-  unnest(cast(json_extract(node, '$.children') AS JSON[])) AS node FROM l1),
-l3 AS (SELECT repo, up || '/' || json_extract_string(node, '$.name') AS up,
-  unnest(cast(json_extract(node, '$.files') AS JSON[])) AS node FROM l2),
+    "s4_import_catalogue": f"""WITH RECURSIVE dirs AS (
+  SELECT cast(repo_id AS VARCHAR) AS repo, cast(NULL AS VARCHAR) AS up, json_extract(body, '$.tree') AS node
+  FROM ({_base(fixtures.CATALOGUES)}) c
+  UNION ALL
+  SELECT repo, concat_ws('/', up, json_extract_string(node, '$.name')),
+    unnest(cast(json_extract(node, '$.children') AS JSON[])) FROM dirs),
 every AS (
-  SELECT repo, NULL AS up, node, 'dir' AS kind FROM l0 UNION ALL SELECT repo, up, node, 'dir' FROM l1
-  UNION ALL SELECT repo, up, node, 'dir' FROM l2 UNION ALL SELECT repo, up, node, 'file' FROM l3)
+  SELECT *, 'dir' AS kind FROM dirs
+  UNION ALL
+  SELECT repo, concat_ws('/', up, json_extract_string(node, '$.name')),
+    unnest(cast(json_extract(node, '$.files') AS JSON[])), 'file' FROM dirs)
 SELECT repo, concat_ws('/', up, json_extract_string(node, '$.name')) AS path, up AS parent_path,
   json_extract_string(node, '$.name') AS name, kind,
   CASE WHEN up IS NULL THEN 0 ELSE len(string_split(up, '/')) END AS depth,
@@ -325,8 +330,12 @@ SELECT repo, concat_ws('/', up, json_extract_string(node, '$.name')) AS path, up
   coalesce(array_to_string(cast(json_extract(node, '$.tags') AS VARCHAR[]), ','), '') AS tags FROM every""",
     "s4_import_manifest": f"""SELECT cast(repo_id AS VARCHAR) AS repo,
   json_extract_string(body, '$.basePath') AS base_path, json_extract_string(body, '$.readme') AS readme,
+  json_extract_string(body, '$.generatedAt') AS generated_at, json_extract_string(body, '$.model') AS model,
   cast(json_extract_string(body, '$.hasSnippets') AS BOOLEAN) AS has_snippets
 FROM ({_base(fixtures.CATALOGUES)}) c WHERE json_valid(body)""",
+    "s4_import_snippets": f"""SELECT cast(repo_id AS VARCHAR) AS repo, 'site/a.md' AS path,
+  json_extract_string(body, '$.snippets."site/a.md"') AS snippet
+FROM ({_base(fixtures.CATALOGUES)}) c WHERE json_extract(body, '$.snippets') IS NOT NULL""",
     "s5_export_catalogue": f"""WITH {TAGGED}, {READMES}
 SELECT t.repo, '{BASE_PATH}' || t.repo AS base_path, substr(any_value(r.readme), 1, 1500) AS readme,
   '{GENERATED_AT}' AS generated_at, 'heuristics-only' AS model, bool_or(snippet IS NOT NULL) AS has_snippets
@@ -406,14 +415,14 @@ SELECT repo, count(*) AS items, count(snippet) AS files_with_snippet,
   cast(coalesce(any_value(i.n), 0) AS BIGINT) AS inferred_tags
 FROM nodes LEFT JOIN inferred i USING (repo) GROUP BY repo""",
     "q1_search": f"""WITH {HAYS}, scored AS ({_search_rows(['widget', 'react'])})
-SELECT doc_id, path, score FROM scored WHERE score > 0 ORDER BY score DESC, path, repo, doc_id LIMIT 15""",
+SELECT path, type, score FROM scored WHERE score > 0 ORDER BY score DESC, path, repo LIMIT 15""",
     "q2_search_many": f"WITH {HAYS}, scored AS ("
     + " UNION ALL ".join(
         f"SELECT {i} AS query_id, * FROM ({_search_rows(terms)}) s{i}" for i, terms in ASKED if terms
     )
-    + """), placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, repo, doc_id) AS rank
+    + """), placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, repo) AS rank
   FROM scored WHERE score > 0)
-SELECT query_id, rank, doc_id, path, score FROM placed WHERE rank <= 15""",
+SELECT query_id, rank, path, type, score FROM placed WHERE rank <= 15""",
     "l1_batch_paths": f"WITH {BATCHES} SELECT repo, doc_id, path, position, batch_id FROM batches",
     "l2_build_requests": f"""WITH {BATCHES}, {READMES}
 SELECT b.repo, b.batch_id, count(*) AS paths, {_q(requests.DESCRIBE_STYLES['plain'])}
@@ -425,14 +434,18 @@ SELECT b.repo, b.batch_id, count(*) AS paths, {_q(requests.DESCRIBE_STYLES['plai
 FROM batches b JOIN readmes r USING (repo) GROUP BY b.repo, b.batch_id""",
     "l3_parse_responses": f"WITH {ENTRIES} SELECT batch_id, turn, path, description FROM entries",
     "l4_merge_descriptions": f"WITH {MERGED} SELECT path, description FROM merged",
-    "l5_apply_descriptions": f"""WITH {TAGGED}, {MERGED},
-usable AS (SELECT cast(path AS BIGINT) AS doc_id, description FROM merged WHERE description <> '')
-SELECT t.doc_id, t.path, coalesce(u.description, t.purpose) AS description,
-  CASE WHEN u.description IS NOT NULL THEN 'model' WHEN t.purpose IS NOT NULL THEN 'heuristic' END AS description_source,
-  u.description IS NOT NULL AS applied FROM tagged t LEFT JOIN usable u USING (doc_id)""",
+    "l5_apply_descriptions": f"""WITH {SCAN}, {MERGED},
+keyed AS (SELECT CASE WHEN cast(path AS BIGINT) % 7 = 0
+    THEN 'src' || (cast(path AS BIGINT) % 20) || '/src/d' || (cast(path AS BIGINT) % 40) ELSE '#' || path END AS key,
+  arg_max(description, cast(path AS BIGINT)) AS description FROM merged GROUP BY 1),
+usable AS (SELECT * FROM keyed WHERE description <> '')
+SELECT t.doc_id, t.path, coalesce(u.description, t.description) AS description,
+  CASE WHEN u.description IS NOT NULL THEN 'model' WHEN t.description IS NOT NULL THEN 'heuristic' END AS description_source,
+  u.description IS NOT NULL AS applied
+FROM nodes t LEFT JOIN usable u ON u.key = CASE WHEN t.kind = 'dir' THEN t.path ELSE '#' || t.doc_id END""",
     "l6_batch_outcomes": f"""WITH {ENTRIES} SELECT batch_id, turn,
   CASE WHEN doc IS NULL THEN 'failed' ELSE 'parsed' END AS status,
-  coalesce(len(json_keys(doc)), 0) AS descriptions FROM good""",
+  coalesce(len(list_distinct(json_keys(doc))), 0) AS descriptions FROM good""",
     "l6_batches_with_code": f"""WITH {BATCHES} SELECT repo, batch_id, count(*) AS paths,
   count(snippet) AS paths_with_code FROM batches GROUP BY repo, batch_id""",
     "m1_extract_marks": _marks_query(),

@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 BASE_PATH = "/srv/checkouts/"
 GENERATED_AT = "2024-02-01T00:00:00Z"
 VERSIONED_CATALOGUES = (
-    "SELECT repo_id % 50 AS repo, repo_id AS version, "
+    "SELECT cast(floor(repo_id / 10) AS bigint) AS repo, repo_id AS version, "
     "CASE WHEN repo_id % 10 = 3 THEN substr(body, 1, length(body) - 1) ELSE body END AS body "
     f"FROM ({fixtures.CATALOGUES}) c"
 )
@@ -83,15 +83,28 @@ def s4_import_catalogue(spark, sf_dir):
 def s4_import_manifest(spark, sf_dir):
     return catalogue_source.import_manifest(fixtures.catalogues(spark, sf_dir)).select(
         "repo", F.col("basePath").alias("base_path"), "readme",
+        F.col("generatedAt").alias("generated_at"), "model",
         F.col("hasSnippets").alias("has_snippets"),
     )
 
 
+def s4_import_snippets(spark, sf_dir):
+    documents = fixtures.catalogues(spark, sf_dir)
+    nodes = catalogue_source.import_catalogue(documents)
+    found = catalogue_source.attach_snippets(nodes, catalogue_source.import_snippets(documents))
+    return found.filter(F.col("snippet").isNotNull()).select("repo", "path", "snippet")
+
+
 def s5_export_catalogue(spark, sf_dir):
     files = fixtures.files(spark, sf_dir)
     # Directories add nothing to a manifest, so file nodes are enough.
     nodes = catalogue.file_nodes(catalogue.tagged_files(files))
-    return catalogue_source.manifest(nodes, files, BASE_PATH, GENERATED_AT)
+    manifest = catalogue_source.manifest(nodes, files, BASE_PATH, GENERATED_AT)
+    return manifest.select(
+        "repo", F.col("basePath").alias("base_path"), "readme",
+        F.col("generatedAt").alias("generated_at"), "model",
+        F.col("hasSnippets").alias("has_snippets"),
+    )
 
 
 def s6_readme_context(spark, sf_dir):
@@ -246,25 +259,32 @@ def a4_scan_summary(spark, sf_dir):
 # --- search ------------------------------------------------------------------
 
 def _items(spark, sf_dir):
-    return _file_nodes(spark, sf_dir)
+    """Files and folders of the scan."""
+    return tree.flatten_items(catalogue.scan(fixtures.files(spark, sf_dir)))
 
 
 def q1_search(spark, sf_dir):
     return search.search(_items(spark, sf_dir), "widget react").select(
-        "doc_id", "path", _big("score")
+        "path", "type", _big("score")
     )
 
 
 def q2_search_many(spark, sf_dir):
-    return search.search_many(_items(spark, sf_dir), fixtures.QUERY_TEXTS).select(
-        _big("query_id"), _big("rank"), "doc_id", "path", _big("score")
+    asked = spark.createDataFrame(fixtures.QUERY_TEXTS, "query_id int, query string")
+    return search.search_many(_items(spark, sf_dir), asked).select(
+        _big("query_id"), _big("rank"), "path", "type", _big("score")
     )
 
 
 # --- description requests ----------------------------------------------------
 
+def _all_nodes(spark, sf_dir):
+    """Files, told apart by doc_id, and directories."""
+    return catalogue.scan(fixtures.files(spark, sf_dir), extra_columns=["doc_id"])
+
+
 def _batches(spark, sf_dir):
-    return requests.batch_paths(_file_nodes(spark, sf_dir))
+    return requests.batch_paths(_all_nodes(spark, sf_dir))
 
 
 def l1_batch_paths(spark, sf_dir):
@@ -285,7 +305,7 @@ def l3_parse_responses(spark, sf_dir):
 def _descriptions(spark, sf_dir):
     # Several batches speak about the same document, the last one wins.
     parsed = requests.parse_responses(fixtures.responses(spark, sf_dir)).withColumn(
-        "path", (F.col("path").cast("bigint") % 997).cast("string")
+        "path", F.expr("cast(cast(path AS bigint) div 16 AS string)")
     )
     return requests.merge_descriptions(parsed, ("path",), ("batch_id", "turn", "entry_no"))
 
@@ -295,8 +315,20 @@ def l4_merge_descriptions(spark, sf_dir):
 
 
 def l5_apply_descriptions(spark, sf_dir):
-    found = _descriptions(spark, sf_dir).select(F.col("path").cast("bigint").alias("doc_id"), "description")
-    return requests.apply_descriptions(_file_nodes(spark, sf_dir), found, ("doc_id",)).select(
+    # One answer in seven speaks about a directory, the others about documents.
+    number = F.col("path").cast("bigint")
+    found = _descriptions(spark, sf_dir).select(
+        F.when(number % 7 == 0, F.concat(F.lit("src"), number % 20, F.lit("/src/d"), number % 40))
+        .otherwise(F.concat(F.lit("#"), number))
+        .alias("key"),
+        "path",
+        "description",
+    )
+    found = found.groupBy("key").agg(F.max_by("description", F.col("path").cast("bigint")).alias("description"))
+    nodes = _all_nodes(spark, sf_dir).withColumn(
+        "key", F.when(F.col("kind") == "dir", F.col("path")).otherwise(F.concat(F.lit("#"), "doc_id"))
+    )
+    return requests.apply_descriptions(nodes, found, ("key",)).select(
         "doc_id", "path", "description", "description_source", "applied"
     )
 
@@ -461,7 +493,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         s1_scan_corpus, s2_import_path_list, s3_import_tree_listing, s4_import_catalogue,
-        s4_import_manifest, s5_export_catalogue, s6_readme_context, s7_write_rewritten,
+        s4_import_manifest, s4_import_snippets, s5_export_catalogue, s6_readme_context, s7_write_rewritten,
         f1_exclude_paths, f2_scannable, f3_annotatable, f4_prune_empty_dirs,
         f5_files_with_tag, f6_has_marks,
         p1_describe_files, p2_describe_dirs, p3_name_tags, p4_import_tags, p5_merge_tags,
