@@ -40,10 +40,13 @@ def usable_catalogues(catalogues: DataFrame) -> DataFrame:
 
 def stream_catalogue(catalogues: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
     """Stream of (repo, version, body) -> log of usable versions below `log`."""
+    run = uuid.uuid4().hex
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        # The same batch always lands in the same folder: a replay overwrites it.
-        latest_versions(batch).write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
+        # Within a run the same batch lands in the same folder.  Another run, which numbers from
+        # the start if the checkpoint is lost, never writes over it; a version that is there
+        # twice counts once.
+        latest_versions(batch).write.mode("overwrite").parquet(f"{log}/{run}-{batch_id}")
 
     return (
         usable_catalogues(catalogues)
@@ -55,9 +58,29 @@ def stream_catalogue(catalogues: DataFrame, log: str, checkpoint: str) -> Stream
     )
 
 
+def _read_log(spark: SparkSession, log: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", "true").parquet(log)
+
+
 def current_catalogues(spark: SparkSession, log: str) -> DataFrame:
     """The state of the log: the newest usable version of each catalogue."""
-    return latest_versions(spark.read.parquet(log))
+    return latest_versions(_read_log(spark, log))
+
+
+def compact_log(spark: SparkSession, log: str) -> None:
+    """Replaces what the log holds by its current state.
+
+    The state is written first, then the folders it was read from are deleted, so a reader finds
+    every newest version at any time.  Folders that a stream adds meanwhile stay.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(log)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in system.listStatus(path) if s.isDirectory()]
+    rows = spark.read.parquet(*[p.toString() for p in old])
+    latest_versions(rows).write.parquet(f"{log}/{uuid.uuid4().hex}-state")
+    for folder in old:
+        system.delete(folder, True)
 
 
 def _append_to(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
