@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,9 @@ from repoloom.llm import common
 CHUNK = 1 << 14
 #: Matrices combined by one task in one step of the tree.
 FAN = 64
+#: Text pieces remembered per worker, twice this many at most, and the longest that is.
 MEMO_PIECES = 300_000
+MEMO_LENGTH = 48
 _UNIT = 1 << 20
 _NEVER = -(1 << 60)
 _MARK = "▁"
@@ -43,8 +46,9 @@ class Pieces:
     Unigram models have weights: log-probabilities.  Merge models only have ranks; their
     pieces get the log-probabilities that Zipf's law gives to ranks, so the segmentation is the likeliest
     under them, not the one that merging in order would give.  Normalization is the
-    identity but for spaces, which are written as U+2581; a character in no piece becomes its
-    UTF-8 bytes' pieces, or the unknown piece where the model has none.
+    identity but for the space before a text, if the model asks for one, and for spaces, which are
+    written as U+2581; a character in no piece becomes its UTF-8 bytes' pieces, or the
+    unknown piece where the model has none.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,10 +59,16 @@ class Pieces:
             proto.ParseFromString(file.read())
         normal = [(i, p) for i, p in enumerate(proto.pieces) if p.type in (1, 4)]
         unigram = proto.trainer_spec.model_type == 1
+        self.prefix = " " if proto.normalizer_spec.add_dummy_prefix else ""
         scores = [p.score for _, p in normal] if unigram else zipf_scores(len(normal))
         self.weight: dict[str, tuple[int, int]] = {
             p.piece: (round(s * _UNIT), i) for (i, p), s in zip(normal, scores, strict=True)
         }
+        #: Every beginning of a piece, so that a walk through a text knows when to stop.
+        self.table: dict[str, tuple[int | None, int]] = {
+            p[:k]: (None, -1) for p in self.weight for k in range(1, len(p))
+        }
+        self.table.update(self.weight)
         self.text = [p.piece.replace(_MARK, " ").encode() for p in proto.pieces]
         bytes_ = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         for value, i in bytes_.items():
@@ -77,8 +87,8 @@ class Pieces:
         # Every path has a node before a run of spaces, and around a line feed that no piece holds.
         pattern = " *[^ ]+| +" if feed else "\n| *[^ \n]+| +"
         self.cut = (lambda x: [x]) if inside else re.compile(pattern).findall
-        self.memo = _Memo(lambda x: np.array(self.solve(x)[1], "<u4").tobytes())
-        self.weights = _Memo(lambda x: self.solve(x)[0])
+        self.memo = _Memo(self)
+        self.weights = self.memo.weights
 
     @classmethod
     def of(cls, path: str) -> Pieces:
@@ -89,10 +99,11 @@ class Pieces:
     def edges(self, text: str, at: int) -> Iterator[tuple[int, int, int]]:
         """(end, weight, id) of the pieces that start at a place; id -1 for an unknown character."""
         single = False
-        weight = self.weight
         for end in range(at + 1, min(at + self.reach, len(text)) + 1):
-            found = weight.get(text[at:end])
-            if found is not None:
+            found = self.table.get(text[at:end])
+            if found is None:
+                break
+            if found[0] is not None:
                 single = single or end == at + 1
                 yield end, *found
         if not single:
@@ -101,28 +112,34 @@ class Pieces:
     def solve(self, text: str) -> tuple[int, list[int]]:
         """Weight and ids of the heaviest path through a whole text, spaces as U+2581."""
         n, reach = len(text), self.reach
-        weights, unknown = self.weight, self.unknown_weight
+        table, unknown = self.table.get, self.unknown_weight
         best = [_NEVER] * (n + 1)
-        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+        origin = [0] * (n + 1)
+        last = [-1] * (n + 1)
         best[0] = 0
         for at in range(n):
             own = best[at]
             # As in `edges`, written out: this runs for every new word.
-            if text[at] not in weights:
+            found = table(text[at])
+            if found is None or found[0] is None:
                 if own + unknown > best[at + 1]:
                     best[at + 1] = own + unknown
-                    back[at + 1] = (at, -1)
-            for end in range(at + 1, min(at + reach, n) + 1):
-                found = weights.get(text[at:end])
-                if found is not None:
-                    total = own + found[0]
-                    if total > best[end]:
-                        best[end] = total
-                        back[end] = (at, found[1])
+                    origin[at + 1] = at
+                    last[at + 1] = -1
+            end = at
+            while found is not None:
+                end += 1
+                if found[0] is not None and own + found[0] > best[end]:
+                    best[end] = own + found[0]
+                    origin[end] = at
+                    last[end] = found[1]
+                if end == n or end - at == reach:
+                    break
+                found = table(text[at : end + 1])
         ids: list[int] = []
         end = n
         while end:
-            at, piece = back[end]
+            at, piece = origin[end], last[end]
             if piece >= 0:
                 ids.append(piece)
             elif self.bytes_:
@@ -132,17 +149,20 @@ class Pieces:
             end = at
         return best[n], ids[::-1]
 
+    def prepared(self, text: str) -> str:
+        """A whole text as it is encoded: with the space that some models put before it."""
+        return self.prefix + text if text else ""
+
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
+        """Ids of a prepared text as little-endian unsigned 32-bit integers."""
         parts = self.cut(text.replace(_MARK, " "))
-        for memo in (self.memo, self.weights):
-            if len(memo) > MEMO_PIECES:
-                memo.clear()
+        self.memo.trim()
         return b"".join(map(self.memo.__getitem__, parts))
 
     def decode(self, ids: bytes) -> str:
-        """Text of ids; bytes that are no UTF-8 become U+FFFD."""
+        """Text of the ids of a whole text; bytes that are no UTF-8 become U+FFFD."""
         found = b"".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        found = found.removeprefix(self.prefix.encode())
         return found.decode(errors="replace")
 
     def matrix(self, text: str, size: int) -> np.ndarray:
@@ -162,6 +182,7 @@ class Pieces:
             return self._matrix(text, size)
         # The last part may go on behind the chunk.
         begin, end = shared[first], shared[-1]
+        self.memo.trim()
         middle = sum(map(self.weights.__getitem__, parts[first:-1]))
         enter = self._matrix(text[:begin], begin)[:, 0]
         leave = self._matrix(text[end:], size - end)[0]
@@ -179,18 +200,46 @@ class Pieces:
 
 
 class _Memo(dict):
-    """What `make` says of a text piece, kept once asked for; of long pieces nothing is kept."""
+    """Ids of text pieces as bytes, and beside them their weights, made when first asked for.
 
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make = make
+    Once it is full it becomes the older half; what is asked for again moves to the new one.
+    """
 
-    def __missing__(self, piece: str):
-        made = self.make(piece.replace(" ", _MARK))
-        if len(piece) <= 48:
-            self[piece] = made
+    def __init__(self, model: Pieces) -> None:
+        super().__init__()
+        self.model = model
+        self.weights = _Weights(self)
+        self.older: dict[str, bytes] = {}
+        self.older_weights: dict[str, int] = {}
+
+    def trim(self) -> None:
+        if len(self) > MEMO_PIECES:
+            self.older, self.older_weights = dict(self), dict(self.weights)
+            self.clear()
+            self.weights.clear()
+
+    def make(self, piece: str) -> tuple[int, bytes]:
+        if piece in self.older:
+            made = self.older_weights[piece], self.older[piece]
+        else:
+            weight, ids = self.model.solve(piece.replace(" ", _MARK))
+            made = weight, array("I", ids).tobytes()
+        if len(piece) <= MEMO_LENGTH:
+            self.weights[piece], self[piece] = made
         return made
 
+    def __missing__(self, piece: str) -> bytes:
+        return self.make(piece)[1]
+
+
+class _Weights(dict):
+    def __init__(self, memo: _Memo) -> None:
+        super().__init__()
+        self.memo = memo
+
+    def __missing__(self, piece: str) -> int:
+        return self.memo.make(piece)[0]
+
 
 def zipf_scores(n: int) -> list[float]:
     """log(1 / ((rank + 2.7) * log(n))) for ranks from 0."""
@@ -314,11 +363,12 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     empty one; rows that repeat a document come back once each.  Of segmentations with
     equal weight one is taken; which one may depend on where chunks end.
     """
-    reach = Pieces.of(model).reach
+    reach, prefix = Pieces.of(model).reach, Pieces.of(model).prefix
+    text = F.coalesce("text", F.lit(""))
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"),
         common.row_key(F.col("text")).alias("row_key"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        F.when(text != "", F.concat(F.lit(prefix), text)).otherwise("").alias("text"),
     )
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
