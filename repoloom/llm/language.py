@@ -22,12 +22,20 @@ SAMPLE_DOCS = 400
 DICTIONARY_BYTES = 112 * 1024
 MOST_LANGUAGES = 1000
 #: Texts are compressed in pieces, so that a long one's own repeats don't hide the dictionary.
-PIECE_BYTES = 4096
-LEVEL = 3
+PIECE_BYTES = 1024
+LEVEL = 6
 #: Least lead of the smallest size over the next, as a share of it.
 MARGIN = 0.005
 
-_LETTER = re.compile(r"[^\W\d_]").search
+#: Bytes of words from which a narrow lead rejects; below, a byte is too coarse a measure.
+LEAST_BYTES = 64
+
+_WORDS = re.compile(r"[^\W\d_]+").findall
+
+
+def words(text: str) -> str:
+    """What is compressed: the lower-cased runs of letters, with single blanks between."""
+    return " ".join(_WORDS(text.lower()))
 
 
 @dataclass(frozen=True)
@@ -40,7 +48,7 @@ class Languages:
 def fit(docs: DataFrame, learn: Column) -> Languages:
     """Dictionaries from the rows that `learn` picks, of at most SAMPLE_DOCS per language.
 
-    Only text and lang are learned from.  The documents of a language come in the order of
+    Only the words of text, and lang, are learned from.  The documents of a language come in the order of
     a hash of their doc_id, and each gives an equal piece from a place that the hash names.
     Rows without text or language are passed over; more than MOST_LANGUAGES languages
     are an error.
@@ -69,7 +77,7 @@ def fit(docs: DataFrame, learn: Column) -> Languages:
     )
     texts: dict[str, list[str]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r.lang, r._rank)):
-        texts.setdefault(r.lang, []).append(r.text.lower())
+        texts.setdefault(r.lang, []).append(words(r.text))
     order_of = sorted(sizes, key=lambda r: (-r["count"], r.lang))
     found = []
     for lang in (r.lang for r in order_of if r.lang in texts):
@@ -99,7 +107,7 @@ class _Sizes:
             )
 
     def of(self, text: str) -> list[int]:
-        raw = text.lower().encode()
+        raw = text.encode()
         pieces = [raw[i : i + PIECE_BYTES] for i in range(0, len(raw), PIECE_BYTES)]
         return [sum(len(c.compress(x)) for x in pieces) for c in self.compressors]
 
@@ -113,9 +121,9 @@ def identify(docs: DataFrame, model: Languages, margin: float = MARGIN) -> DataF
     lang_pred is the language of the smallest size, the commoner one on equal sizes, `und`
     for a null text, one without letters, or a model without languages.  score is
     1 - exp(-d / 2), d the lead over the next language in bytes: 0 on equal sizes, near 1 from
-    ten bytes on; 1 where there is one language only.  accepted is false for `und`, and where
-    the lead is below `margin` of the next language's size and below three bytes as well
-    equal sizes mean no evidence.  Columns named like the three are replaced.
+    ten bytes on; 1 where there is one language only.  accepted is false for `und`, and for texts
+    of LEAST_BYTES or more whose lead is at most `margin` of the next language's size.
+    Columns named like the three are replaced.
     """
     names = [c for c in docs.columns if c not in _SCHEMA.names]
 
@@ -126,7 +134,8 @@ def identify(docs: DataFrame, model: Languages, margin: float = MARGIN) -> DataF
             found, scores, accepted = [], [], []
             for text in batch.column("text"):
                 text = text.as_py()
-                if not langs or text is None or not _LETTER(text):
+                text = words(text or "")
+                if not langs or not text:
                     found.append("und"), scores.append(0.0), accepted.append(False)
                     continue
                 own = sizes.of(text)
@@ -138,7 +147,7 @@ def identify(docs: DataFrame, model: Languages, margin: float = MARGIN) -> DataF
                     continue
                 ahead = lead - own[best]
                 scores.append(1 - float(np.exp(-ahead / 2)))
-                accepted.append(ahead > 0 and ahead >= margin * lead)
+                accepted.append(len(text.encode()) < LEAST_BYTES or ahead > margin * lead)
             new = [pa.array(found, pa.string()), pa.array(scores), pa.array(accepted, pa.bool_())]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), *new], [*names, *_SCHEMA.names]
