@@ -19,20 +19,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repoloom.functions.evaluation import evaluated_once
 from repoloom.llm import common
 
 WINDOW = 10
 #: Rows of a test-side table that every executor may hold; a row has at most a window's words.
 BROADCAST_ROWS = 100_000
 
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# What stands between lower-cased words, and between words as they are.
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BETWEEN_RAW = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _KEY = ["doc_id", "row_key"]
 
 
 def words(text: Column) -> Column:
     """Lower-cased (A-Z) words; null for a null text."""
-    return F.regexp_extract_all(F.translate(text, _UPPER, _UPPER.lower()), F.lit(_WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(text, _UPPER, _UPPER.lower()), _BETWEEN), "")
+
+
+def word_count(text: Column) -> Column:
+    """How many words a text has; case doesn't matter for that."""
+    count = F.size(F.array_remove(F.split(text, _BETWEEN_RAW), ""))
+    return F.when(text.isNull(), 0).otherwise(count).cast("long")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -133,9 +142,8 @@ def matches(docs: DataFrame, items: DataFrame, slop: int = 0, share: float = 0.8
         F.collect_set(F.struct("window", "words", "start", "length")).alias("found")
     )
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row_key") == F.col("_key"))
-    checked = own.join(together, same).select(
-        *_KEY, words(F.col("text")).alias("w"), F.explode("found").alias("f")
-    )
+    checked = own.join(together, same).select(*_KEY, words(F.col("text")).alias("w"), "found")
+    checked = evaluated_once(checked, "w").select(*_KEY, "w", F.explode("found").alias("f"))
     checked = checked.select(*_KEY, "w", "f.*")
     exact = (F.col("start") >= 0) & (
         F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("length")) == F.col("words")
@@ -184,8 +192,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = covered.join(owned, [covered[c].eqNullSafe(owned[c]) for c in _KEY]).select(
         covered["doc_id"].alias("_doc"), covered["row_key"].alias("_key"), "n_hit", "item_ids"
     )
-    rows = _rows(docs).select(*_KEY, F.coalesce(F.size(words(F.col("text"))), F.lit(0)).alias("n_words"))
-    rows = rows.withColumn("n_words", F.greatest("n_words", F.lit(0)).cast("long"))
+    rows = _rows(docs).select(*_KEY, word_count(F.col("text")).alias("n_words"))
     same = rows["doc_id"].eqNullSafe(found["_doc"]) & (rows["row_key"] == found["_key"])
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
