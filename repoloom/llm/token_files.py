@@ -14,8 +14,10 @@ sum of the counts of the parts before it.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,30 +28,60 @@ from pyspark.sql import functions as F
 
 from repoloom.llm import common
 
-#: Pieces kept per worker, and the longest one that is kept.
-MEMO_PIECES = 400_000
+#: Pieces remembered per worker, twice this many at most, and the longest that is.
+MEMO_PIECES = 500_000
 MEMO_LENGTH = 40
 #: Characters encoded together.
 STEP = 1 << 20
 
-# Byte-level pieces never hold a blank after a non-blank, so a text may be cut before
-# any run of blanks.  Only spaces and line feeds are used as cuts; a text with other
-# blanks is encoded in one go, for they may join such runs.
-_PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
+# A byte-level tokenizer first cuts a text into words, each with the space before it, numbers,
+# and runs of other characters.  So it may be cut before any run of blanks that stands behind something
+# else, and where plain letters, digits and other characters meet; but an apostrophe stays
+# with the letters behind it.  Only spaces and line feeds count as blanks here, and a text
+# with other blanks is encoded in one go, for they may join runs of blanks.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿĀ-ſ"
+_FINE = re.compile(rf"[ \n]*(?:'?[{_LETTERS}]+|[0-9]+|[^ \n0-9{_LETTERS}]+)|[ \n]+").findall
+_COARSE = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
+_NOT_PLAIN = re.compile(rf"[^ -~\n{_LETTERS}]").search
 _OTHER_BLANKS = re.compile(r"[^\S \n]").search
+# Pieces that are a single word for the tokenizer.
+_ONE_WORD = re.compile(rf" ?(?:[{_LETTERS}]+|[0-9]+|[!-&(-/:-@\[-`{{-~]+)").fullmatch
 
 _TOKENIZERS: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> list[str]:
+    """The character that a byte-level vocabulary writes for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
 class Encoder:
-    """Ids of texts as bytes; pieces between blanks are encoded once while remembered."""
+    """Ids of texts as bytes; pieces of texts are encoded once while remembered."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.kind = np.dtype("<u4" if self.wide else "<u2")
+        described = json.loads(self.tokenizer.to_str())
+        before = described["pre_tokenizer"] or {}
+        #: Whether texts may be cut, and words be given to the model as they are.
+        self.byte_level = (
+            described["model"]["type"] == "BPE"
+            and before.get("type") == "ByteLevel"
+            and before.get("use_regex")
+            and not before.get("add_prefix_space")
+            and described["normalizer"] is None
+            and described["post_processor"] is None
+        )
+        added = [re.escape(x["content"]) for x in described["added_tokens"]]
+        self.added = re.compile("|".join(added) or r"(?!)").search
+        self.letters = _byte_letters()
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -57,27 +89,55 @@ class Encoder:
             _TOKENIZERS[path] = cls(path)
         return _TOKENIZERS[path]
 
+    def _packed(self, ids: list[int]) -> bytes:
+        return array("I" if self.wide else "H", ids).tobytes()
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
+        return [self._packed(x.ids) for x in found]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of single words, straight from the model."""
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters.__getitem__
+        shown = [
+            w.replace(" ", letters(32)) if w.isascii() else "".join(map(letters, w.encode()))
+            for w in words
+        ]
+        return [self._packed([t.id for t in tokenize(w)]) for w in shown]
+
+    def _pieces(self, text: str) -> list[str]:
+        if self.added(text) or _OTHER_BLANKS(text):
+            return [text]
+        return _COARSE(text) if _NOT_PLAIN(text) else _FINE(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [[x] if _OTHER_BLANKS(x) else _PIECES(x) for x in texts]
+        if not self.byte_level:
+            return self._encode(texts)
+        pieces = [self._pieces(x) for x in texts]
         distinct: set[str] = set()
         for own in pieces:
             distinct.update(own)
-        new = [x for x in distinct if x not in self.memo]
-        if len(self.memo) + len(new) > MEMO_PIECES:
-            self.memo.clear()
-            new = list(distinct)
-        long = [x for x in new if len(x) > MEMO_LENGTH]
-        short = [x for x in new if len(x) <= MEMO_LENGTH]
-        self.memo.update(zip(short, self._encode(short), strict=True))
-        rest = dict(zip(long, self._encode(long), strict=True))
-        if not rest:
-            return [b"".join(map(self.memo.__getitem__, own)) for own in pieces]
-        known = self.memo
-        return [b"".join(known[x] if x in known else rest[x] for x in own) for own in pieces]
+        if len(self.memo) > MEMO_PIECES:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        words, others = [], []
+        for x in distinct:
+            if x in memo:
+                continue
+            if x in older:
+                memo[x] = older[x]
+            elif _ONE_WORD(x) and not self.added(x):
+                words.append(x)
+            else:
+                others.append(x)
+        made = dict(zip(words, self._words(words), strict=True))
+        made.update(zip(others, self._encode(others), strict=True))
+        long = {x: ids for x, ids in made.items() if len(x) > MEMO_LENGTH}
+        memo.update(made)
+        found = [b"".join(map(memo.__getitem__, own)) for own in pieces]
+        for x in long:  # in use for these texts only
+            del memo[x]
+        return found
 
 
 def _steps(texts: list[str]) -> Iterator[list[str]]:
