@@ -285,6 +285,12 @@ WHERE json_valid(body) AND json_extract(CASE WHEN json_valid(body) THEN body END
 
 ORACLE_SQL: dict[str, str] = {
     "s1_scan_corpus": f"WITH {SCAN} SELECT snippet, {NODE_COLUMNS} FROM nodes",
+    "s1_scan_tree": f"""WITH {NAMED}, kept AS (SELECT * FROM named
+  WHERE NOT ({_excluded(fv.EXCLUDED_NAMES, fv.KEPT_DOT_NAMES)}))
+SELECT 'corpus/' || array_to_string(string_split(path, '/')[:-2], '/') || '/n' || doc_id || ' [é#%41]/' || name AS path,
+  strlen(content) AS size,
+  CASE WHEN {SCANNABLE} OR name IN {_in(fv.README_NAMES)} OR ext IN {_in(fv.ANNOTATABLE_EXTENSIONS)}
+    THEN md5(content) END AS content_md5 FROM kept""",
     "s2_import_path_list": f"WITH {PATH_NODES} SELECT {NODE_COLUMNS} FROM nodes",
     "s3_import_tree_listing": f"""WITH RECURSIVE source AS ({_base(fixtures.LISTINGS)}),
 rows AS (SELECT listing_id, k, string_split(text, chr(10))[k] AS line
@@ -340,9 +346,14 @@ FROM ({_base(fixtures.CATALOGUES)}) c WHERE json_extract(body, '$.snippets') IS
 SELECT t.repo, '{BASE_PATH}' || t.repo AS base_path, substr(any_value(r.readme), 1, 1500) AS readme,
   '{GENERATED_AT}' AS generated_at, 'heuristics-only' AS model, bool_or(snippet IS NOT NULL) AS has_snippets
 FROM tagged t JOIN readmes r USING (repo) GROUP BY t.repo""",
+    "s5_export_tree": f"""WITH {SCAN} SELECT repo, path, parent_path, name, kind, depth,
+  CASE WHEN kind = 'file' THEN coalesce(description, '—') ELSE description END AS description, tags,
+  CASE WHEN kind = 'dir' OR description IS NOT NULL THEN 'heuristic' END AS description_source FROM nodes""",
+    "s5_export_snippets": f"WITH {SCAN} SELECT repo, path, snippet FROM nodes WHERE snippet IS NOT NULL",
     "s6_readme_context": f"WITH {FILES}, {READMES} SELECT repo, readme FROM readmes",
-    "s7_write_rewritten": f"""WITH {NAMED} SELECT doc_id, array_to_string(string_split(path, '/')[:-2], '/') || '/' ||
-  array_to_string(string_split(name, '.')[:-2], '.') || '.annotated.' || string_split(name, '.')[-1] AS target FROM named""",
+    "s7_write_rewritten": f"""WITH {NAMED} SELECT repo, path, array_to_string(string_split(path, '/')[:-2], '/') || '/' ||
+  array_to_string(string_split(name, '.')[:-2], '.') || '.annotated.' || string_split(name, '.')[-1] AS target,
+  md5(content) AS content_md5 FROM named""",
     "f1_exclude_paths": f"WITH {FILES} SELECT doc_id, path FROM files WHERE NOT "
     f"({_excluded([*fv.EXCLUDED_NAMES, 'tests', 'd7'], fv.KEPT_DOT_NAMES)})",
     "f2_scannable": f"WITH {NAMED} SELECT doc_id, path FROM named WHERE {SCANNABLE}",

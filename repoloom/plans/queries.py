@@ -68,6 +68,18 @@ def s1_scan_corpus(spark, sf_dir):
     return _flat_nodes(nodes, "snippet")
 
 
+def s1_scan_tree(spark, sf_dir):
+    """The files as a tree on a file system, scanned back whole."""
+    folder = streams.work_folder(spark, "tree")
+    files = fixtures.files(spark, sf_dir)
+    # A folder of its own for each document, for some paths occur twice.
+    place = F.regexp_replace("path", "([^/]+)$", F.concat(F.lit("n"), F.col("doc_id"), F.lit(" [é#%41]/$1")))
+    files = files.withColumn("path", F.concat(F.lit("corpus/"), place)).repartition("doc_id")
+    corpus.write_tree(files, folder).agg(F.sum("written")).collect()
+    scanned = corpus.scan_corpus(spark, [f"{folder}/corpus"])
+    return scanned.select("path", "size", F.md5("content").alias("content_md5"))
+
+
 def s2_import_path_list(spark, sf_dir):
     return _flat_nodes(_path_nodes(spark, sf_dir))
 
@@ -95,24 +107,43 @@ def s4_import_snippets(spark, sf_dir):
     return found.filter(F.col("snippet").isNotNull()).select("repo", "path", "snippet")
 
 
-def s5_export_catalogue(spark, sf_dir):
+def _exported(spark, sf_dir) -> str:
+    """The folder that manifest, tree and snippets of the scan were written to."""
+    folder = streams.work_folder(spark, "export")
     files = fixtures.files(spark, sf_dir)
-    # Directories add nothing to a manifest, so file nodes are enough.
-    nodes = catalogue.file_nodes(catalogue.tagged_files(files))
+    catalogue.scan(files).write.parquet(f"{folder}/nodes")
+    nodes = spark.read.parquet(f"{folder}/nodes")
     manifest = catalogue_source.manifest(nodes, files, BASE_PATH, GENERATED_AT)
-    return manifest.select(
+    catalogue_source.export_catalogue(nodes, manifest, f"{folder}/out")
+    return f"{folder}/out"
+
+
+def s5_export_catalogue(spark, sf_dir):
+    return spark.read.json(f"{_exported(spark, sf_dir)}/manifest").select(
         "repo", F.col("basePath").alias("base_path"), "readme",
         F.col("generatedAt").alias("generated_at"), "model",
         F.col("hasSnippets").alias("has_snippets"),
     )
 
 
+def s5_export_tree(spark, sf_dir):
+    return _flat_nodes(spark.read.json(f"{_exported(spark, sf_dir)}/tree"), "description_source")
+
+
+def s5_export_snippets(spark, sf_dir):
+    return spark.read.json(f"{_exported(spark, sf_dir)}/snippets").select("repo", "path", "snippet")
+
+
 def s6_readme_context(spark, sf_dir):
     return readme.readme_context(fixtures.files(spark, sf_dir))
 
 
 def s7_write_rewritten(spark, sf_dir):
-    return corpus.with_target(fixtures.files(spark, sf_dir)).select("doc_id", "target")
+    folder = streams.work_folder(spark, "rewritten")
+    corpus.write_rewritten(fixtures.files(spark, sf_dir), folder)
+    return spark.read.parquet(folder).select(
+        "repo", "path", "target", F.md5("content").alias("content_md5")
+    )
 
 
 # --- filters -----------------------------------------------------------------
@@ -492,8 +523,9 @@ def w2_stream_tags(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        s1_scan_corpus, s2_import_path_list, s3_import_tree_listing, s4_import_catalogue,
-        s4_import_manifest, s4_import_snippets, s5_export_catalogue, s6_readme_context, s7_write_rewritten,
+        s1_scan_corpus, s1_scan_tree, s2_import_path_list, s3_import_tree_listing, s4_import_catalogue,
+        s4_import_manifest, s4_import_snippets, s5_export_catalogue, s5_export_tree,
+        s5_export_snippets, s6_readme_context, s7_write_rewritten,
         f1_exclude_paths, f2_scannable, f3_annotatable, f4_prune_empty_dirs,
         f5_files_with_tag, f6_has_marks,
         p1_describe_files, p2_describe_dirs, p3_name_tags, p4_import_tags, p5_merge_tags,
