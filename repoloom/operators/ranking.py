@@ -9,6 +9,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 # Up to here Spark limits a rank before the shuffle as well.
 LIMITED_RANK = 1000
 
@@ -44,6 +46,7 @@ def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], out: s
     many offsets as ranges.  Rows that are equal in keys and order get any of their positions.
     """
     spark = rows.sparkSession
+    ship(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = rows.columns
     flagged = [c for key in keys for c in (F.isnull(key), F.col(key))]

@@ -7,7 +7,6 @@ from ..functions import fixed_values as fv
 from ..functions import rules
 from ..functions.sqltext import text_array, text_list
 from ..functions.text import BLANKS, char_class, strip
-from .joins import join_small
 from .ranking import first_ranks, ranked
 
 _BLANK = char_class(BLANKS)
@@ -55,9 +54,10 @@ def latest_tags(tags: DataFrame) -> DataFrame:
 def commits_since_release(commits: DataFrame, tags: DataFrame) -> DataFrame:
     """Commits newer than their repo's latest tag; all where there is none.
 
-    Ancestry is approximated by time.
+    Ancestry is approximated by time.  A repo with very many commits is split by AQE, or
+    never gathered, where the tags turn out small enough to be broadcast.
     """
-    joined = join_small(commits, latest_tags(tags).select("repo", "tag_ts"), ["repo"])
+    joined = commits.join(latest_tags(tags).select("repo", "tag_ts"), "repo", "left")
     return joined.filter(F.col("tag_ts").isNull() | (F.col("ts") > F.col("tag_ts"))).drop("tag_ts")
 
 

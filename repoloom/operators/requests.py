@@ -9,12 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import paths, rules, text
 from . import filters, marks
-from .joins import join_small
 from .ranking import ranked
 
-# READMEs of 1500 characters: at most some 60 MB.
-README_BROADCAST_ROWS = 10_000
-
 # Wording of the requests.
 DESCRIBE_STYLES = {
     "plain": (
@@ -76,8 +72,7 @@ def batch_paths(nodes: DataFrame, size: int = fv.BATCH_SIZE) -> DataFrame:
     per_batch = F.when(
         F.col("has_snippets"), F.lit(batch_size_for(True, size))
     ).otherwise(F.lit(size))
-    counted = nodes.select("repo").distinct()
-    return join_small(numbered, repos, ["repo"], "inner", counted=counted).select(
+    return numbered.join(repos, "repo").select(
         *wanted,
         "position",
         F.floor((F.col("position") - 1) / per_batch).cast("bigint").alias("batch_id"),
@@ -101,10 +96,8 @@ def build_requests(batches: DataFrame, readmes: DataFrame, style: str = "plain")
     )
     readme = F.substring(F.coalesce("readme", F.lit("")), 1, fv.README_STORED_CHARS)
     context = F.when(readme != "", F.concat(F.lit(" Project context: "), readme)).otherwise("")
-    # As many rows as repos, each with a context of limited length.
-    repos = readmes.select("repo")
     contexts = readmes.select("repo", context.alias("_context"))
-    return join_small(grouped, contexts, ["repo"], rows=README_BROADCAST_ROWS, counted=repos).select(
+    return grouped.join(contexts, "repo", "left").select(
         "repo",
         "batch_id",
         F.size("entries").cast("bigint").alias("paths"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import rules
+from ..functions.shipping import ship
 from ..operators.filters import scannable_expr
 from ..operators.ranking import ensure_checkpoint_dir
 
@@ -127,6 +128,7 @@ def scan_corpus(
     """
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ensure_checkpoint_dir(spark)
+    ship(spark)
     names = [*excludes, *extra_excludes]
     kept = ~rules.excluded("path", names, list(kept_dot_names))
     rows = [(name, name, root, None, True, 0) for name, root in _named_roots(roots)]
@@ -172,6 +174,7 @@ def write_tree(files: DataFrame, folder: str) -> DataFrame:
                 written += 1
         yield pd.DataFrame({"written": [written]})
 
+    ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(write, "written bigint")
 
 

@@ -267,18 +267,3 @@ def test_rewritten_names_and_sink(spark, tmp_path):
     target = str(tmp_path / "rewritten")
     corpus.write_rewritten(df, target)
     assert values(spark.read.parquet(target), "path", "content") == values(df, "path", "content")
-
-
-def test_small_side_is_broadcast_only_below_the_limit(spark):
-    from repoloom.operators.joins import join_small
-
-    left = spark.range(100).select((F.col("id") % 5).alias("k"), "id")
-    right = spark.range(5).select(F.col("id").alias("k"), F.lit("x").alias("v"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        small, large = join_small(left, right, ["k"], rows=5), join_small(left, right, ["k"], rows=4)
-        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (small, large)]
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1]
-    assert values(small) == values(large)

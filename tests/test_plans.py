@@ -73,3 +73,20 @@ def test_search_exchanges_only_the_best(stored):
 def test_tag_rules_are_evaluated_once(spark):
     for name in ("a2_tag_counts", "f5_files_with_tag", "q1_search", "q2_search_many", "p4_import_tags"):
         assert plan(QUERIES[name](spark, SMALL)).count("regexp_extract_all") == 1, name
+
+
+# These store ranks, read or write files, or run a stream.
+STORING = ("s1_scan_tree", "s5_", "s7_", "t7_", "l1_", "l2_", "l6_batches", "c6_", "w")
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(STORING)])
+def test_building_a_query_runs_no_job(spark, name):
+    context = spark.sparkContext
+    context.setJobGroup(f"build-{name}", name)
+    try:
+        QUERIES[name](spark, SMALL)
+        jobs = context.statusTracker().getJobIdsForGroup(f"build-{name}")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    # Reading a parquet schema is a job of its own kind: one per table at most.
+    assert len(jobs) <= 4
