@@ -5,9 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator, Sequence
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +14,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repoloom.functions.shipping import ship  # noqa: F401
+
+
 U64 = np.uint64
-_SHIPPED: dict[str, str] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,20 +40,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives the Python workers this package, wherever they run; once per application."""
-    context = spark.sparkContext
-    if _SHIPPED.get("application") == context.applicationId:
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="repoloom-code-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as code:
-        for file in sorted(package.rglob("*.py")):
-            code.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    _SHIPPED["application"] = context.applicationId
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/repoloom-llm/{name}-{uuid.uuid4().hex}"
 
