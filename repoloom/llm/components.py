@@ -22,8 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct(),
         "edges",
     )
-    last = None
-    while True:
+    while not _are_stars(pairs):
         both = pairs.union(pairs.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = (
@@ -41,9 +40,13 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         pairs = common.stored(small, "edges")
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == last:
-            break
-        last = state
     roots = pairs.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return pairs.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
+
+
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether no node has two smaller ones, or is both smaller and larger than another."""
+    ends = pairs.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(pairs.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.filter("up > 1 or up + down > 1").isEmpty()

@@ -13,8 +13,8 @@ all tables with probability 3e-4, one of 0.8 with 2e-5, of 0.9 below 1e-8.
 3.  Pairs whose 96 minhashes agree in fewer than half are no links (five and more
     deviations away from 0.75); the others are verified on full sets made from texts.
 4.  A set may be linked to another member of its key than the smallest.  Classes joined by pairs
-    that agree in a third of the minhashes or more form clusters, and inside a cluster all
-    pairs of different classes are estimated, and verified where they agree enough.
+    that agree in a third of the minhashes or more form clusters, and inside a cluster the
+    sets outside the largest class are compared with all others, on full sets.
 """
 
 from __future__ import annotations
@@ -311,30 +311,48 @@ def _sketch_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
-def _across(own: pa.Table, minority: pa.Table) -> pa.Table:
-    """Pairs of a block and the smaller classes of its cluster, of different classes, that agree."""
-    pairs = []
-    if own.num_rows and minority.num_rows:
-        left, right = (_sketch_rows(t.column("sketch").combine_chunks()) for t in (own, minority))
-        ids, other = (t.column("id").to_numpy() for t in (own, minority))
-        classes, others = (t.column("class").to_numpy() for t in (own, minority))
-        for lo in range(0, len(other), 256):
-            part = right[lo : lo + 256]
-            same = np.zeros((len(left), len(part)), np.int16)
-            for k in range(HASHES):
-                same += left[:, k, None] == part[None, :, k]
-            fit = (same >= LEAST_AGREEING) & (classes[:, None] != others[None, lo : lo + 256])
-            i, j = np.nonzero(fit)
-            pairs.append(np.sort(np.stack([ids[i], other[lo + j]], 1), axis=1))
-    found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
-
-
-def _rest(related: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of different classes that agree, inside clusters of classes that are related.
-
-    Each block of a cluster meets the members of all classes but the cluster's largest, so the
-    work is its size times what lies outside its largest class.
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The full sets, packed; rows of the same doc_id that hold another set are passed over."""
+    for batch in batches:
+        own = [shingle_set(x.as_py()) for x in batch.column("text")]
+        named = zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)
+        right = pa.array([_set_name(x) == name for x, name in zip(own, named, strict=True)], pa.bool_())
+        rows = batch.select(["id", "class", "cluster", "largest", "blocks"])
+        rows = rows.append_column("shingles", pa.array([x.tobytes() for x in own], pa.binary()))
+        yield rows.filter(right)
+
+
+def _across(own: pa.Table, others: pa.Table) -> pa.Table:
+    """Links between a block and the smaller classes of its cluster: for each set of those, one
+    to each class of the block that it has any with."""
+    pairs: list[tuple[int, int]] = []
+    if own.num_rows and others.num_rows:
+        sets = [np.frombuffer(x.as_py(), U64) for x in own.column("shingles")]
+        sizes = np.array([len(x) for x in sets])
+        ids, classes = (own.column(c).to_numpy() for c in ("id", "class"))
+        values = np.concatenate(sets)
+        rows = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, rows = values[order], rows[order]
+        for other, of, x in zip(*(others.column(c) for c in ("id", "class", "shingles")), strict=True):
+            x = np.frombuffer(x.as_py(), U64)
+            lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+            length = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
+            shared = np.bincount(rows[at + np.arange(length.sum())], minlength=len(sets))
+            linked = 100 * shared >= 75 * (sizes + len(x) - shared)
+            linked &= classes != of.as_py()
+            found = np.flatnonzero(linked)
+            _, first = np.unique(classes[found], return_index=True)
+            pairs += [(int(i), other.as_py()) for i in ids[found[first]]]
+    return pa.table({c: pa.array([p[k] for p in pairs], pa.int64()) for k, c in enumerate("ab")})
+
+
+def _rest(related: DataFrame, sets: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between different classes, inside clusters of classes that are related.
+
+    Each block of a cluster meets the members of all classes but the cluster's largest, on
+    full sets; so the work is the cluster's size times what lies outside its largest class.
     """
     named = lambda s: classes.select(F.col("id").alias(s), F.col("component").alias(f"class_{s}"))
     cross = (
@@ -346,11 +364,10 @@ def _rest(related: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     )
     clusters = components(cross).select(F.col("id").alias("class"), F.col("component").alias("cluster"))
     members = common.stored(
-        sets.select("id", "sketch")
+        sets.select("id", "set_a", "set_b")
         .join(classes, "id", "left")
-        .select("id", "sketch", F.coalesce("component", "id").alias("class"))
-        .join(clusters, "class")
-        .select("id", "class", "cluster", "sketch"),
+        .select("id", "set_a", "set_b", F.coalesce("component", "id").alias("class"))
+        .join(clusters, "class"),
         "members",
     )
     sizes = members.groupBy("cluster", "class").agg(F.count("*").alias("n"))
@@ -358,16 +375,23 @@ def _rest(related: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
         F.max(F.struct("n", "class"))["class"].alias("largest"),
         F.ceil(F.sum("n") / BLOCK_SETS).cast("long").alias("blocks"),
     )
-    placed = common.stored(members.join(sizes, "cluster"), "placed")
-    columns = ["id", "class", "cluster", "block", "sketch"]
+    kinds = "id long, class long, cluster long, largest long, blocks long, shingles binary"
+    placed = common.stored(
+        members.join(sizes, "cluster")
+        .join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+        .select("id", "class", "cluster", "largest", "blocks", "set_a", "set_b", "text")
+        .mapInArrow(_shingled, kinds),
+        "placed",
+    )
+    columns = ["id", "class", "cluster", "block", "shingles"]
     own = placed.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).select(*columns)
-    minority = (
-        common.stored(placed.filter("class <> largest"), "minority")
+    others = (
+        common.stored(placed.filter("class <> largest"), "smaller")
         .withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
         .select(*columns)
     )
-    pairs = own.groupBy("cluster", "block").cogroup(minority.groupBy("cluster", "block"))
-    return pairs.applyInArrow(_across, "a long, b long").distinct()
+    pairs = own.groupBy("cluster", "block").cogroup(others.groupBy("cluster", "block"))
+    return common.stored(pairs.applyInArrow(_across, "a long, b long").distinct(), "rest")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,8 +462,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     related = common.stored(_agreements(links, sets), "related")
     sure = _verified(related, rows, "sure")
     classes = common.stored(components(sure), "classes")
-    rest = common.stored(_agreements(_rest(related, sets, classes), sets), "rest")
-    more = _verified(rest, rows, "more")
+    more = _rest(related, sets, classes, rows)
     stars = classes.select(F.col("component").alias("a"), F.col("id").alias("b"))
     classes = common.stored(components(stars.union(more)), "classes")
     named = sets.select("set_a", "set_b", "id").join(classes, "id", "left")
