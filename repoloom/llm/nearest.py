@@ -30,7 +30,7 @@ SURE = 0.995
 #: Rows that the cuts of the cells are fitted on, at most; rows per cell aimed at.
 SAMPLE_ROWS = 50_000
 CELL_ROWS = 20_000
-LEAF_ROWS = 48
+LEAF_ROWS = 256
 _SLACK = 1e-9
 
 
@@ -157,6 +157,11 @@ def _search(ids, vectors, query_ids, queries, k):
                 if len(best) == k and distances[at] > _LIMIT * max(2 - 2 * best[-1], 0) + _SLACK:
                     break
                 own = slice(begin[at], end[at])
+                if len(best) == k:
+                    # Matrix products round by position; near the limit the scores decide.
+                    rough = (vectors[own] @ query) / (norms[own] * norm)
+                    if rough.max() < best[-1] - _SLACK:
+                        continue
                 scores = (vectors[own] * query).sum(1) / (norms[own] * norm)
                 other = ids[own] != query_id
                 all_ids = np.concatenate([best_ids, ids[own][other]])
