@@ -148,11 +148,11 @@ with captures as (
     regexp_replace(lower(regexp_extract(url,
       '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.$', '') as host,
     list_filter(string_split(regexp_extract(url,
-      '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), x -> x <> '') as path
+      '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') as path
   from pages
 ),
 entries as (
-  select 'hosts' as list, host as pattern, fetched + interval 11 day as at,
+  select 'hosts' as list, host as pattern, fetched + interval 11 day as since,
     length(url) % 3 = 0 as active from captures
   union all
   select 'sections', lower(case when len(path) > 0 then host || '/' || path[1] else host end),
@@ -162,11 +162,11 @@ entries as (
     length(url) % 5 = 0 from captures
 ),
 states as (
-  select list, pattern, at, max(active) as active from entries
-  where pattern is not null and at is not null and active is not null group by all
+  select list, pattern, since, max(active) as active from entries
+  where pattern is not null and since is not null and active is not null group by all
 ),
 valid as (
-  select *, lead(at) over (partition by list, pattern order by at) as until from states
+  select *, lead(since) over (partition by list, pattern order by since) as until from states
 ),
 keys as (
   select distinct page_id, url, fetched, unnest(list_concat(
@@ -180,7 +180,7 @@ found as (
   select page_id, url, fetched, count(*) as n_matches,
     string_agg(distinct list, ',' order by list) as lists,
     arg_min(pattern, (-length(pattern), pattern)) as pattern
-  from keys join valid on key = pattern and active and fetched >= at
+  from keys join valid on key = pattern and active and fetched >= since
     and (until is null or fetched < until)
   group by all
 )
@@ -190,5 +190,114 @@ from captures c left join found f
   on c.page_id = f.page_id and c.url = f.url and c.fetched = f.fetched
 """
 
+# Bytes as pairs of hexadecimal digits, so that a string of 50 bytes is 100 characters.
+_OP1 = """
+with d as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+),
+n as (select *, length(h) // 2 as n from d),
+starts as (
+  select doc_id, p, h[2 * p - 1:2 * p + 98] as s
+  from n, range(1, n - 48) r(p) where n >= 50
+),
+firsts as (select s, min(doc_id) as first from starts group by s having count(distinct doc_id) > 1),
+gone as (
+  select doc_id, p, p + 50 as q from starts join firsts using (s) where first < doc_id
+),
+runs as (
+  select doc_id, p, q, coalesce(p > max(q) over (partition by doc_id order by p
+    rows between unbounded preceding and 1 preceding), true) as fresh from gone
+),
+spans as (
+  select doc_id, run, min(p) as lo, max(q) as hi from (
+    select *, sum(fresh::int) over (partition by doc_id order by p) as run from runs
+  ) x group by doc_id, run
+),
+kept as (
+  select doc_id, coalesce(string_agg(h[2 * lo - 1:2 * hi - 2], '' order by lo), '') as k from (
+    select n.doc_id, h, coalesce(lag(s.hi) over w, 1) as lo, s.lo as hi
+    from n join spans s on s.doc_id = n.doc_id window w as (partition by n.doc_id order by s.lo)
+    union all
+    select n.doc_id, any_value(h), max(s.hi), any_value(n) + 1 from n join spans s on s.doc_id = n.doc_id
+    group by n.doc_id
+  ) y where hi > lo group by doc_id
+),
+sums as (select doc_id, sum(hi - lo) as n_removed, count(*) as n_spans from spans group by doc_id)
+select n.doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed,
+  coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(case when n_spans is null then h else coalesce(k, '') end)) as kept_sha256
+from n left join sums s on s.doc_id = n.doc_id left join kept x on x.doc_id = n.doc_id
+"""
+
+_OP2 = r"""
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents
+),
+shingles as (
+  select distinct doc_id, array_to_string(w[k:k + 4], ' ') as s
+  from d, range(1, greatest(len(w) - 3, 2)) r(k) where len(w) > 0
+),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c
+  from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all
+),
+links as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * c >= 75 * (x.n + y.n - c)
+),
+both_ways as (select a, b from links union select b, a from links),
+reach as (
+  select a, b from both_ways
+  union
+  select r.a, l.b from reach r join both_ways l on l.a = r.b
+),
+least as (select a, min(b) as m from reach group by a)
+select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) as component_id,
+  d.doc_id <= coalesce(m, d.doc_id) as kept
+from d left join sizes using (doc_id) left join least on a = d.doc_id
+"""
+
+_OP8 = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+),
+items as (
+  select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark
+),
+windows as (
+  select distinct item, array_to_string(w[k:k + 9], ' ') as s, least(len(w), 10) as n
+  from items, range(1, greatest(len(w) - 9, 1) + 1) r(k) where len(w) > 0
+),
+hits as (
+  select doc_id, k, x.n, item
+  from (select doc_id, k, l.n, array_to_string(w[k:k + l.n - 1], ' ') as s
+    from d, (select distinct n from windows) l, range(1, len(w) + 1) r(k) where k + l.n - 1 <= len(w)) x
+  join windows v on v.s = x.s and v.n = x.n
+),
+words as (
+  select doc_id, count(distinct p) as n_hit from (
+    select doc_id, unnest(range(k, k + n)) as p from hits) y group by doc_id
+),
+named as (
+  select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as ids
+  from hits group by doc_id
+)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (doc_id) left join named using (doc_id)
+"""
+
 #: By query; the others can't be said in SQL and are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op4_url_lists": _OP4}
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": _OP1,
+    "op2_minhash_dedup": _OP2,
+    "op4_url_lists": _OP4,
+    "op8_decontaminate": _OP8,
+}
