@@ -13,8 +13,9 @@ all tables with probability 3e-4, one of 0.8 with 2e-5, of 0.9 below 1e-8.
 3.  Pairs whose 96 minhashes agree in fewer than half are no links (five and more
     deviations away from 0.75); the others are verified on full sets made from texts.
 4.  A set may be linked to another member of its key than the smallest.  Classes joined by pairs
-    that agree in a third of the minhashes or more form clusters, and inside a cluster the
-    sets outside the largest class are compared with all others, on full sets.
+    that agree in a third of the minhashes or more form clusters.  Inside a cluster the sets
+    outside the largest class are compared, on full sets, with all others that share one of
+    the rarest shingles of both; no linked pair of a cluster is without one.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repoloom.llm import common
@@ -38,8 +39,11 @@ HASHES = 2 * PIECES * PIECE
 LEAST_AGREEING = HASHES // 2
 #: Agreeing minhashes from which sets belong to one cluster, where all pairs across classes are looked at.
 LEAST_RELATED = HASHES // 3
-#: Sets per block of a cluster.
+#: Sets, and shingles, per block of a cluster on average.
 BLOCK_SETS = 512
+BLOCK_SHINGLES = 1 << 19
+#: Sets that are made rows of shingles at a time.
+SPREAD_SETS = 64
 
 #: Bytes per block of the word pass, shingles per block of the minhash pass.
 BLOCK = 1 << 20
@@ -317,42 +321,93 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [shingle_set(x.as_py()) for x in batch.column("text")]
         named = zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)
         right = pa.array([_set_name(x) == name for x, name in zip(own, named, strict=True)], pa.bool_())
-        rows = batch.select(["id", "class", "cluster", "largest", "blocks"])
+        rows = batch.drop_columns(["text"])
         rows = rows.append_column("shingles", pa.array([x.tobytes() for x in own], pa.binary()))
         yield rows.filter(right)
 
 
-def _across(own: pa.Table, others: pa.Table) -> pa.Table:
-    """Links between a block and the smaller classes of its cluster: for each set of those, one
-    to each class of the block that it has any with."""
-    pairs: list[tuple[int, int]] = []
-    if own.num_rows and others.num_rows:
-        sets = [np.frombuffer(x.as_py(), U64) for x in own.column("shingles")]
-        sizes = np.array([len(x) for x in sets])
-        ids, classes = (own.column(c).to_numpy() for c in ("id", "class"))
-        values = np.concatenate(sets)
-        rows = np.repeat(np.arange(len(sets)), sizes)
-        order = np.argsort(values, kind="stable")
-        values, rows = values[order], rows[order]
-        for other, of, x in zip(*(others.column(c) for c in ("id", "class", "shingles")), strict=True):
-            x = np.frombuffer(x.as_py(), U64)
-            lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
-            length = hi - lo
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
-            shared = np.bincount(rows[at + np.arange(length.sum())], minlength=len(sets))
-            linked = 100 * shared >= 75 * (sizes + len(x) - shared)
-            linked &= classes != of.as_py()
-            found = np.flatnonzero(linked)
-            _, first = np.unique(classes[found], return_index=True)
-            pairs += [(int(i), other.as_py()) for i in ids[found[first]]]
-    return pa.table({c: pa.array([p[k] for p in pairs], pa.int64()) for k, c in enumerate("ab")})
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per shingle of each set."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SPREAD_SETS):
+            part = batch.slice(lo, SPREAD_SETS)
+            sets = [np.frombuffer(x.as_py(), np.int64) for x in part.column("shingles")]
+            at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            rows = part.drop_columns(["shingles"]).take(pa.array(at))
+            yield rows.append_column("shingle", pa.array(np.concatenate(sets)))
+
+
+def _candidates(placed: DataFrame) -> DataFrame:
+    """Pairs of sets of different classes of a cluster, one of them outside its largest class,
+    that may be linked: a, set_a and block_a, and b, set_b and block_b.
+
+    Linked sets share at least three quarters of each, so the first quarter of both (and one
+    more), in any order of all shingles, has a shingle in common; the first one they share must
+    leave room for the rest.  The rarest come first.  A shingle of many sets is dealt by blocks
+    of both sides, BLOCK_SETS sets a side.
+    """
+    rows = placed.withColumn("small", F.col("class") != F.col("largest"))
+    rows = rows.select("id", "set_a", "n", "class", "cluster", "small", "blocks", "shingles")
+    kinds = "id long, set_a long, n long, class long, cluster long, small boolean, blocks long, shingle long"
+    spread = rows.mapInArrow(_spread, kinds)
+    counted = spread.groupBy("cluster", "shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
+    by_set = Window.partitionBy("id", "set_a").orderBy(F.coalesce("holders", F.lit(1)), "shingle")
+    block = lambda n: F.pmod(F.xxhash64("id"), n)
+    first = common.stored(
+        spread.join(counted, ["cluster", "shingle"], "left")
+        .withColumn("place", F.row_number().over(by_set))
+        .filter("holders > 1 and place <= n - (3 * n + 3) div 4 + 1")
+        .withColumn("parts", F.ceil(F.col("holders") / BLOCK_SETS).cast("long"))
+        .withColumns({"part": block(F.col("parts")), "block": block(F.col("blocks"))})
+        .select("cluster", "shingle", "id", "set_a", "n", "class", "small", "place", "parts", "part", "block"),
+        "first",
+    )
+    every = F.explode(F.expr("sequence(0L, parts - 1)"))
+
+    def side(df: DataFrame, s: str, own: str, other: str) -> DataFrame:
+        named = {"id": s, "set_a": f"set_{s}", "part": own, "block": f"block_{s}"}
+        named |= {c: f"{c}_{s}" for c in ("n", "class", "small", "place")}
+        return df.withColumn(other, every).drop("parts").withColumnsRenamed(named)
+
+    return (
+        side(first.filter("small"), "a", "part_a", "part_b")
+        .join(side(first, "b", "part_b", "part_a"), ["cluster", "shingle", "part_a", "part_b"])
+        .filter("class_a <> class_b and (a < b or not small_b)")
+        .filter("7 * least(n_a - place_a + 1, n_b - place_b + 1) >= 3 * (n_a + n_b)")
+        .select("cluster", "a", "set_a", "block_a", "b", "set_b", "block_b")
+        .distinct()
+    )
+
+
+def _compared(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """The links among pairs of two blocks, but for those between classes that are joined already."""
+    named = (sets.column(c).to_pylist() for c in ("id", "set_a", "class", "shingles"))
+    full = {(i, name): (own, np.frombuffer(x, U64)) for i, name, own, x in zip(*named, strict=True)}
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
+    found: list[tuple[int, int]] = []
+    for a, set_a, b, set_b in zip(*(pairs.column(c).to_pylist() for c in ("a", "set_a", "b", "set_b")), strict=True):
+        (class_a, one), (class_b, two) = full[a, set_a], full[b, set_b]
+        class_a, class_b = root(class_a), root(class_b)
+        if class_a == class_b:
+            continue
+        shared = len(np.intersect1d(one, two, assume_unique=True))
+        if 100 * shared >= 75 * (len(one) + len(two) - shared):
+            above[class_a] = class_b
+            found.append((a, b))
+    return pa.table({c: pa.array([p[k] for p in found], pa.int64()) for k, c in enumerate("ab")})
 
 
 def _rest(related: DataFrame, sets: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between different classes, inside clusters of classes that are related.
 
-    Each block of a cluster meets the members of all classes but the cluster's largest, on
-    full sets; so the work is the cluster's size times what lies outside its largest class.
+    The pairs to compare come from a join on rare shingles; they are compared on full sets,
+    block by block of a cluster, BLOCK_SETS sets a side.
     """
     named = lambda s: classes.select(F.col("id").alias(s), F.col("component").alias(f"class_{s}"))
     cross = (
@@ -364,34 +419,35 @@ def _rest(related: DataFrame, sets: DataFrame, classes: DataFrame, docs: DataFra
     )
     clusters = components(cross).select(F.col("id").alias("class"), F.col("component").alias("cluster"))
     members = common.stored(
-        sets.select("id", "set_a", "set_b")
+        sets.select("id", "set_a", "set_b", "n")
         .join(classes, "id", "left")
-        .select("id", "set_a", "set_b", F.coalesce("component", "id").alias("class"))
+        .select("id", "set_a", "set_b", "n", F.coalesce("component", "id").alias("class"))
         .join(clusters, "class"),
         "members",
     )
-    sizes = members.groupBy("cluster", "class").agg(F.count("*").alias("n"))
+    sizes = members.groupBy("cluster", "class").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    full = F.greatest(F.sum("sets") / BLOCK_SETS, F.sum("shingles") / BLOCK_SHINGLES)
     sizes = sizes.groupBy("cluster").agg(
-        F.max(F.struct("n", "class"))["class"].alias("largest"),
-        F.ceil(F.sum("n") / BLOCK_SETS).cast("long").alias("blocks"),
+        F.max(F.struct("sets", "class"))["class"].alias("largest"),
+        F.ceil(full).cast("long").alias("blocks"),
     )
-    kinds = "id long, class long, cluster long, largest long, blocks long, shingles binary"
+    columns = ("id", "class", "cluster", "largest", "blocks", "n", "set_a", "set_b")
+    kinds = ", ".join(f"{c} long" for c in columns) + ", shingles binary"
     placed = common.stored(
         members.join(sizes, "cluster")
         .join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
-        .select("id", "class", "cluster", "largest", "blocks", "set_a", "set_b", "text")
-        .mapInArrow(_shingled, kinds),
+        .select(*columns, "text")
+        .mapInArrow(_shingled, kinds)
+        .dropDuplicates(["id", "set_a", "set_b"]),  # rows that repeat both doc_id and set
         "placed",
     )
-    columns = ["id", "class", "cluster", "block", "shingles"]
-    own = placed.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).select(*columns)
-    others = (
-        common.stored(placed.filter("class <> largest"), "smaller")
-        .withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        .select(*columns)
-    )
-    pairs = own.groupBy("cluster", "block").cogroup(others.groupBy("cluster", "block"))
-    return common.stored(pairs.applyInArrow(_across, "a long, b long").distinct(), "rest")
+    pairs = common.stored(_candidates(placed), "candidates")
+    at = ["cluster", "block_a", "block_b"]
+    used = pairs.select(*at, F.col("a").alias("id"), "set_a")
+    used = used.union(pairs.select(*at, F.col("b").alias("id"), "set_b")).distinct()
+    used = common.stored(used, "used").join(placed.select("id", "set_a", "class", "shingles"), ["id", "set_a"])
+    links = pairs.groupBy(*at).cogroup(used.groupBy(*at)).applyInArrow(_compared, "a long, b long")
+    return common.stored(links.distinct(), "rest")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,7 +503,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = common.stored(
         sketched.filter("n_shingles > 0")
         .groupBy("set_a", "set_b")
-        .agg(F.min("doc_id").alias("id"), F.min_by("sketch", "doc_id").alias("sketch"))
+        .agg(
+            F.min("doc_id").alias("id"),
+            F.min_by("sketch", "doc_id").alias("sketch"),
+            F.max("n_shingles").alias("n"),
+        )
         .repartition(common.tasks(spark), "id"),
         "sets",
     )

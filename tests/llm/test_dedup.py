@@ -138,6 +138,31 @@ def test_chains_of_links(documents):
     assert {r[2] for r in got} == {61}
 
 
+def test_clusters_of_unlinked_sets_are_compared_in_blocks(documents, monkeypatch):
+    # All share more than half of their text; few are linked, and each of those pairs in another half.
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    rand = random.Random(8)
+    shared = [f"s{i}" for i in range(70)]
+    rows = []
+    for i in range(120):
+        own = [f"u{rand.randrange(10**6)}" for _ in range(45)]
+        rows.append((100 + i, " ".join(shared + own)))
+        if i % 20 == 0:
+            rows.append((900 + i, " ".join(shared + own[:40])))
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 16)
+    largest, run = [], PandasCogroupedOps.applyInArrow
+
+    def counted(self, *args):
+        for group in (self._gd1, self._gd2):
+            largest.append(max((r["count"] for r in group.count().collect()), default=0))
+        return run(self, *args)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", counted)
+    assert classes(documents(rows + rows[:1])) == classes_by_hand(rows + rows[:1])
+    assert largest and max(largest) <= 3 * 16
+
+
 def test_classes_of_an_empty_table(documents):
     assert classes(documents([])) == []
 
