@@ -197,6 +197,13 @@ def test_languages_of_odd_texts(spark, documents):
     assert {r.lang_pred for r in language.identify(documents(ODD), nothing).collect()} == {"und"}
 
 
+def test_languages_of_equal_sizes_are_rejected(documents):
+    same = b"the same words in both dictionaries "
+    model = language.Languages((("aa", same), ("bb", same)))
+    got = language.identify(documents([(1, "short words"), (2, "the words " * 20)]), model).collect()
+    assert [(r.lang_pred, r.score, r.accepted) for r in got] == [("aa", 0.0, False)] * 2
+
+
 def mixed(spark):
     rows = [(i, f"text {i % 7}", f"s{i % 3}" if i % 2 else "hot") for i in range(500)]
     rows += [(1000, None, None), (1001, "", None), (None, "x", "hot"), (1002, "é🙂", "lone"), (5, "text 5", "s2"), (5, "text 5", "s2")]
