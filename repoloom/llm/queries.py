@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoloom.llm import (
+    centroids,
     common,
     decontaminate,
     language,
@@ -141,6 +142,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(common.read_table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
+
+
 _OP4 = r"""
 with captures as (
   select page_id, url,
@@ -294,10 +300,51 @@ select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_item
 from d left join words using (doc_id) left join named using (doc_id)
 """
 
+_OP12 = """
+with vectors as materialized (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
+  from embeddings
+  where len(embedding) = 64
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64
+),
+parts as materialized (select vec_id, unnest(v) as x, unnest(range(64)) as i from vectors),
+c0 as materialized (
+  select c, unnest(v) as y, unnest(range(64)) as i from (
+    select v, row_number() over (order by sha256('3:' || vec_id)) - 1 as c from vectors
+  ) f where c < 8
+)
+"""
+_OP12_ROUND = """,
+a{n} as materialized (
+  select vec_id, arg_min(c, (d, c)) as c, min(d) as d from (
+    select vec_id, c, sum((x - y) * (x - y))::bigint as d
+    from parts join c{n} using (i) group by vec_id, c
+  ) p group by vec_id
+)"""
+_OP12_MOVE = """,
+c{m} as materialized (
+  select o.c, o.i, coalesce((s - ((s % n) + n) % n) // n, y)::bigint as y
+  from c{n} o left join (
+    select c, i, sum(x) as s, count(*) as n from a{n} join parts using (vec_id) group by c, i
+  ) w on w.c = o.c and w.i = o.i
+)"""
+for _n in range(10):
+    _OP12 += (_OP12_ROUND + _OP12_MOVE).format(n=_n, m=_n + 1)
+_OP12 += _OP12_ROUND.format(n=10)
+_OP12 += """
+select vec_id, a.c::int as cluster, d as distance,
+  (sum(d) over (partition by a.c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia,
+  centroid_sha256
+from a10 a join (
+  select c, sha256(string_agg(y::varchar, ',' order by i)) as centroid_sha256 from c10 group by c
+) s on s.c = a.c
+"""
+
 #: By query; the others can't be said in SQL and are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_dedup": _OP1,
     "op2_minhash_dedup": _OP2,
     "op4_url_lists": _OP4,
     "op8_decontaminate": _OP8,
+    "op12_centroids": _OP12,
 }
