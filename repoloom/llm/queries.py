@@ -21,6 +21,7 @@ from repoloom.llm import (
     sharding,
     suffix_dedup,
     token_files,
+    toxicity,
     url_lists,
 )
 
@@ -154,6 +155,15 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(common.read_table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
 
 
+@_query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = common.read_table(spark, sf_dir, "labels")
+    held_out = toxicity.held_out(F.col("doc_id"))
+    found = toxicity.toxicity(docs, toxicity.fit(docs, labels, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 _OP4 = r"""
 with captures as (
   select page_id, url,
