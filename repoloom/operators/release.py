@@ -7,6 +7,7 @@ from ..functions import fixed_values as fv
 from ..functions import rules
 from ..functions.sqltext import text_array, text_list
 from ..functions.text import BLANKS, char_class, strip
+from .ancestry import since_tag
 from .ranking import first_ranks, ranked
 
 _BLANK = char_class(BLANKS)
@@ -54,13 +55,23 @@ def latest_tags(tags: DataFrame) -> DataFrame:
 def commits_since_release(commits: DataFrame, tags: DataFrame) -> DataFrame:
     """Commits newer than their repo's latest tag; all where there is none.
 
-    Ancestry is approximated by time.  A repo with very many commits is split by AQE, or
+    For histories without parents: ancestry is approximated by time.  A repo with very many commits is split by AQE, or
     never gathered, where the tags turn out small enough to be broadcast.
     """
     joined = commits.join(latest_tags(tags).select("repo", "tag_ts"), "repo", "left")
     return joined.filter(F.col("tag_ts").isNull() | (F.col("ts") > F.col("tag_ts"))).drop("tag_ts")
 
 
+def commits_since_tag(commits: DataFrame, tags: DataFrame, heads: DataFrame) -> DataFrame:
+    """Commits that their repo's heads reach and its nearest 'v…' tag doesn't; all reachable ones
+    where no such tag is reachable.
+
+    commits have `parents`, the first one first; tags(repo, version, hash); heads(repo, hash).
+    Timestamps play no part, so commits of side branches count from where they were merged.
+    """
+    return since_tag(commits, tags, heads)[0]
+
+
 def last_commits(commits: DataFrame, n: int = 1) -> DataFrame:
     """The n newest commits of each repo; only n per repo and task are exchanged."""
     return first_ranks(commits, ["repo"], [F.desc("ts"), F.desc("hash")], n, "_rank").drop("_rank")
@@ -165,6 +176,16 @@ def next_versions(commits: DataFrame, tags: DataFrame) -> DataFrame:
     )
 
 
+def next_versions_by_tag(commits: DataFrame, tags: DataFrame, heads: DataFrame) -> DataFrame:
+    """`next_versions` with releases and pending commits found by ancestry."""
+    pending, nearest = since_tag(commits, tags, heads)
+    released = nearest.select("repo", "version")
+    return released.join(bump_type(pending), "repo", "left").select(
+        "repo", "version", "bump",
+        next_version_expr(F.col("version"), F.col("bump")).alias("next_version"),
+    )
+
+
 def _entries(commits: DataFrame) -> DataFrame:
     scope = F.coalesce(F.concat(F.lit("**"), F.col("scope"), F.lit("**: ")), F.lit(""))
     section = F.coalesce(rules.lookup("type", fv.CHANGELOG_SECTIONS), F.lit("Other"))

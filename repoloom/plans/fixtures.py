@@ -4,6 +4,7 @@ Each is a view-like DataFrame over the whole base table: work grows with it.
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PATHS = r"""
 SELECT page_id, concat('site/', regexp_replace(regexp_replace(url,'^https?://',''),'[?#].*$','')) AS path
@@ -100,6 +101,27 @@ SELECT repo, concat('v1.', n, '.0') AS version, TIMESTAMP '2024-01-15 00:00:00'
 FROM (SELECT DISTINCT user_id % 20 AS n, concat('repo', user_id % 20) AS repo FROM {events}) t
 WHERE n % 3 <> 0"""
 
+# A history for the commits of each repo: a main line of three in five, side lines of the
+# other two, two of three of which are merged, later ones with older times among them.
+HISTORY = f"""
+SELECT c.*, lag(hash, 1) OVER w AS h1, lag(hash, 2) OVER w AS h2, lag(hash, 3) OVER w AS h3,
+ row_number() OVER w AS n, count(*) OVER (PARTITION BY repo) AS total
+FROM ({COMMITS}) c WINDOW w AS (PARTITION BY repo ORDER BY event_id)"""
+
+DAG = f"""
+SELECT repo, ts, event_id, hash, subject, body, n, total,
+ CASE WHEN n = 1 THEN NULL WHEN n % 5 = 3 THEN h2 WHEN n % 5 = 0 THEN h3 ELSE h1 END AS first_parent,
+ CASE WHEN n % 5 = 0 AND n % 15 <> 0 THEN h1 END AS second_parent
+FROM ({HISTORY}) h"""
+
+#: Tags on the main line, on merged and unmerged side lines, and some that aren't releases.
+DAG_TAGS = f"""
+SELECT repo, concat(CASE WHEN n % 13 = 5 THEN 'rc' ELSE 'v' END, '1.', cast(n AS varchar(20)), '.0') AS version, hash
+FROM ({DAG}) d WHERE repo NOT LIKE '%3' AND n % 20 IN (3, 7, 14) AND n * 4 < total * 3"""
+
+DAG_HEADS = f"""
+SELECT repo, max_by(hash, n) AS hash FROM ({DAG}) d WHERE n % 5 IN (0, 1, 2) GROUP BY repo"""
+
 QUERY_TEXTS = [
     (1, "widget react"), (2, "config yaml"), (3, "Python module"),
     (4, " test  unit "), (5, "zzz"), (6, " "),
@@ -145,6 +167,14 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, TAGS)
 
 
+def commit_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Commits with parents, tags and heads."""
+    commits = _derived(spark, sf_dir, DAG)
+    parents = F.array_compact(F.array("first_parent", "second_parent")).alias("parents")
+    commits = commits.select("repo", "ts", "event_id", "hash", "subject", "body", parents)
+    return commits, _derived(spark, sf_dir, DAG_TAGS), _derived(spark, sf_dir, DAG_HEADS)
+
+
 def stream(spark: SparkSession, sf_dir: str, template: str, table: str) -> DataFrame:
     """The derived table over the base table read as a stream."""
     source = (

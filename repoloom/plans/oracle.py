@@ -40,6 +40,21 @@ COMMITS = f"commits AS ({_base(fixtures.COMMITS)})"
 TAGS = f"tags AS ({_base(fixtures.TAGS)})"
 RESPONSES = f"responses AS ({_base(fixtures.RESPONSES)})"
 
+# Walks the parents commit by commit, once from each head and once from each tag that it reaches.
+GRAPH = f"""graph AS MATERIALIZED ({_base(fixtures.DAG)}),
+edges AS MATERIALIZED (SELECT repo, hash, first_parent AS parent FROM graph WHERE first_parent IS NOT NULL
+  UNION ALL SELECT repo, hash, second_parent FROM graph WHERE second_parent IS NOT NULL),
+heads AS ({_base(fixtures.DAG_HEADS)}), tags AS ({_base(fixtures.DAG_TAGS)}),
+reached AS (SELECT repo, hash FROM heads
+  UNION SELECT e.repo, e.parent FROM reached r JOIN edges e USING (repo, hash)),
+usable AS MATERIALIZED (SELECT t.* FROM tags t JOIN reached USING (repo, hash) WHERE version LIKE 'v%'),
+walked AS (SELECT repo, version, hash FROM usable
+  UNION SELECT w.repo, w.version, e.parent FROM walked w JOIN edges e USING (repo, hash)),
+sizes AS (SELECT repo, version, count(*) AS size FROM walked GROUP BY ALL),
+nearest AS (SELECT repo, arg_max(version, (size, version)) AS version FROM sizes GROUP BY repo),
+pending AS (SELECT g.* FROM graph g JOIN reached USING (repo, hash)
+  WHERE NOT EXISTS (SELECT 1 FROM walked w JOIN nearest n USING (repo, version) WHERE w.repo = g.repo AND w.hash = g.hash))"""
+
 NAMED = f"""{FILES},
 named AS (SELECT *, string_split(path, '/')[-1] AS name,
   CASE WHEN regexp_matches(string_split(path, '/')[-1], '^.+\\.[^.]+$')
@@ -486,6 +501,19 @@ WHERE {ANNOTATABLE_PATH} AND {HAS_MARKS} GROUP BY repo""",
 LEFT JOIN latest l USING (repo) WHERE l.tag_ts IS NULL OR c.ts > l.tag_ts""",
     "c2_last_commits": f"""WITH {COMMITS} SELECT repo, event_id, hash FROM commits
 QUALIFY row_number() OVER (PARTITION BY repo ORDER BY ts DESC, hash DESC) <= 5""",
+    "c2_commits_since_tag": f"""WITH RECURSIVE {GRAPH}
+SELECT repo, event_id, hash FROM pending""",
+    "c5_next_version_by_tag": f"""WITH RECURSIVE {GRAPH},
+parsed AS (SELECT *, regexp_extract(subject, '^(\\w+)(?:\\(([^)]*)\\))?(!)?\\s*:\\s*(.+)$', ['type', 'scope', 'bang', 'text']) AS f
+  FROM pending),
+levels AS (SELECT repo, max(CASE WHEN f.type = '' THEN NULL WHEN f.bang = '!' OR contains(body, 'BREAKING CHANGE')
+   OR contains(body, 'BREAKING-CHANGE') THEN 3 WHEN lower(f.type) IN {_in(fv.MINOR_TYPES)} THEN 2
+   WHEN lower(f.type) IN {_in(fv.PATCH_TYPES)} THEN 1 END) AS level FROM parsed GROUP BY repo),
+numbers AS (SELECT n.repo, n.version, level, list_transform(string_split(substr(n.version, 2), '.'),
+  lambda x: cast(x AS BIGINT)) AS v FROM nearest n LEFT JOIN levels USING (repo))
+SELECT repo, version, CASE level WHEN 3 THEN 'major' WHEN 2 THEN 'minor' WHEN 1 THEN 'patch' END AS bump,
+  CASE level WHEN 3 THEN (v[1] + 1) || '.0.0' WHEN 2 THEN v[1] || '.' || (v[2] + 1) || '.0'
+   WHEN 1 THEN v[1] || '.' || v[2] || '.' || (v[3] + 1) END AS next_version FROM numbers""",
     "c3_validate_commits": f"""WITH {COMMITS}, checked AS (SELECT *, regexp_matches(subject, '{SUBJECT}') AS formed,
   lower(regexp_extract(subject, '^\\w+')) AS kind, trim(substr(subject, instr(subject, ':') + 1)) AS text FROM commits)
 SELECT repo, event_id, 'format' AS error, 'expected type(scope): description' AS detail FROM checked WHERE NOT formed

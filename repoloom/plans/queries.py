@@ -459,6 +459,16 @@ def c2_last_commits(spark, sf_dir):
     return release.last_commits(fixtures.commits(spark, sf_dir), 5).select("repo", "event_id", "hash")
 
 
+def c2_commits_since_tag(spark, sf_dir):
+    return release.commits_since_tag(*fixtures.commit_graph(spark, sf_dir)).select(
+        "repo", "event_id", "hash"
+    )
+
+
+def c5_next_version_by_tag(spark, sf_dir):
+    return release.next_versions_by_tag(*fixtures.commit_graph(spark, sf_dir))
+
+
 def c3_validate_commits(spark, sf_dir):
     return release.validate_commits(fixtures.commits(spark, sf_dir)).select(
         "repo", "event_id", "error", "detail"
@@ -540,8 +550,8 @@ QUERIES: dict[str, Query] = {
         m1_extract_marks, m2_detect_modes, m3_count_marks, m4_strip_marks,
         m5_strip_marks_by_mode, m6_apply_strategy, m7_annotation_requests,
         m8_clean_responses, m9_erase_report, m10_run_summary, m10_failures,
-        c1_parse_commits, c2_commits_since_release, c2_last_commits, c3_validate_commits,
-        c3_commit_verdicts, c4_bump_type, c5_next_version, c6_changelog_entries,
+        c1_parse_commits, c2_commits_since_release, c2_commits_since_tag, c2_last_commits, c3_validate_commits,
+        c3_commit_verdicts, c4_bump_type, c5_next_version, c5_next_version_by_tag, c6_changelog_entries,
         c7_breaking_notes, c8_whats_new,
         w1_stream_catalogue, w2_stream_marks, w2_stream_tags,
     )
