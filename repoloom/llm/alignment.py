@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,8 @@ from repoloom.llm.token_files import _byte_letters, _steps
 
 #: Characters of text per block, but for the last text, which is taken whole.
 BLOCK = 4 << 20
-#: Text parts remembered per worker, and the longest that is.
-MEMO_PARTS = 100_000
-MEMO_LENGTH = 40
+#: Links of a group from which its ids are counted before they are paired.
+LARGE_GROUP = 4096
 
 # Both tokenizers end a token where blanks follow other characters: a byte-level one cuts words
 # with the blanks before them, and of the pieces none goes on over a blank.  That holds for spaces
@@ -44,7 +44,7 @@ _NO_KEYS = np.zeros(0, np.int64)
 
 
 class Aligner:
-    """Two tokenizers, and the alignment of text parts, each found once while remembered."""
+    """Two tokenizers, and the alignment of texts; of texts taken together, each distinct part is aligned once."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
         import sentencepiece
@@ -67,7 +67,11 @@ class Aligner:
         self.space = self.b.piece_to_id("▁")
         # A part is encoded by itself only where no piece goes on over a blank.
         self.cut = not any("▁" in p.lstrip("▁") or ("\n" in p and len(p) > 1) for p in pieces)
-        self.memo: dict[str, tuple] = {}
+        # By id; an id that names nothing has no bytes.
+        self.sizes_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        for i, x in self.bytes_a.items():
+            self.sizes_a[i] = len(x)
+        self.sizes_b = np.fromiter(map(len, self.bytes_b), np.int64, len(self.bytes_b))
 
     @classmethod
     def of(cls, path_a: str, path_b: str) -> Aligner:
@@ -87,78 +91,130 @@ class Aligner:
             ids[1:] if p[0] == "\n" else ids or [self.space] for p, ids in zip(parts, found, strict=True)
         ]
 
-    def _learn(self, parts: list[str]) -> None:
-        """Aligns new parts."""
-        found_a = [x.ids for x in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        for part, own_a, own_b in zip(parts, found_a, self._ids_b(parts), strict=True):
-            self.memo[part] = self._aligned(part.encode(), own_a, own_b)
-
-    def _aligned(self, raw: bytes, ids_a: list[int], ids_b: list[int]) -> tuple:
-        """n_a, n_b, n_groups, n_links, groups as text, and links as packed (pair key, times); None
-        in place of all where the tokens' bytes aren't those of the part."""
-        sizes_a, sizes_b = [], []
-        text_a, text_b = [], []
-        for i in ids_a:
-            text_a.append(self.bytes_a[i])
-            sizes_a.append(len(text_a[-1]))
-        for i in ids_b:
-            text_b.append(self.bytes_b[i])
-            sizes_b.append(len(text_b[-1]))
-        if b"".join(text_a) != raw or b"".join(text_b) != raw:
-            return ()
-        if len(ids_a) == len(ids_b) == 1:
-            keys = np.array([ids_a[0] << 32 | ids_b[0], 1], np.int64).tobytes()
-            return 1, 1, 1, 1, f"{ids_a[0]}|{ids_b[0]}", keys
-        ends_a, ends_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
-        common_ends = np.intersect1d(ends_a, ends_b)
-        last_a = np.searchsorted(ends_a, common_ends)
-        last_b = np.searchsorted(ends_b, common_ends)
-        shown, keys, times, links = [], [], [], 0
-        at_a = at_b = 0
-        for to_a, to_b in zip((last_a + 1).tolist(), (last_b + 1).tolist(), strict=True):
-            own_a, own_b = ids_a[at_a:to_a], ids_b[at_b:to_b]
-            at_a, at_b = to_a, to_b
-            shown.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-            links += len(own_a) * len(own_b)
-            if len(own_a) * len(own_b) <= 64:
-                for i in own_a:
-                    for j in own_b:
-                        keys.append(i << 32 | j)
-                        times.append(1)
-            else:  # distinct ids and how often each occurs
-                one_a, n_a = np.unique(own_a, return_counts=True)
-                one_b, n_b = np.unique(own_b, return_counts=True)
-                keys += (one_a.astype(np.int64)[:, None] << 32 | one_b).ravel().tolist()
-                times += (n_a[:, None] * n_b).ravel().tolist()
-        packed = np.stack([np.array(keys, np.int64), np.array(times, np.int64)], 1).tobytes()
-        return len(ids_a), len(ids_b), len(shown), links, ";".join(shown), packed
-
     def align(self, texts: list[str]) -> Iterator[tuple]:
         """For each text, with its space in front: n_a, n_b, n_groups, n_links, the groups' sha256,
         and the distinct pair keys, ascending, with the number of links of each."""
-        parts = [self._parts(x) for x in texts]
-        if len(self.memo) > MEMO_PARTS:
-            self.memo.clear()
-        new = list(dict.fromkeys(p for own in parts for p in own if p not in self.memo))
-        if new:
-            self._learn(new)
-        long = [p for p in new if len(p) > MEMO_LENGTH]
-        for own in parts:
-            found = [self.memo[p] for p in own]
-            if not all(found):
+        every = [self._parts(x) for x in texts]
+        place: dict[str, int] = {}
+        flat = np.fromiter(
+            (place.setdefault(p, len(place)) for own in every for p in own), np.int64, sum(map(len, every))
+        )
+        text = np.repeat(np.arange(len(texts)), [len(own) for own in every])
+        parts = self._aligned(list(place))
+        bad = np.bincount(text, parts.bad[flat], len(texts)) > 0
+        totals = [
+            np.bincount(text, x[flat], len(texts)).astype(np.int64).tolist() for x in parts.numbers
+        ]
+        keys, times, borders = parts.links(flat, text, len(texts))
+        at = 0
+        for i, own in enumerate(every):
+            shown = ";".join([parts.shown[k] for k in flat[at : at + len(own)].tolist()])
+            at += len(own)
+            if bad[i]:
                 yield 0, 0, 0, 0, "", _NO_KEYS, _NO_KEYS
                 continue
-            n_a, n_b, n_groups, n_links, shown, packed = zip(*found, strict=True)
-            links = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 2)
-            links = links[np.argsort(links[:, 0], kind="stable")]
-            fresh = np.flatnonzero(np.concatenate([[True], links[1:, 0] != links[:-1, 0]]))
-            digest = hashlib.sha256(";".join(shown).encode()).hexdigest()
-            yield (
-                sum(n_a), sum(n_b), sum(n_groups), sum(n_links), digest,
-                links[fresh, 0], np.add.reduceat(links[:, 1], fresh),
-            )
-        for p in long:
-            del self.memo[p]
+            digest = hashlib.sha256(shown.encode()).hexdigest()
+            lo, hi = borders[i : i + 2]
+            yield *(x[i] for x in totals), digest, keys[lo:hi], times[lo:hi]
+
+    def _aligned(self, parts: list[str]) -> _Parts:
+        lists_a = [x.ids for x in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+        lists_b = self._ids_b(parts)
+        raw = [p.encode() for p in parts]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        bad = np.zeros(len(parts), bool)
+        for lists, names in ((lists_a, self.bytes_a), (lists_b, self.bytes_b)):
+            for k in self._unequal(lists, names, raw, sizes):
+                bad[k] = True
+        for k in np.flatnonzero(bad).tolist():  # stands for nothing; its texts have no tokens
+            lists_a[k], lists_b[k], sizes[k] = [], [], 0
+        side_a, side_b = _Side(lists_a, self.sizes_a), _Side(lists_b, self.sizes_b)
+        return _Parts(bad, sizes, side_a, side_b)
+
+    @staticmethod
+    def _unequal(lists: list, names, raw: list[bytes], sizes: np.ndarray) -> list[int]:
+        """Parts whose tokens' bytes aren't their own."""
+        made = [b"".join([names[i] for i in ids]) for ids in lists]
+        return [k for k, (x, y) in enumerate(zip(made, raw, strict=True)) if x != y]
+
+
+class _Side:
+    """One tokenizer's tokens of all parts, one behind the other, and the bytes each ends at."""
+
+    def __init__(self, lists: list[list[int]], sizes: np.ndarray) -> None:
+        self.counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.ids = np.fromiter(chain.from_iterable(lists), np.int64, int(self.counts.sum()))
+        self.ends = np.cumsum(sizes[self.ids])
+
+
+class _Parts:
+    """Distinct parts, aligned: groups end where tokens of both sides end, as at the end of each part."""
+
+    def __init__(self, bad: np.ndarray, sizes: np.ndarray, a: _Side, b: _Side) -> None:
+        self.bad = bad
+        ends = np.intersect1d(a.ends, b.ends, assume_unique=True)
+        # First tokens of the groups, and one more border.
+        self.starts_a = np.concatenate([[0], np.searchsorted(a.ends, ends) + 1])
+        self.starts_b = np.concatenate([[0], np.searchsorted(b.ends, ends) + 1])
+        p, q = np.diff(self.starts_a), np.diff(self.starts_b)
+        part = np.searchsorted(np.cumsum(sizes), ends)
+        n = len(bad)
+        groups = np.bincount(part, minlength=n)
+        links = np.bincount(part, p * q, n).astype(np.int64)
+        self.numbers = a.counts, b.counts, groups, links
+        self.shown = self._shown(a, b, groups)
+        self._link(a.ids, b.ids, p, q, part, n)
+
+    def _shown(self, a: _Side, b: _Side, groups: np.ndarray) -> list[str]:
+        names_a, names_b = list(map(str, a.ids.tolist())), list(map(str, b.ids.tolist()))
+        at_a, at_b = self.starts_a.tolist(), self.starts_b.tolist()
+        own = [
+            f"{names_a[x]}|{names_b[y]}"
+            if x + 1 == xx and y + 1 == yy
+            else f"{','.join(names_a[x:xx])}|{','.join(names_b[y:yy])}"
+            for x, xx, y, yy in zip(at_a, at_a[1:], at_b, at_b[1:], strict=False)
+        ]
+        found, at = [], 0
+        for n in groups.tolist():
+            found.append(own[at] if n == 1 else ";".join(own[at : at + n]))
+            at += n
+        return found
+
+    def _link(self, a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, part: np.ndarray, n: int) -> None:
+        """Pair keys and times of all groups, by part."""
+        large = np.flatnonzero(p * q > LARGE_GROUP)
+        size = p * q
+        size[large] = 0
+        group = np.repeat(np.arange(len(p)), size)
+        k = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
+        left = a[self.starts_a[group] + k // q[group]]
+        keys, owner = left << 32 | b[self.starts_b[group] + k % q[group]], part[group]
+        times = np.ones(len(keys), np.int64)
+        for g in large.tolist():  # distinct ids, and how often each occurs
+            one_a, n_a = np.unique(a[self.starts_a[g] : self.starts_a[g + 1]], return_counts=True)
+            one_b, n_b = np.unique(b[self.starts_b[g] : self.starts_b[g + 1]], return_counts=True)
+            keys = np.concatenate([keys, (one_a[:, None] << 32 | one_b).ravel()])
+            times = np.concatenate([times, (n_a[:, None] * n_b).ravel()])
+            owner = np.concatenate([owner, np.full(len(one_a) * len(one_b), part[g])])
+        if len(large):
+            order = np.argsort(owner, kind="stable")
+            keys, times, owner = keys[order], times[order], owner[order]
+        self.keys, self.times = keys, times
+        self.counts = np.bincount(owner, minlength=n)
+
+    def links(self, flat: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys of each text, ascending, their times, and the texts' borders among them."""
+        counts = self.counts[flat]
+        first = (np.cumsum(self.counts) - self.counts)[flat]
+        at = np.arange(counts.sum()) + np.repeat(first - (np.cumsum(counts) - counts), counts)
+        keys, times, owner = self.keys[at], self.times[at], np.repeat(text, counts)
+        order = np.lexsort((keys, owner))
+        keys, times, owner = keys[order], times[order], owner[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+        at = np.flatnonzero(fresh)
+        summed = np.add.reduceat(times, at) if len(at) else times
+        return keys[at], summed, np.searchsorted(owner[at], np.arange(n + 1))
 
 
 _ALIGNED = (
