@@ -39,3 +39,20 @@ def prefixes(path: str = "path") -> Column:
         f"transform(sequence(1, length({path}) - length(replace({path}, '/', '')) + 1),"
         f" k -> substring_index({path}, '/', k))"
     )
+
+
+def walk_key(path: str = "path", kind: str = "kind") -> Column:
+    """Text whose plain order is that of a walk: a directory, its files, then its child directories
+    with all below them; names ignoring case, then by case.
+
+    For each segment: whether it is a file or a directory, the lower-cased name and the name.
+    Every part ends in NUL, which sorts before all that names can hold, and a directory's key begins
+    those of everything below it.
+    """
+    def part(segment: Column, mark: Column) -> Column:
+        return F.concat(mark, F.lower(segment), F.lit("\x00"), segment, F.lit("\x00"))
+
+    parts = F.split(F.col(path), "/")
+    above = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda s: part(s, F.lit("\x02")))
+    mark = F.when(F.col(kind) == "dir", F.lit("\x02")).otherwise(F.lit("\x01"))
+    return F.concat(F.array_join(above, ""), part(F.element_at(parts, -1), mark))

@@ -10,6 +10,7 @@ from ..functions import fixed_values as fv
 from ..functions import paths, rules, text
 from . import filters, marks
 from .ranking import ranked
+from .rounds import Rounds
 
 # Wording of the requests.
 DESCRIBE_STYLES = {
@@ -60,21 +61,25 @@ def batch_size_for(has_snippets: bool, size: int = fv.BATCH_SIZE) -> int:
     return min(size, fv.BATCH_SIZE_WITH_SNIPPETS) if has_snippets else size
 
 
-def batch_paths(nodes: DataFrame, size: int = fv.BATCH_SIZE) -> DataFrame:
-    """Consecutive batches per repo in path order, at most `size` paths each.
+def batch_paths(nodes: DataFrame, size: int = fv.BATCH_SIZE, snippets: bool = True) -> DataFrame:
+    """Consecutive batches per repo in the order of a walk, at most `size` paths each.
 
-    A repo with any snippet gets smaller batches.
+    A repo with any snippet gets smaller batches.  Rows carry `has_code` and, unless `snippets`
+    is false, the first lines of the snippet, as many as a request shows.  What a row is ranked
+    by is found once and stored, so the headers are read once.
     """
-    repos = nodes.groupBy("repo").agg(F.max(F.col("snippet").isNotNull()).alias("has_snippets"))
-    wanted = ["repo", "path", "snippet"] + (["doc_id"] if "doc_id" in nodes.columns else [])
-    order = [F.col(c) for c in ("path", "doc_id") if c in wanted]
-    numbered = ranked(nodes.select(*wanted), ["repo"], order, "position")
-    per_batch = F.when(
-        F.col("has_snippets"), F.lit(batch_size_for(True, size))
-    ).otherwise(F.lit(size))
+    kept = nodes if "kind" in nodes.columns else nodes.withColumn("kind", F.lit("file"))
+    ids = ["doc_id"] if "doc_id" in nodes.columns else []
+    code = F.col("snippet").isNotNull().alias("has_code")
+    shown = [text.first_lines(F.col("snippet"), fv.PROMPT_SNIPPET_LINES).alias("snippet")] if snippets else []
+    rounds = Rounds(nodes.sparkSession, "batches")
+    keys = rounds.store(kept.select("repo", "path", *ids, code, *shown, paths.walk_key().alias("_walk")))
+    repos = keys.groupBy("repo").agg(F.max("has_code").alias("_any_code"))
+    order = [F.col(c) for c in ("_walk", *ids)]
+    numbered = ranked(keys, ["repo"], order, "position").drop("_walk")
+    per_batch = F.when(F.col("_any_code"), F.lit(batch_size_for(True, size))).otherwise(F.lit(size))
     return numbered.join(repos, "repo").select(
-        *wanted,
-        "position",
+        *numbered.columns,
         F.floor((F.col("position") - 1) / per_batch).cast("bigint").alias("batch_id"),
     )
 
@@ -198,7 +203,7 @@ def batch_outcomes(responses: DataFrame) -> DataFrame:
 def batches_with_code(batches: DataFrame) -> DataFrame:
     """Per batch: its paths and how many of them carry code."""
     return batches.groupBy("repo", "batch_id").agg(
-        F.count(F.lit(1)).alias("paths"), F.count("snippet").alias("paths_with_code")
+        F.count(F.lit(1)).alias("paths"), F.count_if("has_code").alias("paths_with_code")
     )
 
 

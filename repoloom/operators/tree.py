@@ -28,6 +28,13 @@ def all_paths(nodes: DataFrame) -> DataFrame:
     return nodes.select("repo", "path", "kind").distinct()
 
 
+def walk(nodes: DataFrame) -> DataFrame:
+    """`all_paths` with `walk_rank`, the place of each path in a walk of its repo: a
+    directory, its files, then its child directories."""
+    keyed = all_paths(nodes).withColumn("_walk", paths.walk_key())
+    return ranked(keyed, ["repo"], [F.col("_walk")], "walk_rank").drop("_walk")
+
+
 def flatten_items(nodes: DataFrame) -> DataFrame:
     """The search relation: everything but the roots."""
     return nodes.filter(F.col("depth") > 0).select(

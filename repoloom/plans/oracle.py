@@ -235,9 +235,13 @@ MERGED = f"""{ENTRIES},
 merged AS (SELECT cast(cast(path AS BIGINT) // 16 AS VARCHAR) AS path,
   arg_max(description, (batch_id, turn)) AS description FROM entries GROUP BY 1)"""
 
+# One entry per segment, compared one after the other.
+WALK = """list_transform(string_split(path, '/'), lambda s, i: {
+  'kind': CASE WHEN kind = 'dir' OR i < len(string_split(path, '/')) THEN 2 ELSE 1 END, 'folded': lower(s), 'name': s})"""
+
 BATCHES = f"""{SCAN},
 numbered AS (SELECT repo, doc_id, path, snippet,
-  row_number() OVER (PARTITION BY repo ORDER BY path, doc_id NULLS FIRST) AS position,
+  row_number() OVER (PARTITION BY repo ORDER BY {WALK}, doc_id NULLS FIRST) AS position,
   bool_or(snippet IS NOT NULL) OVER (PARTITION BY repo) AS any_snippet FROM nodes),
 batches AS (SELECT repo, doc_id, path, snippet, position,
   cast(floor((position - 1) / CASE WHEN any_snippet THEN 20 ELSE 30 END) AS BIGINT) AS batch_id FROM numbered)"""
@@ -400,6 +404,8 @@ FROM nodes, range(1, len(string_split(path, '/')) + 1) r(k)""",
   coalesce(list_filter({_list(fv.TAG_PRIORITY)}, lambda p: list_contains(tags, p))[1],
     list_filter(tags, lambda t: t IN {_in(fv.TAGS_WITH_ICON)})[1]) AS primary_tag FROM tagged""",
     "t1_all_paths": f"WITH {PATH_NODES} SELECT path, kind FROM nodes",
+    "t1_walk": f"""WITH {PATH_NODES} SELECT path, kind,
+  row_number() OVER (PARTITION BY repo ORDER BY {WALK}) AS walk_rank FROM nodes""",
     "t2_flatten_items": f"""WITH {PATH_NODES} SELECT name, description, tags, path, parent_path,
   CASE WHEN kind = 'dir' THEN 'folder' ELSE 'file' END AS type FROM nodes WHERE depth > 0""",
     "t3_node_at": f"""WITH {SCAN} SELECT path, name, description FROM nodes

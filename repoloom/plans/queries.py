@@ -230,6 +230,10 @@ def t1_all_paths(spark, sf_dir):
     return tree.all_paths(_path_nodes(spark, sf_dir)).select("path", "kind")
 
 
+def t1_walk(spark, sf_dir):
+    return tree.walk(_path_nodes(spark, sf_dir)).select("path", "kind", "walk_rank")
+
+
 def t2_flatten_items(spark, sf_dir):
     return tree.flatten_items(_path_nodes(spark, sf_dir)).select(
         "name", "description", _joined("tags"), "path", "parent_path", "type"
@@ -314,8 +318,8 @@ def _all_nodes(spark, sf_dir):
     return catalogue.scan(fixtures.files(spark, sf_dir), extra_columns=["doc_id"])
 
 
-def _batches(spark, sf_dir):
-    return requests.batch_paths(_all_nodes(spark, sf_dir))
+def _batches(spark, sf_dir, snippets=False):
+    return requests.batch_paths(_all_nodes(spark, sf_dir), snippets=snippets)
 
 
 def l1_batch_paths(spark, sf_dir):
@@ -324,7 +328,7 @@ def l1_batch_paths(spark, sf_dir):
 
 def l2_build_requests(spark, sf_dir):
     readmes = readme.readme_context(fixtures.files(spark, sf_dir))
-    return requests.build_requests(_batches(spark, sf_dir), readmes, "plain")
+    return requests.build_requests(_batches(spark, sf_dir, True), readmes, "plain")
 
 
 def l3_parse_responses(spark, sf_dir):
@@ -541,7 +545,7 @@ QUERIES: dict[str, Query] = {
         p1_describe_files, p2_describe_dirs, p3_name_tags, p4_import_tags, p5_merge_tags,
         p6_header_snippet, p7_language_of, p8_snippet_preview, p9_absolute_path,
         p10_ancestors, p11_primary_tag,
-        t1_all_paths, t2_flatten_items, t3_node_at, t4_subtree_counts, t5_subtree_weight,
+        t1_all_paths, t1_walk, t2_flatten_items, t3_node_at, t4_subtree_counts, t5_subtree_weight,
         t6_area_share, t7_directory_listing, t8_child_preview, t8_tag_preview,
         a1_distinct_tags, a2_tag_counts, a3_inferred_tag_count, a4_scan_summary,
         q1_search, q2_search_many,

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SMALL, values
-from repoloom.operators import aggregates, ranking, search, tree
+from repoloom.operators import aggregates, ranking, requests, search, tree
 from repoloom.plans import fixtures, queries
 from repoloom.sources import catalogue as catalogue_source
 from repoloom.sources import path_list, tree_listing
@@ -290,3 +290,32 @@ def test_counters(spark):
     assert values(aggregates.inferred_tag_count(nodes)) == [("r", 1)]
     assert values(aggregates.tag_counts(nodes)) == [("ai", 1), ("python", 1), ("react", 1)]
     assert [r["tag"] for r in aggregates.distinct_tags(nodes).collect()] == ["ai", "python", "react"]
+
+
+def test_walk_order(spark):
+    """A directory, its files, then its child directories, as a recursive walk gives them."""
+    rng = random.Random(3)
+    segments = ["a", "B", "b", "a b", "a-b", "a.b", "Z", "é", "0", "ab"]
+    tree_rows = set()
+    for repo in ("r", "q"):
+        for _ in range(150):
+            parts = [repo] + [rng.choice(segments) for _ in range(rng.randrange(1, 5))]
+            tree_rows |= {(repo, "/".join(parts[:k]), "dir") for k in range(1, len(parts))}
+            tree_rows.add((repo, "/".join(parts) + rng.choice(["", ".py"]) + "!", "file"))
+    nodes = spark.createDataFrame(sorted(tree_rows), "repo string, path string, kind string")
+
+    def walked(repo, path):
+        own = [(p, k) for r, p, k in tree_rows if r == repo and p.rpartition("/")[0] == path]
+        key = lambda p: (p.rpartition("/")[2].lower(), p)
+        yield path
+        yield from sorted((p for p, k in own if k == "file"), key=key)
+        for p in sorted((p for p, k in own if k == "dir"), key=key):
+            yield from walked(repo, p)
+
+    for repo in ("r", "q"):
+        got = tree.walk(nodes).filter(F.col("repo") == repo).orderBy("walk_rank").collect()
+        assert [r.path for r in got] == list(walked(repo, repo))
+        assert [r.walk_rank for r in got] == list(range(1, len(got) + 1))
+    batches = requests.batch_paths(nodes.withColumn("snippet", F.lit(None).cast("string")), 7)
+    got = [r.path for r in batches.filter("repo = 'r'").orderBy("batch_id", "position").collect()]
+    assert got == list(walked("r", "r"))
