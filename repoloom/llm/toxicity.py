@@ -7,7 +7,8 @@ weights at zero, so that the model is a short list and goes to every task.
 
 Labelled rows are dealt to shards by hash.  In each round every shard learns for itself from
 the state of the round before; then the states are mixed bucket by bucket, each shard
-counting by what it saw of the bucket.
+counting by what it saw of the bucket.  Buckets that are far from having a weight aren't carried on,
+which keeps the states as short as the model.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ L2 = 0.001
 #: chance, and its least value.
 NOISE = 0.5
 LEAST_L1 = 2.0
+#: Buckets whose first sum stays below this share of the L1 part start each round anew.
+CARRIED = 0.25
 #: Words remembered per worker.
 MEMO_WORDS = 200_000
 
@@ -184,7 +187,9 @@ def _round(
         shard, state = None, None
 
         def done() -> pa.RecordBatch:
-            body = _packed(state.z, state.n, np.flatnonzero(state.seen), state.seen)
+            kept = np.abs(state.z) >= CARRIED * l1
+            kept[-1] = True
+            body = _packed(state.z, state.n, np.flatnonzero(kept), state.seen)
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([body], pa.binary())], ["shard", "state"]
             )
@@ -206,9 +211,11 @@ def _round(
     totals = np.zeros((3, _SIZE + 1))
     for r in sorted(states, key=lambda r: r.shard):
         own_z, own_n, seen = _unpacked(r.state)
-        totals += np.stack([seen * own_z, seen * own_n, seen])
+        totals[0] += seen * own_z
+        totals[1] += seen * own_n
+        totals[2] += seen
     met = totals[2] > 0
-    z, n = z.copy(), n.copy()
+    z, n = np.zeros(_SIZE + 1), np.zeros(_SIZE + 1)
     z[met], n[met] = totals[0][met] / totals[2][met], totals[1][met] / totals[2][met]
     return z, n
 
