@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from .ranking import first_ranks
-
-# Characters by which items and terms meet.
-GRAM = 3
+from . import search_index
+from .rounds import Rounds
+from .search_index import haystack
 
 
 def search_terms(query: str) -> list[str]:
@@ -17,14 +16,6 @@ def search_terms(query: str) -> list[str]:
     return query.lower().split()
 
 
-def _haystack() -> Column:
-    parts = ["name", "description", "path"]
-    name, description, path = (F.coalesce(F.col(p), F.lit("")) for p in parts)
-    tags = F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")
-    # A blank stands where an item has neither purpose nor tags.
-    return F.lower(F.concat_ws(" ", name, description, tags, path))
-
-
 def _score(terms: Sequence[str]) -> Column:
     score = F.lit(0)
     for term in terms:
@@ -40,7 +31,7 @@ def search(items: DataFrame, query: str, k: int = fv.SEARCH_LIMIT) -> DataFrame:
     terms = search_terms(query)
     if not terms:
         return items.withColumn("score", F.lit(0)).filter(F.lit(False))
-    scored = items.withColumn("haystack", _haystack()).withColumn("score", _score(terms))
+    scored = items.withColumn("haystack", haystack()).withColumn("score", _score(terms))
     ties = [c for c in ("path", "repo", "doc_id") if c in items.columns]
     # Rows without a term sort last, so dropping them from the k best is exact
     # and leaves the score out of a second evaluation in a pushed-down filter.
@@ -51,43 +42,10 @@ def search(items: DataFrame, query: str, k: int = fv.SEARCH_LIMIT) -> DataFrame:
 def search_many(items: DataFrame, queries: DataFrame, k: int = fv.SEARCH_LIMIT) -> DataFrame:
     """`search` for a table queries(query_id, query), ranked per query.
 
-    The items are read once, however many queries there are.  Each distinct term is found
-    by its first characters (three, or all of a shorter term): items and terms meet on
-    equal beginnings, and `contains` decides.  Only items that hold a term go on to the
-    queries that ask for it.
+    Builds an index of the items for these queries; to ask again, build one with
+    `search_index.build` and search that.
     """
-    asked = (
-        queries.select("query_id", F.explode(F.split(F.lower("query"), "(?U)\\s+")).alias("_term"))
-        .filter(F.col("_term") != "")
-        .groupBy("query_id", "_term")
-        .agg(F.count(F.lit(1)).alias("_times"))
-    )
-    terms = asked.select("_term").distinct().withColumn("_start", F.left("_term", F.lit(GRAM)))
-    columns = items.columns
-    places = F.sequence(F.lit(1), F.length("_hay"))
-    starts = F.array_distinct(
-        F.flatten(
-            F.transform(
-                places,
-                lambda i: F.transform(
-                    F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substr(F.col("_hay"), i, n)
-                ),
-            )
-        )
-    )
-    # A number for each item, so that equal items stay apart.
-    numbered = items.select(
-        F.struct(*columns).alias("_item"), _haystack().alias("_hay"), F.monotonically_increasing_id().alias("_row")
-    )
-    found = (
-        numbered.withColumn("_start", F.explode(starts))
-        .join(terms, "_start")
-        .filter(F.contains("_hay", F.col("_term")))
-        .join(asked, "_term")
-        .groupBy("query_id", "_row")
-        .agg(F.sum("_times").cast("int").alias("score"), F.first("_item").alias("_item"))
-        .select("query_id", "score", "_item.*")
-    )
-    ties = [F.col(c) for c in ("path", "repo", "doc_id") if c in columns]
-    ranks = first_ranks(found, ["query_id"], [F.desc("score"), *ties], k, "rank")
-    return ranks.select("query_id", "score", *columns, "rank")
+    spark = items.sparkSession
+    folder = Rounds(spark, "search").base
+    search_index.build(items, folder)
+    return search_index.search(spark, folder, queries, k)

@@ -455,6 +455,16 @@ SELECT path, type, score FROM scored WHERE score > 0 ORDER BY score DESC, path,
     + """), placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, repo) AS rank
   FROM scored WHERE score > 0)
 SELECT query_id, rank, path, type, score FROM placed WHERE rank <= 15""",
+    "q2_search_index": f"WITH {HAYS}, scored AS ("
+    + " UNION ALL ".join(
+        f"SELECT 'fixed' AS set, {i} AS query_id, * FROM ({_search_rows(terms)}) s{i}" for i, terms in ASKED if terms
+    )
+    + f""" UNION ALL SELECT 'pages', page_id, repo, h.path, type, cast(contains(hay, lower('d' || page_id % 40)) AS INT)
+    + cast(contains(hay, 'py') AS INT) + CASE WHEN last <> '' THEN cast(contains(hay, lower(last)) AS INT) ELSE 0 END
+  FROM hays h, (SELECT page_id, string_split(path, '/')[-1] AS last FROM ({_base(fixtures.PATHS)}) u) p),
+placed AS (SELECT *, row_number() OVER (PARTITION BY set, query_id ORDER BY score DESC, path, repo) AS rank
+  FROM scored WHERE score > 0)
+SELECT set, query_id, rank, path, type, score FROM placed WHERE rank <= CASE set WHEN 'fixed' THEN 15 ELSE 5 END""",
     "l1_batch_paths": f"WITH {BATCHES} SELECT repo, doc_id, path, position, batch_id FROM batches",
     "l2_build_requests": f"""WITH {BATCHES}, {READMES}
 SELECT b.repo, b.batch_id, count(*) AS paths, {_q(requests.DESCRIBE_STYLES['plain'])}

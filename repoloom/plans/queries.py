@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import (
-    aggregates, describe, filters, marks, readme, release, requests, search, tree,
+    aggregates, describe, filters, marks, readme, release, requests, search, search_index, tree,
 )
 from ..sources import catalogue as catalogue_source
 from ..sources import corpus, path_list, tree_listing
@@ -311,6 +311,21 @@ def q2_search_many(spark, sf_dir):
     )
 
 
+def q2_search_index(spark, sf_dir):
+    """Two sets of queries on one stored index: fixed ones, and the last path segments of the pages."""
+    folder = streams.work_folder(spark, "search")
+    search_index.build(_items(spark, sf_dir), folder)
+    asked = spark.createDataFrame(fixtures.QUERY_TEXTS, "query_id int, query string")
+    more = fixtures.paths(spark, sf_dir).select(
+        F.col("page_id").alias("query_id"),
+        F.concat(F.lit("d"), F.col("page_id") % 40, F.lit(" "), F.element_at(F.split("path", "/"), -1), F.lit(" py")).alias("query"),
+    )
+    first = search_index.search(spark, folder, asked).withColumn("set", F.lit("fixed"))
+    second = search_index.search(spark, folder, more, 5).withColumn("set", F.lit("pages"))
+    columns = ["set", _big("query_id"), _big("rank"), "path", "type", _big("score")]
+    return first.select(*columns).unionByName(second.select(*columns))
+
+
 # --- description requests ----------------------------------------------------
 
 def _all_nodes(spark, sf_dir):
@@ -548,7 +563,7 @@ QUERIES: dict[str, Query] = {
         t1_all_paths, t1_walk, t2_flatten_items, t3_node_at, t4_subtree_counts, t5_subtree_weight,
         t6_area_share, t7_directory_listing, t8_child_preview, t8_tag_preview,
         a1_distinct_tags, a2_tag_counts, a3_inferred_tag_count, a4_scan_summary,
-        q1_search, q2_search_many,
+        q1_search, q2_search_many, q2_search_index,
         l1_batch_paths, l2_build_requests, l3_parse_responses, l4_merge_descriptions,
         l5_apply_descriptions, l6_batch_outcomes, l6_batches_with_code,
         m1_extract_marks, m2_detect_modes, m3_count_marks, m4_strip_marks,

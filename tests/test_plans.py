@@ -71,12 +71,15 @@ def test_search_exchanges_only_the_best(stored):
 
 
 def test_tag_rules_are_evaluated_once(spark):
-    for name in ("a2_tag_counts", "f5_files_with_tag", "q1_search", "q2_search_many", "p4_import_tags"):
+    for name in ("a2_tag_counts", "f5_files_with_tag", "q1_search", "p4_import_tags"):
         assert plan(QUERIES[name](spark, SMALL)).count("regexp_extract_all") == 1, name
 
 
-# These store ranks, read or write files, or run a stream.
-STORING = ("s1_scan_tree", "s5_", "s7_", "t7_", "l1_", "l2_", "l6_batches", "c6_", "w")
+# These store ranks, rounds or an index, read or write files, or run a stream.
+STORING = (
+    "s1_scan_tree", "s5_", "s7_", "t1_walk", "t7_", "q2_", "l1_", "l2_", "l6_batches", "c2_commits_since_tag",
+    "c5_next_version_by_tag", "c6_", "w",
+)
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(STORING)])
