@@ -14,6 +14,7 @@ broadcast or held by a task.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -50,6 +51,8 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        # Tasks share the cores already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         letters = {c: b for b, c in enumerate(_byte_letters())}
@@ -122,20 +125,25 @@ class Aligner:
         lists_b = self._ids_b(parts)
         raw = [p.encode() for p in parts]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        bad = np.zeros(len(parts), bool)
-        for lists, names in ((lists_a, self.bytes_a), (lists_b, self.bytes_b)):
-            for k in self._unequal(lists, names, raw, sizes):
-                bad[k] = True
+        bad = self._unequal(lists_a, self.bytes_a, self.sizes_a, raw, sizes)
+        bad |= self._unequal(lists_b, self.bytes_b, self.sizes_b, raw, sizes)
         for k in np.flatnonzero(bad).tolist():  # stands for nothing; its texts have no tokens
             lists_a[k], lists_b[k], sizes[k] = [], [], 0
         side_a, side_b = _Side(lists_a, self.sizes_a), _Side(lists_b, self.sizes_b)
         return _Parts(bad, sizes, side_a, side_b)
 
     @staticmethod
-    def _unequal(lists: list, names, raw: list[bytes], sizes: np.ndarray) -> list[int]:
-        """Parts whose tokens' bytes aren't their own."""
-        made = [b"".join([names[i] for i in ids]) for ids in lists]
-        return [k for k, (x, y) in enumerate(zip(made, raw, strict=True)) if x != y]
+    def _unequal(lists: list, names, table: np.ndarray, raw: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """The parts whose tokens' bytes aren't their own."""
+        side = _Side(lists, table)
+        ends = np.concatenate([[0], side.ends])[np.cumsum(side.counts)]
+        bad = np.diff(ends, prepend=0) != sizes
+        good = np.flatnonzero(~bad).tolist()
+        made = b"".join([names[i] for k in good for i in lists[k]])
+        if made != b"".join([raw[k] for k in good]):
+            for k in good:
+                bad[k] = b"".join([names[i] for i in lists[k]]) != raw[k]
+        return bad
 
 
 class _Side:
