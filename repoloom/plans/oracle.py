@@ -369,6 +369,8 @@ FROM tagged t JOIN readmes r USING (repo) GROUP BY t.repo""",
   CASE WHEN kind = 'file' THEN coalesce(description, '—') ELSE description END AS description, tags,
   CASE WHEN kind = 'dir' OR description IS NOT NULL THEN 'heuristic' END AS description_source FROM nodes""",
     "s5_export_snippets": f"WITH {SCAN} SELECT repo, path, snippet FROM nodes WHERE snippet IS NOT NULL",
+    "s5_export_documents": f"""WITH {SCAN} SELECT {NODE_COLUMNS},
+  CASE WHEN kind = 'file' THEN max(snippet) OVER (PARTITION BY repo, path, kind) END AS snippet FROM nodes""",
     "s6_readme_context": f"WITH {FILES}, {READMES} SELECT repo, readme FROM readmes",
     "s7_write_rewritten": f"""WITH {NAMED} SELECT repo, path, array_to_string(string_split(path, '/')[:-2], '/') || '/' ||
   array_to_string(string_split(name, '.')[:-2], '.') || '.annotated.' || string_split(name, '.')[-1] AS target,

@@ -15,6 +15,7 @@ from ..operators import (
 )
 from ..sources import catalogue as catalogue_source
 from ..sources import corpus, path_list, tree_listing
+from ..sources import documents as document_source
 from ..streaming import catalogue as streams
 from . import catalogue, fixtures
 
@@ -134,6 +135,20 @@ def s5_export_snippets(spark, sf_dir):
     return spark.read.json(f"{_exported(spark, sf_dir)}/snippets").select("repo", "path", "snippet")
 
 
+def s5_export_documents(spark, sf_dir):
+    """One nested document per repo, written, read back and imported."""
+    folder = streams.work_folder(spark, "documents")
+    files = fixtures.files(spark, sf_dir)
+    catalogue.scan(files).write.parquet(f"{folder}/nodes")
+    nodes = spark.read.parquet(f"{folder}/nodes")
+    manifest = catalogue_source.manifest(nodes, files, BASE_PATH, GENERATED_AT)
+    document_source.write_documents(document_source.document_lines(nodes, manifest), f"{folder}/out")
+    found = document_source.read_documents(spark, f"{folder}/out")
+    imported = catalogue_source.import_catalogue(found, repo="repo")
+    snippets = catalogue_source.import_snippets(found, repo="repo")
+    return _flat_nodes(catalogue_source.attach_snippets(imported, snippets), "snippet")
+
+
 def s6_readme_context(spark, sf_dir):
     return readme.readme_context(fixtures.files(spark, sf_dir))
 
@@ -554,7 +569,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         s1_scan_corpus, s1_scan_tree, s2_import_path_list, s3_import_tree_listing, s4_import_catalogue,
         s4_import_manifest, s4_import_snippets, s5_export_catalogue, s5_export_tree,
-        s5_export_snippets, s6_readme_context, s7_write_rewritten,
+        s5_export_snippets, s5_export_documents, s6_readme_context, s7_write_rewritten,
         f1_exclude_paths, f2_scannable, f3_annotatable, f4_prune_empty_dirs,
         f5_files_with_tag, f6_has_marks,
         p1_describe_files, p2_describe_dirs, p3_name_tags, p4_import_tags, p5_merge_tags,
