@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoloom.llm import common
-from repoloom.llm.token_files import _byte_letters, _steps
+from repoloom.llm.token_files import _byte_letters
 
 #: Characters of text per block, but for the last text, which is taken whole.
 BLOCK = 4 << 20
+#: Characters of text aligned at a time.
+STEP = 3 << 20
 #: Links of a group from which its ids are counted before they are paired.
 LARGE_GROUP = 4096
 
@@ -41,6 +43,14 @@ _OTHER_BLANKS = re.compile(r"[^\S \n]").search
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
+class _Decimal(dict):
+    """Ids as text; as many as the vocabularies hold."""
+
+    def __missing__(self, i: int) -> str:
+        return self.setdefault(i, str(i))
+
+
+_DECIMAL = _Decimal()
 _NO_KEYS = np.zeros(0, np.int64)
 
 
@@ -98,10 +108,10 @@ class Aligner:
         """For each text, with its space in front: n_a, n_b, n_groups, n_links, the groups' sha256,
         and the distinct pair keys, ascending, with the number of links of each."""
         every = [self._parts(x) for x in texts]
-        place: dict[str, int] = {}
-        flat = np.fromiter(
-            (place.setdefault(p, len(place)) for own in every for p in own), np.int64, sum(map(len, every))
-        )
+        place = dict.fromkeys(chain.from_iterable(every))
+        for k, p in enumerate(place):
+            place[p] = k
+        flat = np.fromiter(map(place.__getitem__, chain.from_iterable(every)), np.int64, sum(map(len, every)))
         text = np.repeat(np.arange(len(texts)), [len(own) for own in every])
         parts = self._aligned(list(place))
         bad = np.bincount(text, parts.bad[flat], len(texts)) > 0
@@ -146,6 +156,18 @@ class Aligner:
         return bad
 
 
+def _steps(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about STEP characters."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= STEP:
+            yield texts[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield texts[first:]
+
+
 class _Side:
     """One tokenizer's tokens of all parts, one behind the other, and the bytes each ends at."""
 
@@ -174,7 +196,8 @@ class _Parts:
         self._link(a.ids, b.ids, p, q, part, n)
 
     def _shown(self, a: _Side, b: _Side, groups: np.ndarray) -> list[str]:
-        names_a, names_b = list(map(str, a.ids.tolist())), list(map(str, b.ids.tolist()))
+        names_a = list(map(_DECIMAL.__getitem__, a.ids.tolist()))
+        names_b = list(map(_DECIMAL.__getitem__, b.ids.tolist()))
         at_a, at_b = self.starts_a.tolist(), self.starts_b.tolist()
         own = [
             f"{names_a[x]}|{names_b[y]}"

@@ -206,7 +206,7 @@ def _round(
             yield done()
 
     order = F.xxhash64(F.lit(number), "key")
-    dealt = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", order, "key", "toxic")
+    dealt = rows.repartitionById(SHARDS, F.col("shard")).sortWithinPartitions("shard", order, "key", "toxic")
     states = dealt.mapInArrow(learned, "shard int, state binary").collect()
     totals = np.zeros((3, _SIZE + 1))
     for r in sorted(states, key=lambda r: r.shard):
