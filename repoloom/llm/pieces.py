@@ -30,8 +30,8 @@ from repoloom.llm import common
 CHUNK = 1 << 14
 #: Matrices combined by one task in one step of the tree.
 FAN = 64
-#: Text pieces remembered per worker, twice this many at most, and the longest that is.
-MEMO_PIECES = 300_000
+#: Text parts remembered per worker, some 30 MB of them, and the longest that is.
+MEMO_PIECES = 100_000
 MEMO_LENGTH = 48
 _UNIT = 1 << 20
 _NEVER = -(1 << 60)
@@ -40,6 +40,45 @@ _MARK = "▁"
 _MODELS: dict[str, Pieces] = {}
 
 
+_DECODERS: dict[str, Decoder] = {}
+
+
+class Decoder:
+    """The bytes of each id of a SentencePiece model file."""
+
+    def __init__(self, proto) -> None:
+        self.prefix = " " if proto.normalizer_spec.add_dummy_prefix else ""
+        self.text = [p.piece.replace(_MARK, " ").encode() for p in proto.pieces]
+        for i, p in enumerate(proto.pieces):
+            if p.type == 6:
+                self.text[i] = bytes([int(p.piece[3:5], 16)])
+            elif p.type == 3:
+                self.text[i] = b""
+            elif p.type == 2:
+                self.text[i] = " ⁇ ".encode()
+
+    @classmethod
+    def of(cls, path: str) -> Decoder:
+        if path not in _DECODERS:
+            _DECODERS[path] = cls(_proto(path))
+        return _DECODERS[path]
+
+    def decode(self, ids: bytes) -> str:
+        """Text of the ids of a whole text; bytes that are no UTF-8 become U+FFFD."""
+        found = b"".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        found = found.removeprefix(self.prefix.encode())
+        return found.decode(errors="replace")
+
+
+def _proto(path: str):
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as file:
+        proto.ParseFromString(file.read())
+    return proto
+
+
 class Pieces:
     """Vocabulary of a SentencePiece model file, with a weight for each piece.
 
@@ -52,11 +91,8 @@ class Pieces:
     """
 
     def __init__(self, path: str) -> None:
-        from sentencepiece import sentencepiece_model_pb2
-
-        proto = sentencepiece_model_pb2.ModelProto()
-        with open(path, "rb") as file:
-            proto.ParseFromString(file.read())
+        proto = _proto(path)
+        self.decode = Decoder(proto).decode
         normal = [(i, p) for i, p in enumerate(proto.pieces) if p.type in (1, 4)]
         unigram = proto.trainer_spec.model_type == 1
         self.prefix = " " if proto.normalizer_spec.add_dummy_prefix else ""
@@ -69,15 +105,9 @@ class Pieces:
             p[:k]: (None, -1) for p in self.weight for k in range(1, len(p))
         }
         self.table.update(self.weight)
-        self.text = [p.piece.replace(_MARK, " ").encode() for p in proto.pieces]
         bytes_ = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
-        for value, i in bytes_.items():
-            self.text[i] = bytes([value])
         unknown = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
-        self.text[unknown] = " ⁇ ".encode()
         self.control = {i for i, p in enumerate(proto.pieces) if p.type == 3}
-        for i in self.control:
-            self.text[i] = b""
         self.bytes_ = [bytes_[v] for v in range(256)] if len(bytes_) == 256 else None
         self.unknown = unknown
         self.unknown_weight = min(w for w, _ in self.weight.values() if w > -(10**6) * _UNIT) - 10 * _UNIT
@@ -159,12 +189,6 @@ class Pieces:
         self.memo.trim()
         return b"".join(map(self.memo.__getitem__, parts))
 
-    def decode(self, ids: bytes) -> str:
-        """Text of the ids of a whole text; bytes that are no UTF-8 become U+FFFD."""
-        found = b"".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        found = found.removeprefix(self.prefix.encode())
-        return found.decode(errors="replace")
-
     def matrix(self, text: str, size: int) -> np.ndarray:
         """Transfer matrix of the first `size` characters; `text` goes on for reach - 1 more at most.
 
@@ -200,45 +224,36 @@ class Pieces:
 
 
 class _Memo(dict):
-    """Ids of text pieces as bytes, and beside them their weights, made when first asked for.
-
-    Once it is full it becomes the older half; what is asked for again moves to the new one.
-    """
+    """Ids of text parts as bytes, made when first asked for; beside them weights, which only
+    chunks of long texts ask for.  Either starts anew once it is full."""
 
     def __init__(self, model: Pieces) -> None:
         super().__init__()
         self.model = model
-        self.weights = _Weights(self)
-        self.older: dict[str, bytes] = {}
-        self.older_weights: dict[str, int] = {}
+        self.weights = _Weights(model)
 
     def trim(self) -> None:
-        if len(self) > MEMO_PIECES:
-            self.older, self.older_weights = dict(self), dict(self.weights)
-            self.clear()
-            self.weights.clear()
-
-    def make(self, piece: str) -> tuple[int, bytes]:
-        if piece in self.older:
-            made = self.older_weights[piece], self.older[piece]
-        else:
-            weight, ids = self.model.solve(piece.replace(" ", _MARK))
-            made = weight, array("I", ids).tobytes()
-        if len(piece) <= MEMO_LENGTH:
-            self.weights[piece], self[piece] = made
-        return made
+        for own in (self, self.weights):
+            if len(own) > MEMO_PIECES:
+                own.clear()
 
     def __missing__(self, piece: str) -> bytes:
-        return self.make(piece)[1]
+        made = array("I", self.model.solve(piece.replace(" ", _MARK))[1]).tobytes()
+        if len(piece) <= MEMO_LENGTH:
+            self[piece] = made
+        return made
 
 
 class _Weights(dict):
-    def __init__(self, memo: _Memo) -> None:
+    def __init__(self, model: Pieces) -> None:
         super().__init__()
-        self.memo = memo
+        self.model = model
 
     def __missing__(self, piece: str) -> int:
-        return self.memo.make(piece)[0]
+        made = self.model.solve(piece.replace(" ", _MARK))[0]
+        if len(piece) <= MEMO_LENGTH:
+            self[piece] = made
+        return made
 
 
 def zipf_scores(n: int) -> list[float]:
@@ -423,7 +438,7 @@ def decode(ids: Column, model: str) -> Column:
 
     @pandas_udf("string")
     def text(values):
-        pieces = Pieces.of(model)
+        pieces = Decoder.of(model)
         return values.map(lambda x: None if x is None else pieces.decode(x))
 
     return text(ids)
@@ -433,7 +448,7 @@ def summary(encoded: DataFrame, model: str) -> DataFrame:
     """Per encoded row: doc_id, n_tokens, ids_crc32, n_chars and text_crc32 of the decoded text."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.of(model)
+        pieces = Decoder.of(model)
         for batch in batches:
             ids = batch.column("ids").to_pylist()
             texts = [pieces.decode(x) for x in ids]
