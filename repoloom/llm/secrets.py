@@ -3,7 +3,8 @@
 A value in a credential context is cut into words, dates, repeats, sequences, keyboard
 walks and brute-force spans so that the guesses needed, multiplied over the parts, are
 fewest (a shortest path over its characters).  Values that stay dear are secrets;
-`password: changeme` is not.
+`password: changeme` is not.  Words are guessed in the order of a list: common passwords
+first, then the words of the corpus itself by the number of documents that hold them.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # The base patterns and their kinds, in their order.
 KINDS = ("assign", "access", "hex", "guess")
@@ -27,9 +28,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 
-# Credential contexts beyond the base patterns.
+# Credential contexts beyond the base patterns: a name that begins as a word, and what is set to it.
 _CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|login"""
+    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|passwd|pwd|secret|token|credentials?|auth|login"""
     r"""|(?:api|access|private|secret|signing|encryption)[ _-]?key)["']?\s{0,8}"""
     r"""(?::=|=>|[:=]|\bis\b)\s{0,8}["'`]?([^\s"'`,;<>(){}\[\]]+)""",
     re.IGNORECASE | re.ASCII,
@@ -38,6 +39,12 @@ _CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "credential", "auth", "login
 LEAST_VALUE = 6
 #: Decimal logarithm of the guesses from which a value counts as secret.
 LEAST_GUESSES = 8.0
+#: A value that reads as a word, listed or not, takes this many at most: prose has any word.
+WORD_GUESSES = 6.0
+_WORD = re.compile(r"[^\W\d_]?(?:[^\W\d_A-Z]){2,23}").fullmatch
+#: Words of the corpus that guessing knows at most, and the documents that must hold one.
+CORPUS_WORDS = 50_000
+LEAST_DOCUMENTS = 2
 
 # Words that guessing starts with, commonest first.
 COMMON_WORDS = (
@@ -80,94 +87,132 @@ def _runs(value: str, joins) -> Iterator[tuple[int, int]]:
             start = i
 
 
-def guess_cost(value: str, words: Sequence[str] = COMMON_WORDS) -> float:
-    """Decimal logarithm of the fewest guesses over all segmentations of the value.
-
-    best[j] = min over parts [i, j) of best[i] + cost of the part.  Parts from words have
-    their rank, doubled where letters are capital or replaced; dates 36,500 guesses;
-    keyboard walks, sequences and repeats a start, a length and a turn; any character ten.
-    Any stretch of a walk, sequence or repeat may be a part: its first and its
-    continued characters are priced apart, so one pass over the characters suffices.
-    """
-    return _guess_cost(value, tuple(words))
-
-
-@lru_cache(maxsize=16)
-def _ranks(words: tuple[str, ...]) -> tuple[dict[str, float], int]:
-    ranks: dict[str, float] = {}
-    for k, word in enumerate(words):
-        if len(word) >= 3:
-            ranks.setdefault(word, math.log10(k + 2))
-    return ranks, max(map(len, ranks), default=0)
-
-
-@lru_cache(maxsize=4096)
-def _guess_cost(value: str, words: tuple[str, ...]) -> float:
-    ranks, longest = _ranks(words)
-    n = len(value)
-    low = value.lower()
-    plain = low.translate(_LEET)
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for at in range(n):
-        match = _DATE.match(value, at)
-        if match:
-            ends[match.end()].append((at, math.log10(36_500)))
-    # (start of stretch, per-stretch cost): (first characters, every further one costs 0.1).
-    stretch = [(-1, 0.0)] * n
-    for joins, price in (
+def _each_run(value: str) -> list[tuple[list[int], float]]:
+    """For keyboard walks, sequences and repeats: where the run of each character starts (-1: in
+    none), and the price of a part's first character."""
+    kinds = (
         (lambda a, b: (a, b) in _TOUCH, math.log10(47 * 4)),
         (lambda a, b: abs(ord(a) - ord(b)) == 1, math.log10(26 * 2)),
         (lambda a, b: a == b, math.log10(64)),
-    ):
-        for lo, hi in _runs(low, joins):
-            for at in range(lo, hi):
-                if stretch[at][0] < 0 or price < stretch[at][1]:
-                    stretch[at] = (lo, price)
-    # Repeats of longer blocks: a copy of the block before costs its count only.
-    for size in range(2, min(n // 2, 16) + 1):
-        for at in range(size, n - size + 1):
-            if low[at - size : at] == low[at : at + size]:
-                ends[at + size].append((at, math.log10(2 + size)))
-    best = [0.0] + [math.inf] * n
-    walking = [math.inf] * (n + 1)
-    for j in range(1, n + 1):
-        cost = best[j - 1] + 1.0
-        at, price = stretch[j - 1]
-        if at >= 0:
-            start = best[j - 1] + price
-            walking[j] = min(start, walking[j - 1] + 0.1 if j - 1 > at else math.inf)
-            cost = min(cost, walking[j])
-        for i, price in ends[j]:
-            cost = min(cost, best[i] + price)
-        for i in range(max(0, j - longest), j - 2):
-            rank = ranks.get(low[i:j])
-            if rank is None and (rank := ranks.get(plain[i:j])) is not None:
-                rank += math.log10(2)
-            if rank is not None:
-                if value[i:j] != low[i:j]:
+    )
+    found = []
+    for joins, price in kinds:
+        starts = [-1] * len(value)
+        for lo, hi in _runs(value, joins):
+            starts[lo:hi] = [lo] * (hi - lo)
+        found.append((starts, price))
+    return found
+
+
+class Guesses:
+    """The guesses that values take, given the words in the order of guessing.
+
+    best[j] = min over parts [i, j) of best[i] + cost of the part.  Parts from words have
+    their rank, doubled where letters are capital, and where they are replaced; dates 36,500 guesses;
+    keyboard walks, sequences and repeats a start, and a tenth of a digit for each further character;
+    a copy of the block before it the block's size; any character ten.  Any stretch of a walk,
+    sequence or repeat may be a part: its first and its continued characters are priced apart, so one
+    pass over the characters suffices.
+    """
+
+    def __init__(self, words: Sequence[str]) -> None:
+        self.ranks: dict[str, float] = {}
+        for k, word in enumerate(words):
+            if len(word) >= 3:
+                self.ranks.setdefault(word, math.log10(k + 2))
+        self.longest = max(map(len, self.ranks), default=0)
+
+    def cost(self, value: str) -> float:
+        """Decimal logarithm of the fewest guesses over all segmentations."""
+        n, low = len(value), value.lower()
+        if len(low) != n:  # a letter whose small form is longer
+            low = value
+        plain = low.translate(_LEET)
+        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        for at in range(n):
+            if match := _DATE.match(value, at):
+                ends[match.end()].append((at, math.log10(36_500)))
+        for size in range(2, min(n // 2, 16) + 1):
+            for at in range(size, n - size + 1):
+                if low[at - size : at] == low[at : at + size]:
+                    ends[at + size].append((at, math.log10(2 + size)))
+        runs = _each_run(low)
+        best = [0.0] + [math.inf] * n
+        going = [math.inf] * len(runs)
+        for j in range(1, n + 1):
+            cost = best[j - 1] + 1.0
+            for k, (starts, price) in enumerate(runs):
+                at = starts[j - 1]
+                on = going[k] + 0.1 if 0 <= at < j - 1 else math.inf
+                going[k] = min(best[j - 1] + price, on) if at >= 0 else math.inf
+                cost = min(cost, going[k])
+            for i, price in ends[j]:
+                cost = min(cost, best[i] + price)
+            for i in range(max(0, j - self.longest), j - 2):
+                rank = self.ranks.get(low[i:j])
+                if rank is None and (rank := self.ranks.get(plain[i:j])) is not None:
                     rank += math.log10(2)
-                cost = min(cost, best[i] + rank)
-        best[j] = cost
-    return best[n]
+                if rank is not None:
+                    if value[i:j] != low[i:j]:
+                        rank += math.log10(2)
+                    cost = min(cost, best[i] + rank)
+            best[j] = cost
+        return best[n]
+
+
+def guess_cost(value: str, words: Sequence[str] = COMMON_WORDS) -> float:
+    return Guesses(words).cost(value)
+
 
+def corpus_words(docs: DataFrame, most: int = CORPUS_WORDS) -> list[str]:
+    """COMMON_WORDS, then the words of all texts by the number of documents that hold them.
 
-def find_spans(text: str, words: Sequence[str] = COMMON_WORDS) -> list[tuple[int, int, str]]:
+    A word is what stands between blanks, without the punctuation around it, if that is 3 to 24 letters;
+    a stretch of letters inside a key is none.  At most `most` words held by LEAST_DOCUMENTS
+    documents or more, ties by the word.
+    """
+    bare = F.regexp_extract("token", r"^[^\p{L}\p{N}]*(\p{L}{3,24})[^\p{L}\p{N}]*$", 1)
+    held = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("token"))
+    counted = (
+        held.groupBy("token")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(bare.alias("word"), "n")
+        .filter("word <> ''")
+        .groupBy("word")
+        .agg(F.sum("n").alias("n"))
+        .filter(F.col("n") >= LEAST_DOCUMENTS)
+    )
+    rows = counted.orderBy(F.desc("n"), "word").limit(most).collect()
+    return [*COMMON_WORDS, *(r.word for r in rows)]
+
+
+def find_spans(text: str, guesses: Guesses) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all secrets, by start, then in the order of KINDS."""
     low = text.lower()
-    found = []
+    found, values = [], {}
     if any(x in low for x in _ASSIGN_WORDS):
-        found += [(*m.span(), "assign") for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
+        for m in _ASSIGN.finditer(text):
+            if len(m[2]) >= 8:
+                found.append((*m.span(), "assign"))
+                values[m.start(2)] = m.end(2)
     if "AKIA" in text:
         found += [(*m.span(), "access") for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [(*m.span(), "hex") for m in _HEX.finditer(text)]
     if any(x in low for x in _CONTEXT_WORDS):
-        base = sorted(found)
         for m in _CONTEXT.finditer(text):
-            start, end = m.start(1), m.start(1) + len(m[1].rstrip(".!?"))
-            if end - start < LEAST_VALUE or any(a < end and start < b for a, b, _ in base):
-                continue
-            if guess_cost(text[start:end], words) >= LEAST_GUESSES:
-                found.append((start, end, "guess"))
+            end = m.start(1) + len(m[1].rstrip(".!?"))
+            values[m.start(1)] = max(end, values.get(m.start(1), 0))
+    last = 0
+    for start, end in sorted(values.items()):
+        value = text[max(start, last) : end]
+        if len(value) < LEAST_VALUE:
+            continue
+        cost = guesses.cost(value)
+        if _WORD(value):
+            cost = min(cost, WORD_GUESSES)
+        if cost >= LEAST_GUESSES:
+            found.append((end - len(value), end, "guess"))
+            last = end
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -184,25 +229,28 @@ def redact(text: str, spans: Sequence[tuple[int, int, str]]) -> str:
 _FOUND = "n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string, redacted string"
 
 
-def scan(docs: DataFrame, words: Sequence[str] = COMMON_WORDS) -> DataFrame:
+def scan(docs: DataFrame, words: Sequence[str] | None = None) -> DataFrame:
     """Adds counts by kind, base_sha256, spans and redacted to each row.
 
     In: text string and any columns; those named like the new ones are replaced.  spans
     lists kind:start:end in code points, end exclusive, by start, comma-joined, those of
     the base patterns among them; base_sha256 is the digest of the base ones.  A null text
-    is empty and stays null in redacted.  Kinds may overlap each other; `guess` doesn't
-    overlap a base span.
+    is empty and stays null in redacted.  Kinds may overlap each other: every credential value is
+    scored, those of base spans included, and `guess` marks the value alone.  `words` is the
+    order of guessing; without it, that of `corpus_words` of these rows.
     """
+    order = corpus_words(docs) if words is None else list(words)
     new = [x.split()[0] for x in _FOUND.split(", ")]
     names = [c for c in docs.columns if c not in new]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guesses = Guesses(order)
         for batch in batches:
             counts: list[list[int]] = [[] for _ in KINDS]
             digests, lists, texts = [], [], []
             for value in batch.column("text"):
                 text = value.as_py()
-                spans = find_spans(text or "", words)
+                spans = find_spans(text or "", guesses)
                 named = [f"{kind}:{start}:{end}" for start, end, kind in spans]
                 base = ",".join(x for x in named if not x.startswith("guess"))
                 for own, kind in zip(counts, KINDS, strict=True):

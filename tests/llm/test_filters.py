@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -139,34 +140,112 @@ def test_base_spans_equal_the_stated_patterns(spark, documents):
     assert secrets.scan(documents([])).count() == 0
 
 
+PLAIN = secrets.Guesses(secrets.COMMON_WORDS)
+
+
 def test_dear_values_are_found_and_redacted():
     text = SECRETS[3][1]
-    spans = secrets.find_spans(text)
+    spans = secrets.find_spans(text, PLAIN)
     assert [text[a:b] for a, b, k in spans if k == "guess"] == ["x9$Kq!vT2#Lm"]
     assert secrets.redact(text, spans) == "the pwd is [guess] and the login is password123"
 
 
-def cost_by_hand(value, words_):
-    """All segmentations, by recursion, into brute-force characters and words."""
-    if not value:
-        return 0.0
-    import math
+@pytest.mark.parametrize(
+    "value",
+    ["x9$Kq!vT2#Lm", "9f86d081884c7d659a2feaa0c55ad015", "Tr0ub4dor&3xK", "zqXvB81plw", "kV7/pQ2+sL9=", "xk29-vbq7-ppz4"],
+)
+@pytest.mark.parametrize("context", ["password: {}", "API_KEY='{}'", "my_token = {}.", "the login is {}", "auth => {}"])
+def test_planted_values(value, context):
+    text = f"Some prose first; {context.format(value)} and more."
+    found = [text[a:b] for a, b, k in secrets.find_spans(text, PLAIN) if k == "guess"]
+    assert [x.rstrip(".") for x in found] == [value.rstrip(".")]
+
+
+PROSE = [
+    "The secret is persistence.", "our compass is unreliable", "each token is represented as", "Auth: authentication",
+    "password is documentation", "Tokens: representation", "the login is Authoritative", "secretary: Featherstonehaugh1x",
+    "passing = straightforward9z", "password: 20240131", "token=qwertyuiop", "pwd: abcabcabcabc", "secret: 11111111111111",
+]
+
 
-    best = 1.0 + cost_by_hand(value[1:], words_)
-    for k, word in enumerate(words_):
-        if value.startswith(word):
-            best = min(best, math.log10(k + 2) + cost_by_hand(value[len(word) :], words_))
-    return best
+@pytest.mark.parametrize("text", PROSE)
+def test_prose_and_cheap_values_are_left_alone(text):
+    assert not [x for x in secrets.find_spans(text, PLAIN) if x[2] == "guess"]
+
+
+def test_every_value_is_scored_by_the_words_of_the_corpus(spark, documents):
+    rows = [(i, "the gribblefrotz sat by a mumblewock, gribblefrotz") for i in range(5)]
+    rows += [(10, "token=gribblefrotz-mumblewock"), (11, "token=gribblofrutz-mimblewack"), (12, "xgribblefrotz9 once")]
+    words = secrets.corpus_words(documents(rows))
+    assert words[len(secrets.COMMON_WORDS) :] == ["gribblefrotz", "mumblewock", "sat", "the"]
+    got = {r.doc_id: r for r in secrets.scan(documents(rows)).collect()}
+    assert got[10].n_assign == got[11].n_assign == 1
+    assert (got[10].n_guess, got[11].n_guess) == (0, 1)
+    assert got[11].spans == "assign:0:29,guess:6:29" and got[11].redacted == "[assign]"
+
+
+def cost_by_hand(value, words_):
+    """All segmentations: every cut into parts, every reading of a part."""
+    log, low = math.log10, value.lower()
+    rows_ = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
+    place = {c: (x + y / 2, y) for y, row in enumerate(rows_) for x, c in enumerate(row)}
+
+    def touch(a, b):
+        if a == b or a not in place or b not in place:
+            return False
+        (x, y), (u, v) = place[a], place[b]
+        return abs(x - u) <= 1 and abs(y - v) <= 1
+
+    kinds = ((touch, 188), (lambda a, b: abs(ord(a) - ord(b)) == 1, 52), (lambda a, b: a == b, 64))
+
+    def in_run(i, j, joins):
+        """Inside a run of three or more."""
+        while i > 0 and joins(low[i - 1], low[i]):
+            i -= 1
+        while j < len(low) and joins(low[j - 1], low[j]):
+            j += 1
+        return j - i >= 3
+
+    def part(i, j):
+        text, small = value[i:j], low[i:j]
+        yield 1.0 if j - i == 1 else math.inf
+        if re.fullmatch(r"(19|20)\d\d", text):
+            yield log(36500)
+        for order_ in (r"(19|20)\d\d([-/._]?)(0?[1-9]|1[0-2])\2(0?[1-9]|[12]\d|3[01])", r"(0?[1-9]|[12]\d|3[01])([-/._]?)(0?[1-9]|1[0-2])\2(19|20)\d\d"):
+            match = re.compile(order_).match(value, i)
+            if match and match.end() == j:
+                yield log(36500)
+        for joins, first in kinds:
+            if all(joins(a, b) for a, b in zip(small, small[1:])) and in_run(i, j, joins):
+                yield log(first) + 0.1 * (j - i - 1)
+        size = j - i
+        if 2 <= size <= 16 and low[max(i - size, 0) : i] == small:
+            yield log(2 + size)
+        plain = small.translate(str.maketrans("4@310$5!7", "aaeiossit"))
+        for k, word in enumerate(words_):
+            if len(word) >= 3 and word in (small, plain):
+                other = word != small and small not in words_
+                if word == small or other:
+                    yield log(k + 2) + log(2) * other + log(2) * (text != small)
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + min(part(i, j)) for i in range(j)))
+    return best[-1]
 
 
 def test_guess_costs():
-    pool = ["horse", "staple", "correct", "hor", "rect"]
-    for value in ("correcthorsexq", "xhorstaplez", "rectcorrect", "qzvkw", ""):
-        assert secrets.guess_cost(value, pool) == pytest.approx(cost_by_hand(value, pool))
-    cheap = ("password", "qwertyuiop", "aaaaaaaaaaaaaa", "abcdefgh", "2024-03-17", "abcabcabcabc", "P4ssword")
-    assert all(secrets.guess_cost(x) < 8 for x in cheap)
-    assert secrets.guess_cost("x9$Kq!vT2#Lm") >= 8
-    assert secrets.guess_cost("x7" * 5000) < 0.1 * 10000
+    pool = ["horse", "staple", "correct", "hor", "rect", "sat"]
+    values_ = [
+        "correcthorsexq", "xhorstaplez", "rectcorrect", "qzvkw", "", "C0rrectHORSE", "born1987-03-12x", "x20240131horse",
+        "asdfghjk99", "sdfghq", "abcdefzz", "aaaahor", "xyxyxyxy", "horsehorse", "12345678", "qwe123asd", "5@t", "31.12.1999",
+    ]
+    rng = random.Random(4)
+    letters = "horsetaplcq1239.AS"
+    values_ += ["".join(rng.choice(letters) for _ in range(rng.randrange(12))) for _ in range(60)]
+    values_ += ["".join(rng.choice(["hor", "rect", "123", "qwe", "aa", "19", "x", "Staple", "ab"]) for _ in range(4)) for _ in range(60)]
+    for value in values_:
+        assert secrets.guess_cost(value, pool) == pytest.approx(cost_by_hand(value, pool)), value
 
 
 def test_languages_of_held_out_documents(spark):
