@@ -46,10 +46,15 @@ def _items(text: Column) -> Column:
     return F.filter(F.transform(lines, item), lambda x: x["is_item"])
 
 
+_OPEN = "array<struct<indent:int,name:string>>"
+
+
 def _paths(items: Column) -> Column:
     """Path of each item: the items still open above it, and its own name.
 
-    One fold over the items with a stack; an item closes all that stand as deep or deeper.
+    A fold over the items with a stack; an item closes all that stand as deep or deeper.  A fold
+    copies what it has gathered at each step, so it goes in stretches of the square root of
+    the number of items: each gathers its own paths, and hands on the stack.
     """
 
     def step(state: Column, item: Column) -> Column:
@@ -57,15 +62,25 @@ def _paths(items: Column) -> Column:
         own = F.struct(item["indent"].alias("indent"), item["name"].alias("name"))
         names = F.concat(F.transform(above, lambda s: s["name"]), F.array(item["name"]))
         return F.struct(
-            F.concat(above, F.array(own)).alias("open"),
+            F.concat(above, F.array(own)).cast(_OPEN).alias("open"),
             F.concat(state["paths"], F.array(F.array_join(names, "/"))).alias("paths"),
         )
 
+    def stretch(state: Column, own: Column) -> Column:
+        start = F.struct(state["open"].alias("open"), F.array().cast("array<string>").alias("paths"))
+        done = F.aggregate(own, start, step)
+        return F.struct(
+            done["open"].cast(_OPEN).alias("open"), F.concat(state["paths"], F.array(done["paths"])).alias("paths")
+        )
+
+    size = F.size(items)
+    width = F.greatest(F.ceil(F.sqrt(size)), F.lit(1)).cast("int")
+    last = F.greatest(F.ceil(size / width), F.lit(1)).cast("int") - 1
+    stretches = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * width + 1, width))
     start = F.struct(
-        F.array().cast("array<struct<indent:int,name:string>>").alias("open"),
-        F.array().cast("array<string>").alias("paths"),
+        F.array().cast(_OPEN).alias("open"), F.array().cast("array<array<string>>").alias("paths")
     )
-    return F.aggregate(items, start, step)["paths"]
+    return F.flatten(F.aggregate(stretches, start, stretch)["paths"])
 
 
 def import_tree_listing(df: DataFrame, listing_id: str = "listing_id", text: str = "text") -> DataFrame:
