@@ -375,6 +375,13 @@ FROM tagged t JOIN readmes r USING (repo) GROUP BY t.repo""",
     "s7_write_rewritten": f"""WITH {NAMED} SELECT repo, path, array_to_string(string_split(path, '/')[:-2], '/') || '/' ||
   array_to_string(string_split(name, '.')[:-2], '.') || '.annotated.' || string_split(name, '.')[-1] AS target,
   md5(content) AS content_md5 FROM named""",
+    "s7_rewrite_tree": f"""WITH {NAMED}, placed AS (SELECT *,
+  array_to_string(string_split(path, '/')[:-2], '/') || '/n' || doc_id || '/' AS up FROM named
+  WHERE NOT contains(path, '/.')),
+out AS (SELECT up || name AS path, content FROM placed UNION ALL
+  SELECT up || array_to_string(string_split(name, '.')[:-2], '.') || '.annotated.' || string_split(name, '.')[-1],
+    {_stripped()} FROM placed WHERE {ANNOTATABLE})
+SELECT path, strlen(content) AS size, md5(content) AS content_md5 FROM out""",
     "f1_exclude_paths": f"WITH {FILES} SELECT doc_id, path FROM files WHERE NOT "
     f"({_excluded([*fv.EXCLUDED_NAMES, 'tests', 'd7'], fv.KEPT_DOT_NAMES)})",
     "f2_scannable": f"WITH {NAMED} SELECT doc_id, path FROM named WHERE {SCANNABLE}",

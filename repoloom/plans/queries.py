@@ -14,7 +14,7 @@ from ..operators import (
     aggregates, describe, filters, marks, readme, release, requests, search, search_index, tree,
 )
 from ..sources import catalogue as catalogue_source
-from ..sources import corpus, path_list, tree_listing
+from ..sources import corpus, path_list, tree_listing, tree_sink
 from ..sources import documents as document_source
 from ..streaming import catalogue as streams
 from . import catalogue, fixtures
@@ -76,7 +76,7 @@ def s1_scan_tree(spark, sf_dir):
     # A folder of its own for each document, for some paths occur twice.
     place = F.regexp_replace("path", "([^/]+)$", F.concat(F.lit("n"), F.col("doc_id"), F.lit(" [é#%41]/$1")))
     files = files.withColumn("path", F.concat(F.lit("corpus/"), place)).repartition("doc_id")
-    corpus.write_tree(files, folder).agg(F.sum("written")).collect()
+    tree_sink.write_files(files, folder)
     scanned = corpus.scan_corpus(spark, [f"{folder}/corpus"])
     return scanned.select("path", "size", F.md5("content").alias("content_md5"))
 
@@ -161,6 +161,25 @@ def s7_write_rewritten(spark, sf_dir):
     )
 
 
+def s7_rewrite_tree(spark, sf_dir):
+    """The files on disk, and beside each annotatable one its text without marks."""
+    folder = streams.work_folder(spark, "rewrite")
+    place = F.regexp_replace("path", "([^/]+)$", F.concat(F.lit("n"), F.col("doc_id"), F.lit("/$1")))
+    # Spark's reader, which reads the result back, passes over names with a leading dot.
+    files = fixtures.files(spark, sf_dir).filter(~F.contains("path", F.lit("/."))).withColumn("path", place)
+    tree_sink.write_files(files, folder)
+    kept = marks.strip_marks(filters.annotatable(files))
+    rewritten = corpus.with_target(kept).select(F.col("target").alias("path"), F.col("stripped").alias("content"))
+    tree_sink.write_files(rewritten, folder)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    # Below the work folder, whose name is a hash.
+    return found.select(
+        F.regexp_extract("path", r"/rewrite[^/]*/(.*)$", 1).alias("path"),
+        F.col("length").alias("size"),
+        F.md5("content").alias("content_md5"),
+    )
+
+
 # --- filters -----------------------------------------------------------------
 
 def f1_exclude_paths(spark, sf_dir):
@@ -569,7 +588,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         s1_scan_corpus, s1_scan_tree, s2_import_path_list, s3_import_tree_listing, s4_import_catalogue,
         s4_import_manifest, s4_import_snippets, s5_export_catalogue, s5_export_tree,
-        s5_export_snippets, s5_export_documents, s6_readme_context, s7_write_rewritten,
+        s5_export_snippets, s5_export_documents, s6_readme_context, s7_write_rewritten, s7_rewrite_tree,
         f1_exclude_paths, f2_scannable, f3_annotatable, f4_prune_empty_dirs,
         f5_files_with_tag, f6_has_marks,
         p1_describe_files, p2_describe_dirs, p3_name_tags, p4_import_tags, p5_merge_tags,

@@ -155,29 +155,6 @@ def scan_corpus(
     return unread.filter(~wanted).unionByName(read)
 
 
-def write_tree(files: DataFrame, folder: str) -> DataFrame:
-    """files(path, content) as real files below a folder given as URI or local path.
-
-    Returns (written bigint) per task.  A file is written again if its task is; paths must
-    differ.
-    """
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, inner = _Systems().of(folder)
-        written = 0
-        for batch in batches:
-            for row in batch.itertuples():
-                target = f"{inner}/{row.path}"
-                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                with system.open_output_stream(target, compression=None) as out:
-                    out.write((row.content or "").encode())
-                written += 1
-        yield pd.DataFrame({"written": [written]})
-
-    ship(files.sparkSession)
-    return files.select("path", "content").mapInPandas(write, "written bigint")
-
-
 def rewritten_path(in_place: bool = False) -> Column:
     """'a/b.py' -> 'a/b.annotated.py', or the path itself."""
     if in_place:
