@@ -17,7 +17,9 @@ import math
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,14 @@ from pyspark.sql import functions as F
 from repoloom.llm import common
 
 #: Characters per chunk; texts of up to one chunk are encoded where they lie.
-CHUNK = 1 << 14
+CHUNK = 1 << 16
 #: Matrices combined by one task in one step of the tree.
 FAN = 64
 #: Text parts remembered per worker, some 30 MB of them, and the longest that is.
-MEMO_PIECES = 100_000
+MEMO_PIECES = 80_000
 MEMO_LENGTH = 48
+#: Characters encoded together.
+STEP = 1 << 20
 _UNIT = 1 << 20
 _NEVER = -(1 << 60)
 _MARK = "▁"
@@ -100,11 +104,11 @@ class Pieces:
         self.weight: dict[str, tuple[int, int]] = {
             p.piece: (round(s * _UNIT), i) for (i, p), s in zip(normal, scores, strict=True)
         }
-        #: Every beginning of a piece, so that a walk through a text knows when to stop.
-        self.table: dict[str, tuple[int | None, int]] = {
-            p[:k]: (None, -1) for p in self.weight for k in range(1, len(p))
+        #: Every end of a piece, for walks back.
+        self.ends: dict[str, tuple[int | None, int]] = {
+            p[k:]: (None, -1) for p in self.weight for k in range(1, len(p))
         }
-        self.table.update(self.weight)
+        self.ends.update(self.weight)
         bytes_ = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         unknown = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
         self.control = {i for i, p in enumerate(proto.pieces) if p.type == 3}
@@ -117,8 +121,18 @@ class Pieces:
         # Every path has a node before a run of spaces, and around a line feed that no piece holds.
         pattern = " *[^ ]+| +" if feed else "\n| *[^ \n]+| +"
         self.cut = (lambda x: [x]) if inside else re.compile(pattern).findall
-        self.memo = _Memo(self)
-        self.weights = self.memo.weights
+        self.packed = [array("I", [i]).tobytes() for i in range(len(proto.pieces))]
+        self.ids = _Memo(self, 2)
+        self.weights = _Memo(self, 1)
+
+    @cached_property
+    def table(self) -> dict[str, tuple[int | None, int]]:
+        """Every beginning of a piece, so that a walk through a text knows when to stop."""
+        found: dict[str, tuple[int | None, int]] = {
+            p[:k]: (None, -1) for p in self.weight for k in range(1, len(p))
+        }
+        found.update(self.weight)
+        return found
 
     @classmethod
     def of(cls, path: str) -> Pieces:
@@ -139,55 +153,100 @@ class Pieces:
         if not single:
             yield at + 1, self.unknown_weight, -1
 
-    def solve(self, text: str) -> tuple[int, list[int]]:
-        """Weight and ids of the heaviest path through a whole text, spaces as U+2581."""
-        n, reach = len(text), self.reach
-        table, unknown = self.table.get, self.unknown_weight
-        best = [_NEVER] * (n + 1)
-        origin = [0] * (n + 1)
-        last = [-1] * (n + 1)
-        best[0] = 0
-        for at in range(n):
-            own = best[at]
-            # As in `edges`, written out: this runs for every new word.
-            found = table(text[at])
-            if found is None or found[0] is None:
-                if own + unknown > best[at + 1]:
-                    best[at + 1] = own + unknown
-                    origin[at + 1] = at
-                    last[at + 1] = -1
-            end = at
-            while found is not None:
-                end += 1
-                if found[0] is not None and own + found[0] > best[end]:
-                    best[end] = own + found[0]
-                    origin[end] = at
-                    last[end] = found[1]
-                if end == n or end - at == reach:
+    def solve(self, texts: list[str]) -> Iterator[tuple[str, int, list[int]]]:
+        """(text, weight, ids) of the heaviest path through each text, spaces as U+2581; of equally
+        heavy ways to a place, the one whose last piece is longest.
+
+        In alphabetic order, so that a text goes on from where it parts with the one before.
+        """
+        reach, unknown, table = self.reach, self.unknown_weight, self.ends.get
+        best, origin, last = [0], [0], [-1]
+        before = ""
+        for text in sorted(texts):
+            n = len(text)
+            shared = 0
+            for x, y in zip(before, text, strict=False):
+                if x != y:
                     break
-                found = table(text[at : end + 1])
-        ids: list[int] = []
-        end = n
-        while end:
-            at, piece = origin[end], last[end]
-            if piece >= 0:
-                ids.append(piece)
-            elif self.bytes_:
-                ids += [self.bytes_[v] for v in reversed(text[at:end].encode())]
-            else:
-                ids.append(self.unknown)
-            end = at
-        return best[n], ids[::-1]
+                shared += 1
+            del best[shared + 1 :], origin[shared + 1 :], last[shared + 1 :]
+            for end in range(shared + 1, n + 1):
+                at = end - 1
+                found = table(text[at])
+                most, where, piece = _NEVER, at, -1
+                if found is None or found[0] is None:
+                    most = best[at] + unknown
+                while found is not None:
+                    if found[0] is not None and best[at] + found[0] >= most:
+                        most, where, piece = best[at] + found[0], at, found[1]
+                    at -= 1
+                    if at < 0 or end - at > reach:
+                        break
+                    found = table(text[at:end])
+                best.append(most)
+                origin.append(where)
+                last.append(piece)
+            before = text
+            ids: list[int] = []
+            end = n
+            while end:
+                at, piece = origin[end], last[end]
+                if piece >= 0:
+                    ids.append(piece)
+                elif self.bytes_:
+                    ids += [self.bytes_[v] for v in reversed(text[at:end].encode())]
+                else:
+                    ids.append(self.unknown)
+                end = at
+            yield text, best[n], ids[::-1]
+
+    def _solve_short(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
+        """`solve`, with packed ids; for short texts, as every place keeps the ids up to it."""
+        reach, unknown, table, packed = self.reach, self.unknown_weight, self.ends.get, self.packed
+        best, ids = [0], [b""]
+        before = ""
+        for text in sorted(texts):
+            n = len(text)
+            most = min(n, len(before))
+            shared = 0
+            while shared < most and before[shared] == text[shared]:
+                shared += 1
+            del best[shared + 1 :], ids[shared + 1 :]
+            for end in range(shared + 1, n + 1):
+                at = end - 1
+                found = table(text[at])
+                most, where, piece = _NEVER, at, -1
+                if found is None or found[0] is None:
+                    most = best[at] + unknown
+                least = end - reach
+                while found is not None:
+                    weight = found[0]
+                    if weight is not None and best[at] + weight >= most:
+                        most, where, piece = best[at] + weight, at, found[1]
+                    at -= 1
+                    if at < 0 or at < least:
+                        break
+                    found = table(text[at:end])
+                best.append(most)
+                own = packed[piece] if piece >= 0 else self._spelled(text[where:end])
+                ids.append(ids[where] + own)
+            before = text
+            yield text, best[n], ids[n]
+
+    def _spelled(self, character: str) -> bytes:
+        """Packed ids of a character that is no piece."""
+        values = [self.bytes_[v] for v in character.encode()] if self.bytes_ else [self.unknown]
+        return array("I", values).tobytes()
 
     def prepared(self, text: str) -> str:
         """A whole text as it is encoded: with the space that some models put before it."""
         return self.prefix + text if text else ""
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a prepared text as little-endian unsigned 32-bit integers."""
-        parts = self.cut(text.replace(_MARK, " "))
-        self.memo.trim()
-        return b"".join(map(self.memo.__getitem__, parts))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of prepared texts as little-endian unsigned 32-bit integers."""
+        parts = [self.cut(x.replace(_MARK, " ")) for x in texts]
+        known = self.ids.of(set(chain.from_iterable(parts)))
+        return [b"".join(map(known.__getitem__, own)) for own in parts]
 
     def matrix(self, text: str, size: int) -> np.ndarray:
         """Transfer matrix of the first `size` characters; `text` goes on for reach - 1 more at most.
@@ -206,8 +265,8 @@ class Pieces:
             return self._matrix(text, size)
         # The last part may go on behind the chunk.
         begin, end = shared[first], shared[-1]
-        self.memo.trim()
-        middle = sum(map(self.weights.__getitem__, parts[first:-1]))
+        known = self.weights.of(set(parts[first:-1]))
+        middle = sum(map(known.__getitem__, parts[first:-1]))
         enter = self._matrix(text[:begin], begin)[:, 0]
         leave = self._matrix(text[end:], size - end)[0]
         return np.maximum(enter[:, None] + middle + leave[None, :], _NEVER)
@@ -223,37 +282,36 @@ class Pieces:
         return np.maximum(best[:, size:], _NEVER)
 
 
-class _Memo(dict):
-    """Ids of text parts as bytes, made when first asked for; beside them weights, which only
-    chunks of long texts ask for.  Either starts anew once it is full."""
-
-    def __init__(self, model: Pieces) -> None:
-        super().__init__()
-        self.model = model
-        self.weights = _Weights(model)
+def _steps(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about STEP characters."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= STEP:
+            yield texts[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield texts[first:]
 
-    def trim(self) -> None:
-        for own in (self, self.weights):
-            if len(own) > MEMO_PIECES:
-                own.clear()
 
-    def __missing__(self, piece: str) -> bytes:
-        made = array("I", self.model.solve(piece.replace(" ", _MARK))[1]).tobytes()
-        if len(piece) <= MEMO_LENGTH:
-            self[piece] = made
-        return made
+class _Memo:
+    """One value of `solve` for text parts, kept for short ones; it starts anew once it is full."""
 
+    def __init__(self, model: Pieces, value: int) -> None:
+        self.model, self.value = model, value
+        self.found: dict = {}
 
-class _Weights(dict):
-    def __init__(self, model: Pieces) -> None:
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, piece: str) -> int:
-        made = self.model.solve(piece.replace(" ", _MARK))[0]
-        if len(piece) <= MEMO_LENGTH:
-            self[piece] = made
-        return made
+    def of(self, parts: set[str]) -> dict:
+        """Holds all of the parts, at least."""
+        if len(self.found) > MEMO_PIECES:
+            self.found = {}
+        new = [p.replace(" ", _MARK) for p in parts if p not in self.found]
+        for row in self.model._solve_short([p for p in new if len(p) <= MEMO_LENGTH]):
+            self.found[row[0].replace(_MARK, " ")] = row[self.value]
+        long = {}
+        for text, weight, ids in self.model.solve([p for p in new if len(p) > MEMO_LENGTH]):
+            long[text.replace(_MARK, " ")] = (weight, array("I", ids).tobytes())[self.value - 1]
+        return self.found | long if long else self.found
 
 
 def zipf_scores(n: int) -> list[float]:
@@ -378,6 +436,33 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     empty one; rows that repeat a document come back once each.  Of segmentations with
     equal weight one is taken; which one may depend on where chunks end.
     """
+    return _encoded(docs, model, _IDS, lambda batch, ids: batch.append_column("ids", pa.array(ids, pa.binary())))
+
+
+def summary(docs: DataFrame, model: str) -> DataFrame:
+    """Per row, encoded as by `encode` and decoded again in the same tasks: doc_id, n_tokens, ids_crc32,
+    n_chars and text_crc32 of the decoded text."""
+
+    def looked(batch: pa.RecordBatch, ids: list[bytes]) -> pa.RecordBatch:
+        decode = Decoder.of(model).decode
+        rows = []
+        for x in ids:
+            text = decode(x)
+            rows.append((len(x) // 4, zlib.crc32(x), len(text), zlib.crc32(text.encode())))
+        for name, values in zip(_LOOKED, zip(*rows, strict=True) if rows else [()] * 4, strict=True):
+            batch = batch.append_column(name, pa.array(values, pa.int64()))
+        return batch
+
+    kind = ", ".join(f"{c} long" for c in _LOOKED)
+    return _encoded(docs, model, kind, looked).select("doc_id", *_LOOKED)
+
+
+_IDS = "ids binary"
+_LOOKED = ("n_tokens", "ids_crc32", "n_chars", "text_crc32")
+
+
+def _encoded(docs: DataFrame, model: str, kind: str, made: Callable) -> DataFrame:
+    """doc_id, row_key and the columns, of the given kind, that `made` adds for the ids of whole texts."""
     reach, prefix = Pieces.of(model).reach, Pieces.of(model).prefix
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(
@@ -389,19 +474,19 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(model)
         for batch in batches:
-            ids = [pieces.encode(x.as_py()) for x in batch.column("text")]
-            yield batch.select(_KEY).append_column("ids", pa.array(ids, pa.binary()))
+            ids = [x for own in _steps(batch.column("text").to_pylist()) for x in pieces.encode(own)]
+            yield made(batch.select(_KEY), ids)
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(model)
         for batch in batches:
-            ids = []
-            for r in batch.select(["text", "size", "entry", "leave"]).to_pylist():
-                ids.append(pieces.encode(r["text"][r["entry"] : r["size"] + r["leave"]]))
+            rows = batch.select(["text", "size", "entry", "leave"]).to_pylist()
+            texts = [r["text"][r["entry"] : r["size"] + r["leave"]] for r in rows]
+            ids = [x for own in _steps(texts) for x in pieces.encode(own)]
             yield batch.select([*_KEY, "at"]).append_column("ids", pa.array(ids, pa.binary()))
 
     short = texts.filter(F.length("text") <= CHUNK).mapInArrow(
-        whole, "doc_id long, row_key long, ids binary"
+        whole, f"doc_id long, row_key long, {kind}"
     )
     most = texts.agg(F.max(F.length("text"))).first()[0] or 0
     if most <= CHUNK:
@@ -417,13 +502,13 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     def whole_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [b"".join(x["ids"] for x in own) for own in batch.column("p").to_pylist()]
-            yield batch.select(_KEY).append_column("ids", pa.array(ids, pa.binary()))
+            yield made(batch.select(_KEY), ids)
 
     # One text's ids, as its text, are one value.
     long = (
         parts.groupBy(*_KEY)
         .agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("p"))
-        .mapInArrow(whole_again, "doc_id long, row_key long, ids binary")
+        .mapInArrow(whole_again, f"doc_id long, row_key long, {kind}")
     )
     return _named(short.union(large.select(*_KEY).join(long, _KEY)))
 
@@ -442,27 +527,3 @@ def decode(ids: Column, model: str) -> Column:
         return values.map(lambda x: None if x is None else pieces.decode(x))
 
     return text(ids)
-
-
-def summary(encoded: DataFrame, model: str) -> DataFrame:
-    """Per encoded row: doc_id, n_tokens, ids_crc32, n_chars and text_crc32 of the decoded text."""
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Decoder.of(model)
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            texts = [pieces.decode(x) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                    pa.array([len(x) for x in texts], pa.int64()),
-                    pa.array([zlib.crc32(x.encode()) for x in texts], pa.int64()),
-                ],
-                ["doc_id", "n_tokens", "ids_crc32", "n_chars", "text_crc32"],
-            )
-
-    return encoded.select("doc_id", "ids").mapInArrow(
-        look, "doc_id long, n_tokens long, ids_crc32 long, n_chars long, text_crc32 long"
-    )

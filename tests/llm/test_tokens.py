@@ -65,7 +65,7 @@ def test_segmentations_are_as_heavy_as_the_librarys(spark):
     same = 0
     texts = [t or "" for _, t in texts_of(spark)]
     for text in texts:
-        coded = model.encode(model.prepared(text))
+        coded = model.encode([model.prepared(text)])[0]
         own = np.frombuffer(coded, "<u4").tolist()
         other = library.encode(text)
         assert weight(proto, own) == pytest.approx(weight(proto, other), rel=1e-5)
@@ -88,12 +88,13 @@ def test_chunks_combine_to_the_whole(spark):
             total = matrices[0]
             for m in matrices[1:]:
                 total = pieces.product(total, m)
-            best = model.solve(text.replace(" ", "▁"))[0]
+            heaviest = lambda x: next(model.solve([x.replace(" ", "▁")]))[1]
+            best = heaviest(text)
             assert total[0, 0] == best
             ways = pieces.between(matrices, 0, 0)
             spans = [t[i : n + j] for (t, n), (i, j) in zip(parts, ways, strict=True)]
             assert "".join(spans) == text
-            assert sum(model.solve(x.replace(" ", "▁"))[0] for x in spans) == best
+            assert sum(heaviest(x) for x in spans) == best
 
 
 def test_encoding_round_trips_through_the_tree(spark, documents, monkeypatch):
@@ -108,9 +109,22 @@ def test_encoding_round_trips_through_the_tree(spark, documents, monkeypatch):
     _, proto = unigram()
     for r in got:
         ids = np.frombuffer(r.ids, "<u4").tolist()
-        whole = np.frombuffer(model.encode(model.prepared(r.text)), "<u4").tolist()
+        whole = np.frombuffer(model.encode([model.prepared(r.text)])[0], "<u4").tolist()
         assert weight(proto, ids) == pytest.approx(weight(proto, whole), rel=1e-6)
 
 
+@pytest.mark.parametrize("chunk", [100, 1 << 16])
+def test_summaries_are_those_of_the_ids(spark, documents, monkeypatch, chunk):
+    monkeypatch.setattr(pieces, "CHUNK", chunk)
+    rows = documents(texts_of(spark))
+    want = []
+    for r in pieces.encode(rows, MODEL).collect():
+        text = pieces.Decoder.of(MODEL).decode(r.ids)
+        want.append((r.doc_id, len(r.ids) // 4, zlib.crc32(r.ids), len(text), zlib.crc32(text.encode())))
+    got = [tuple(r) for r in pieces.summary(rows, MODEL).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_encoding_of_an_empty_table(documents):
+    assert pieces.summary(documents([]), MODEL).count() == 0
     assert pieces.encode(documents([]), MODEL).count() == 0
