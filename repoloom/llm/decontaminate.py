@@ -167,7 +167,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     In: docs (doc_id, text) and items (item_id, text); other columns are ignored.  A window
     is 10 consecutive words of an item, or all of a shorter one.  Out, a row per row: doc_id,
     n_words, n_hit (words inside an occurrence), n_items (items with an occurring window),
-    items_sha256 (of their ids, sorted as strings, comma-joined), contaminated, item_ids.
+    items_sha256 (of their ids, sorted as strings, comma-joined), contaminated, item_ids, and
+    row_key, which tells rows of one doc_id apart by their texts.
 
     Null and wordless texts have no words and are clean; a null item_id is named by the
     empty string; equal windows of several items count for each; rows that repeat a
@@ -204,4 +205,5 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
         ids.alias("item_ids"),
+        "row_key",
     )

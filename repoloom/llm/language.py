@@ -26,9 +26,8 @@ PIECE_BYTES = 1024
 LEVEL = 6
 #: Least lead of the smallest size over the next, as a share of it.
 MARGIN = 0.005
-
-#: Bytes of words from which a narrow lead rejects; below, a byte is too coarse a measure.
-LEAST_BYTES = 64
+#: And in bytes, for a byte is a coarse measure of short texts.
+LEAST_LEAD = 2
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -121,9 +120,8 @@ def identify(docs: DataFrame, model: Languages, margin: float = MARGIN) -> DataF
     lang_pred is the language of the smallest size, the commoner one on equal sizes, `und`
     for a null text, one without letters, or a model without languages.  score is
     1 - exp(-d / 2), d the lead over the next language in bytes: 0 on equal sizes, near 1 from
-    ten bytes on; 1 where there is one language only.  accepted is false for `und`, on
-    equal sizes, and for texts of LEAST_BYTES or more whose lead is at most `margin` of the next
-    language's size.
+    ten bytes on; 1 where there is one language only.  accepted is false for `und` and where the lead is
+    less than LEAST_LEAD bytes or at most `margin` of the next language's size, at every length.
     Columns named like the three are replaced.
     """
     names = [c for c in docs.columns if c not in _SCHEMA.names]
@@ -148,8 +146,7 @@ def identify(docs: DataFrame, model: Languages, margin: float = MARGIN) -> DataF
                     continue
                 ahead = lead - own[best]
                 scores.append(1 - float(np.exp(-ahead / 2)))
-                clear = len(text.encode()) < LEAST_BYTES or ahead > margin * lead
-                accepted.append(ahead > 0 and clear)
+                accepted.append(ahead >= LEAST_LEAD and ahead > margin * lead)
             new = [pa.array(found, pa.string()), pa.array(scores), pa.array(accepted, pa.bool_())]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), *new], [*names, *_SCHEMA.names]

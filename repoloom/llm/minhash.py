@@ -176,16 +176,17 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
+                batch.column("row_key"),
                 pa.array(sizes),
                 pa.array(set_a),
                 pa.array(set_b),
                 pa.array([least[i].tobytes() if sizes[i] else None for i in range(n)], pa.binary()),
             ],
-            ["doc_id", "n_shingles", "set_a", "set_b", "sketch"],
+            ["doc_id", "row_key", "n_shingles", "set_a", "set_b", "sketch"],
         )
 
 
-_SKETCHES = "doc_id long, n_shingles long, set_a long, set_b long, sketch binary"
+_SKETCHES = "doc_id long, row_key long, n_shingles long, set_a long, set_b long, sketch binary"
 
 
 def _tables(sketch: np.ndarray) -> Iterator[np.ndarray]:
@@ -487,7 +488,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     In: doc_id long, text string; other columns are ignored.  Out, a row per row: doc_id,
     n_shingles (size of the set), component_id (smallest doc_id reachable), kept
-    (doc_id = component_id).
+    (doc_id = component_id), and row_key, which tells rows of one doc_id apart by their texts.
 
     Words are lower-cased (A-Z) runs of anything but blanks; texts of one to four words
     have one shingle; texts without words, and nulls, have none and stay alone.  Equal
@@ -497,7 +498,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = 2 * common.tasks(spark)
     rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text"
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"),
+        common.row_key(F.col("text")).alias("row_key"),
+        "text",
     )
     sketched = common.stored(rows.mapInArrow(_sketches, _SKETCHES), "sketches")
     sets = common.stored(
@@ -540,5 +543,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             "n_shingles",
             F.when(F.col("component_id") != -(2**63), F.col("component_id")).alias("component_id"),
             (F.col("doc_id") == F.col("component_id")).alias("kept"),
+            "row_key",
         )
     )

@@ -56,7 +56,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(common.read_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(common.read_table(spark, sf_dir, "documents")).drop("row_key")
 
 
 @_query
@@ -108,15 +108,14 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
-    model = tokenizer_path("piece_bpe_32k.model")
-    return pieces.summary(pieces.encode(docs, model), model)
+    return pieces.summary(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
 @_query
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
     items = common.read_table(spark, sf_dir, "benchmark")
-    return decontaminate.contamination(docs, items).drop("item_ids")
+    return decontaminate.contamination(docs, items).drop("item_ids", "row_key")
 
 
 @_query

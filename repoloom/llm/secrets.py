@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repoloom.llm import common
+
 # The base patterns and their kinds, in their order.
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(
@@ -45,6 +47,8 @@ _WORD = re.compile(r"[^\W\d_]?(?:[^\W\d_A-Z]){2,23}").fullmatch
 #: Words of the corpus that guessing knows at most, and the documents that must hold one.
 CORPUS_WORDS = 50_000
 LEAST_DOCUMENTS = 2
+#: Tasks that send the driver their commonest words.
+MERGED = 4
 
 # Words that guessing starts with, commonest first.
 COMMON_WORDS = (
@@ -182,7 +186,17 @@ def corpus_words(docs: DataFrame, most: int = CORPUS_WORDS) -> list[str]:
         .agg(F.sum("n").alias("n"))
         .filter(F.col("n") >= LEAST_DOCUMENTS)
     )
-    rows = counted.orderBy(F.desc("n"), "word").limit(most).collect()
+    counted = common.stored(counted, "words")
+    # How many words are about how common tells from which count on there are enough, so that
+    # tasks don't each send the driver as many.
+    size = F.floor(F.log2("n") * 8).alias("size")
+    enough, least = 0, LEAST_DOCUMENTS
+    for r in counted.groupBy(size).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n")).orderBy(F.desc("size")).collect():
+        enough, least = enough + r.words, r.n
+        if enough >= most:
+            break
+    common_ones = counted.filter(F.col("n") >= least).repartition(MERGED, "word")
+    rows = common_ones.orderBy(F.desc("n"), "word").limit(most).collect()
     return [*COMMON_WORDS, *(r.word for r in rows)]
 
 

@@ -45,7 +45,7 @@ def hits_by_hand(rows, items):
 
 
 def hits(docs, items):
-    return order(tuple(r) for r in decontaminate.contamination(docs, items).drop("item_ids").collect())
+    return order(tuple(r) for r in decontaminate.contamination(docs, items).drop("item_ids", "row_key").collect())
 
 
 @pytest.fixture
@@ -323,3 +323,34 @@ def test_shards_of_few_rows(spark, documents):
     assert sharding.interleaved_shards(documents([]), 8).count() == 0
     got = sharding.interleaved_shards(documents([(1, "a"), (2, "b"), (3, None)]), 8).collect()
     assert sorted((r.shard, r.slot) for r in got) == [(0, 0), (2, 0), (5, 0)]
+
+
+def test_languages_by_hand(spark, documents):
+    """Sizes of whole texts, made anew with the library, and the rule on them."""
+    import zstandard
+
+    model = language.fit(sample(spark), ~language.held_out(F.col("doc_id")))
+    rows = [(r.doc_id, r.text) for r in sample(spark).limit(120).collect()] + ODD + [(7, "a b"), (8, "word " * 300)]
+    rows += [(i, " ".join((t or "").split()[:k])) for i, (_, t) in enumerate(rows[:30]) for k in (1, 3, 8)]
+    settings = zstandard.ZstdCompressionParameters.from_level(
+        language.LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0
+    )
+    want = []
+    for doc_id, text in rows:
+        raw = " ".join(re.findall(r"[^\W\d_]+", (text or "").lower())).encode()
+        sizes = []
+        for lang, content in model.dictionaries:
+            words_ = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            size = 0
+            for at in range(0, len(raw), 1024):
+                size += len(zstandard.ZstdCompressor(dict_data=words_, compression_params=settings).compress(raw[at : at + 1024]))
+            sizes.append((size, len(sizes), lang))
+        if not raw:
+            want.append((doc_id, "und", 0.0, False))
+            continue
+        first, second = sorted(sizes)[:2]
+        lead = second[0] - first[0]
+        want.append((doc_id, first[2], 1 - math.exp(-lead / 2), lead >= 2 and lead > 0.005 * second[0]))
+    got = language.identify(documents(rows), model).select("doc_id", "lang_pred", "score", "accepted").collect()
+    rounded = lambda rows_: order((i, lang, round(x, 9), a) for i, lang, x, a in rows_)
+    assert rounded(tuple(r) for r in got) == rounded(want)

@@ -84,3 +84,20 @@ def test_queries_return_their_columns(spark):
             assert set(want[short]) <= set(got.columns), name
             if short != "op6":
                 assert got.count() == rows, name
+
+
+def test_repeated_and_missing_ids_are_judged_by_their_text(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row_key int"
+    item = sample(spark, "benchmark").first().text
+    copy = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [
+        (1, copy), (2, copy), (2, "other words that have nothing to do with it"), (None, None), (4, ""), (5, "short"),
+        (6, item), (6, "clean words under the same number as a passage"), (None, "some text " + item), (None, "clean and without number"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0) for i, t in rows], kind)
+    keep = lambda stage: sorted(((r.doc_id, r.text) for r in STAGES[stage](spark, docs, SF).collect()), key=repr)
+    near = keep("near_duplicates")
+    assert (2, copy) not in near and (2, rows[2][1]) in near and (1, copy) in near and (None, None) in near and (4, "") in near
+    assert keep("decontamination") == sorted((r for r in rows if item not in (r[1] or "")), key=repr)
+    for stage in STAGES:
+        assert STAGES[stage](spark, docs.limit(0), SF).count() == 0
