@@ -10,6 +10,13 @@ PATHS = r"""
 SELECT page_id, concat('site/', regexp_replace(regexp_replace(url,'^https?://',''),'[?#].*$','')) AS path
 FROM {pages}"""
 
+# Seven lists whose paths overlap, some with a root of their own.
+PATH_LISTS = r"""
+SELECT page_id, cast(page_id % 7 AS bigint) AS list_id,
+ concat(CASE WHEN page_id % 7 = 5 AND page_id % 3 = 0 THEN './' WHEN page_id % 7 = 6 THEN 'other/' ELSE 'site/' END,
+  regexp_replace(regexp_replace(url,'^https?://',''),'[?#].*$','')) AS path
+FROM {pages}"""
+
 FILES = """
 SELECT doc_id, source AS repo,
  CASE doc_id % 97
@@ -143,6 +150,10 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, PATHS)
 
 
+def path_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, PATH_LISTS)
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, FILES)
 

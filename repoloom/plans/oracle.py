@@ -129,6 +129,10 @@ def _dirs_of(table: str) -> str:
     )
 
 
+# One entry per segment, compared one after the other.
+WALK = """list_transform(string_split(path, '/'), lambda s, i: {
+  'kind': CASE WHEN kind = 'dir' OR i < len(string_split(path, '/')) THEN 2 ELSE 1 END, 'folded': lower(s), 'name': s})"""
+
 SCAN = f"""{TAGGED},
 nodes AS (
   SELECT doc_id, repo, path, array_to_string(string_split(path, '/')[:-2], '/') AS parent_path, name, 'file' AS kind,
@@ -183,6 +187,20 @@ placed AS (SELECT DISTINCT repo, array_to_string(parts[1:k], '/') AS path,
   FROM rooted, range(1, len(parts) + 1) r(k)),
 {_described_listing('placed')}"""
 
+LIST_NODES = f"""
+listed AS (SELECT list_id, page_id, CASE WHEN starts_with(trim(path), './') THEN substr(trim(path), 3) ELSE trim(path) END AS path
+  FROM ({_base(fixtures.PATH_LISTS)}) p),
+kept AS (SELECT * FROM listed WHERE path <> '' AND path[1] <> '#'),
+roots AS (SELECT list_id, coalesce(nullif(string_split(min_by(path, page_id), '/')[1], ''), 'project') AS root FROM kept GROUP BY 1),
+split_up AS (SELECT list_id, regexp_matches(string_split(path, '/')[-1], '\\.\\w{{1,10}}$') AS is_file,
+  list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM kept),
+rooted AS (SELECT cast(list_id AS VARCHAR) AS repo, is_file, CASE WHEN parts[1] = root THEN parts ELSE [root] || parts END AS parts
+  FROM split_up JOIN roots USING (list_id)),
+placed AS (SELECT DISTINCT repo, array_to_string(parts[1:k], '/') AS path,
+  CASE WHEN is_file AND k = len(parts) AND k > 1 THEN 'file' ELSE 'dir' END AS kind
+  FROM rooted, range(1, len(parts) + 1) r(k)),
+{_described_listing('placed')}"""
+
 NODE_COLUMNS = "repo, path, parent_path, name, kind, depth, description, tags"
 
 MARK = fv.MARKER
@@ -235,10 +253,6 @@ MERGED = f"""{ENTRIES},
 merged AS (SELECT cast(cast(path AS BIGINT) // 16 AS VARCHAR) AS path,
   arg_max(description, (batch_id, turn)) AS description FROM entries GROUP BY 1)"""
 
-# One entry per segment, compared one after the other.
-WALK = """list_transform(string_split(path, '/'), lambda s, i: {
-  'kind': CASE WHEN kind = 'dir' OR i < len(string_split(path, '/')) THEN 2 ELSE 1 END, 'folded': lower(s), 'name': s})"""
-
 BATCHES = f"""{SCAN},
 numbered AS (SELECT repo, doc_id, path, snippet,
   row_number() OVER (PARTITION BY repo ORDER BY {WALK}, doc_id NULLS FIRST) AS position,
@@ -311,6 +325,33 @@ SELECT 'corpus/' || array_to_string(string_split(path, '/')[:-2], '/') || '/n' |
   CASE WHEN {SCANNABLE} OR name IN {_in(fv.README_NAMES)} OR ext IN {_in(fv.ANNOTATABLE_EXTENSIONS)}
     THEN md5(content) END AS content_md5 FROM kept""",
     "s2_import_path_list": f"WITH {PATH_NODES} SELECT {NODE_COLUMNS} FROM nodes",
+    "s2_import_path_lists": f"WITH {LIST_NODES} SELECT {NODE_COLUMNS} FROM nodes",
+    "f4_prune_lists": f"""WITH {LIST_NODES} SELECT repo, path, kind FROM nodes n
+WHERE kind = 'file' OR depth = 0 OR EXISTS (SELECT 1 FROM nodes f WHERE f.repo = n.repo AND f.kind = 'file'
+  AND starts_with(f.path, n.path || '/'))""",
+    "p10_ancestors_of_lists": f"""WITH {LIST_NODES} SELECT repo, path, kind, k - 1 AS level,
+  array_to_string(string_split(path, '/')[1:k], '/') AS ancestor
+FROM nodes, range(1, len(string_split(path, '/')) + 1) r(k)""",
+    "t_trees_of_lists": f"""WITH {LIST_NODES}, units AS (
+  SELECT repo, path FROM nodes WHERE kind = 'file' UNION ALL
+  SELECT repo, path || '/' FROM nodes d WHERE kind = 'dir'
+    AND NOT EXISTS (SELECT 1 FROM nodes c WHERE c.repo = d.repo AND c.parent_path = d.path)),
+valued AS (SELECT *, CASE WHEN kind = 'file' THEN 1 ELSE
+    (SELECT count(*) FROM units u WHERE u.repo = n.repo AND starts_with(u.path, n.path || '/')) END AS value FROM nodes n),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {WALK}) AS walk_rank,
+  value / sum(value) OVER (PARTITION BY repo, parent_path) AS share,
+  row_number() OVER (PARTITION BY repo, parent_path ORDER BY kind = 'file', lower(name), name) AS place FROM valued),
+lists AS (SELECT repo, parent_path AS path,
+  coalesce(list(name ORDER BY lower(name), name) FILTER (WHERE kind = 'dir'), []::VARCHAR[]) AS d,
+  coalesce(list(name ORDER BY lower(name), name) FILTER (WHERE kind = 'file'), []::VARCHAR[]) AS f
+  FROM nodes WHERE depth > 0 GROUP BY repo, parent_path)
+SELECT n.repo, n.path, n.kind, walk_rank,
+  CASE WHEN kind = 'dir' THEN (SELECT count(*) FROM nodes x WHERE x.repo = n.repo AND x.kind = 'file' AND starts_with(x.path, n.path || '/')) END AS files,
+  CASE WHEN kind = 'dir' THEN (SELECT count(*) FROM nodes x WHERE x.repo = n.repo AND x.kind = 'dir' AND starts_with(x.path, n.path || '/')) END AS dirs,
+  CASE WHEN kind = 'dir' THEN value END AS weight, CASE WHEN depth > 0 THEN round(share, 9) END AS area,
+  CASE WHEN depth > 0 THEN place END AS listing_rank,
+  array_to_string(d[1:6], ',') AS first_dirs, array_to_string(f[1:5], ',') AS first_files
+FROM ranked n LEFT JOIN lists l ON l.repo = n.repo AND l.path = n.path""",
     "s3_import_tree_listing": f"""WITH RECURSIVE source AS ({_base(fixtures.LISTINGS)}),
 rows AS (SELECT listing_id, k, string_split(text, chr(10))[k] AS line
   FROM source, range(1, len(string_split(text, chr(10))) + 1) r(k)),
@@ -566,6 +607,20 @@ SELECT repo, version, bump, CASE bump WHEN 'major' THEN (v[1] + 1) || '.0.0'
 SELECT repo, section, o.section_rank, row_number() OVER (PARTITION BY repo, section ORDER BY ts DESC, hash DESC) AS entry_rank,
   '- ' || coalesce('**' || scope || '**: ', '') || description || ' (' || substr(hash, 1, 7) || ')' AS line
 FROM placed JOIN {ORDER_ROWS} o(section, section_rank) USING (section)""",
+    "c6_changelog_text": f"""WITH {PARSED}, {LATEST}, placed AS (SELECT p.*, coalesce(s.section, 'Other') AS section FROM parsed p
+  LEFT JOIN {SECTION_ROWS} s(type, section) USING (type)),
+entries AS (SELECT repo, section, o.section_rank, row_number() OVER (PARTITION BY repo, section ORDER BY ts DESC, hash DESC) AS n,
+  '- ' || coalesce('**' || scope || '**: ', '') || description || ' (' || substr(hash, 1, 7) || ')' AS line
+  FROM placed JOIN {ORDER_ROWS} o(section, section_rank) USING (section)),
+notes AS (SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, hash DESC) AS n,
+  '- ' || coalesce(list_filter(string_split(body, chr(10)),
+    lambda l: starts_with(l, 'BREAKING CHANGE:') OR starts_with(l, 'BREAKING-CHANGE:'))[1], description || ' (BREAKING)') AS line
+  FROM parsed WHERE breaking OR contains(body, 'BREAKING CHANGE'))
+SELECT repo, 0 AS part, 0 AS section_rank, 0 AS line_no, '## ' || version || ' — 2024-02-01' AS line FROM latest
+UNION ALL SELECT DISTINCT repo, 1, 0, 0, '### BREAKING CHANGES' FROM notes
+UNION ALL SELECT repo, 1, 0, n, line FROM notes
+UNION ALL SELECT DISTINCT repo, 2, section_rank, 0, '### ' || section FROM entries
+UNION ALL SELECT repo, 2, section_rank, n, line FROM entries""",
     "c7_breaking_notes": f"""WITH {PARSED} SELECT repo, hash, coalesce(list_filter(string_split(body, chr(10)),
   lambda l: starts_with(l, 'BREAKING CHANGE:') OR starts_with(l, 'BREAKING-CHANGE:'))[1],
   description || ' (BREAKING)') AS note FROM parsed WHERE breaking OR contains(body, 'BREAKING CHANGE')""",
@@ -575,3 +630,6 @@ WHERE type IN {_in(fv.USER_FACING_TYPES)}""",
     "w2_stream_marks": _marks_query(),
     "w2_stream_tags": f"WITH {TAGGED} SELECT doc_id, array_to_string(tags, ',') AS tags, purpose FROM tagged",
 }
+
+# The same rows by another way.
+ORACLE_SQL["s4_import_catalogue_by_level"] = ORACLE_SQL["s4_import_catalogue"]

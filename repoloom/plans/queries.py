@@ -49,6 +49,11 @@ def _path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return path_list.import_path_list(fixtures.paths(spark, sf_dir), "page_id")
 
 
+def _list_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of several lists, told apart by repo only."""
+    return path_list.import_path_list(fixtures.path_lists(spark, sf_dir), "page_id", "list_id")
+
+
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.tagged_files(fixtures.files(spark, sf_dir))
 
@@ -85,6 +90,10 @@ def s2_import_path_list(spark, sf_dir):
     return _flat_nodes(_path_nodes(spark, sf_dir))
 
 
+def s2_import_path_lists(spark, sf_dir):
+    return _flat_nodes(_list_nodes(spark, sf_dir))
+
+
 def s3_import_tree_listing(spark, sf_dir):
     return _flat_nodes(tree_listing.import_tree_listing(fixtures.listings(spark, sf_dir)))
 
@@ -93,6 +102,10 @@ def s4_import_catalogue(spark, sf_dir):
     return _flat_nodes(catalogue_source.import_catalogue(fixtures.catalogues(spark, sf_dir)))
 
 
+def s4_import_catalogue_by_level(spark, sf_dir):
+    return _flat_nodes(catalogue_source.import_catalogue_by_level(fixtures.catalogues(spark, sf_dir)))
+
+
 def s4_import_manifest(spark, sf_dir):
     return catalogue_source.import_manifest(fixtures.catalogues(spark, sf_dir)).select(
         "repo", F.col("basePath").alias("base_path"), "readme",
@@ -303,6 +316,30 @@ def t8_child_preview(spark, sf_dir):
     )
 
 
+def t_trees_of_lists(spark, sf_dir):
+    """What T1 and T4 to T8 say of each node, over several trees that hold equal paths."""
+    nodes = _list_nodes(spark, sf_dir)
+    key = ["repo", "path"]
+    found = tree.walk(nodes).select(*key, "kind", "walk_rank")
+    for part in (
+        tree.subtree_counts(nodes).select(*key, "files", "dirs"),
+        tree.subtree_weight(nodes).select(*key, "weight"),
+        tree.area_share(nodes).select(*key, F.round("area", 9).alias("area")),
+        tree.listing_ranks(nodes).select(*key, "listing_rank"),
+        tree.child_preview(nodes).select(*key, _joined("first_dirs"), _joined("first_files")),
+    ):
+        found = found.join(part, key, "left")
+    return found
+
+
+def f4_prune_lists(spark, sf_dir):
+    return filters.prune_empty_dirs(_list_nodes(spark, sf_dir)).select("repo", "path", "kind")
+
+
+def p10_ancestors_of_lists(spark, sf_dir):
+    return describe.ancestors(_list_nodes(spark, sf_dir)).select("repo", "path", "kind", _big("level"), "ancestor")
+
+
 def t8_tag_preview(spark, sf_dir):
     return tree.tag_preview(_file_nodes(spark, sf_dir), 3).select("doc_id", _joined("first_tags"))
 
@@ -548,6 +585,14 @@ def c6_changelog_entries(spark, sf_dir):
     )
 
 
+def c6_changelog_text(spark, sf_dir):
+    commits, tags = fixtures.commits(spark, sf_dir), fixtures.tags(spark, sf_dir)
+    versions = release.latest_tags(tags).select("repo", "version")
+    return release.changelog_text(commits, versions, "2024-02-01").select(
+        "repo", _big("part"), _big("section_rank"), "line_no", "line"
+    )
+
+
 def c7_breaking_notes(spark, sf_dir):
     return release.breaking_notes(fixtures.commits(spark, sf_dir)).select("repo", "hash", "note")
 
@@ -586,16 +631,16 @@ def w2_stream_tags(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        s1_scan_corpus, s1_scan_tree, s2_import_path_list, s3_import_tree_listing, s4_import_catalogue,
+        s1_scan_corpus, s1_scan_tree, s2_import_path_list, s2_import_path_lists, s3_import_tree_listing, s4_import_catalogue, s4_import_catalogue_by_level,
         s4_import_manifest, s4_import_snippets, s5_export_catalogue, s5_export_tree,
         s5_export_snippets, s5_export_documents, s6_readme_context, s7_write_rewritten, s7_rewrite_tree,
-        f1_exclude_paths, f2_scannable, f3_annotatable, f4_prune_empty_dirs,
+        f1_exclude_paths, f2_scannable, f3_annotatable, f4_prune_empty_dirs, f4_prune_lists,
         f5_files_with_tag, f6_has_marks,
         p1_describe_files, p2_describe_dirs, p3_name_tags, p4_import_tags, p5_merge_tags,
         p6_header_snippet, p7_language_of, p8_snippet_preview, p9_absolute_path,
-        p10_ancestors, p11_primary_tag,
+        p10_ancestors, p10_ancestors_of_lists, p11_primary_tag,
         t1_all_paths, t1_walk, t2_flatten_items, t3_node_at, t4_subtree_counts, t5_subtree_weight,
-        t6_area_share, t7_directory_listing, t8_child_preview, t8_tag_preview,
+        t6_area_share, t7_directory_listing, t8_child_preview, t_trees_of_lists, t8_tag_preview,
         a1_distinct_tags, a2_tag_counts, a3_inferred_tag_count, a4_scan_summary,
         q1_search, q2_search_many, q2_search_index,
         l1_batch_paths, l2_build_requests, l3_parse_responses, l4_merge_descriptions,
@@ -604,7 +649,7 @@ QUERIES: dict[str, Query] = {
         m5_strip_marks_by_mode, m6_apply_strategy, m7_annotation_requests,
         m8_clean_responses, m9_erase_report, m10_run_summary, m10_failures,
         c1_parse_commits, c2_commits_since_release, c2_commits_since_tag, c2_last_commits, c3_validate_commits,
-        c3_commit_verdicts, c4_bump_type, c5_next_version, c5_next_version_by_tag, c6_changelog_entries,
+        c3_commit_verdicts, c4_bump_type, c5_next_version, c5_next_version_by_tag, c6_changelog_entries, c6_changelog_text,
         c7_breaking_notes, c8_whats_new,
         w1_stream_catalogue, w2_stream_marks, w2_stream_tags,
     )

@@ -1,11 +1,14 @@
 """Catalogue documents (JSON with a nested tree) from and to node tables."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.evaluation import evaluated_once
 from ..operators.readme import readme_context
+from ..operators.rounds import Rounds
 from .corpus import by_repo
 
 _FRAME = (
@@ -118,6 +121,66 @@ def import_catalogue(df: DataFrame, repo: str = "repo_id", body: str = "body") -
     )
 
 
+def import_catalogue_by_level(df: DataFrame, repo: str = "repo_id", body: str = "body") -> DataFrame:
+    """`import_catalogue` for documents that are much for one task.
+
+    The open directories of all documents are a stored table; each round turns those of one
+    level into their entries, spread over all tasks, and the child directories are the next
+    round's.  So one document is unfolded by many tasks, and no row holds more than one
+    directory's subtree.  There are as many rounds as the deepest tree has levels.
+    """
+    rounds = Rounds(df.sparkSession, "catalogue")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    no_tags = F.expr("cast(array() as array<string>)")
+    text = lambda of, key: F.expr(f"try_variant_get({of}, '$.{key}', 'string')")
+
+    def entries(opened: DataFrame, key: str) -> DataFrame:
+        every = F.expr(f"try_variant_get(subtree, '$.{key}', 'array<variant>')")
+        rows = opened.select("repo", F.col("path").alias("parent_path"), F.explode(every).alias("entry"))
+        return rows.filter("try_variant_get(entry, '$.name', 'string') IS NOT NULL").withColumn(
+            "name", text("entry", "name")
+        )
+
+    columns = ["repo", "path", "parent_path", "name", "kind", "description", "tags"]
+    opened = rounds.store(
+        parsed_catalogues(df, repo, body).select(
+            "repo",
+            F.expr(f"try_variant_get({_ROOT}, '$.name', 'string')").alias("path"),
+            F.lit(None).cast("string").alias("parent_path"),
+            F.expr(f"try_variant_get({_ROOT}, '$.name', 'string')").alias("name"),
+            F.expr(f"try_variant_get({_ROOT}, '$.description', 'string')").alias("description"),
+            F.expr(_ROOT).alias("subtree"),
+        ).repartition(tasks)
+    )
+    levels = []
+    while not opened.isEmpty():
+        dirs = opened.select("repo", "path", "parent_path", "name", F.lit("dir").alias("kind"), "description", no_tags.alias("tags"))
+        files = entries(opened, "files").select(
+            "repo", F.concat_ws("/", "parent_path", "name").alias("path"), "parent_path", "name",
+            F.lit("file").alias("kind"), text("entry", "purpose").alias("description"),
+            F.coalesce(F.expr("try_variant_get(entry, '$.tags', 'array<string>')"), no_tags).alias("tags"),
+        )
+        levels.append(rounds.store(dirs.unionByName(files).select(*columns)))
+        children = entries(opened, "children").select(
+            "repo", F.concat_ws("/", "parent_path", "name").alias("path"), "parent_path", "name",
+            text("entry", "description").alias("description"), F.col("entry").alias("subtree"),
+        )
+        opened = rounds.store(children.repartition(tasks), opened)
+    rounds.drop(opened)
+    if not levels:
+        return import_catalogue(df.limit(0), repo, body)
+    every = reduce(DataFrame.unionByName, levels)
+    description = F.nullif(F.col("description"), F.lit(fv.UNKNOWN_PURPOSE))
+    return every.select(
+        "repo", "path", "parent_path", "name", "kind",
+        (F.size(F.split("path", "/")) - 1).alias("depth"),
+        description.alias("description"),
+        F.when(description.isNotNull(), F.lit("imported")).alias("description_source"),
+        "tags",
+        F.lit(None).cast("string").alias("snippet"),
+    )
+
+
 def import_snippets(df: DataFrame, repo: str = "repo_id", body: str = "body") -> DataFrame:
     """(repo, path, snippet) rows of the snippets part of catalogue documents."""
     return parsed_catalogues(df, repo, body).select(

@@ -71,9 +71,9 @@ def import_path_list(df: DataFrame, order: str, list_id: str | None = None) -> D
     if list_id:
         lines = lines.join(lines.groupBy("repo").agg(first.alias("root")), "repo")
     else:
-        # One short text for the whole list.
-        root = lines.agg(first).first()[0]
-        lines = lines.withColumn("root", F.lit(root)).withColumn("repo", F.lit(root))
+        # One short text for the whole list, found when the nodes are.
+        root = lines.agg(first.alias("root")).scalar()
+        lines = lines.withColumn("root", root).withColumn("repo", F.col("root"))
     own_root = F.coalesce(F.get("parts", F.lit(0)) == F.col("root"), F.lit(False))
     parts = F.when(own_root, F.col("parts")).otherwise(
         F.concat(F.array("root"), F.col("parts"))
