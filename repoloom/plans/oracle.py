@@ -627,6 +627,7 @@ UNION ALL SELECT repo, 2, section_rank, n, line FROM entries""",
     "c8_whats_new": f"""WITH {PARSED} SELECT repo, hash, type, description FROM parsed
 WHERE type IN {_in(fv.USER_FACING_TYPES)}""",
     "w1_stream_catalogue": NEWEST,
+    "w1_stream_newest": NEWEST,
     "w2_stream_marks": _marks_query(),
     "w2_stream_tags": f"WITH {TAGGED} SELECT doc_id, array_to_string(tags, ',') AS tags, purpose FROM tagged",
 }

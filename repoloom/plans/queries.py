@@ -612,6 +612,13 @@ def w1_stream_catalogue(spark, sf_dir):
     return streams.current_catalogues(spark, f"{folder}/log").select("repo", "version", "body")
 
 
+def w1_stream_newest(spark, sf_dir):
+    source = fixtures.stream(spark, sf_dir, VERSIONED_CATALOGUES, "pages")
+    folder = streams.work_folder(spark, "newest")
+    streams.stream_newest(source, f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    return streams.current_catalogues(spark, f"{folder}/log").select("repo", "version", "body")
+
+
 def w2_stream_marks(spark, sf_dir):
     source = fixtures.stream(spark, sf_dir, fixtures.FILES, "documents")
     folder = streams.work_folder(spark, "marks")
@@ -651,6 +658,6 @@ QUERIES: dict[str, Query] = {
         c1_parse_commits, c2_commits_since_release, c2_commits_since_tag, c2_last_commits, c3_validate_commits,
         c3_commit_verdicts, c4_bump_type, c5_next_version, c5_next_version_by_tag, c6_changelog_entries, c6_changelog_text,
         c7_breaking_notes, c8_whats_new,
-        w1_stream_catalogue, w2_stream_marks, w2_stream_tags,
+        w1_stream_catalogue, w1_stream_newest, w2_stream_marks, w2_stream_tags,
     )
 }

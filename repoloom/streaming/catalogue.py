@@ -7,11 +7,14 @@ stream state holds whole documents.
 """
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..functions.shipping import ship
 from ..operators import marks
 from ..operators.ranking import shared_directory
 from ..plans.catalogue import tagged_files
@@ -58,6 +61,57 @@ def stream_catalogue(catalogues: DataFrame, log: str, checkpoint: str) -> Stream
     )
 
 
+def _newer(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """The newest row of a repo, if it is newer than all that were seen; only its version is kept."""
+    newest = state.get[0] if state.exists else None
+    found = None
+    for batch in batches:
+        own = batch.loc[[batch["version"].idxmax()]]
+        version = int(own["version"].iloc[0])
+        if newest is None or version > newest:
+            newest, found = version, own
+    if found is not None:
+        state.update((newest,))
+        yield found[["repo", "version", "body"]]
+
+
+def newer_versions(catalogues: DataFrame) -> DataFrame:
+    """Stream of (repo, version, body) -> usable rows that are newer than all before of their repo.
+
+    The state holds a version per repo, no documents.  Of one micro-batch the newest row of a repo
+    goes on; replays, late and older versions are dropped on the way in.
+    """
+    rows = usable_catalogues(catalogues).select("repo", F.col("version").cast("long").alias("version"), "body")
+    return (
+        rows.filter("version IS NOT NULL")
+        .groupBy("repo")
+        .applyInPandasWithState(_newer, rows.schema, "version long", "append", "NoTimeout")
+    )
+
+
+def stream_newest(catalogues: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
+    """`stream_catalogue` with keyed state: the log gets each repo's rising versions only.
+
+    It holds no replays, so it needs no compaction to stay in proportion to what changed.  If the
+    checkpoint is lost the state starts anew; what is then logged again doesn't alter
+    `current_catalogues`.
+    """
+    ship(catalogues.sparkSession)
+    run = uuid.uuid4().hex
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{log}/{run}-{batch_id}")
+
+    return (
+        newer_versions(catalogues)
+        .writeStream.outputMode("append")
+        .foreachBatch(append)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def _read_log(spark: SparkSession, log: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").parquet(log)
 

@@ -21,3 +21,29 @@ def test_log_survives_a_lost_checkpoint_and_compaction(spark, tmp_path):
     streams.compact_log(spark, log)
     assert len([p for p in (tmp_path / "log").iterdir() if p.is_dir()]) == 1
     assert values(streams.current_catalogues(spark, log), "repo", "version", "body") == want
+
+
+def test_keyed_state_drops_replays_and_older_versions(spark, tmp_path):
+    log, source = str(tmp_path / "log"), tmp_path / "in"
+    body = lambda v: json.dumps({"tree": {"name": f"n{v}"}})
+    arrivals = [
+        [("a", 1), ("b", 5), ("a", 2)], [("a", 2), ("b", 4)], [("a", 1), ("c", 1)], [("a", 7), ("b", 5)], [("a", 6), ("d", None)],
+    ]
+    kind = "repo string, version int, body string"
+    tables = [spark.createDataFrame([(r, v, body(v)) for r, v in rows], kind) for rows in arrivals]
+    tables[3] = tables[3].union(spark.createDataFrame([("a", 99, "{broken"), ("c", 9, "{}")], kind))
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(source / "*"))
+        streams.stream_newest(stream, log, str(tmp_path / checkpoint)).awaitTermination()
+        return values(streams.current_catalogues(spark, log), "repo", "version")
+
+    for i, table in enumerate(tables):
+        table.coalesce(1).write.parquet(str(source / str(i)))
+        if i == 2:
+            assert run("c") == [("a", 2), ("b", 5), ("c", 1)]
+    want = [("a", 7), ("b", 5), ("c", 1)]
+    assert run("c") == want
+    logged = values(spark.read.option("recursiveFileLookup", "true").parquet(log), "repo", "version")
+    assert logged == [("a", 2), ("a", 7), ("b", 5), ("c", 1)]
+    assert run("lost") == want
