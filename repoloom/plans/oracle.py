@@ -292,9 +292,9 @@ def _annotation_prompt(mode: str) -> str:
     return f"{_q(before)} || {LANGUAGE} || {_q(rest)} || name || chr(10) || chr(10) || {code}"
 
 
-def _marks_query() -> str:
+def _marks_query(files: str = FILES) -> str:
     part = f"^([ \\t]*)(//|#|--|/\\*|<!--)\\s*{MARK}\\s*\\[(\\w[\\w-]*)\\]\\s*(.*?)(?:\\s*\\*/|\\s*-->)?\\s*$"
-    return f"""WITH {FILES}, numbered AS (
+    return f"""WITH {files}, numbered AS (
   SELECT doc_id, k AS line_no, {LINES_OF}[k] AS line FROM files, range(1, len({LINES_OF}) + 1) r(k))
 SELECT doc_id, line_no, regexp_extract(line, '{part}', 1) AS indent, regexp_extract(line, '{part}', 2) AS syntax,
   regexp_extract(line, '{part}', 3) AS mode, regexp_extract(line, '{part}', 4) AS body
@@ -629,6 +629,11 @@ WHERE type IN {_in(fv.USER_FACING_TYPES)}""",
     "w1_stream_catalogue": NEWEST,
     "w1_stream_newest": NEWEST,
     "w2_stream_marks": _marks_query(),
+    "w2_watch_tree": _marks_query(f"""every AS ({_base(fixtures.FILES)}), kept AS (SELECT * FROM every
+  WHERE NOT ({_excluded(fv.EXCLUDED_NAMES, fv.KEPT_DOT_NAMES)})),
+files AS (SELECT doc_id, content FROM kept WHERE doc_id % 3 <> 0 UNION ALL
+  SELECT doc_id, content || CASE WHEN doc_id % 3 = 1 THEN chr(10) || '// {MARK} [tutor] changed' ELSE '' END
+  FROM kept WHERE doc_id % 3 <> 2)"""),
     "w2_stream_tags": f"WITH {TAGGED} SELECT doc_id, array_to_string(tags, ',') AS tags, purpose FROM tagged",
 }
 

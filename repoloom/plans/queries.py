@@ -17,6 +17,7 @@ from ..sources import catalogue as catalogue_source
 from ..sources import corpus, path_list, tree_listing, tree_sink
 from ..sources import documents as document_source
 from ..streaming import catalogue as streams
+from ..streaming import watch
 from . import catalogue, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -628,6 +629,23 @@ def w2_stream_marks(spark, sf_dir):
     )
 
 
+def w2_watch_tree(spark, sf_dir):
+    """Marks of a watched tree: two thirds of the files, then the rest, and half of the others changed."""
+    folder = streams.work_folder(spark, "watched")
+    place = F.regexp_replace("path", "([^/]+)$", F.concat(F.lit("n"), F.col("doc_id"), F.lit("/$1")))
+    files = fixtures.files(spark, sf_dir).withColumn("path", place)
+    changed = F.when(F.col("doc_id") % 3 == 1, F.concat("content", F.lit("\n// ᚲ [tutor] changed"))).otherwise(F.col("content"))
+    later = files.filter("doc_id % 3 <> 2").withColumn("content", changed)
+    for rows in (files.filter("doc_id % 3 <> 0"), later):
+        tree_sink.write_files(rows, f"{folder}/corpus")
+        stream = watch.watch_tree(spark, f"{folder}/corpus", settle=0)
+        streams.stream_marks(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(
+        F.regexp_extract("path", "/n(\\d+)/[^/]+$", 1).cast("bigint").alias("doc_id"),
+        _big("line_no"), "indent", "syntax", "mode", "body",
+    )
+
+
 def w2_stream_tags(spark, sf_dir):
     source = fixtures.stream(spark, sf_dir, fixtures.FILES, "documents")
     folder = streams.work_folder(spark, "tags")
@@ -658,6 +676,6 @@ QUERIES: dict[str, Query] = {
         c1_parse_commits, c2_commits_since_release, c2_commits_since_tag, c2_last_commits, c3_validate_commits,
         c3_commit_verdicts, c4_bump_type, c5_next_version, c5_next_version_by_tag, c6_changelog_entries, c6_changelog_text,
         c7_breaking_notes, c8_whats_new,
-        w1_stream_catalogue, w1_stream_newest, w2_stream_marks, w2_stream_tags,
+        w1_stream_catalogue, w1_stream_newest, w2_stream_marks, w2_stream_tags, w2_watch_tree,
     )
 }
