@@ -324,6 +324,7 @@ SELECT 'corpus/' || array_to_string(string_split(path, '/')[:-2], '/') || '/n' |
   strlen(content) AS size,
   CASE WHEN {SCANNABLE} OR name IN {_in(fv.README_NAMES)} OR ext IN {_in(fv.ANNOTATABLE_EXTENSIONS)}
     THEN md5(content) END AS content_md5 FROM kept""",
+    "s1_scan_headers": f"WITH {TAGGED} SELECT doc_id, array_to_string(tags, ',') AS tags, purpose, snippet FROM tagged",
     "s2_import_path_list": f"WITH {PATH_NODES} SELECT {NODE_COLUMNS} FROM nodes",
     "s2_import_path_lists": f"WITH {LIST_NODES} SELECT {NODE_COLUMNS} FROM nodes",
     "f4_prune_lists": f"""WITH {LIST_NODES} SELECT repo, path, kind FROM nodes n

@@ -14,7 +14,7 @@ from ..operators import (
     aggregates, describe, filters, marks, readme, release, requests, search, search_index, tree,
 )
 from ..sources import catalogue as catalogue_source
-from ..sources import corpus, path_list, tree_listing, tree_sink
+from ..sources import corpus, path_list, tree_listing, tree_sink, tree_source
 from ..sources import documents as document_source
 from ..streaming import catalogue as streams
 from ..streaming import watch
@@ -87,6 +87,17 @@ def s1_scan_tree(spark, sf_dir):
     return scanned.select("path", "size", F.md5("content").alias("content_md5"))
 
 
+def s1_scan_headers(spark, sf_dir):
+    """The files on disk, and what their headers say of them; no file is read further."""
+    folder = f"{streams.work_folder(spark, 'headers')}/corpus"
+    place = F.regexp_replace("path", "([^/]+)$", F.concat(F.lit("n"), F.col("doc_id"), F.lit("/$1")))
+    tree_sink.write_files(fixtures.files(spark, sf_dir).withColumn("path", place), folder)
+    tagged = catalogue.tagged_files(tree_source.scan_tree(spark, folder, headers=True))
+    return tagged.select(
+        F.regexp_extract("path", "/n(\\d+)/[^/]+$", 1).cast("bigint").alias("doc_id"), _joined("tags"), "purpose", "snippet"
+    )
+
+
 def s2_import_path_list(spark, sf_dir):
     return _flat_nodes(_path_nodes(spark, sf_dir))
 
@@ -656,7 +667,7 @@ def w2_stream_tags(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        s1_scan_corpus, s1_scan_tree, s2_import_path_list, s2_import_path_lists, s3_import_tree_listing, s4_import_catalogue, s4_import_catalogue_by_level,
+        s1_scan_corpus, s1_scan_tree, s1_scan_headers, s2_import_path_list, s2_import_path_lists, s3_import_tree_listing, s4_import_catalogue, s4_import_catalogue_by_level,
         s4_import_manifest, s4_import_snippets, s5_export_catalogue, s5_export_tree,
         s5_export_snippets, s5_export_documents, s6_readme_context, s7_write_rewritten, s7_rewrite_tree,
         f1_exclude_paths, f2_scannable, f3_annotatable, f4_prune_empty_dirs, f4_prune_lists,

@@ -22,8 +22,8 @@ def stored(spark, tmp_path_factory):
     return spark.read.parquet(target)
 
 
-# The one query that lists and reads files of a file system does so in Python.
-NATIVE = [n for n in QUERIES if not n.startswith("w") and n != "s1_scan_tree"]
+# The queries that list and read files of a file system do so in Python.
+NATIVE = [n for n in QUERIES if not n.startswith("w") and n not in ("s1_scan_tree", "s1_scan_headers")]
 
 
 @pytest.mark.parametrize("name", NATIVE)
@@ -78,7 +78,7 @@ def test_tag_rules_are_evaluated_once(spark):
 
 # These store ranks, rounds or an index, read or write files, or run a stream.
 STORING = (
-    "s1_scan_tree", "s4_import_catalogue_by_level", "s5_", "s7_", "t1_walk", "t7_", "t_trees", "q2_", "l1_", "l2_", "l6_batches", "c2_commits_since_tag",
+    "s1_scan_tree", "s1_scan_headers", "s4_import_catalogue_by_level", "s5_", "s7_", "t1_walk", "t7_", "t_trees", "q2_", "l1_", "l2_", "l6_batches", "c2_commits_since_tag",
     "c5_next_version_by_tag", "c6_", "w",
 )
 
