@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-from ..functions import fixed_values as fv
 from ..functions.shipping import ship
 from ..sources.tree_sink import file_system
+from ..sources.tree_source import wanted
 
 _SCHEMA = "repo string, path string, size bigint, content string"
 
@@ -43,10 +43,6 @@ class Below(InputPartition):
         self.path, self.whole, self.after, self.until = path, whole, after, until
 
 
-def _wanted(name: str) -> bool:
-    return name not in fv.EXCLUDED_NAMES and (not name.startswith(".") or name in fv.KEPT_DOT_NAMES)
-
-
 class WatchReader(DataSourceStreamReader):
     def __init__(self, folder: str, settle: float) -> None:
         self.folder, self.settle = folder.rstrip("/"), settle
@@ -64,7 +60,7 @@ class WatchReader(DataSourceStreamReader):
         times = start["until"], end["until"]
         found = [Below(inner, False, *times)]
         for e in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
-            if e.type == fs.FileType.Directory and _wanted(e.base_name):
+            if e.type == fs.FileType.Directory and wanted(e.base_name):
                 found.append(Below(e.path, True, *times))
         return found
 
@@ -80,7 +76,7 @@ class WatchReader(DataSourceStreamReader):
             except PermissionError:
                 continue
             for e in entries:
-                if not _wanted(e.base_name):
+                if not wanted(e.base_name):
                     continue
                 if e.type == fs.FileType.Directory:
                     if partition.whole:
