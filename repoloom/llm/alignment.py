@@ -13,6 +13,7 @@ broadcast or held by a task.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -30,8 +31,9 @@ from repoloom.llm.token_files import _byte_letters
 
 #: Characters of text per block, but for the last text, which is taken whole.
 BLOCK = 4 << 20
-#: Characters of text aligned at a time.
+#: Characters of text aligned at a time, of so many rows at most.
 STEP = 3 << 20
+ROWS = 1500
 #: Links of a group from which its ids are counted before they are paired.
 LARGE_GROUP = 4096
 
@@ -135,17 +137,18 @@ class Aligner:
         lists_b = self._ids_b(parts)
         raw = [p.encode() for p in parts]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        bad = self._unequal(lists_a, self.bytes_a, self.sizes_a, raw, sizes)
-        bad |= self._unequal(lists_b, self.bytes_b, self.sizes_b, raw, sizes)
-        for k in np.flatnonzero(bad).tolist():  # stands for nothing; its texts have no tokens
-            lists_a[k], lists_b[k], sizes[k] = [], [], 0
         side_a, side_b = _Side(lists_a, self.sizes_a), _Side(lists_b, self.sizes_b)
+        bad = self._unequal(side_a, lists_a, self.bytes_a, raw, sizes)
+        bad |= self._unequal(side_b, lists_b, self.bytes_b, raw, sizes)
+        if bad.any():
+            for k in np.flatnonzero(bad).tolist():  # stands for nothing; its texts have no tokens
+                lists_a[k], lists_b[k], sizes[k] = [], [], 0
+            side_a, side_b = _Side(lists_a, self.sizes_a), _Side(lists_b, self.sizes_b)
         return _Parts(bad, sizes, side_a, side_b)
 
     @staticmethod
-    def _unequal(lists: list, names, table: np.ndarray, raw: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    def _unequal(side: _Side, lists: list, names, raw: list[bytes], sizes: np.ndarray) -> np.ndarray:
         """The parts whose tokens' bytes aren't their own."""
-        side = _Side(lists, table)
         ends = np.concatenate([[0], side.ends])[np.cumsum(side.counts)]
         bad = np.diff(ends, prepend=0) != sizes
         good = np.flatnonzero(~bad).tolist()
@@ -280,7 +283,7 @@ def _align(path_a: str, path_b: str):
             body = packed(every[fresh], np.add.reduceat(weight, fresh))
             return [block, None, 0, 0, 0, 0, None, body]
 
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             rows = []
             texts = [f" {t}" for t in batch.column("text").to_pylist()]
             facts = zip(batch.column("digest").to_pylist(), batch.column("times").to_pylist(), strict=True)
@@ -305,7 +308,16 @@ def _align(path_a: str, path_b: str):
                 [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema
             )
 
-    return align
+    return lambda batches: _uncollected(align(batches))
+
+
+def _uncollected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without garbage collection: there are millions of small values and no cycles among them."""
+    gc.disable()
+    try:
+        yield from batches
+    finally:
+        gc.enable()
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
