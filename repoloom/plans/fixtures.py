@@ -187,12 +187,10 @@ def commit_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def stream(spark: SparkSession, sf_dir: str, template: str, table: str) -> DataFrame:
-    """The derived table over the base table read as a stream."""
-    source = (
-        spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{table}.parquet").schema)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .parquet(sf_dir)
-    )
+    """The derived table over the base table, a file or a folder of files, read as a stream."""
+    location = f"{sf_dir}/{table}.parquet"
+    # A pattern that fits the table alone: a stream takes a single file by a pattern only.
+    source = spark.readStream.schema(spark.read.parquet(location).schema).parquet(f"{location[:-1]}[t]")
     view = f"{table}_stream"
     source.createOrReplaceTempView(view)
     return spark.sql(template.format(**{table: view}))

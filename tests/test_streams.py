@@ -2,7 +2,9 @@
 
 import json
 
-from conftest import values
+import pytest
+from conftest import SMALL, values
+from repoloom.plans.queries import QUERIES
 from repoloom.streaming import catalogue as streams
 
 
@@ -47,3 +49,10 @@ def test_keyed_state_drops_replays_and_older_versions(spark, tmp_path):
     logged = values(spark.read.option("recursiveFileLookup", "true").parquet(log), "repo", "version")
     assert logged == [("a", 2), ("a", 7), ("b", 5), ("c", 1)]
     assert run("lost") == want
+
+
+@pytest.mark.parametrize("query", ["w1_stream_catalogue", "w1_stream_newest", "w2_stream_marks", "w2_stream_tags"])
+def test_a_table_may_be_a_folder_of_files(spark, tmp_path, query):
+    for table in ("pages", "documents"):
+        spark.read.parquet(f"{SMALL}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    assert values(QUERIES[query](spark, str(tmp_path))) == values(QUERIES[query](spark, SMALL))
