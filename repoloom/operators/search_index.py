@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from .ranking import first_ranks
+from .rounds import Rounds
 
 GRAM = 3
 #: Items per block, as a power of two: the longest list a posting can hold.
@@ -24,6 +25,8 @@ BLOCK_BITS = 16
 RAREST = 3
 #: Trigrams of a search up to which they go to the scan as a filter; beyond, a join finds them.
 PUSHED_GRAMS = 2000
+#: Items that hold a term, up to which they are paired with each query that asks for it.
+SHARED_ITEMS = 64
 
 
 def _grams(text: Column) -> Column:
@@ -100,14 +103,49 @@ def candidates(spark: SparkSession, folder: str, terms: DataFrame) -> DataFrame:
     if len(wanted) <= PUSHED_GRAMS:
         postings = postings.filter(F.col("gram").isin(wanted))
     met = postings.join(chosen, "gram")
-    # Each list has a place once, so what as many lists hold as are needed is in all of them; short
-    # terms need one.  A block bounds the lists.
-    held = met.select("term", "needed", "block", F.explode("places").alias("place")).groupBy(
-        "term", "block", "place"
-    )
     row = F.shiftleft("block", BLOCK_BITS).bitwiseOR(F.col("place").cast("bigint"))
-    found = held.agg(F.count(F.lit(1)).alias("lists"), F.max("needed").alias("needed"))
-    return found.filter("lists >= needed").select("term", row.alias("_row"))
+    # At most RAREST lists, each bounded by its block, are intersected as they are.
+    lists = met.filter(F.length("term") >= GRAM).groupBy("term", "block", "needed")
+    lists = lists.agg(F.collect_list("places").alias("lists")).filter(F.size("lists") >= F.col("needed"))
+    first, others = F.get("lists", F.lit(0)), F.slice("lists", F.lit(2), F.size("lists"))
+    common = F.aggregate(others, first, lambda held, own: F.array_intersect(held, own))
+    long = lists.select("term", "block", F.explode(common).alias("place"))
+    # Short terms need one list.
+    short = met.filter(F.length("term") < GRAM).select("term", "block", F.explode("places").alias("place")).distinct()
+    return long.unionByName(short).select("term", row.alias("_row"))
+
+
+def contenders(asked: DataFrame, held: DataFrame, order: DataFrame, ties: list[str], k: int) -> DataFrame:
+    """(query_id, _row, score): all that can be among the k best items of a query, each with its whole score.
+
+    asked(query_id, term, times), held(term, _row), order(_row, *ties).  Terms that many items hold are not
+    paired item by item with the queries that ask for them.  Items that hold the same of these
+    terms are one class, of which k can be best; queries that ask for the same of them share
+    one ranking of the classes' items.  An item that holds no other term of a query must be in that ranking;
+    one that does comes from the short lists of the other terms.
+    """
+    many = held.groupBy("term").agg(F.count(F.lit(1)).alias("items")).filter(F.col("items") > SHARED_ITEMS)
+    many = many.select("term")
+    wide, few = held.join(many, "term", "left_semi"), held.join(many, "term", "left_anti")
+    classes = wide.groupBy("_row").agg(F.sort_array(F.collect_list("term")).alias("class"))
+    parts = asked.join(many, "term", "left_semi").groupBy("query_id")
+    profiles = parts.agg(F.sort_array(F.collect_list(F.struct("term", "times"))).alias("profile"))
+
+    by = [F.col(c) for c in (*ties, "_row")]
+    first = first_ranks(classes.join(order, "_row"), ["class"], by, k, "_place").drop("_place")
+    terms = profiles.select("profile").distinct().select("profile", F.explode("profile").alias("part"))
+    terms = terms.select("profile", "part.term", "part.times")
+    met = first.select("class").distinct().select("class", F.explode("class").alias("term")).join(terms, "term")
+    scored = met.groupBy("profile", "class").agg(F.sum("times").alias("score")).join(first, "class")
+    best = first_ranks(scored, ["profile"], [F.desc("score"), *by], k, "_place")
+    shared = profiles.join(best.select("profile", "_row", "score"), "profile").select("query_id", "_row", "score")
+
+    listed = few.join(asked, "term").groupBy("query_id", "_row").agg(F.sum("times").alias("score"))
+    both = listed.join(classes, "_row", "left").join(profiles, "query_id", "left")
+    also = F.filter("profile", lambda part: F.array_contains("class", part["term"]))
+    more = F.aggregate(also, F.lit(0).cast("bigint"), lambda sum_, part: sum_ + part["times"])
+    own = both.select("query_id", "_row", (F.col("score") + F.coalesce(more, F.lit(0))).alias("score"))
+    return shared.unionByName(own).groupBy("query_id", "_row").agg(F.max("score").alias("score"))
 
 
 def search(spark: SparkSession, folder: str, queries: DataFrame, k: int = fv.SEARCH_LIMIT) -> DataFrame:
@@ -124,10 +162,12 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, k: int = fv.SEA
     sure = found.filter(F.length("term") <= GRAM)
     open_ = found.filter(F.length("term") > GRAM).join(items.select("_row", "_hay"), "_row")
     held = sure.unionByName(open_.filter(F.contains("_hay", F.col("term"))).select("term", "_row"))
-    scored = held.join(asked, "term").groupBy("query_id", "_row").agg(F.sum("times").cast("int").alias("score"))
+    held = Rounds(spark, "held").store(held)
     ties = [c for c in ("path", "repo", "doc_id") if c in columns]
-    placed = scored.join(items.select("_row", *ties), "_row")
-    best = first_ranks(placed, ["query_id"], [F.desc("score"), *(F.col(c) for c in ties)], k, "rank")
+    order = items.select("_row", *ties)
+    scored = contenders(asked, held, order, ties, k).withColumn("score", F.col("score").cast("int"))
+    placed = scored.join(order, "_row")
+    best = first_ranks(placed, ["query_id"], [F.desc("score"), *(F.col(c) for c in (*ties, "_row"))], k, "rank")
     return best.select("query_id", "_row", "score", "rank").join(items, "_row").select(
         "query_id", "score", *columns, "rank"
     )

@@ -61,3 +61,30 @@ def test_no_items(spark, tmp_path):
     search_index.build(spark.createDataFrame([], KIND), str(tmp_path))
     asked = spark.createDataFrame(QUERIES, "query_id int, query string")
     assert search_index.search(spark, str(tmp_path), asked).count() == 0
+
+
+@pytest.mark.parametrize("shared", [0, 5, 40])
+def test_shared_terms_rank_as_one_by_one(spark, tmp_path, monkeypatch, shared):
+    monkeypatch.setattr(search_index, "SHARED_ITEMS", shared)
+    items = some_items(spark, random.Random(shared), 150)
+    search_index.build(items, str(tmp_path))
+    asked = spark.createDataFrame(QUERIES, "query_id int, query string")
+    for k in (3, 1000):
+        got = search_index.search(spark, str(tmp_path), asked, k).select("query_id", "score", "path", "repo", "doc_id")
+        want = []
+        for i, q in QUERIES:
+            own = search.search(items, q or "", k).select("score", "path", "repo", "doc_id")
+            want += [(i, *r) for r in own.collect()]
+        assert values(got) == sorted(want, key=repr)
+
+
+def test_terms_that_all_ask_for_are_not_paired_with_all_items(spark):
+    """Many queries share a term that many items hold: k items a query and those of its own terms remain."""
+    queries, items, k = 300, 400, 5
+    held = spark.range(items).selectExpr("'py' AS term", "id AS _row")
+    held = held.union(spark.range(queries).selectExpr("concat('own', id) AS term", "id AS _row"))
+    asked = spark.range(queries).selectExpr("id AS query_id", "explode(array('py', concat('own', id))) AS term", "1L AS times")
+    order = spark.range(items).selectExpr("id AS _row", "concat('p', id) AS path")
+    found = search_index.contenders(asked, held, order, ["path"], k)
+    assert found.count() <= queries * (k + 1)
+    assert found.filter("_row = query_id").agg(F.min("score"), F.count("*")).first() == (2, queries)
