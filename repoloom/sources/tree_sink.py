@@ -1,10 +1,11 @@
 """Texts as files below a folder: a Spark data source that writes whole files or none.
 
 A task writes its files to a folder of its own attempt, below a staging folder beside the
-target.  When all tasks are through, the writer's commit notes which attempts count, and their files
+target: numbered ones, in few folders, each with a list of the paths they are meant for.
+When all tasks are through, the writer's commit notes which attempts count, and their files
 are moved to their places, each by one rename, by tasks again.  What failed or lost attempts have written
-goes with the staging folder.  So no reader ever meets half a file, and a job that fails
-before its commit changes nothing.
+goes with the staging folder, which never holds the tree's own directories.  So no reader ever
+meets half a file, and a job that fails before its commit changes nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql.types import StructType
 
 from ..functions.shipping import ship
 
-_LIST_BATCH = 10_000
+#: Files per staging folder, which are moved by one task.
+PER_FOLDER = 1000
 
 
 def file_system(folder: str):
@@ -64,17 +66,23 @@ class TreeWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> Attempt:
         # A name of its own, so that attempts which run at once don't meet.
         system, inner = file_system(f"{self.staging}/{uuid.uuid4().hex}")
-        files, made = 0, set()
-        for row in iterator:
-            path, content = row[self.at[0]], row[self.at[1]]
-            target = f"{inner}/{path}"
-            above = target.rsplit("/", 1)[0]
-            if above not in made:
-                system.create_dir(above, recursive=True)
-                made.add(above)
-            with system.open_output_stream(target, compression=None) as out:
-                out.write((content or "").encode())
-            files += 1
+        files, names = 0, None
+        try:
+            for row in iterator:
+                path, content = row[self.at[0]], row[self.at[1]]
+                folder, place = divmod(files, PER_FOLDER)
+                if not place:
+                    if names is not None:
+                        names.close()
+                    system.create_dir(f"{inner}/{folder}", recursive=True)
+                    names = system.open_output_stream(f"{inner}/{folder}/_paths", compression=None)
+                with system.open_output_stream(f"{inner}/{folder}/{place}", compression=None) as out:
+                    out.write((content or "").encode())
+                names.write((json.dumps(path) + "\n").encode())
+                files += 1
+        finally:
+            if names is not None:
+                names.close()
         return Attempt(inner, files)
 
     def commit(self, messages: list[Attempt | None]) -> None:
@@ -98,41 +106,19 @@ def remove(folder: str) -> None:
         system.delete_dir(inner)
 
 
-def _staged(target: str):
-    """Files below the folders of attempts, as (folder, path)."""
-
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        system, _ = file_system(target)
-        for batch in batches:
-            for folder in batch["folder"]:
-                todo, own = [folder], []
-                while todo:
-                    for e in system.get_file_info(fs.FileSelector(todo.pop())):
-                        if e.type == fs.FileType.Directory:
-                            todo.append(e.path)
-                        else:
-                            own.append((folder, e.path[len(folder) + 1 :]))
-                    if len(own) >= _LIST_BATCH:
-                        yield pd.DataFrame(own, columns=["folder", "path"])
-                        own = []
-                yield pd.DataFrame(own, columns=["folder", "path"])
-
-    return listed
-
-
 def _moved(target: str):
-    """Renames staged files to their places; one that is there already was moved before."""
+    """Renames the files of staging folders to their places; one that is gone was moved before."""
 
     def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         system, inner = file_system(target)
         moved, made = 0, set()
-        for batch in batches:
-            for folder, path in zip(batch["folder"], batch["path"], strict=True):
-                source, place = f"{folder}/{path}", f"{inner}/{path}"
+        for folder in (f for batch in batches for f in batch["folder"]):
+            with system.open_input_stream(f"{folder}/_paths", compression=None) as lines:
+                paths = [json.loads(x) for x in lines.read().decode().splitlines()]
+            for i, path in enumerate(paths):
+                source, place = f"{folder}/{i}", f"{inner}/{path}"
                 if system.get_file_info(source).type != fs.FileType.File:
                     continue
                 above = place.rsplit("/", 1)[0]
@@ -165,14 +151,12 @@ def write_files(files: DataFrame, folder: str) -> int:
             attempts = [json.loads(x) for x in lines.read().decode().splitlines()]
         if attempts:
             tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-            names = spark.createDataFrame([(a["folder"],) for a in attempts], "folder string")
-            listed = names.repartition(min(len(attempts), tasks)).mapInPandas(
-                _staged(folder), "folder string, path string"
-            )
-            # Noted before they move, so that a task which is run again still knows its files.
-            noted = f"{staging}/_files"
-            listed.write.parquet(noted)
-            spark.read.parquet(noted).mapInPandas(_moved(folder), "moved long").agg(F.sum("moved")).collect()
+            noted = spark.createDataFrame([(a["folder"], a["files"]) for a in attempts], "folder string, files long")
+            last = F.floor((F.col("files") - 1) / PER_FOLDER)
+            parts = noted.select("folder", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part"))
+            parts = parts.select(F.concat_ws("/", "folder", "part").alias("folder"))
+            folders = sum(-(-a["files"] // PER_FOLDER) for a in attempts)
+            parts.repartition(min(folders, tasks)).mapInPandas(_moved(folder), "moved long").agg(F.sum("moved")).collect()
         return sum(a["files"] for a in attempts)
     finally:
         remove(staging)

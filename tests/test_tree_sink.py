@@ -86,3 +86,18 @@ def test_replace_and_merge_cycles(spark, tmp_path):
         ("project/src/plain.py", []), ("project/src/run.py", ["minimal"])]
     rewrite(spark, folder, marks.strip_marks(scanned(spark, folder)), "stripped")
     assert on_disk(folder) == {"src/run.py": code, "src/plain.py": code}
+
+
+def test_staging_holds_no_directories_of_the_tree(spark, tmp_path, monkeypatch):
+    """What is removed at the end doesn't grow with the tree's directories, one for each file here."""
+    left, real = [], tree_sink.remove
+
+    def counted(folder):
+        left.extend(os.path.join(at, d) for at, dirs, _ in os.walk(folder) for d in dirs)
+        real(folder)
+
+    monkeypatch.setattr(tree_sink, "remove", counted)
+    rows = [(f"a/n{i}/f\n{i}", f"text {i}") for i in range(2500)]
+    assert tree_sink.write_files(spark.createDataFrame(rows, FILES).coalesce(1), str(tmp_path / "out")) == 2500
+    assert on_disk(str(tmp_path / "out")) == dict(rows)
+    assert len(left) == 4 and not leftovers(tmp_path)
