@@ -190,17 +190,17 @@ def s7_rewrite_tree(spark, sf_dir):
     """The files on disk, and beside each annotatable one its text without marks."""
     folder = streams.work_folder(spark, "rewrite")
     place = F.regexp_replace("path", "([^/]+)$", F.concat(F.lit("n"), F.col("doc_id"), F.lit("/$1")))
-    # Spark's reader, which reads the result back, passes over names with a leading dot.
+    # Without names with a leading dot.
     files = fixtures.files(spark, sf_dir).filter(~F.contains("path", F.lit("/."))).withColumn("path", place)
     tree_sink.write_files(files, folder)
     kept = marks.strip_marks(filters.annotatable(files))
     rewritten = corpus.with_target(kept).select(F.col("target").alias("path"), F.col("stripped").alias("content"))
     tree_sink.write_files(rewritten, folder)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    found = tree_source.scan_tree(spark, folder, everything=True)
     # Below the work folder, whose name is a hash.
     return found.select(
-        F.regexp_extract("path", r"/rewrite[^/]*/(.*)$", 1).alias("path"),
-        F.col("length").alias("size"),
+        F.regexp_extract("path", r"^[^/]*/(.*)$", 1).alias("path"),
+        "size",
         F.md5("content").alias("content_md5"),
     )
 

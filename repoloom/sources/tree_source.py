@@ -1,12 +1,14 @@
-"""A source tree as a batch data source: directories are the partitions, headers are read by range.
+"""A source tree as a batch data source: partitions are made of directories, headers are read by range.
 
 The driver lists from the root downwards only until there are enough directories to keep all
-tasks busy; below those the tasks list for themselves.  Conditions on path reach the tasks
+tasks busy; below those the tasks list for themselves.  However many directories that level has,
+they are dealt to a number of partitions that the number of tasks alone bounds.  Conditions on path reach the tasks
 before a file is opened, and where headers are enough only the beginning of a file is read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +31,15 @@ from .tree_sink import file_system
 _SCHEMA = "repo string, path string, size bigint, content string"
 #: Files of one directory that a task takes on.
 FILES_PER_TASK = 20_000
+#: Partitions per task, at most, that the directories of a level are dealt to.
+SHARES = 16
 #: Bytes that hold the 4,096 characters of a header for sure: four a character, and each may
 #: be one of the two of a line end.
 HEADER_BYTES = 4096 * 4 * 2
 
 
 class TreeSource(DataSource):
-    """`format('repoloom_files')` with options `folder`, `headers` and `tasks`."""
+    """`format('repoloom_files')` with options `folder`, `headers`, `everything` and `tasks`."""
 
     @classmethod
     def name(cls) -> str:
@@ -46,14 +50,25 @@ class TreeSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         options = self.options
-        return TreeReader(options["folder"], options.get("headers") == "true", int(options.get("tasks", "8")))
+        everything = options.get("everything") == "true"
+        return TreeReader(options["folder"], options.get("headers") == "true", int(options.get("tasks", "8")), everything)
 
 
 class Part(InputPartition):
-    """A directory: with all below it, or the k-th of n shares of its own files."""
+    """Directories with all below them, or the k-th of n shares of a directory's own files."""
 
-    def __init__(self, path: str, whole: bool, k: int = 0, n: int = 1) -> None:
-        self.path, self.whole, self.k, self.n = path, whole, k, n
+    def __init__(self, paths: list[str], whole: bool, k: int = 0, n: int = 1) -> None:
+        self.paths, self.whole, self.k, self.n = paths, whole, k, n
+
+    @property
+    def path(self) -> str:
+        return self.paths[0]
+
+
+def dealt(paths: list[str], n: int) -> list[list[str]]:
+    """Paths in n equal shares at most, neighbours apart."""
+    mixed = sorted(paths, key=lambda p: (zlib.crc32(p.encode(errors="surrogateescape")), p))
+    return [mixed[k::n] for k in range(min(n, len(mixed)))]
 
 
 def wanted(name: str) -> bool:
@@ -62,8 +77,8 @@ def wanted(name: str) -> bool:
 
 
 class TreeReader(DataSourceReader):
-    def __init__(self, folder: str, headers: bool, tasks: int) -> None:
-        self.folder, self.headers, self.tasks = folder.rstrip("/"), headers, tasks
+    def __init__(self, folder: str, headers: bool, tasks: int, everything: bool = False) -> None:
+        self.folder, self.headers, self.tasks, self.everything = folder.rstrip("/"), headers, tasks, everything
         self.prefixes: list[str] = []
         self.suffixes: list[str] = []
         self.names: set[str] | None = None
@@ -108,7 +123,8 @@ class TreeReader(DataSourceReader):
             import os
 
             entries = [e for e in entries if not os.path.islink(e.path)]
-        entries = [e for e in entries if wanted(e.base_name)]
+        if not self.everything:
+            entries = [e for e in entries if wanted(e.base_name)]
         dirs = [e for e in entries if e.type == fs.FileType.Directory and self._directory(self._shown(inner, e.path))]
         files = [e for e in entries if e.type == fs.FileType.File and self._file(self._shown(inner, e.path))]
         return dirs, files
@@ -127,17 +143,15 @@ class TreeReader(DataSourceReader):
                 dirs, files = self._listed(path)
                 following += [e.path for e in dirs]
                 n = -(-len(files) // FILES_PER_TASK)
-                found += [Part(path, False, k, n) for k in range(n)]
+                found += [Part([path], False, k, n) for k in range(n)]
             level = following
         # One at least: an empty tree still has its root.
-        return [*found, *(Part(path, True) for path in level)] or [Part(inner, False)]
+        return [*found, *(Part(own, True) for own in dealt(level, SHARES * self.tasks))] or [Part([inner], False)]
 
     def read(self, partition: Part) -> Iterator[tuple]:
-        import zlib
-
         system, inner = file_system(self.folder)
         repo = inner.rsplit("/", 1)[-1]
-        todo = [partition.path]
+        todo = list(partition.paths)
         while todo:
             dirs, files = self._listed(todo.pop())
             if partition.whole:
@@ -158,15 +172,15 @@ class TreeReader(DataSourceReader):
         return body.decode(errors="replace")
 
 
-def scan_tree(spark: SparkSession, folder: str, headers: bool = False) -> DataFrame:
+def scan_tree(spark: SparkSession, folder: str, headers: bool = False, everything: bool = False) -> DataFrame:
     """files(repo, path, size, content) of the tree below a folder given as URI or local path.
 
-    Excluded names are passed over with all below them; symbolic links are not followed.  With `headers`
+    Excluded names are passed over with all below them, unless `everything` is asked for; symbolic links are not followed.  With `headers`
     content is only the beginning of each file, enough for its header, and null for binary
     extensions.  Conditions on path are applied before files are opened.
     """
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TreeSource)
-    options = {"folder": folder, "headers": str(headers).lower(), "tasks": str(spark.sparkContext.defaultParallelism)}
+    options = {"folder": folder, "headers": str(headers).lower(), "everything": str(everything).lower(), "tasks": str(spark.sparkContext.defaultParallelism)}
     return spark.read.format("repoloom_files").options(**options).load()

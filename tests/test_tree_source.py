@@ -64,3 +64,21 @@ def test_conditions_on_path_reach_the_tasks(spark, folder):
 
 def test_an_empty_tree(spark, tmp_path):
     assert tree_source.scan_tree(spark, str(tmp_path)).count() == 0
+
+
+def test_partitions_depend_on_tasks_and_not_on_directories(tmp_path):
+    for i in range(500):
+        (tmp_path / "t" / f"n{i}").mkdir(parents=True)
+        (tmp_path / "t" / f"n{i}" / "f.py").write_text("x")
+    reader = tree_source.TreeReader(str(tmp_path / "t"), False, 2)
+    parts = reader.partitions()
+    assert len(parts) <= tree_source.SHARES * 2
+    assert sorted(row[1] for part in parts for row in reader.read(part)) == sorted(f"t/n{i}/f.py" for i in range(500))
+
+
+def test_everything_takes_names_that_a_walk_passes_over(spark, tmp_path):
+    rows = [("node_modules/a.js", "a"), (".x/b", "bé"), ("_c/.d", ""), ("e.py", "e")]
+    tree_sink.write_files(spark.createDataFrame(rows, "path string, content string"), str(tmp_path / "t"))
+    found = tree_source.scan_tree(spark, str(tmp_path / "t"), everything=True)
+    assert values(found, "path", "size", "content") == sorted((f"t/{p}", len(c.encode()), c) for p, c in rows)
+    assert values(tree_source.scan_tree(spark, str(tmp_path / "t")), "path") == [("t/e.py",)]
