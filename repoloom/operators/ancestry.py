@@ -13,6 +13,7 @@ each round makes it twice as long, so a history of a million commits takes twent
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import ranked
 from .rounds import Rounds
 
 _KEY = ["repo", "hash"]
@@ -28,41 +29,36 @@ def chains(commits: DataFrame, heads: DataFrame, rounds: Rounds) -> DataFrame:
     """
     own = commits.select("repo", "hash", "ts", F.get("parents", F.lit(0)).alias("parent"))
     own = own.dropDuplicates(_KEY)
-    known = own.select("repo", F.col("hash").alias("parent"), F.col("hash").alias("jump"))
     tips = heads.select(*_KEY).distinct().withColumn("is_head", F.lit(True))
+    own = own.join(tips, _KEY, "left").withColumn("is_head", F.coalesce("is_head", F.lit(False)))
+    # Numbered in the order of preference, so that rounds carry whole numbers only and a tip is a maximum.
+    numbered = ranked(own, [], [F.col(c) for c in ("is_head", "ts", "hash", "repo")], "id")
+    named = rounds.store(numbered.select("id", *_KEY, "parent"))
+    known = named.select("repo", F.col("hash").alias("parent"), F.col("id").alias("jump"))
     state = rounds.store(
-        own.join(known, ["repo", "parent"], "left")
-        .join(tips, _KEY, "left")
-        .select(
-            *_KEY,
-            "jump",
-            F.when(F.col("jump").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
-            F.struct(F.coalesce("is_head", F.lit(False)).alias("is_head"), "ts", "hash").alias("tip"),
+        named.join(known, ["repo", "parent"], "left").select(
+            "id", "jump", F.when(F.col("jump").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
+            F.col("id").alias("tip"),
         )
     )
-    while not state.filter("jump IS NOT NULL").isEmpty():
+    while True:
+        on = state.filter("jump IS NOT NULL")
+        if on.isEmpty():
+            break
         # What a pointer's start has seen so far goes to where the pointer ends.
-        seen = (
-            state.filter("jump IS NOT NULL")
-            .groupBy("repo", F.col("jump").alias("hash"))
-            .agg(F.max("tip").alias("seen"))
+        seen = on.groupBy(F.col("jump").alias("id")).agg(F.max("tip").alias("seen"))
+        ahead = state.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("depth").alias("more"))
+        longer = on.join(ahead, "jump").select(
+            "id", F.col("next").alias("jump"), (F.col("depth") + F.col("more")).alias("depth"), "tip"
         )
-        ahead = state.select(
-            "repo", F.col("hash").alias("jump"), F.col("jump").alias("next"), F.col("depth").alias("more")
+        # Pointers that have come to a root stay as they are.
+        both = longer.unionByName(state.filter("jump IS NULL"))
+        state = rounds.store(
+            both.join(seen, "id", "left").select("id", "jump", "depth", F.greatest("tip", "seen").alias("tip")), state
         )
-        longer = rounds.store(
-            state.join(ahead, ["repo", "jump"], "left")
-            .join(seen, _KEY, "left")
-            .select(
-                *_KEY,
-                F.col("next").alias("jump"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                F.greatest("tip", "seen").alias("tip"),
-            ),
-            state,
-        )
-        state = longer
-    return rounds.store(state.select(*_KEY, F.col("tip.hash").alias("chain"), "depth"), state)
+    names = named.select(F.col("id").alias("tip"), F.col("hash").alias("chain"))
+    ends = named.select("id", *_KEY).join(state, "id").join(names, "tip")
+    return rounds.store(ends.select(*_KEY, "chain", "depth"), state, named)
 
 
 def crossings(commits: DataFrame, placed: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 from conftest import values
-from repoloom.operators import release
+from repoloom.operators import ancestry, release
 
 KINDS = (
     "repo string, ts timestamp, hash string, subject string, body string, parents array<string>, n int",
@@ -97,3 +97,16 @@ def test_empty_tables(spark):
     rows = [spark.createDataFrame([], k) for k in KINDS]
     assert release.commits_since_tag(*rows).count() == 0
     assert release.next_versions_by_tag(*rows).count() == 0
+
+
+def test_rounds_carry_whole_numbers_only(spark, monkeypatch):
+    """Texts are stored when commits are numbered and when they are placed, however long the history."""
+    stored, real = [], ancestry.Rounds.store
+    monkeypatch.setattr(ancestry.Rounds, "store", lambda self, df, *replaced: stored.append(df.dtypes) or real(self, df, *replaced))
+    line = [("r", datetime(2024, 1, 1), f"h{i}", [f"h{i - 1}"] if i else []) for i in range(40)]
+    commits = spark.createDataFrame(line, "repo string, ts timestamp, hash string, parents array<string>")
+    heads = spark.createDataFrame([("r", "h39")], "repo string, hash string")
+    placed = ancestry.chains(commits, heads, ancestry.Rounds(spark, "test"))
+    assert values(placed, "hash", "chain", "depth") == values(spark.createDataFrame([(f"h{i}", "h39", i) for i in range(40)]))
+    texts = [x for x in stored if any(kind != "bigint" for _, kind in x)]
+    assert len(stored) >= 8 and len(texts) == 2
