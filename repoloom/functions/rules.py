@@ -5,7 +5,8 @@ patterns compiled once per task), never a join on a regular expression.  Inputs
 are given by column name.
 """
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -154,16 +155,27 @@ def primary_tag(tags: str = "tags") -> Column:
     )
 
 
+def _excluded_pattern(
+    names: Sequence[str], kept_dot_names: Sequence[str], literal: Callable[[str], str], end: str
+) -> str:
+    kept = "|".join(literal(n[1:]) for n in kept_dot_names)
+    pattern = f"/(?:\\.(?!(?:{kept})(?:/|{end}))"
+    if names:
+        pattern += f"|(?:{'|'.join(literal(n) for n in names)})(?:/|{end})"
+    return pattern + ")"
+
+
 def excluded(path: str, names: Sequence[str], kept_dot_names: Sequence[str]) -> Column:
     """True when a segment below the root is in `names` or is a dot name not kept."""
     def literal(name: str) -> str:
         return "\\Q" + name.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
-    kept = "|".join(literal(n[1:]) for n in kept_dot_names)
-    pattern = f"/(?:\\.(?!(?:{kept})(?:/|\\z))"
-    if names:
-        pattern += f"|(?:{'|'.join(literal(n) for n in names)})(?:/|\\z)"
-    return F.expr(f"{path} RLIKE {text(pattern + ')')}")
+    return F.expr(f"{path} RLIKE {text(_excluded_pattern(names, kept_dot_names, literal, '\\z'))}")
+
+
+def excluded_in_tasks(names: Sequence[str], kept_dot_names: Sequence[str]) -> str:
+    """The rule of `excluded` as a pattern of Python's own, for tasks that walk a tree."""
+    return _excluded_pattern(names, kept_dot_names, re.escape, "\\Z")
 
 
 def annotatable_path(extra: Sequence[str] = ()) -> Column:

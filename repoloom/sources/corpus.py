@@ -1,8 +1,11 @@
 """Source trees on a file system, and rewritten files back to one."""
 
+import os
+import re
+from collections import deque
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from ..functions import fixed_values as fv
 from ..functions import rules
 from ..functions.shipping import ship
 from ..operators.filters import scannable_expr
-from ..operators.ranking import ensure_checkpoint_dir
+from ..operators.rounds import Rounds
 
 _ENTRY = "repo string, path string, root string, location string, is_dir boolean, size bigint"
 _FILE = "repo string, path string, size bigint, content string"
@@ -24,6 +27,8 @@ def read_files(spark: SparkSession, location: str) -> DataFrame:
 # Text gathered, and entries listed, before a task hands them on.
 _READ_BATCH_CHARS = 16 << 20
 _LIST_BATCH = 10_000
+#: Directories after which a task hands on those it finds.
+DIRS_PER_TASK = 200
 
 
 class _Systems:
@@ -41,58 +46,82 @@ class _Systems:
         return self.known[root]
 
 
-def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Direct entries of each given directory; those that may not be read have none.
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64()}
+    fields = [pa.field(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(values, f.type) for values, f in zip(zip(*rows), fields)], schema=pa.schema(fields)
+    )
+
 
+def _listing(excluded: str, budget: int):
+    """Entries of the given directories; those that may not be read have none.
+
+    A task goes on with the directories it finds, the nearest first, until it has listed
+    `budget` of them; the others come out as directories still to be listed.  So a deep tree
+    takes few rounds, and a large one is dealt out anew before a task has much of it.
     Symbolic links are not followed.  Only roots are URIs; below them bare paths are passed on,
     so any name a file system allows is taken as it is.
     """
-    import os
 
-    from pyarrow import fs
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        systems, left_out = _Systems(), re.compile(excluded)
+        rows, own, listed = [], deque(), 0
 
-    systems = _Systems()
-    columns = [x.split()[0] for x in _ENTRY.split(", ")]
-    for batch in batches:
-        for row in batch.itertuples():
-            system, inner = systems.of(row.root)
+        def directories() -> Iterator[tuple]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield row["repo"], row["path"], row["root"], row["location"]
+            while own:
+                yield own.popleft()
+
+        for repo, path, root, location in directories():
+            listed += 1
+            system, inner = systems.of(root)
             try:
-                entries = system.get_file_info(fs.FileSelector(row.location or inner))
+                entries = system.get_file_info(fs.FileSelector(location or inner))
             except PermissionError:
                 continue
-            if isinstance(system, fs.LocalFileSystem):
-                entries = [e for e in entries if not os.path.islink(e.path)]
-            for at in range(0, len(entries), _LIST_BATCH):
-                yield pd.DataFrame(
-                    [
-                        (row.repo, f"{row.path}/{e.base_name}", row.root, e.path,
-                         e.type == fs.FileType.Directory, e.size or 0)
-                        for e in entries[at : at + _LIST_BATCH]
-                    ],
-                    columns=columns,
-                )
-
-
-def _read_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            local = isinstance(system, fs.LocalFileSystem)
+            for e in entries:
+                shown = f"{path}/{e.base_name}"
+                if left_out.search(shown) or (local and os.path.islink(e.path)):
+                    continue
+                is_dir = e.type == fs.FileType.Directory
+                if is_dir and listed + len(own) < budget:
+                    own.append((repo, shown, root, e.path))
+                    continue
+                rows.append((repo, shown, root, e.path, is_dir, e.size or 0))
+                if len(rows) == _LIST_BATCH:
+                    yield _batch(rows, _ENTRY)
+                    rows = []
+        if rows:
+            yield _batch(rows, _ENTRY)
+
+    return walk
+
+
+def _read_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole texts of the given files, invalid UTF-8 replaced; NULL where reading isn't permitted."""
     systems = _Systems()
-    columns = ["repo", "path", "size", "content"]
     rows, held = [], 0
     for batch in batches:
-        for row in batch.itertuples():
-            system, _ = systems.of(row.root)
+        for row in batch.to_pylist():
+            system, _ = systems.of(row["root"])
             try:
-                with system.open_input_stream(row.location, compression=None) as stream:
+                with system.open_input_stream(row["location"], compression=None) as stream:
                     content = stream.read().decode("utf-8", errors="replace")
             except PermissionError:
                 content = None
-            rows.append((row.repo, row.path, row.size, content))
+            rows.append((row["repo"], row["path"], row["size"], content))
             held += len(content or "")
-            if held > _READ_BATCH_CHARS:
-                yield pd.DataFrame(rows, columns=columns)
+            if held > _READ_BATCH_CHARS or len(rows) == _LIST_BATCH:
+                yield _batch(rows, _FILE)
                 rows, held = [], 0
     if rows:
-        yield pd.DataFrame(rows, columns=columns)
+        yield _batch(rows, _FILE)
 
 
 def _named_roots(roots: Iterable[str]) -> list[tuple[str, str]]:
@@ -120,28 +149,26 @@ def scan_corpus(
     """Directories given as URIs or local paths -> files(repo, path, size, content).
 
     Spark's own file listing hides names that start with '_' or '.', which are
-    ordinary source files here, so directories are listed by tasks, one level of
-    all trees at a time.  Excluded directories are never entered; annotation, which leaves
+    ordinary source files here, so directories are listed by tasks, a part of all trees at
+    a time, which is stored and listed once.  Excluded directories are never entered; annotation, which leaves
     out others than description does, gives its own lists.  Contents are read where
     a header scan or annotation can use them.  What may not be read is passed over; any other
     failure of the file system fails the scan.
     """
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ensure_checkpoint_dir(spark)
     ship(spark)
-    names = [*excludes, *extra_excludes]
-    kept = ~rules.excluded("path", names, list(kept_dot_names))
+    listing = _listing(rules.excluded_in_tasks([*excludes, *extra_excludes], list(kept_dot_names)), DIRS_PER_TASK)
     rows = [(name, name, root, None, True, 0) for name, root in _named_roots(roots)]
-    frontier = spark.createDataFrame(rows, _ENTRY)
-    files = None
+    frontier, waiting = spark.createDataFrame(rows, _ENTRY), len(rows)
+    rounds, files = Rounds(spark, "scan"), None
     while True:
-        entries = (
-            frontier.repartition(tasks).mapInPandas(_list_directories, _ENTRY).filter(kept).checkpoint()
-        )
+        dealt = frontier.repartition(max(1, min(tasks, waiting)))
+        entries = rounds.store(dealt.mapInArrow(listing, _ENTRY))
         found = entries.filter(~F.col("is_dir"))
         files = found if files is None else files.unionByName(found)
         frontier = entries.filter("is_dir")
-        if frontier.isEmpty():
+        waiting = frontier.count()
+        if not waiting:
             break
     unread = files.select("repo", "path", "size", F.lit(None).cast("string").alias("content"))
     if not scan_headers:
@@ -151,7 +178,7 @@ def scan_corpus(
         | rules.is_one_of("substring_index(path, '/', -1)", fv.README_NAMES)
         | rules.is_one_of(rules.PATH_EXTENSION, fv.ANNOTATABLE_EXTENSIONS)
     )
-    read = files.filter(wanted).repartition(tasks).mapInPandas(_read_contents, _FILE)
+    read = files.filter(wanted).repartition(tasks).mapInArrow(_read_contents, _FILE)
     return unread.filter(~wanted).unionByName(read)
 
 

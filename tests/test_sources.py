@@ -1,12 +1,15 @@
 """Sources on inputs of odd shape: deep documents and listings, any file name, strict JSON."""
 
 import json
+import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import values
 from repoloom.functions import fixed_values as fv
+from repoloom.functions import rules
 from repoloom.operators import filters, marks, requests
 from repoloom.sources import catalogue, corpus, tree_listing
 
@@ -94,6 +97,67 @@ def test_a_missing_root_fails(spark, tmp_path):
         corpus.scan_corpus(spark, [f"{tmp_path}/nowhere"]).count()
 
 
+def counted_jobs(spark, run):
+    context = spark.sparkContext
+    group = f"counted-{uuid.uuid4().hex}"
+    context.setJobGroup(group, group)
+    try:
+        run()
+        return len(context.statusTracker().getJobIdsForGroup(group))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_jobs_of_a_scan_do_not_follow_the_depth(spark, tmp_path):
+    found, at = [], tmp_path / "deep"
+    for i in range(60):
+        at = at / f"d{i}"
+        at.mkdir(parents=True)
+        (at / "f.py").write_text(f"# {i} more than ten bytes\n")
+    number = counted_jobs(spark, lambda: found.append(corpus.scan_corpus(spark, [str(tmp_path / "deep")])))
+    assert number <= 10
+    want = [("deep/" + "".join(f"d{k}/" for k in range(i + 1)) + "f.py", f"# {i} more than ten bytes\n") for i in range(60)]
+    assert values(found[0], "path", "content") == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("budget", [1, 3, 1000])
+def test_every_file_once_however_far_a_task_walks(spark, tmp_path, monkeypatch, budget):
+    monkeypatch.setattr(corpus, "DIRS_PER_TASK", budget)
+    want = []
+    for i in range(40):
+        for below in ("", "a/", "a/b/", "node_modules/", ".git/", ".github/", "a/x+y/", "a/xxy/"):
+            target = tmp_path / "t" / f"n{i % 3}" / f"m{i}" / below / "f.py"
+            target.parent.mkdir(parents=True, exist_ok=True)
+            target.write_text(f"{i} {below}")
+            if below not in ("node_modules/", ".git/", "a/x+y/"):
+                want.append((f"t/n{i % 3}/m{i}/{below}f.py", f"{i} {below}"))
+    scanned = corpus.scan_corpus(spark, [str(tmp_path / "t")], ["x+y"])
+    assert values(scanned, "path", "content") == sorted(want, key=repr)
+
+
+def test_small_directories_share_a_batch(tmp_path):
+    for i in range(300):
+        (tmp_path / "t" / f"n{i}").mkdir(parents=True)
+        (tmp_path / "t" / f"n{i}" / "f.py").write_text("x")
+    listing = corpus._listing(rules.excluded_in_tasks(fv.EXCLUDED_NAMES, fv.KEPT_DOT_NAMES), 1)
+    root = corpus._batch([("t", "t", str(tmp_path / "t"), None, True, 0)], corpus._ENTRY)
+    (level,) = listing(iter([root]))
+    assert level.num_rows == 300 and all(r["is_dir"] for r in level.to_pylist())
+    (files,) = listing(iter([level]))
+    assert sorted(r["path"] for r in files.to_pylist()) == sorted(f"t/n{i}/f.py" for i in range(300))
+
+
+def test_tasks_leave_out_what_the_rule_on_columns_leaves_out(spark):
+    names = ["node_modules", "*.egg-info", "a.b", "\\E(", "x/y", "é"]
+    paths = [f"r/{p}" for n in [*names, "axb", "a.bc", ".github", ".githubs", ".env.example", ".x", "_x", "x\ny", "é\n", "x"]
+             for p in (n, f"d/{n}", f"{n}/f.py", f"z{n}", f"{n}\n")]
+    for kept in (fv.KEPT_DOT_NAMES, []):
+        pattern = re.compile(rules.excluded_in_tasks(names, kept))
+        frame = spark.createDataFrame([(p,) for p in paths], "path string")
+        want = values(frame.select("path", rules.excluded("path", names, kept).alias("out")))
+        assert sorted(((p, bool(pattern.search(p))) for p in paths), key=repr) == want
+
+
 BODIES = [
     ("{'a': 'x'}", None),
     ('{"a": "x", "b": "z", "a": "y"}', {"a": "y", "b": "z"}),
